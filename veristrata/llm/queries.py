@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, quality_rules, urlfilter
+from . import chat, langid, media, mixing, neardup, pii, quality_model, quality_rules, urlfilter
 from .common import table
 
 #: Target shares; "*" stands for all other sources together. src0 is the hot one.
 MIX_WEIGHTS = {"src0": 0.10, "src1": 0.08, "src2": 0.08, "src3": 0.08, "src4": 0.06, "src5": 0.06, "*": 0.54}
 MIX_SEED = 17
+#: Most documents that the language model is trained on.
+LANGID_SAMPLE = 1000
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -47,10 +49,34 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.reconstruct(chat.log_of(talks.unionByName(more))))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.report(pii.detect(docs, pii.train(docs)))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_model.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.fit(docs, LANGID_SAMPLE))
+    return found.select("doc_id", F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_media": op3_media,
+    "op4_pii": op4_pii,
     "op5_url_filters": op5_url_filters,
     "op6_mixing": op6_mixing,
+    "op7_near_duplicates": op7_near_duplicates,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_chat": op9_chat,
+    "op10_language_id": op10_language_id,
 }
