@@ -1,15 +1,67 @@
-"""The training-data pipeline."""
+"""The training-data pipeline: documents to token ids in five stages, each of which calls one operator."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from veristrata.llm import bpe, langid, mixing, neardup, pii
+from veristrata.llm.queries import LANGID_SAMPLE, MIX_SEED, MIX_WEIGHTS, tokenizer_path
+
+#: A text goes if no language has this share of its words; with four languages a guess has a quarter.
+MIN_LANGUAGE_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, null texts, and texts in no known language go."""
+    return langid.keep_known(docs, langid.fit(docs, LANGID_SAMPLE), MIN_LANGUAGE_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: that of the least id, and one row of it."""
+    found = neardup.components(docs)
+    rows = docs.join(found.where("kept").select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    again = found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return rows.dropDuplicates(["doc_id"]) if again else rows
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data become <KIND>; n_chars follows the text."""
+    out = pii.masked(docs, pii.train(docs))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeat (or not) by their source's target share; the copies are the rows."""
+    return mixing.mix(docs, MIX_WEIGHTS, seed=MIX_SEED).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests of the ids and of the text decoded from them, and the ids."""
+    encoded = bpe.encode(docs, bpe.vocabulary(tokenizer_path()))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
+]
+
+#: Language, near-duplicate and personal-data decisions are not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; between them a table is written in the shared folder, so a lost executor costs one stage."""
+    from veristrata.llm.common import materialize
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name)
     return docs

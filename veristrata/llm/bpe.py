@@ -14,11 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import blocks, prefix_hash, span_hash, text_column
 
-#: Bytes of text whose distinct words are folded together, and pieces above which the quadratic fold gives way to a heap.
+#: Bytes of text whose distinct words are folded together, and the longest word whose boundaries fit the fold's 64 bits.
 GROUP_BYTES = 12 << 20
-LONG = 256
-_RANK_BITS, _AT_BITS = 17, 12
-_NONE = 1 << (_RANK_BITS + _AT_BITS)
+LONG = 62
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -93,171 +91,191 @@ def piece_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- merges
 
 
-class Merges:
-    """The literal rank map: which adjacent token ids merge, and into what.
+class Vocabulary:
+    """Pieces by rank, with what the fold and its preparation look up.
 
-    Row displacement: pair (x, y) is at base[x] + y of `table`, whose entry holds x and the merged rank; a slot of
-    another x, or an empty one, tells that the pair does not merge. Two array reads and no search.
+    For a vocabulary learned by merging, the merges of a word can be taken in one pass over the vocabulary's pieces
+    that occur in it, by rank, then by place: a piece merges if it is two parts by then. (While both of its ends are
+    boundaries, what lies between them is merged as the piece alone would be, so the piece is whole at its own rank
+    or never.) That needs every piece to be built by the merges of ranks below its own; words that hold a piece for
+    which this fails (`odd`) are merged step by step instead.
     """
 
-    def __init__(self, vocabulary: list[bytes]):
-        ranks = {b: r for r, b in enumerate(vocabulary)}
-        rows: dict[int, dict[int, int]] = {}
-        for r, piece in enumerate(vocabulary):
-            for k in range(1, len(piece)):
-                x, y = ranks.get(piece[:k]), ranks.get(piece[k:])
-                if x is not None and y is not None:
-                    rows.setdefault(x, {})[y] = r
-        if len(vocabulary) >= 1 << _RANK_BITS or any(bytes([b]) not in ranks for b in range(256)):
-            raise ValueError("a byte-level vocabulary of less than 2 ** 17 pieces is needed")
-        # a tenth full, so that a row of hundreds finds its place after some tries; rows go in by size
-        width = len(vocabulary)
-        size = 8 * sum(map(len, rows.values())) + 2 * width
-        table = np.full(size, 1 << 40, dtype=np.int64)
-        free = np.ones(size, dtype=bool)
-        base = np.zeros(width, dtype=np.int32)
-        rng = np.random.default_rng(1)
-        for x, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
-            y = np.fromiter(row, dtype=np.int64)
-            b = int(rng.integers(size - width))
-            while not free[b + y].all():
-                b = int(rng.integers(size - width))
-            base[x] = b
-            free[b + y] = False
-            table[b + y] = (x << _RANK_BITS) + np.fromiter(row.values(), dtype=np.int64)
-        self.vocabulary, self.base, self.table = vocabulary, base, table
-        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-
-    def rank(self, x: int, y: int) -> int | None:
-        v = int(self.table[self.base[x] + y])
-        return v & ((1 << _RANK_BITS) - 1) if v >> _RANK_BITS == x else None
-
-    def heap(self, ids: list[int]) -> list[int]:
-        """The same merges in O(n log n), for pieces of more than LONG bytes."""
-        n = len(ids)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        alive = [True] * n
-        queue = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.rank(ids[i], ids[i + 1])) is not None]
-        heapq.heapify(queue)
+    def __init__(self, pieces: list[bytes]):
+        self.pieces = pieces
+        self.ranks = {b: r for r, b in enumerate(pieces)}
+        if len(self.ranks) != len(pieces) or any(bytes([b]) not in self.ranks for b in range(256)):
+            raise ValueError("distinct pieces with all single bytes among them are needed")
+        known = _hashes(pieces)
+        order = np.argsort(known)
+        self.known, self.order = known[order], order.astype(np.int64)
+        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe[(known & np.uint64(len(self.maybe) - 1)).astype(np.int64)] = True
+        self.lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+        self.longest = int(min(self.lengths.max(), LONG))
+        self.odd = np.zeros(len(pieces), dtype=bool)
+        self.odd[[r for r, p in enumerate(pieces) if len(p) > 1 and self.merge(p, r) != [r]]] = True
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Ranks of pieces with these hashes, or -1."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        at = np.flatnonzero(self.maybe[(h & np.uint64(len(self.maybe) - 1)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
+        hit = self.known[k] == h[at]
+        out[at[hit]] = self.order[k[hit]]
+        return out
+
+    def merge(self, word: bytes, limit: int | None = None) -> list[int]:
+        """Step by step, least rank first, with a heap: O(n log n). limit: the last rank taken, in a single rising pass."""
+        parts = [word[i : i + 1] for i in range(len(word))]
+        n = len(parts)
+        left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
+        queue: list[tuple[int, int, bytes]] = []
+
+        def offer(i):
+            if i >= 0 and right[i] < n:
+                both = parts[i] + parts[right[i]]
+                r = self.ranks.get(both)
+                if r is not None and (limit is None or r >= reached and r <= limit):
+                    heapq.heappush(queue, (r, i, both))
+
+        reached = 0
+        for i in range(n - 1):
+            offer(i)
         while queue:
-            r, i, x, y = heapq.heappop(queue)
+            r, i, both = heapq.heappop(queue)
             j = right[i]
-            if not alive[i] or j >= n or ids[i] != x or ids[j] != y:
+            if not alive[i] or j >= n or parts[i] + parts[j] != both:
                 continue
-            ids[i], alive[j], right[i] = r, False, right[j]
+            reached = r
+            parts[i], alive[j], right[i] = both, False, right[j]
             if right[j] < n:
                 left[right[j]] = i
-                if (q := self.rank(r, ids[right[i]])) is not None:
-                    heapq.heappush(queue, (q, i, r, ids[right[i]]))
-            if left[i] >= 0 and (q := self.rank(ids[left[i]], r)) is not None:
-                heapq.heappush(queue, (q, left[i], ids[left[i]], r))
-        return [x for x, a in zip(ids, alive) if a]
+            offer(i)
+            offer(left[i])
+        return [self.ranks[p] for p, a in zip(parts, alive) if a]
+
+    def candidates(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For words that lie end to end in data: rank * 256 + place of each piece in them, by rank and place; and counts by word."""
+        ends = np.cumsum(sizes)
+        h = prefix_hash(data)
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(data)) - (ends - sizes)[word]
+        left = ends[word] - np.arange(len(data))
+        at = np.arange(len(data))
+        found = []
+        for n in range(2, self.longest + 1):
+            at = at[left[at] >= n]
+            if not len(at):
+                break
+            r = self.find(span_hash(h, at, at + n))
+            hit = r >= 0
+            x = at[hit]
+            found.append((word[x].astype(np.uint64) << np.uint64(32)) | (r[hit].astype(np.uint64) << np.uint64(8)) | place[x].astype(np.uint64))
+        found = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        return (found & np.uint64(0xFFFFFFFF)).astype(np.int64), np.bincount((found >> np.uint64(32)).astype(np.int64), minlength=len(sizes))
+
+
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def vocabulary(path: str) -> Vocabulary:
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(load_ranks(path))
+    return _vocabularies[path]
+
+
+def _hashes(pieces: list[bytes]) -> np.ndarray:
+    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    ends = np.cumsum([len(p) for p in pieces])
+    return span_hash(prefix_hash(data), ends - np.array([len(p) for p in pieces]), ends)
 
 
 def _literal(spark: SparkSession, x: np.ndarray) -> Column:
-    """An array column literal that keeps its numbers in one primitive array."""
+    """An array<bigint> literal that keeps its numbers in one primitive array."""
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
-    wide = x.dtype == np.int64
-    buffer = jvm.java.nio.ByteBuffer.wrap(bytearray(x.tobytes())).order(jvm.java.nio.ByteOrder.LITTLE_ENDIAN)
-    out = gateway.new_array(jvm.long if wide else jvm.int, len(x))
-    (buffer.asLongBuffer() if wide else buffer.asIntBuffer()).get(out)
+    out = gateway.new_array(jvm.long, len(x))
+    jvm.java.nio.ByteBuffer.wrap(bytearray(x.astype("<i8").tobytes())).order(jvm.java.nio.ByteOrder.LITTLE_ENDIAN).asLongBuffer().get(out)
     return Column(jvm.org.apache.spark.sql.functions.lit(out))
 
 
-def folded(words: Column, base: Column, table: Column) -> Column:
-    """Each word, an array of byte ids, with its ranked merges applied: array<array<int>>.
+def folded(full: Column, candidates: Column, ends: Column, inner: Column) -> Column:
+    """The boundaries of each word's ids after its ranked merges, as bits: array<bigint>.
 
-    One step of the fold finds the pair of least rank (the leftmost of equals), and replaces it by its merged id.
-    A word needs at most as many steps as it has pairs; once no pair merges, the rest of the fold does nothing.
+    full has a bit before each byte of a word and one after the last. The fold goes over the word's candidate merges
+    by rank; one is taken if both ends of the piece are boundaries and a single boundary lies inside, which it
+    clears. ends and inner are the literal rank map: the bits of a piece at place 0, by rank.
     """
 
-    def step(ids: Column) -> Column:
-        def order(x, i):
-            pair = table[base[x] + ids[i + 1]].bitwiseXOR(F.shiftleft(x.cast("long"), _RANK_BITS))
-            return F.when(i + 1 < F.size(ids), F.shiftleft(pair, _AT_BITS).bitwiseOR(i.cast("long"))).otherwise(F.lit(1 << 60))
-
-        best = F.array_min(F.transform(ids, order))
-
-        def apply(m):
-            at = m.bitwiseAND(F.lit((1 << _AT_BITS) - 1)).cast("int")
-            merged = F.concat(F.slice(ids, 1, at), F.array(F.shiftright(m, _AT_BITS).cast("int")), F.slice(ids, at + 3, F.size(ids)))
-            none = m >= F.lit(_NONE).cast("long")
-            return F.struct(F.when(none, ids).otherwise(merged).alias("ids"), (~none).alias("live"))
-
-        return F.transform(F.array(best), apply)[0]
+    def step(bits: Column, c: Column) -> Column:
+        rank, place = F.shiftright(c, 8), c.bitwiseAND(F.lit(255)).cast("int")
+        inside = bits.bitwiseAND(F.call_function("shiftleft", inner[rank], place))
+        edges = bits.bitwiseAND(F.call_function("shiftleft", ends[rank], place))
+        return F.when((F.bit_count(inside) == 1) & (F.bit_count(edges) == 2), bits.bitwiseXOR(inside)).otherwise(bits)
 
-    def word(w):
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(w)),
-            F.struct(w.alias("ids"), F.lit(True).alias("live")),
-            lambda s, _: F.when(s["live"], step(s["ids"])).otherwise(s),
-            lambda s: s["ids"],
-        )
-
-    return F.transform(words, word)
+    return F.zip_with(full, candidates, lambda bits, c: F.aggregate(c, bits, step))
 
 
 # ---------------------------------------------------------------- documents
 
+_GROUP = ("counts", "codes", "data", "sizes", "heap_sizes", "heap_ids")
+
 
-def encode(docs: DataFrame, vocabulary: list[bytes], key: str = "doc_id", text: str = "text", decode: bool = True) -> DataFrame:
+def encode(docs: DataFrame, voc: Vocabulary, key: str = "doc_id", text: str = "text", decode: bool = True) -> DataFrame:
     """(key, ids array<int>[, decoded binary]) for every row of docs.
 
-    Whole texts are cut into pieces. A piece that is in the vocabulary is its own id; the distinct others of each
-    group of texts (GROUP_BYTES, or one longer text) are folded once, where they are, and put back by index: no
-    shuffle, and memory for one group. decoded concatenates the binary pieces of the ids. Null texts are empty,
-    empty texts have no ids; rows repeat as in docs; an empty table gives an empty result.
+    Whole texts are cut into pieces of the pattern. A piece that is in the vocabulary is its own id; the distinct
+    others of each group of texts (GROUP_BYTES, or one longer text) are folded once, where they are, and put back
+    by index: no shuffle, and memory for one group. Words of more than LONG bytes are merged with a heap, as the
+    fold keeps a word's boundaries in one number. decoded concatenates the binary pieces of the ids. Null texts are
+    empty, empty texts have no ids; rows repeat as in docs; an empty table gives an empty result.
     """
-    merges = Merges(vocabulary)
     spark = docs.sparkSession
-    known = _hashes(vocabulary)
-    order = np.argsort(known)
-    sorted_known = known[order]
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     key_type = src.schema["k"].dataType.simpleString()
-    size = len(vocabulary)
+    size = len(voc.pieces)
 
     def group(held, keys):
-        starts, sizes, codes, counts = [], [], [], []
-        at = 0
-        bufs = []
+        starts, sizes, hashes, counts, bufs, at = [], [], [], [], [], 0
         for column in held:
             for _, buf, offsets in blocks(column, 2 << 20):
                 s = piece_starts(buf, offsets)
                 e = np.append(s[1:], len(buf))
-                codes.append(span_hash(prefix_hash(buf), s, e))
+                hashes.append(span_hash(prefix_hash(buf), s, e))
                 counts.append(np.diff(np.searchsorted(s, offsets)))
                 starts.append(s + at)
                 sizes.append(e - s)
                 bufs.append(buf)
                 at += len(buf)
-        data = np.concatenate(bufs) if bufs else np.zeros(0, np.uint8)
-        starts, sizes = np.concatenate(starts or [np.zeros(0, np.int64)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
-        h = np.concatenate(codes or [np.zeros(0, np.uint64)])
+        data, starts, sizes, h = (np.concatenate(x) for x in (bufs, starts, sizes, hashes))
         u, example, back = np.unique(h, return_index=True, return_inverse=True)
-        found = np.minimum(np.searchsorted(sorted_known, u), size - 1)
-        whole = sorted_known[found] == u if len(u) else np.zeros(0, bool)
-        code = np.where(whole, order[found], 0)
-        rest = np.flatnonzero(~whole)
-        code[rest] = size + np.arange(len(rest))
-        n = sizes[example[rest]]
-        index = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[example[rest]], n)
-        values = merges.bytes[data[index]]
-        if (n > LONG).any():
-            parts = np.split(values, np.cumsum(n)[:-1])
-            parts = [np.array(merges.heap(p.tolist()), np.int32) if len(p) > LONG else p for p in parts]
-            n, values = np.array([len(p) for p in parts]), np.concatenate(parts)
-        words = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(values.astype(np.int32)))
+        code = voc.find(u)
+        rest = np.flatnonzero(code < 0)
+
+        def cut(which):
+            n, first = sizes[example[which]], starts[example[which]]
+            return data[np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)], n
+
+        long = sizes[example[rest]] > LONG
+        words, slow = rest[~long], rest[long]
+        taken, n = cut(words)
+        found, each = voc.candidates(taken, n)
+        bad = np.unique(np.repeat(np.arange(len(words)), each)[voc.odd[found >> 8]])
+        if len(bad):
+            keep = np.ones(len(words), dtype=bool)
+            keep[bad] = False
+            found = found[np.repeat(keep, each)]
+            words, slow, each = words[keep], np.concatenate([slow, words[~keep]]), each[keep]
+            taken, n = cut(words)
+        merged = [voc.merge(cut(slow[k : k + 1])[0].tobytes()) for k in range(len(slow))]
+        code[words], code[slow] = size + np.arange(len(words)), size + len(words) + np.arange(len(slow))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32)), pa.array(found))
+        full = pa.array((np.int64(1) << (n + 1)) - 1)
         keys = pa.chunked_array(keys).combine_chunks()
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
-                pa.array([np.concatenate(counts).astype(np.int32).tobytes()], pa.binary()),
-                pa.array([code[back].astype(np.int32).tobytes()], pa.binary()),
-                pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-            ],
-            names=["keys", "counts", "codes", "words"],
-        )
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        blobs = [np.concatenate(counts), code[back], taken, n, np.array([len(m) for m in merged]), np.array([i for m in merged for i in m])]
+        blobs = [pa.array([x.astype(np.uint8 if k in (2, 3) else np.int32).tobytes()], pa.binary()) for k, x in enumerate(blobs)]
+        return pa.RecordBatch.from_arrays([one(keys), *blobs, one(full), one(lists)], names=["keys", *_GROUP, "full", "candidates"])
 
     def split(batches):
         held, keys, nbytes = [], [], 0
@@ -278,16 +296,23 @@ def encode(docs: DataFrame, vocabulary: list[bytes], key: str = "doc_id", text:
         if held:
             yield group(held, keys)
 
+    def ids_of(data, n, masks):
+        """The folded words' ids, end to end, and how many each word has."""
+        bits = np.unpackbits(masks.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, : LONG + 1].astype(bool)
+        bits &= np.arange(LONG + 1)[None, :] < n[:, None]
+        word, place = np.nonzero(bits)
+        s = (np.cumsum(n) - n)[word] + place
+        return voc.find(span_hash(prefix_hash(data), s, np.append(s[1:], len(data)))), np.bincount(word, minlength=len(n))
+
     def join(batches):
-        pieces = vocabulary
+        pieces = voc.pieces
         for b in batches:
             for row in range(b.num_rows):
                 keys = b.column(0).slice(row, 1).flatten()
-                counts = np.frombuffer(b.column(1)[row].as_py(), np.int32)
-                codes = np.frombuffer(b.column(2)[row].as_py(), np.int32)
-                words = b.column(3).slice(row, 1).flatten()
-                sizes = np.concatenate([np.ones(size, np.int64), np.asarray(words.value_lengths(), dtype=np.int64)])
-                values = np.concatenate([np.arange(size, dtype=np.int32), np.asarray(words.flatten(), dtype=np.int32)])
+                counts, codes, data, n, heap_sizes, heap_ids = (np.frombuffer(b.column(1 + k)[row].as_py(), np.uint8 if k in (2, 3) else np.int32) for k in range(6))
+                ids, each = ids_of(data, n.astype(np.int64), np.asarray(b.column(7).slice(row, 1).flatten(), dtype=np.int64))
+                values = np.concatenate([np.arange(size), ids, heap_ids]).astype(np.int32)
+                sizes = np.concatenate([np.ones(size, np.int64), each, heap_sizes])
                 starts = np.cumsum(sizes) - sizes
                 ends = np.cumsum(counts)
                 first = 0
@@ -295,30 +320,26 @@ def encode(docs: DataFrame, vocabulary: list[bytes], key: str = "doc_id", text:
                     base = int(ends[first - 1]) if first else 0
                     last = max(first + 1, int(np.searchsorted(ends, base + 400_000, side="right")))
                     c = codes[base : int(ends[last - 1])]
-                    n = sizes[c]
-                    run = np.cumsum(n)
-                    ids = values[np.arange(int(n.sum())) - np.repeat(run - n, n) + np.repeat(starts[c], n)]
+                    m = sizes[c]
+                    run = np.cumsum(m)
+                    out = values[np.arange(int(m.sum())) - np.repeat(run - m, m) + np.repeat(starts[c], m)]
                     bounds = np.concatenate(([0], run))[np.concatenate(([base], ends[first:last])) - base].astype(np.int32)
-                    columns = [keys.slice(first, last - first), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids))]
+                    columns = [keys.slice(first, last - first), pa.ListArray.from_arrays(pa.array(bounds), pa.array(out))]
                     if decode:
-                        every = ids.tolist()
+                        every = out.tolist()
                         columns.append(pa.array([b"".join([pieces[i] for i in every[x:y]]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary()))
                     yield pa.RecordBatch.from_arrays(columns, names=["k", "ids", "decoded"][: len(columns)])
                     first = last
 
-    grouped = src.mapInArrow(split, f"keys array<{key_type}>, counts binary, codes binary, words array<array<int>>")
-    base, table = _literal(spark, merges.base), _literal(spark, merges.table)
-    merged = grouped.select("keys", "counts", "codes", folded(F.col("words"), base, table).alias("words"))
-    out = merged.mapInArrow(join, f"k {key_type}, ids array<int>" + ", decoded binary" * decode)
+    blobs = ", ".join(f"{c} binary" for c in _GROUP)
+    grouped = src.mapInArrow(split, f"keys array<{key_type}>, {blobs}, full array<bigint>, candidates array<array<bigint>>")
+    short = np.where(voc.lengths <= LONG, voc.lengths, 1)
+    ends, inner = _literal(spark, (np.int64(1) << short) | 1), _literal(spark, ((np.int64(1) << short) - 1) & ~np.int64(1))
+    masks = grouped.select("keys", *_GROUP, folded(F.col("full"), F.col("candidates"), ends, inner).alias("masks"))
+    out = masks.mapInArrow(join, f"k {key_type}, ids array<int>" + ", decoded binary" * decode)
     return out.withColumnRenamed("k", key)
 
 
-def _hashes(pieces: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    ends = np.cumsum([len(p) for p in pieces])
-    return span_hash(prefix_hash(data), ends - np.array([len(p) for p in pieces]), ends)
-
-
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
     """n_tokens and the digests of ids and decoded bytes."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")

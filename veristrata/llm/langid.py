@@ -243,6 +243,37 @@ def fit(docs: DataFrame, sample_docs: int = 1000, key: str = "doc_id", text: str
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 
+def judge(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a column."""
+    column = text_column(column)
+    pred, score = [UND] * len(column), np.zeros(len(column))
+    for first, buf, offsets in blocks(column) if model.languages else ():
+        starts, ends, counts = word_spans(buf, offsets)
+        post = model.posteriors(model.emissions(buf, starts, ends), counts)
+        ascii_letters = np.concatenate(([0], np.cumsum(_LETTER[buf] & (buf < 128))))
+        for r in range(len(offsets) - 1):
+            if counts[r + 1] == counts[r]:
+                continue
+            if ascii_letters[offsets[r + 1]] == ascii_letters[offsets[r]] and not any(map(str.isalpha, column[first + r].as_py())):
+                continue
+            share = post[counts[r] : counts[r + 1]].mean(axis=0, dtype=np.float64)
+            j = int(share.argmax())
+            pred[first + r], score[first + r] = model.languages[j], min(1.0, float(share[j]))
+    return pred, score
+
+
+def keep_known(docs: DataFrame, model: Model, min_score: float, text: str = "text") -> DataFrame:
+    """docs' rows, all columns, without those whose language is und or has a score under min_score. No join, no shuffle."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            pred, score = judge(b.column(at), model)
+            yield b.filter(pa.array([p != UND and s >= min_score for p, s in zip(pred, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) for every row: the language with most word posterior over the whole text, and its share.
 
@@ -252,21 +283,8 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     def run(batches):
         for b in batches:
-            column = text_column(b.column(1))
-            pred, score = [UND] * b.num_rows, np.zeros(b.num_rows)
-            for first, buf, offsets in blocks(column) if model.languages else ():
-                starts, ends, counts = word_spans(buf, offsets)
-                post = model.posteriors(model.emissions(buf, starts, ends), counts)
-                ascii_letters = np.concatenate(([0], np.cumsum(_LETTER[buf] & (buf < 128))))
-                for r in range(len(offsets) - 1):
-                    if counts[r + 1] == counts[r]:
-                        continue
-                    if ascii_letters[offsets[r + 1]] == ascii_letters[offsets[r]] and not any(map(str.isalpha, column[first + r].as_py())):
-                        continue
-                    share = post[counts[r] : counts[r + 1]].mean(axis=0, dtype=np.float64)
-                    j = int(share.argmax())
-                    pred[first + r], score[first + r] = model.languages[j], min(1.0, float(share[j]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred), pa.array(score)], names=["k", "lang_pred", "score"])
+            pred, score = judge(b.column(1), model)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score)], names=["k", "lang_pred", "score"])
 
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("k", key)

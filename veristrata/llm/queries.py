@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, media, mixing, neardup, pii, quality_model, quality_rules, urlfilter
+from . import bpe, chat, langid, media, mixing, neardup, pii, quality_model, quality_rules, urlfilter
 from .common import table
 
 #: Target shares; "*" stands for all other sources together. src0 is the hot one.
@@ -13,9 +13,22 @@ MIX_WEIGHTS = {"src0": 0.10, "src1": 0.08, "src2": 0.08, "src3": 0.08, "src4": 0
 MIX_SEED = 17
 #: Most documents that the language model is trained on.
 LANGID_SAMPLE = 1000
+TOKENIZER = "byte_bpe_50k.tiktoken"
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the vocabulary file lies; it is read on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.encode(docs, bpe.vocabulary(tokenizer_path())))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality_rules.filter_quality(docs)
@@ -70,6 +83,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_media": op3_media,
     "op4_pii": op4_pii,
