@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import blocks, prefix_hash, span_hash, text_column
 
 #: Bytes of text whose distinct words are folded together, and the longest word whose boundaries fit the fold's 64 bits.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 4 << 20
 LONG = 62
 
 
@@ -157,6 +157,13 @@ class Vocabulary:
 
     def candidates(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For words that lie end to end in data: rank * 256 + place of each piece in them, by rank and place; and counts by word."""
+        found, bounds = [], np.concatenate(([0], np.cumsum(sizes)))
+        for first in range(0, len(sizes), 20_000):  # some words at a time
+            last = min(first + 20_000, len(sizes))
+            found.append(self._candidates(data[bounds[first] : bounds[last]], sizes[first:last]))
+        return np.concatenate([f[0] for f in found] or [np.zeros(0, np.int32)]), np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
+
+    def _candidates(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum(sizes)
         h = prefix_hash(data)
         word = np.repeat(np.arange(len(sizes)), sizes)
@@ -173,7 +180,7 @@ class Vocabulary:
             x = at[hit]
             found.append((word[x].astype(np.uint64) << np.uint64(32)) | (r[hit].astype(np.uint64) << np.uint64(8)) | place[x].astype(np.uint64))
         found = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-        return (found & np.uint64(0xFFFFFFFF)).astype(np.int64), np.bincount((found >> np.uint64(32)).astype(np.int64), minlength=len(sizes))
+        return (found & np.uint64(0xFFFFFFFF)).astype(np.int32), np.bincount((found >> np.uint64(32)).astype(np.int64), minlength=len(sizes))
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -208,7 +215,7 @@ def folded(full: Column, candidates: Column, ends: Column, inner: Column) -> Col
     """
 
     def step(bits: Column, c: Column) -> Column:
-        rank, place = F.shiftright(c, 8), c.bitwiseAND(F.lit(255)).cast("int")
+        rank, place = F.shiftright(c, 8), c.bitwiseAND(F.lit(255))
         inside = bits.bitwiseAND(F.call_function("shiftleft", inner[rank], place))
         edges = bits.bitwiseAND(F.call_function("shiftleft", ends[rank], place))
         return F.when((F.bit_count(inside) == 1) & (F.bit_count(edges) == 2), bits.bitwiseXOR(inside)).otherwise(bits)
@@ -238,7 +245,7 @@ def encode(docs: DataFrame, voc: Vocabulary, key: str = "doc_id", text: str = "t
     def group(held, keys):
         starts, sizes, hashes, counts, bufs, at = [], [], [], [], [], 0
         for column in held:
-            for _, buf, offsets in blocks(column, 2 << 20):
+            for _, buf, offsets in blocks(column):
                 s = piece_starts(buf, offsets)
                 e = np.append(s[1:], len(buf))
                 hashes.append(span_hash(prefix_hash(buf), s, e))
@@ -332,7 +339,7 @@ def encode(docs: DataFrame, voc: Vocabulary, key: str = "doc_id", text: str = "t
                     first = last
 
     blobs = ", ".join(f"{c} binary" for c in _GROUP)
-    grouped = src.mapInArrow(split, f"keys array<{key_type}>, {blobs}, full array<bigint>, candidates array<array<bigint>>")
+    grouped = src.mapInArrow(split, f"keys array<{key_type}>, {blobs}, full array<bigint>, candidates array<array<int>>")
     short = np.where(voc.lengths <= LONG, voc.lengths, 1)
     ends, inner = _literal(spark, (np.int64(1) << short) | 1), _literal(spark, ((np.int64(1) << short) - 1) & ~np.int64(1))
     masks = grouped.select("keys", *_GROUP, folded(F.col("full"), F.col("candidates"), ends, inner).alias("masks"))
