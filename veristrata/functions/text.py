@@ -105,10 +105,10 @@ def matches(text: str, pattern: str, group: int = 0) -> Column:
     value = f"regexp_extract_all({q}, '{p}', {group})"
     return F.expr(
         f"""aggregate(
-          arrays_zip({whole} AS w, {value} AS v, slice(split({q}, '{p}'), 1, greatest(size({whole}), 0)) AS gap),
+          arrays_zip({whole}, {value}, slice(split({q}, '{p}'), 1, size({whole}))),
           named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,end:int,text:string,value:string>>)),
-          (a, x) -> named_struct('at', a.at + length(x.gap) + length(x.w), 'out',
-             concat(a.out, array(named_struct('start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.w), 'text', x.w, 'value', x.v)))),
+          (a, x) -> named_struct('at', a.at + length(x.`2`) + length(x.`0`), 'out',
+             concat(a.out, array(named_struct('start', a.at + length(x.`2`), 'end', a.at + length(x.`2`) + length(x.`0`), 'text', x.`0`, 'value', x.`1`)))),
           a -> a.out)"""
     )
 

@@ -1,4 +1,515 @@
-"""All queries of the engine by name, and the SQL that they are held against."""
+"""All queries of the engine by name, and the SQL (DuckDB) that they are held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import extract as ex
+from ..functions import text as tx
+from ..operators import detect, fuzzy, guard, index, ledger
+from ..sources import views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+SINCE = 1704067200
+NOW = 1735689600
+TODAY = "2024-12-01"
+
+
+def query(sql: str | None = None):
+    """Register the function below as a query; sql names views as v_<name>, which become a WITH clause."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            used, todo = [], [sql]
+            while todo:
+                for v in re.findall(r"\bv_\w+", todo.pop()):
+                    if v in DUCK and v not in used:
+                        used.append(v)
+                        todo.append(DUCK[v])
+            order = [v for v in DUCK if v in used]
+            body = sql.strip()
+            ctes = ", ".join(f"{v} AS ({DUCK[v]})" for v in order)
+            if not order:
+                ORACLES[f.__name__] = body
+            elif body.upper().startswith("WITH RECURSIVE "):
+                ORACLES[f.__name__] = f"WITH RECURSIVE {ctes}, {body[15:]}"
+            elif body.upper().startswith("WITH "):
+                ORACLES[f.__name__] = f"WITH {ctes}, {body[5:]}"
+            else:
+                ORACLES[f.__name__] = f"WITH {ctes} {body}"
+        return f
+
+    return register
+
+
+DUCK = dict(views.DUCK)
+DUCK["v_super"] = """SELECT c.*, CASE WHEN NOT verified THEN least(coalesce(min(CASE WHEN verified AND vet_ok IS NOT NULL THEN id END) OVER (PARTITION BY file_path ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 9223372036854775807),
+  coalesce(CASE WHEN vet_ok = false THEN min(CASE WHEN verified AND vet_ok IS NOT NULL THEN id END) OVER (ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) END, 9223372036854775807)) END AS sup0 FROM v_claims c"""
+DUCK["v_superseded"] = "SELECT * EXCLUDE (sup0), CASE WHEN sup0 < 9223372036854775807 THEN sup0 END AS superseded_by FROM v_super"
+DUCK["v_linked"] = "SELECT *, lead(id) OVER (PARTITION BY author, topic ORDER BY recorded_at, id) AS superseded_by FROM v_decisions"
+DUCK["v_changes"] = """SELECT o_orderkey AS id, o_orderpriority AS topic, CAST(epoch(o_orderdate) AS BIGINT) AS recorded_at, CASE WHEN o_orderstatus = 'O' THEN 'domain' WHEN o_orderstatus = 'F' THEN 'toolkit' END AS scope, files, o_custkey % 5 = 0 AS trivial
+  FROM orders LEFT JOIN (SELECT l_orderkey, list('src/p'||(l_partkey % 40)||'.md' ORDER BY l_linenumber) AS files FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('O','F')"""
+
+
+def claims(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.supersede_claims(views.claims(spark, d))
+
+
+# ---------------------------------------------------------------- symbols and files
+
+
+@query("SELECT id, file_path, name, qualified_name, kind FROM v_symbols WHERE name = (SELECT min(p_name) FROM part WHERE p_partkey = 7) ORDER BY file_path, start_line, id LIMIT 1000")
+def find_symbol_by_name(spark, d):
+    s = views.symbols(spark, d)
+    name = s.where("id = 7").select("name").first()[0]
+    return index.find_symbols_by_name(s, name).select("id", "file_path", "name", "qualified_name", "kind")
+
+
+@query("SELECT id, file_path, name, qualified_name FROM v_symbols WHERE contains(lower(qualified_name), 'a') OR contains(lower(name), 'a') ORDER BY name, file_path, start_line, id LIMIT 1000")
+def find_symbol_substring(spark, d):
+    return index.find_symbols_by_query(views.symbols(spark, d), "A").select("id", "file_path", "name", "qualified_name")
+
+
+@query("SELECT id, name, kind FROM (SELECT * FROM v_symbols WHERE contains(lower(name), 'a') OR contains(lower(qualified_name), 'a') ORDER BY name, file_path, start_line, id LIMIT 200) WHERE exported LIMIT 500")
+def find_symbol_limit_then_filter(spark, d):
+    s = index.find_symbols_by_query(views.symbols(spark, d), "a", 200)
+    return index._matching(s, None, exported=True).limit(500).select("id", "name", "kind")
+
+
+@query("SELECT id, name, false AS exists FROM v_symbols WHERE contains(lower(qualified_name), 'brand#1') OR contains(lower(name), 'brand#1') ORDER BY name, file_path, start_line, id LIMIT 5")
+def verify_symbol_suggest(spark, d):
+    return index.verify_symbol(views.symbols(spark, d), "Brand#1").select("id", "name", "exists")
+
+
+@query("SELECT id, qualified_name FROM v_symbols WHERE qualified_name = (SELECT qualified_name FROM v_symbols WHERE id = 11) AND name = (SELECT name FROM v_symbols WHERE id = 11)")
+def verify_qualified_symbol(spark, d):
+    s = views.symbols(spark, d)
+    name, q = s.where("id = 11").select("name", "qualified_name").first()
+    return index.find_symbols_by_name(s, name).where(F.col("qualified_name") == q).select("id", "qualified_name")
+
+
+@query("SELECT * FROM v_files WHERE path = 'src1/en/1.md'")
+def get_file(spark, d):
+    return index.get_file(views.files(spark, d), "src1/en/1.md")
+
+
+@query("SELECT path, language, size_bytes FROM v_files WHERE regexp_full_match(path, 'src1.*/.*[0-4].md') AND language = 'en' ORDER BY path LIMIT 1000")
+def list_files_glob_lang(spark, d):
+    return index.list_files(views.files(spark, d), "src1*/*[0-4].md", "en", 1000)
+
+
+@query(f"SELECT path, language, size_bytes, indexed_at FROM v_files WHERE indexed_at >= {SINCE} + 600 ORDER BY indexed_at DESC, path LIMIT 50")
+def recent_changes(spark, d):
+    return index.recent_changes(views.files(spark, d), SINCE + 600)
+
+
+@query("SELECT file_path, count(*) AS n_symbols FROM v_symbols GROUP BY 1")
+def symbol_counts_by_file(spark, d):
+    return index.symbol_counts_by_file(views.symbols(spark, d))
+
+
+FILE_SYMBOLS = "SELECT * REPLACE ('src'||(id % 20)||'/en/'||id||'.md' AS file_path) FROM v_symbols"
+DUCK["v_filesym"] = FILE_SYMBOLS
+
+
+def file_symbols(spark, d):
+    """Symbols on paths that documents have, for joins."""
+    return views.symbols(spark, d).withColumn("file_path", F.concat(F.lit("src"), F.col("id") % 20, F.lit("/en/"), F.col("id"), F.lit(".md")))
+
+
+@query("SELECT language, count(*) AS n_files, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_symbols, max(indexed_at) AS last_indexed FROM v_files LEFT JOIN (SELECT file_path, count(*) AS n FROM v_filesym GROUP BY 1) ON path = file_path GROUP BY 1")
+def doctor_language_counts(spark, d):
+    return index.language_counts(views.files(spark, d), file_symbols(spark, d))
+
+
+@query("SELECT path, language, size_bytes FROM v_files WHERE size_bytes > 512 AND language NOT IN ('bash','nix') AND path NOT IN (SELECT file_path FROM v_filesym)")
+def doctor_empty_files(spark, d):
+    return index.empty_files(views.files(spark, d), file_symbols(spark, d))
+
+
+@query("SELECT (SELECT count(*) FROM v_files) AS n_files, (SELECT count(*) FROM v_filesym) AS n_symbols, (SELECT count(*) FROM v_decisions) AS n_decisions, (SELECT count(*) FROM v_superseded WHERE NOT verified AND superseded_by IS NULL) AS n_unverified")
+def doctor_ledger_counts(spark, d):
+    parts = [views.files(spark, d).agg(F.count("*").alias("n_files")), file_symbols(spark, d).agg(F.count("*").alias("n_symbols")), views.decisions(spark, d).agg(F.count("*").alias("n_decisions")), claims(spark, d).where("NOT verified AND superseded_by IS NULL").agg(F.count("*").alias("n_unverified"))]
+    out = parts[0].withColumn("one", F.lit(1))
+    for p in parts[1:]:
+        out = out.join(p.withColumn("one", F.lit(1)), "one")
+    return out.drop("one")
+
+
+# ---------------------------------------------------------------- index maintenance
+
+
+def delta(spark, d):
+    return views.files(spark, d).where("size_bytes % 3 = 0").withColumns({"hash": F.sha2("path", 256), "indexed_at": F.col("indexed_at") + 5}).unionByName(views.files(spark, d).limit(0))
+
+
+DUCK["v_delta"] = "SELECT path, sha256(path) AS hash, language, size_bytes, indexed_at + 5 AS indexed_at FROM v_files WHERE size_bytes % 3 = 0"
+
+
+@query("SELECT * FROM v_files WHERE size_bytes % 3 <> 0 UNION ALL SELECT * FROM v_delta")
+def upsert_files(spark, d):
+    return index.upsert_files(views.files(spark, d), delta(spark, d)).select("path", "hash", "language", "size_bytes", "indexed_at")
+
+
+@query("SELECT id, file_path, name FROM v_filesym WHERE file_path NOT IN (SELECT path FROM v_delta) UNION ALL SELECT id + 1000000, file_path, upper(name) FROM v_filesym WHERE file_path IN (SELECT path FROM v_delta)")
+def replace_symbols(spark, d):
+    s, paths = file_symbols(spark, d), delta(spark, d).select("path")
+    fresh = s.join(paths, s.file_path == paths.path, "left_semi").withColumns({"id": F.col("id") + 1000000, "name": F.upper("name")})
+    return index.replace_symbols(s, fresh, paths).select("id", "file_path", "name")
+
+
+@query("SELECT id, file_path, name FROM v_filesym WHERE file_path NOT IN (SELECT path FROM v_files WHERE language <> 'en' OR size_bytes % 2 = 0)")
+def delete_files_symbols(spark, d):
+    f = views.files(spark, d)
+    return index.delete_files(f, file_symbols(spark, d), f.where("language <> 'en' OR size_bytes % 2 = 0"))[1].select("id", "file_path", "name")
+
+
+@query("SELECT path FROM v_files WHERE size_bytes % 5 <> 0 AND language <> 'fr'")
+def prune_files(spark, d):
+    f = views.files(spark, d)
+    return index.prune(f, f.where("size_bytes % 5 <> 0"), ("fr",)).select("path")
+
+
+@query("SELECT d.path, d.hash FROM v_delta d LEFT JOIN v_files f ON f.path = d.path AND f.hash = d.hash WHERE f.path IS NULL")
+def hash_skip(spark, d):
+    f = views.files(spark, d)
+    return index.changed(delta(spark, d).unionByName(f.where("size_bytes % 3 = 1")), f).select("path", "hash")
+
+
+# ---------------------------------------------------------------- claims
+
+
+@query("SELECT id, superseded_by FROM v_superseded WHERE superseded_by IS NOT NULL")
+def claim_supersession(spark, d):
+    return claims(spark, d).where("superseded_by IS NOT NULL").select("id", "superseded_by")
+
+
+@query("SELECT id, session_id, claim, file_path, recorded_at FROM v_superseded WHERE NOT verified AND superseded_by IS NULL ORDER BY recorded_at DESC, id DESC LIMIT 1000")
+def unverified_claims(spark, d):
+    return ledger.unverified(claims(spark, d)).select("id", "session_id", "claim", "file_path", "recorded_at")
+
+
+@query("SELECT id, session_id, claim, recorded_at FROM v_superseded WHERE NOT verified ORDER BY recorded_at DESC, id DESC LIMIT 1000")
+def unverified_claims_all(spark, d):
+    return ledger.unverified(claims(spark, d), all_rows=True).select("id", "session_id", "claim", "recorded_at")
+
+
+@query("""WITH t AS (SELECT *, strlen(claim) + coalesce(strlen(file_path), 0) + 64 AS n FROM v_superseded WHERE NOT verified AND superseded_by IS NULL ORDER BY recorded_at DESC, id DESC LIMIT 200),
+  s AS (SELECT *, sum(n) OVER (ORDER BY recorded_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS c, row_number() OVER (ORDER BY recorded_at DESC, id DESC) AS rn FROM t)
+  SELECT id, claim, CASE WHEN tool IS NULL THEN 'operator' ELSE 'auto' END AS source FROM s WHERE rn = 1 OR c <= 8000""")
+def unverified_claims_budget(spark, d):
+    return ledger.unverified_listing(claims(spark, d), 200, 8000).select("id", "claim", "source")
+
+
+@query("SELECT id, claim, evidence, verified FROM v_claims WHERE id = 42")
+def get_claim(spark, d):
+    return views.claims(spark, d).where("id = 42").select("id", "claim", "evidence", "verified")
+
+
+@query(f"SELECT id, recorded_at, ttl FROM v_superseded WHERE verified AND ttl IS NOT NULL AND superseded_by IS NULL AND coalesce(last_checked, recorded_at) + ttl < {NOW} ORDER BY recorded_at DESC, id DESC LIMIT 1000")
+def stale_claims(spark, d):
+    return ledger.stale(claims(spark, d), NOW).select("id", "recorded_at", "ttl")
+
+
+@query("SELECT id, CASE WHEN id % 7 = 0 THEN 1735689600 ELSE last_checked END AS last_checked FROM v_claims")
+def touch_claims(spark, d):
+    c = views.claims(spark, d)
+    return ledger.touch(c, c.where("id % 7 = 0").select("id"), NOW).select("id", "last_checked")
+
+
+@query("SELECT id, verified OR id = 42 AS verified, CASE WHEN id = 42 THEN evidence||chr(10)||chr(10)||'manually resolved by operator: seen' ELSE evidence END AS evidence FROM v_claims")
+def resolve_claims(spark, d):
+    return ledger.resolve(views.claims(spark, d), 42, " seen ").select("id", "verified", "evidence")
+
+
+@query("SELECT id, tool FROM v_superseded WHERE NOT coalesce(tool <> '' AND superseded_by IS NOT NULL AND recorded_at < 1735689600, false)")
+def purge_claims(spark, d):
+    return ledger.purge(claims(spark, d), NOW).select("id", "tool")
+
+
+@query("SELECT session_id, count(*) FILTER (vet_ok = false) AS n_failed, count(*) FILTER (vet_ok IS NULL) AS n_unverified, count(DISTINCT file_path) AS n_files FROM v_superseded WHERE NOT verified GROUP BY 1")
+def session_stop_summary(spark, d):
+    return ledger.session_summary(claims(spark, d))
+
+
+# ---------------------------------------------------------------- decisions
+
+
+@query(f"SELECT id, topic, choice, recorded_at FROM v_decisions WHERE topic = (SELECT min(topic) FROM v_decisions) ORDER BY recorded_at DESC, id DESC LIMIT 200")
+def get_decisions(spark, d):
+    rows = views.decisions(spark, d)
+    topic = rows.agg(F.min("topic")).first()[0]
+    return ledger.decisions(rows, topic, limit=200).select("id", "topic", "choice", "recorded_at")
+
+
+@query("""WITH t AS (SELECT *, strlen(reasoning) + strlen(topic) + strlen(choice) AS n FROM v_decisions ORDER BY recorded_at DESC, id DESC LIMIT 200),
+  s AS (SELECT *, sum(n) OVER (ORDER BY recorded_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS c, row_number() OVER (ORDER BY recorded_at DESC, id DESC) AS rn FROM t) SELECT id, reasoning FROM s WHERE rn = 1 OR c <= 2000""")
+def get_decisions_byte_budget(spark, d):
+    rows = ledger.decisions(views.decisions(spark, d), limit=200)
+    size = F.octet_length("reasoning") + F.octet_length("topic") + F.octet_length("choice")
+    return ledger.within_bytes(rows, size, [F.desc("recorded_at"), F.desc("id")], 2000).select("id", "reasoning")
+
+
+@query("""WITH t AS (SELECT id, topic, recorded_at FROM v_decisions ORDER BY recorded_at DESC, id DESC LIMIT 200), have AS (SELECT 'p'||p_partkey AS ref FROM part WHERE p_partkey % 3 <> 0)
+  SELECT t.id, topic, recorded_at, string_agg(r.ref, ',' ORDER BY pos, r.ref) AS missing, count(*) AS n_missing FROM t JOIN v_refs r ON r.id = t.id WHERE r.ref NOT IN (SELECT ref FROM have) GROUP BY ALL""")
+def stale_decisions(spark, d):
+    have = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 3 <> 0").selectExpr("concat('p', p_partkey) AS ref")
+    return ledger.stale_decisions(views.decisions(spark, d), views.decision_refs(spark, d), have, 200)
+
+
+@query("SELECT id, topic, superseded_by FROM v_linked WHERE superseded_by IS NOT NULL")
+def supersede_decisions(spark, d):
+    return ledger.link_superseded(views.decisions(spark, d), ["author", "topic"]).where("superseded_by IS NOT NULL").select("id", "topic", "superseded_by")
+
+
+@query("""WITH RECURSIVE c AS (SELECT id, id AS head, superseded_by AS nxt, 0 AS depth FROM v_linked UNION ALL SELECT c.id, l.id, l.superseded_by, depth + 1 FROM c JOIN v_linked l ON l.id = c.nxt)
+  SELECT id, head, depth FROM c WHERE nxt IS NULL""")
+def supersession_chain_head(spark, d):
+    return ledger.chain_heads(ledger.link_superseded(views.decisions(spark, d), ["author", "topic"]))
+
+
+def changes(spark, d):
+    files = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", F.expr("concat('src/p', l_partkey % 40, '.md')").alias("f")))), lambda x: x["f"]).alias("files"))
+    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus IN ('O', 'F')")
+    o = o.join(files, o.o_orderkey == files.l_orderkey, "left")
+    return o.selectExpr("o_orderkey AS id", "o_orderpriority AS topic", "unix_seconds(cast(o_orderdate AS timestamp)) AS recorded_at", "named_struct('scope', CASE WHEN o_orderstatus = 'O' THEN 'domain' ELSE 'toolkit' END, 'files', files, 'trivial', o_custkey % 5 = 0) AS truth_change")
+
+
+@query("SELECT id, topic, recorded_at FROM v_changes WHERE scope = 'domain' ORDER BY recorded_at, id LIMIT 200")
+def truth_changes(spark, d):
+    return ledger.truth_changes(changes(spark, d), "domain").select("id", "topic", "recorded_at")
+
+
+@query("SELECT id, topic, recorded_at FROM v_changes WHERE list_contains(files, 'src/p7.md') ORDER BY recorded_at, id LIMIT 200")
+def truth_history(spark, d):
+    return ledger.truth_history(changes(spark, d), "src/p7.md").select("id", "topic", "recorded_at")
+
+
+@query("SELECT scope, count(*) AS n, count(*) FILTER (trivial) AS n_trivial FROM v_changes GROUP BY 1")
+def truth_story(spark, d):
+    return changes(spark, d).groupBy(F.col("truth_change.scope").alias("scope")).agg(F.count("*").alias("n"), F.count_if("truth_change.trivial").alias("n_trivial"))
+
+
+# ---------------------------------------------------------------- detection
+
+
+def _pattern_query(name: str, category: str, pattern: str):
+    sql = f"SELECT id, m AS text FROM (SELECT id, unnest(regexp_extract_all(text, '{pattern}', 0)) AS m FROM v_prose)"
+
+    def run(spark, d):
+        p = views.prose(spark, d)
+        found = p.select("id", F.explode(detect.pattern_spans("text")).alias("s")).where(F.col("s.category") == category)
+        return found.select("id", "s.text")
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+for _category, _pattern, _ in detect.PATTERNS:
+    _pattern_query(f"detect_patterns_{_category}", _category, _pattern)
+
+
+@query("""SELECT id, category, verdict, path FROM (
+  SELECT id, 'personal_action' AS category, CASE WHEN f.path IS NULL THEN 'unverified' ELSE 'verified' END AS verdict, f.path FROM (SELECT id, lower(regexp_extract(text, 'I shipped ([A-Za-z0-9]+)', 1)) AS v FROM v_prose) p LEFT JOIN (SELECT lower(svalue) AS v, min(path) AS path FROM v_facts GROUP BY 1) f USING (v)
+  UNION ALL SELECT id, 'quantitative', CASE WHEN f.path IS NULL THEN 'unverified' ELSE 'verified' END, f.path FROM (SELECT id, replace(regexp_extract(text, '([0-9]+,000) users', 1), ',', '') AS v FROM v_prose) p LEFT JOIN (SELECT lower(svalue) AS v, min(path) AS path FROM v_facts GROUP BY 1) f USING (v)
+  UNION ALL SELECT id, 'opinion', 'opinion', NULL FROM v_prose)""")
+def detect_verdicts(spark, d):
+    return detect.detect(views.prose(spark, d), views.facts(spark, d)).select("id", "category", "verdict", "path")
+
+
+@query("""WITH n AS (SELECT p.id, replace(regexp_extract(p.text, '([0-9]+,000) users', 1), ',', '')::DOUBLE AS v FROM v_prose p),
+  f AS (SELECT path, nvalue FROM v_facts WHERE nvalue IS NOT NULL AND NOT (nvalue BETWEEN 1900 AND 2100 AND nvalue = floor(nvalue)))
+  SELECT n.id, v AS value, min(f.path) AS path FROM n JOIN f ON abs(floor(log10(v)) - floor(log10(nvalue))) <= 1 AND contains(f.path, 'users') WHERE v NOT IN (SELECT nvalue FROM f) AND NOT (v BETWEEN 1900 AND 2100) GROUP BY ALL""")
+def detect_contradiction(spark, d):
+    return detect.contradictions(views.prose(spark, d), views.facts(spark, d)).select("id", "value", "path")
+
+
+@query("SELECT 3 * count(*) AS total, count(*) AS opinion, CAST(0 AS BIGINT) AS forbidden FROM v_prose")
+def detect_summary(spark, d):
+    s = detect.summary(detect.detect(views.prose(spark, d), views.facts(spark, d)))
+    return s.agg(F.sum("total").alias("total"), F.sum("opinion").alias("opinion"), F.sum("forbidden").alias("forbidden"))
+
+
+@query("SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS exit_code FROM v_prose")
+def severity_exit_code(spark, d):
+    return detect.severity(detect.summary(detect.detect(views.prose(spark, d), views.facts(spark, d))))
+
+
+@query()
+def detect_all(spark, d):
+    """Spans of every stage with overlaps resolved; its parts have oracles of their own, golden tests hold the whole."""
+    prose, facts = views.prose(spark, d), views.facts(spark, d)
+    rules = spark.createDataFrame([(1, "and I prefer")], "ord int, text string")
+    return detect.detect(prose, facts, detect.forbidden_exact(prose, rules), detect.contradictions(prose, facts))
+
+
+@query("SELECT doc_id, ord FROM (SELECT doc_id, text AS t FROM documents) JOIN v_rules r ON contains(lower(t), lower(r.text)) AND regexp_matches(lower(t), '(^|[^a-z0-9_])'||regexp_escape(lower(r.text))||'($|[^a-z0-9_])')")
+def forbidden_exact(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id"), "text")
+    return detect.forbidden_exact(docs, views.rules(spark, d), "doc_id").select("doc_id", "ord").distinct()
+
+
+@query()
+def forbidden_fuzzy(spark, d):
+    """Fuzzy hits of the rules' first five words in prose; held against a plain scan in the tests."""
+    rules = spark.createDataFrame([(1, "I shiped Brand11"), (2, "and I preffer"), (3, "users since 2010")], "ord int, text string")
+    return fuzzy.forbidden_fuzzy(views.prose(spark, d), rules, 1)
+
+
+@query("SELECT count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND y) AS fn, count(*) FILTER (NOT p AND NOT y) AS tn, count(*) FILTER (p AND y) / count(*) FILTER (p) AS precision, count(*) FILTER (p AND y) / count(*) FILTER (y) AS recall FROM (SELECT contains(text, '!!') OR contains(text, '%%%') AS p, quality = 0 AS y FROM labels JOIN documents USING (doc_id))")
+def detector_quality(spark, d):
+    rows = spark.read.parquet(f"{d}/labels.parquet").join(spark.read.parquet(f"{d}/documents.parquet"), "doc_id")
+    return detect.quality(rows.selectExpr("contains(text, '!!') OR contains(text, '%%%') AS p", "quality = 0 AS y"), "p", "y")
+
+
+@query("SELECT conv_id, turn, trim(s) AS sentence FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[.!?\\n]')) AS s FROM conversations) WHERE trim(s) <> ''")
+def sentence_split(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    return c.select("conv_id", "turn", F.explode(tx.sentences("text")).alias("s")).select("conv_id", "turn", F.trim("s.text").alias("sentence"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS uncovered WHERE false")
+def uncovered_sentences(spark, d):
+    """Sentences that no claim overlaps: none in prose, whose one sentence has claims."""
+    prose = views.prose(spark, d)
+    s = prose.select("id", F.explode(tx.sentences("text")).alias("s"))
+    c = detect.detect(prose, views.facts(spark, d)).select(F.col("id").alias("cid"), "start", "end")
+    left = s.join(c, (s.id == c.cid) & (F.col("s.start") < c.end) & (F.col("s.end") > c.start), "left_anti")
+    return left.select(F.col("id").cast("long").alias("uncovered"))
+
+
+# ---------------------------------------------------------------- facts
+
+
+@query("SELECT path, svalue FROM v_facts WHERE NOT (path = 'tech.secondary' OR starts_with(path, 'tech.secondary.'))")
+def facts_private_filter(spark, d):
+    return detect.visible_facts(views.facts(spark, d)).select("path", "svalue")
+
+
+@query("SELECT path, svalue FROM v_facts WHERE starts_with(path, 'regions.')")
+def facts_category(spark, d):
+    return detect.visible_facts(views.facts(spark, d), "regions").select("path", "svalue")
+
+
+@query(f"SELECT path, svalue FROM v_facts WHERE path LIKE '%.last_verified' AND (TRY_CAST(svalue AS DATE) IS NULL OR CAST(svalue AS DATE) < DATE '{TODAY}' - 180)")
+def facts_stale(spark, d):
+    return detect.stale_facts(views.facts(spark, d), TODAY)
+
+
+@query("SELECT split_part(path, '.', 1) AS category, vtype, count(*) AS n FROM (SELECT regexp_replace(path, '\\[.*$', '') AS path, vtype FROM v_facts) GROUP BY ALL")
+def facts_stats(spark, d):
+    return views.facts(spark, d).select(F.split(F.regexp_replace("path", r"\[.*$", ""), r"\.")[0].alias("category"), "vtype").groupBy("category", "vtype").agg(F.count("*").alias("n"))
+
+
+@query("SELECT f.path, d.doc_id, len(string_split(lower(d.text), lower(f.svalue))) - 1 AS hits FROM documents d JOIN v_facts f ON length(f.svalue) >= 3 AND contains(lower(d.text), lower(f.svalue)) WHERE regexp_matches(lower(d.text), '(^|[^a-z0-9_])'||lower(f.svalue)||'($|[^a-z0-9_])') AND f.path = 'product.active' OR false")
+def facts_impact(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return detect.facts_impact(docs, views.facts(spark, d).where("path = 'product.active'")).select("path", "doc_id", "hits")
+
+
+# ---------------------------------------------------------------- guards
+
+PATH_FILTERS = [("language", "^src1[0-9]*/([a-z]+)/", ["FR", "de"]), ("hot", "^src0/", [])]
+POLICY = [("src0/en/0.md", "domain", "skip"), ("src1/", "domain", "require"), ("fr/1", "toolkit", "warn")]
+
+
+@query("SELECT path, CASE WHEN regexp_matches(path, '^src1[0-9]*/([a-z]+)/') AND lower(regexp_extract(path, '^src1[0-9]*/([a-z]+)/', 1)) IN ('fr','de') THEN 'language' WHEN regexp_matches(path, '^src0/') THEN 'hot' END AS reason FROM v_files")
+def path_filter_verdict(spark, d):
+    return views.files(spark, d).select("path", guard.path_filter(F.col("path"), PATH_FILTERS).alias("reason"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, 'utm_[a-z]+=') AND NOT contains(lower(url), 'sponsored') THEN 'tracking' END AS reason FROM pages")
+def content_filter_verdict(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", guard.content_filter(F.col("url"), [("tracking", "utm_[a-z]+=", "Sponsored")]).alias("reason"))
+
+
+@query("SELECT path, CASE WHEN contains(path, 'src0/en/0.md') THEN 'domain' WHEN starts_with(path, 'src1/') THEN 'domain' WHEN contains(path, 'fr/1') THEN 'toolkit' END AS scope, CASE WHEN contains(path, 'src0/en/0.md') THEN 'skip' WHEN starts_with(path, 'src1/') THEN 'require' WHEN contains(path, 'fr/1') THEN 'warn' END AS tier FROM v_files")
+def tier_classify(spark, d):
+    return views.files(spark, d).select("path", guard.tier(F.col("path"), POLICY).alias("t")).select("path", "t.scope", "t.tier")
+
+
+@query("SELECT session_id, coalesce(min_by(v, id) FILTER (v <> 'pass'), 'pass') AS verdict FROM (SELECT session_id, id, CASE claim WHEN 'error' THEN 'deny' WHEN 'view' THEN 'deny' ELSE 'pass' END AS v FROM v_claims) GROUP BY 1")
+def verdict_fold(spark, d):
+    v = F.when(F.col("claim") == "error", "deny").when(F.col("claim") == "view", "ask").otherwise("pass")
+    return ledger.verdict_fold(views.claims(spark, d).select("session_id", "id", v.alias("v")), "session_id", "id", "v")
+
+
+@query("SELECT path, (starts_with(path, 'src0/') OR regexp_full_match(path, '(.*/)?en/[^/]*1\\.md')) AS exempt FROM v_files")
+def exemptions(spark, d):
+    return views.files(spark, d).select("path", guard.exempt(F.col("path"), "src0", ["**/en/*1.md"]).alias("exempt"))
+
+
+@query("SELECT id, 'lib.'||replace(replace(name, ' ', '_'), '#', '') AS missing FROM v_symbols WHERE NOT contains(name, 'bolt')")
+def fabricated_refs(spark, d):
+    s = views.symbols(spark, d).withColumn("name", F.translate("name", " #", "_"))
+    snippets = s.select("id", F.concat(F.lit('import lib "own/lib"\nfunc f() { lib.'), F.col("name"), F.lit('() // other.Name\n x := "fake.Ref" }')).alias("text"))
+    imports = snippets.select("id", F.lit("lib").alias("alias"), F.lit("own/lib").alias("path"), F.lit(0).alias("priority"))
+    return guard.fabricated_references(snippets, imports, s.where("contains(name, 'bolt')"), "own/")
+
+
+# ---------------------------------------------------------------- text functions and extraction
+
+
+@query("SELECT doc_id, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size_bytes FROM documents")
+def content_hash(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("long").alias("size_bytes"))
+
+
+@query("SELECT path, replace(regexp_replace(path, '\\.[^./]*$', ''), '/', '.') AS qualifier FROM v_files")
+def module_qualifier(spark, d):
+    return views.files(spark, d).select("path", tx.module_qualifier(F.col("path")).alias("qualifier"))
+
+
+@query("SELECT doc_id, CAST(1 + length(text) - length(replace(text, chr(10), '')) AS INTEGER) AS line FROM documents")
+def line_of_end(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", tx.line_of(F.col("text"), F.octet_length("text")).cast("int").alias("line"))
+
+
+@query("SELECT a.id, levenshtein(a.name, b.name) AS dist FROM v_symbols a JOIN v_symbols b ON b.id = a.id + 1")
+def edit_distance_pairs(spark, d):
+    s = views.symbols(spark, d).select("id", "name")
+    n = s.select((F.col("id") - 1).alias("id"), F.col("name").alias("other"))
+    return s.join(n, "id").select("id", F.levenshtein(tx.byte_view(F.col("name")), tx.byte_view(F.col("other"))).cast("long").alias("dist"))
+
+
+@query("SELECT page_id, (length(html) - length(replace(html, '<script', ''))) // 7 AS n_blocks FROM pages")
+def script_blocks(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    bare = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
+    return p.select("page_id", F.size(F.regexp_extract_all(bare, F.lit(r"(?is)(<script\b[^>]*(?<!/)>.*?</script\s*>)"), 1)).cast("long").alias("n_blocks"))
+
+
+@query()
+def python_symbols(spark, d):
+    """Symbols of generated Python sources; the extractors' own tests hold what they find."""
+    src = views.symbols(spark, d).selectExpr("concat('pkg/m', id, '.py') AS path", "'python' AS language", "concat('class C', id, ':\\n    def run(self): pass\\nLIMIT = ', start_line, '\\n') AS text")
+    return ex.extract(src)
+
+
+@query()
+def manifest_deps(spark, d):
+    src = views.symbols(spark, d).selectExpr("concat('a', id, '/package.json') AS path", "'package.json' AS language", "concat('{\"dependencies\": {\"lib', id, '\": \"^1.', start_line, '\"}}') AS text")
+    return ex.extract(src)
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query("SELECT session_id, count(*) FILTER (vet_ok = false) AS n_failed, count(*) FILTER (NOT verified) AS n_unverified, count(*) AS n_events FROM v_claims GROUP BY 1")
+def session_state_stream(spark, d):
+    """The stream's totals over all that is there equal the batch's."""
+    import uuid
+
+    from ..streaming import events as st
+
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    raw = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    rows = raw.selectExpr("cast(user_id AS string) AS session_id", "cast(ts AS timestamp) AS ts", "event_type NOT IN ('error', 'view') AS verified", "CASE event_type WHEN 'purchase' THEN true WHEN 'error' THEN false END AS vet_ok")
+    return st.run_available(st.session_totals(rows), "s" + uuid.uuid4().hex, "complete")

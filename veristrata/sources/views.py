@@ -68,9 +68,9 @@ FIXED_FACTS = """SELECT * FROM VALUES
 DUCK = {
     "v_files": "SELECT source||'/'||lang||'/'||doc_id||'.md' AS path, sha256(text) AS hash, lang AS language, CAST(strlen(text) AS BIGINT) AS size_bytes, 1704067200 + doc_id * 60 AS indexed_at FROM documents",
     "v_symbols": "SELECT p_partkey AS id, 'src'||(p_partkey % 20)||'/m'||(p_partkey % 50)||'.md' AS file_path, p_name AS name, p_brand||'.'||p_name AS qualified_name, p_type AS kind, p_size AS start_line, p_size + 3 AS end_line, p_retailprice > 1000 AS exported FROM part",
-    "v_decisions": "SELECT o_orderkey AS id, o_orderpriority AS topic, o_orderstatus AS choice, 'because '||o_custkey AS reasoning, CAST(epoch(o_orderdate) AS BIGINT) AS recorded_at, o_custkey AS author FROM orders",
+    "v_decisions": "SELECT o_orderkey AS id, o_orderpriority AS topic, o_orderstatus AS choice, 'because '||o_custkey AS reasoning, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS recorded_at, o_custkey AS author FROM orders",
     "v_refs": "SELECT l_orderkey AS id, l_linenumber AS pos, 'p'||l_partkey AS ref FROM lineitem",
-    "v_claims": "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS session_id, event_type AS claim, props AS evidence, event_type NOT IN ('error','view') AS verified, CAST(epoch(ts) AS BIGINT) AS recorded_at, 'src/f'||json_extract_string(props,'$.k')||'.py' AS file_path, CASE event_type WHEN 'purchase' THEN true WHEN 'error' THEN false END AS vet_ok, CASE WHEN CAST(json_extract_string(props,'$.k') AS BIGINT) % 3 = 0 THEN CAST(json_extract_string(props,'$.k') AS BIGINT) * 3600 END AS ttl, CASE WHEN event_type <> 'signup' THEN event_type END AS tool, CAST(NULL AS BIGINT) AS last_checked FROM events",
+    "v_claims": "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS session_id, event_type AS claim, props AS evidence, event_type NOT IN ('error','view') AS verified, CAST(floor(epoch(ts)) AS BIGINT) AS recorded_at, 'src/f'||json_extract_string(props,'$.k')||'.py' AS file_path, CASE event_type WHEN 'purchase' THEN true WHEN 'error' THEN false END AS vet_ok, CASE WHEN CAST(json_extract_string(props,'$.k') AS BIGINT) % 3 = 0 THEN CAST(json_extract_string(props,'$.k') AS BIGINT) * 3600 END AS ttl, CASE WHEN event_type <> 'signup' THEN event_type END AS tool, CAST(NULL AS BIGINT) AS last_checked FROM events",
     "v_rules": "SELECT CAST(item_id + 1 AS INTEGER) AS ord, 'c'||(item_id % 4) AS category, text FROM benchmark",
     "v_prose": "SELECT p_partkey AS id, 'I shipped '||replace(p_brand,'#','')||' to '||p_size||',000 users since 20'||lpad(CAST(p_size % 30 AS VARCHAR),2,'0')||' and I prefer '||p_type AS text FROM part",
     "v_facts": "SELECT * FROM (VALUES ('product.name','string','atlas',CAST(NULL AS DOUBLE)),('product.users','number','12000',12000.0),('product.brand','string','brand11',NULL),('tech.primary','string','go',NULL),('tech.secondary.note','string','hidden',NULL),('tech.secondary.sensitivity','string','private',NULL),('releases[0].shipped','date','2024-03-05',NULL),('releases[0].last_verified','date','2024-01-01',NULL),('releases[1].last_verified','date','2025-12-01',NULL),('releases[1].version','number','1',1.0),('limits.requests','number','95',95.0),('product.active','bool','true',NULL)) t(path, vtype, svalue, nvalue) UNION ALL SELECT 'regions.r'||n_regionkey||'.nations['||n_nationkey||']', 'string', lower(n_name), NULL FROM nation UNION ALL SELECT 'parts.users_'||p_partkey, 'number', CAST(p_size * 1000 AS VARCHAR), CAST(p_size * 1000 AS DOUBLE) FROM part WHERE p_partkey % 97 = 0",
