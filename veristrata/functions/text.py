@@ -7,6 +7,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = "A-Za-z0-9_"
 #: ASCII word boundaries; Java's \\b would also see letters beyond ASCII.
@@ -124,7 +125,7 @@ def sentences(text: str) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_path(path):
     """Forward slashes and NFC."""
     return path.map(lambda p: unicodedata.normalize("NFC", p.replace("\\", "/")) if p is not None else None)
