@@ -1,0 +1,235 @@
+"""Nulls, empty and very long texts, ties and repeated rows, empty tables, extra columns with clashing names."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from veristrata.llm import bpe, chat, common, graph, langid, media, mixing, neardup, pii, quality_model, quality_rules, shingles, urlfilter
+from veristrata.llm.queries import URL_RULES, tokenizer_path
+
+LONG = "alpha beta gamma " * 20000
+ODD = [(1, None, None), (2, "", "s"), (3, LONG, "s"), (3, LONG, "s"), (None, "a b@c.de 10.0.0.1 text of words", None), (5, "\n\n \t", "x"), (6, "日本語 テキスト", "x"), (7, "e" * 50000, "x")]
+KIND = "doc_id long, text string, source string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    extra = ["k", "t", "ids", "host", "id", "stats", "spans", "copy", "words", "n", "__t"]
+    return spark.createDataFrame(ODD, KIND).withColumns({c: F.lit(1) for c in extra})
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], KIND)
+
+
+def test_bpe(odd, none):
+    voc = bpe.vocabulary(tokenizer_path())
+    rows = bpe.encode(odd, voc).collect()
+    assert sorted(len(r.decoded) for r in rows) == sorted(len((x[1] or "").encode()) for x in ODD)
+    assert bpe.digests(bpe.encode(none, voc)).count() == 0
+    assert not voc.odd.any()
+
+
+def test_bpe_steps_equal_the_single_pass():
+    voc = bpe.vocabulary(tokenizer_path())
+    rng = random.Random(4)
+    for _ in range(2000):
+        w = "".join(rng.choice("theandingor sé") for _ in range(rng.randint(1, 30))).encode()
+        assert voc.merge(w) == voc.merge(w, len(voc.pieces))
+
+
+def test_pieces_equal_the_pattern():
+    import public_tokenizers
+
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "'", "s", "re", "'ll", " ", "  ", "\n", "\t", "1", "é", "日", "!", "##", "\u00a0", "t"]) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    for first, buf, offsets in common.blocks(pa.array(texts), 3000):
+        s = bpe.piece_starts(buf, offsets)
+        e, c, raw = np.append(s[1:], len(buf)), np.searchsorted(s, offsets), buf.tobytes()
+        for r in range(len(offsets) - 1):
+            assert [raw[s[k] : e[k]].decode() for k in range(c[r], c[r + 1])] == pattern.findall(texts[first + r])
+
+
+def test_quality_rules(odd, none):
+    rows = {(r.doc_id, r.n_words): r for r in quality_rules.filter_quality(odd).collect()}
+    assert rows[(1, 0)].base_failed and rows[(2, 0)].base_failed and not rows[(2, 0)].kept
+    assert rows[(3, 60000)].n_repeat_words == 60000 and rows[(3, 60000)].base_failed
+    assert quality_rules.filter_quality(none).count() == 0
+
+
+def test_quality_order_never_changes_the_verdict(spark):
+    docs = spark.createDataFrame([(i, " ".join(random.Random(i).choices(["the", "cat!", "RUNS", "###", "on"], k=40)), "s") for i in range(30)], KIND)
+    t = quality_rules.base_columns(docs)
+    names = list(quality_rules.RULES)
+    a = t.select("doc_id", quality_rules.cascade(names).alias("x")).collect()
+    assert sorted(a) == sorted(t.select("doc_id", quality_rules.cascade(names[::-1]).alias("x")).collect())
+
+
+def test_media(odd, none):
+    assert media.store(none).count() == 0
+    pages = media.documents_as_pages(odd)
+    items = media.media_items(media.interleave(pages, "doc_id", "html"), "doc_id")
+    got = media.resolve(items, media.describe(media.store(odd)))
+    assert got.count() == len(ODD) and got.where("payload_bytes IS NULL").count() == 0
+
+
+def test_media_order_and_captions():
+    html = '<p>one</p><figure><img src="a"><img src="b" alt="x"><figcaption>cap <b>t</b></figcaption></figure><script>no</script>two<img src="c" alt="alone"><p>three'
+    got = [(x["pos"], x["kind"], x["text"] or x["ref"], x["caption"]) for x in media.parse_html(html)]
+    assert got == [(0, "text", "one", None), (1, "media", "a", "cap t"), (2, "media", "b", "cap t"), (3, "text", "two", None), (4, "media", "c", "alone"), (5, "text", "three", None)]
+    assert media.parse_html(None) == [] and media.parse_html("<<<") != None  # noqa: E711
+    assert media.from_wav(media.to_wav(b"\x00\xffz")) == b"\x00\xffz"
+
+
+def test_pii(spark, odd, none):
+    found = pii.detect(odd, pii.train(odd)).collect()
+    assert sorted(len(r.spans) for r in found)[-1] == 2
+    assert pii.train(none) is None and pii.detect(none, None).count() == 0
+    out = pii.masked(odd, None)
+    assert out.columns == odd.columns and out.where("text LIKE '%<EMAIL>%<IP>%'").count() == 1
+
+
+def test_pii_is_linear():
+    for t in ("1" * 200000, "a" * 300000 + "@", "1 " * 100000, "+1" + "(" * 100000, "a@" * 50000):
+        pii.candidates(t)
+
+
+def test_url_filter(spark):
+    rows = [(1, None), (2, "nothing"), (3, "http://A.NET/x?y://"), (4, "https://www.Example.net/en/1.html"), (5, "http://example.net/en/1/"), (6, "http://m.a.org/q"), (7, "http://z.org/p"), (8, "http://b.com/x"), (8, "http://b.com/x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit(1), "rule": F.lit(2)})
+    edges = spark.createDataFrame([("http://z.org/p", "http://bad.net/"), ("http://b.com/x", "http://bad.net/2"), ("http://b.com/x", "http://example.net/en/9"), (None, "x")], "src string, dst string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages, URL_RULES, edges).collect()}
+    assert got[1] == ("", "", None, "allow") and got[2] == ("", "", None, "allow")
+    assert got[3] == ("a.net", "/x", "net/", "block") and got[4][2:] == ("example.net/en/", "allow") and got[5][3] == "allow"
+    assert got[7][2:] == (None, "block") and got[8][2:] == (None, "allow")
+    assert urlfilter.judge(pages, URL_RULES, edges).count() == len(rows)
+    assert urlfilter.judge(pages.where("false"), URL_RULES, edges.where("false")).count() == 0
+
+
+def test_html_links(spark):
+    html = "<head><LINK href='http://a/b' rel=canonical><meta http-equiv=\"refresh\" content=\"0; url=http://c/d\"><link rel=stylesheet href=http://no/>"
+    got = urlfilter.html_links(spark.createDataFrame([("http://x/", html), ("http://y/", None)], "url string, html string")).collect()
+    assert sorted(r.dst for r in got) == ["http://a/b", "http://c/d"]
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 260)] + [(7, 7), (None, 3)]
+    root = {x: x for e in edges for x in e if None not in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert graph.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_mixing(spark, odd, none):
+    out = mixing.mix(odd, {"s": 3.0, "*": 1.0}, total=400, seed=1)
+    assert out.columns.count("copy") == 1 and out.where("source = 's'").count() > 100
+    assert mixing.mix(none, {"s": 1.0}).count() == 0
+    one = mixing.mix(odd, {"s": 1.0, "*": 1.0}, seed=1).groupBy("doc_id").count().collect()
+    again = mixing.mix(odd.repartition(7), {"s": 1.0, "*": 1.0}, seed=1).groupBy("doc_id").count().collect()
+    assert sorted(one, key=str) == sorted(again, key=str)
+
+
+def test_mixing_meets_its_targets(spark):
+    docs = spark.range(20000).selectExpr("id AS doc_id", "CASE WHEN id % 10 < 8 THEN 'hot' ELSE 'rare' END AS source")
+    got = {r.source: r["count"] for r in mixing.mix(docs, {"hot": 0.5, "rare": 0.5}, seed=2).groupBy("source").count().collect()}
+    assert abs(got["hot"] - 10000) < 400 and abs(got["rare"] - 10000) < 600
+
+
+def test_near_duplicates(spark, odd, none):
+    rows = neardup.components(odd).collect()
+    assert len(rows) == len(ODD) and all(r.component_id == r.doc_id for r in rows if r.doc_id in (1, 2, 5))
+    assert neardup.components(none).count() == 0
+
+
+def test_near_duplicates_in_chains(spark):
+    """Neighbours of a chain resemble each other, its ends do not; a star about one centre alone would lose links."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(words[k * 12 : k * 12 + 160]) for k in range(16)]
+    got = neardup.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+
+
+def test_superminhash_estimates():
+    rng = np.random.default_rng(1)
+    for share in (0.5, 0.75, 0.9):
+        errors = []
+        for _ in range(40):
+            x = rng.integers(0, 2**63, 600).astype(np.uint64)
+            n = int(600 * 2 * share / (1 + share)) if share else 0
+            both = int(round(300 * 2 * share / (1 + share)))
+            a, b = np.sort(x[:300]), np.sort(np.concatenate([x[:both], x[300 : 600 - both]]))
+            s = shingles.signatures([a, b])
+            true = both / (600 - both)
+            errors.append((s[0] == s[1]).mean() - true)
+            assert n >= 0
+        assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
+
+
+def test_quality_model(spark, odd, none):
+    labels = spark.createDataFrame([(2, 0), (3, 1), (3, 1), (None, 1), (5, None)], "doc_id long, quality int")
+    rows = quality_model.classify(odd, labels).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    assert all(r.score == 0.5 for r in quality_model.classify(odd, labels.where("false")).collect())
+    assert quality_model.classify(none, labels).count() == 0
+
+
+def test_isotonic():
+    y = quality_model.isotonic(np.arange(6), np.array([0, 0.5, 0.2, 0.9, 0.8, 1.0]), np.ones(6))
+    assert np.allclose(y, [0, 0.35, 0.35, 0.85, 0.85, 1])
+
+
+def test_chat(spark):
+    rows = [(1, 0, None, None), (1, 1, "assistant", ""), (1, 2, "assistant", "a\\#<\\"), (2, 0, "user", "x" * 100000), (2, 0, "user", "tie"), (3, 5, "a:\n#", "### user:\n</turn>\n")]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("kind", F.lit(1))
+    log = chat.log_of(talks)
+    segments = chat.reconstruct(log)
+    back = sorted((r.conv_id, r.turn, *turn) for r in segments.collect() for turn in chat.read_turns(r.formatted))
+    assert back == sorted((c, t, role or "", text or "") for c, t, role, text in rows)
+    got = {r.conv_id: r for r in chat.digests(segments).collect()}
+    assert got[1].loss_chars == 5 and got[2].n_turns == 2 and got[3].loss_chars == 0
+    assert chat.digests(chat.reconstruct(chat.log_of(talks.where("false")))).count() == 0
+
+
+def test_chat_fold():
+    e = [(1, 0, "open", "u", ""), (1, 0, "delta", "u", "ab"), (1, 0, "edit", "u", "X"), (1, 1, "delta", "v", "q"), (1, 1, "regenerate", "v", ""), (1, 1, "delta", "v", "z")]
+    assert list(chat.fold(e)) == [(1, 0, "u", "X"), (1, 1, "v", "z")]
+
+
+def test_langid(spark, odd, none):
+    texts, langs = ["the cat and the dog ran over there " * 5, "der hund und die katze liefen dort " * 5], ["en", "de"]
+    model = langid.train(texts, langs, sequences=300)
+    got = langid.predict(odd, model).collect()
+    assert {r.doc_id: r.lang_pred for r in got}[1] == "und" and {r.doc_id: r.lang_pred for r in got}[5] == "und"
+    mixed = spark.createDataFrame([(1, texts[0] + texts[1] + texts[1])], "doc_id long, text string")
+    assert langid.predict(mixed, model).first().lang_pred == "de"
+    assert langid.predict(none, model).count() == 0 and langid.fit(none.withColumn("lang", F.lit("x"))).languages == []
+    assert langid.predict(odd, langid.train([], [])).where("lang_pred <> 'und'").count() == 0
+
+
+def test_forward_backward_in_segments():
+    rng = np.random.default_rng(0)
+    model = langid.Model(["a", "b", "c"], None, None, None, rng.normal(size=(3, 3)).astype(np.float32))
+    e, counts = rng.normal(size=(400, 3)).astype(np.float32) * 2, np.array([0, 130, 131, 131, 195, 400])
+    p = model.posteriors(e, counts)
+    for a, b in zip(counts[:-1], counts[1:]):
+        if b > a:
+            q, _ = langid._expect(e[None, a:b].astype(float), model.transitions)
+            assert np.abs(q[0] - p[a:b]).max() < 1e-4

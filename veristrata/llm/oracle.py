@@ -1,3 +1,89 @@
-"""SQL (DuckDB) for the queries of this subpackage that SQL can express."""
+"""SQL (DuckDB) for the queries of this subpackage that SQL can express.
 
-SQL: dict[str, str] = {}
+op1, op3, op4, op7, op8 and op10 have none: tests hold them against brute force, a round trip or held-out labels.
+"""
+
+from __future__ import annotations
+
+from .queries import MIX_SEED, MIX_WEIGHTS, URL_RULES
+
+_OP2 = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda v: v <> '') AS ws, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
+f AS (SELECT rid, unnest(range(1, len(ws) - 6)) AS i, ws FROM w WHERE len(ws) >= 8),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(ws[i:i+7], ' ')) AS n FROM f),
+c AS (SELECT rid, least(8, i - coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -100)) AS fresh FROM g WHERE n > 1),
+r AS (SELECT rid, CAST(sum(fresh) AS BIGINT) AS n_repeat_words FROM c GROUP BY 1),
+b AS (SELECT doc_id, x, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN r USING (rid)),
+k AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words
+    OR 10 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 4 * word_chars OR 10 * (length(x) - length(replace(x, '!', ''))) > 5 * n_words OR NOT regexp_matches(x, '\p{L}')) AS kept FROM k
+"""
+
+
+def _host_path(url: str) -> tuple[str, str]:
+    rest = f"CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
+    return f"translate(regexp_extract({rest}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+
+
+def _rule(what: str, host: str = "host", path: str = "path") -> str:
+    cases = ""
+    for verdict, h, p in sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", r[1], r[2])):
+        cases += f" WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{h + p if what == 'rule' else verdict}'"
+    return f"CASE{cases} END"
+
+
+def _node(host: str, path: str) -> str:
+    return f"regexp_replace(regexp_replace({host}, ':(80|443)$', ''), '^(www|m)\\.', '') || regexp_replace({path}, '(\\.html?|/)+$', '')"
+
+
+def _op5() -> str:
+    h, p = _host_path("url")
+    a, b = _host_path("u")
+    canonical = r"""'(?is)\brel\s*=\s*["'']?canonical\b'"""
+    return rf"""
+WITH RECURSIVE p AS (SELECT page_id, coalesce({h}, '') AS host, coalesce({p}, '') AS path, url, html FROM pages),
+q AS (SELECT page_id, host, path, {_rule("rule")} AS rule, {_rule("verdict")} AS own, CASE WHEN host <> '' THEN {_node("host", "path")} END AS node FROM p),
+t AS (SELECT url AS src, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+d AS (SELECT src, CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, {canonical}) THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+   WHEN regexp_matches(tag, '(?is)^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*[''"]?([^"''\s>;]+)', 1) END AS dst FROM t),
+l AS (SELECT src, dst FROM d WHERE instr(dst, '://') > 0),
+e AS (SELECT {_node(*_host_path("src"))} AS u, {_node(*_host_path("dst"))} AS v FROM l),
+s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+reach AS (SELECT u AS node, u AS root FROM s UNION SELECT s.v, reach.root FROM reach JOIN s ON s.u = reach.node),
+comp AS (SELECT node, min(root) AS component FROM reach GROUP BY 1),
+named AS (SELECT DISTINCT u FROM (SELECT src AS u FROM l UNION ALL SELECT dst FROM l)),
+known AS (SELECT node, own FROM q WHERE node IS NOT NULL UNION ALL SELECT {_node("host", "path")}, {_rule("verdict")} FROM (SELECT {a} AS host, {b} AS path FROM named)),
+verdicts AS (SELECT coalesce(component, known.node) AS c, coalesce(bool_or(own = 'block'), false) AND NOT coalesce(bool_or(own = 'allow'), false) AS blocked FROM known LEFT JOIN comp USING (node) GROUP BY 1)
+SELECT page_id, host, path, rule, CASE WHEN own IS NOT NULL THEN own WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
+FROM q LEFT JOIN comp USING (node) LEFT JOIN verdicts ON c = coalesce(component, q.node)
+"""
+
+
+def _op6() -> str:
+    values = ", ".join(f"({'NULL' if k == '*' else repr(k)}, {w!r}, {i})" for i, (k, w) in enumerate(MIX_WEIGHTS.items()))
+    named = ", ".join(repr(k) for k in MIX_WEIGHTS if k != "*")
+    return f"""
+WITH RECURSIVE w AS (SELECT CAST(g AS VARCHAR) AS g, CAST(wt AS DOUBLE) AS wt, o FROM (VALUES {values}) t(g, wt, o)),
+d AS (SELECT *, CASE WHEN source IN ({named}) THEN source END AS g FROM documents),
+n AS (SELECT g, count(*) AS n FROM d GROUP BY 1),
+r AS (SELECT w.g, (SELECT CAST(sum(n) AS DOUBLE) FROM n) * (wt / sum(wt) OVER ()) / n AS rate FROM w JOIN n ON n.g IS NOT DISTINCT FROM w.g),
+c AS (SELECT g, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS total FROM r UNION ALL SELECT g, rate, k + 1, p * (rate / (k + 1)), total + p * (rate / (k + 1)) FROM c WHERE k < 60),
+u AS (SELECT *, CAST('0x' || substr(md5('{MIX_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS x, row_number() OVER () AS rid FROM d),
+m AS (SELECT rid, count(*) AS copies FROM u JOIN c ON c.g IS NOT DISTINCT FROM u.g AND c.total <= u.x GROUP BY 1)
+SELECT doc_id, unnest(range(1, copies + 1)) AS copy, source, lang, text FROM u JOIN m USING (rid)
+"""
+
+
+_OP9 = r"""
+WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(15 + length(regexp_replace(role, '([\\#<:\n])', '\\\1', 'g')) + length(regexp_replace(text, '([\\#<])', '\\\1', 'g'))) AS BIGINT) AS formatted_chars
+FROM a GROUP BY conv_id
+"""
+
+SQL: dict[str, str] = {"op2_quality_rules": _OP2, "op5_url_filters": _op5(), "op6_mixing": _op6(), "op9_chat": _OP9}
