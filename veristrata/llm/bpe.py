@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, prefix_hash, span_hash, text_column
+from .common import blocks, map_batches, prefix_hash, span_hash, text_column
 
 #: Bytes of text whose distinct words are folded together, and the longest word whose boundaries fit the fold's 64 bits.
 GROUP_BYTES = 4 << 20
@@ -339,11 +339,11 @@ def encode(docs: DataFrame, voc: Vocabulary, key: str = "doc_id", text: str = "t
                     first = last
 
     blobs = ", ".join(f"{c} binary" for c in _GROUP)
-    grouped = src.mapInArrow(split, f"keys array<{key_type}>, {blobs}, full array<bigint>, candidates array<array<int>>")
+    grouped = map_batches(src, split, f"keys array<{key_type}>, {blobs}, full array<bigint>, candidates array<array<int>>")
     short = np.where(voc.lengths <= LONG, voc.lengths, 1)
     ends, inner = _literal(spark, (np.int64(1) << short) | 1), _literal(spark, ((np.int64(1) << short) - 1) & ~np.int64(1))
     masks = grouped.select("keys", *_GROUP, folded(F.col("full"), F.col("candidates"), ends, inner).alias("masks"))
-    out = masks.mapInArrow(join, f"k {key_type}, ids array<int>" + ", decoded binary" * decode)
+    out = map_batches(masks, join, f"k {key_type}, ids array<int>" + ", decoded binary" * decode)
     return out.withColumnRenamed("k", key)
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 #: Fixed strings of the template.
 OPEN, CLOSE = "### {role}:\n", "\n</turn>\n"
 #: Each of these characters inside a role or text is preceded by a backslash, so no control string can appear in one.
@@ -124,7 +126,7 @@ def reconstruct(log: DataFrame) -> DataFrame:
         yield from _batches(((c, t, *render_turn(role, text)) for c, t, role, text in fold(rows)), _SEGMENTS)
 
     ordered = log.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tie", "role", "seq")
-    return ordered.mapInArrow(run, "conv_id long, turn long, formatted string, loss_start int, loss_end int")
+    return map_batches(ordered, run, "conv_id long, turn long, formatted string, loss_start int, loss_end int")
 
 
 def digests(segments: DataFrame) -> DataFrame:
@@ -151,4 +153,4 @@ def digests(segments: DataFrame) -> DataFrame:
     def run(batches):
         yield from _batches(walk(batches), schema)
 
-    return segments.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_batches(segments, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -45,6 +46,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows in an Arrow batch at most: a task holds a few batches at once, in the JVM and in Python.
+BATCH_ROWS = 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def tidy() -> None:
+    """Give freed memory back: Python workers live on between tasks, beside those of other operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with small batches in, and memory given back at the end of each task."""
+    bound_batches(df.sparkSession)
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(tidied, schema)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table that materialize() wrote and that no later plan reads."""
     path = getattr(df, "_table_path", None)

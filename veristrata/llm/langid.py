@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, powers, prefix_hash, text_column
+from .common import blocks, map_batches, mix, powers, prefix_hash, text_column
 
 UND = "und"
 BUCKETS = 1 << 15
@@ -271,7 +271,7 @@ def keep_known(docs: DataFrame, model: Model, min_score: float, text: str = "tex
             pred, score = judge(b.column(at), model)
             yield b.filter(pa.array([p != UND and s >= min_score for p, s in zip(pred, score)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -287,4 +287,4 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score)], names=["k", "lang_pred", "score"])
 
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("k", key)
+    return map_batches(src, run, f"k {src.schema['k'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("k", key)

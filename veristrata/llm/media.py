@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 UNIT = 64
 SCHEME = "media:sha256/"
 SEQUENCE = "array<struct<pos:int,kind:string,text:string,ref:string,caption:string>>"
@@ -140,7 +142,7 @@ def interleave(pages: DataFrame, key: str, html: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parse_html(x) for x in b.column(1).to_pylist()], kind)], names=["k", "sequence"])
 
     src = pages.select(F.col(key).alias("k"), F.col(html).alias("h"))
-    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, sequence {SEQUENCE}").withColumnRenamed("k", key)
+    return map_batches(src, run, f"k {src.schema['k'].dataType.simpleString()}, sequence {SEQUENCE}").withColumnRenamed("k", key)
 
 
 def media_items(sequences: DataFrame, key: str) -> DataFrame:
@@ -166,7 +168,7 @@ def store(texts: DataFrame, text: str = "text") -> DataFrame:
             digest = [hashlib.sha256(m).hexdigest() for m in media]
             yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(media, pa.binary())], names=["digest", "media"])
 
-    return texts.select(F.col(text)).mapInArrow(run, "digest string, media binary").groupBy("digest").agg(F.first("media").alias("media"))
+    return map_batches(texts.select(F.col(text)), run, "digest string, media binary").groupBy("digest").agg(F.first("media").alias("media"))
 
 
 def describe(stored: DataFrame) -> DataFrame:
@@ -182,7 +184,7 @@ def describe(stored: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=_DESCRIBED)
 
-    return stored.select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_batches(stored.select("digest", "media"), run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 _DESCRIBED = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -207,4 +209,4 @@ def documents_as_pages(docs: DataFrame, key: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array(html)], names=["k", "n_bytes", "html"])
 
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, n_bytes long, html string").withColumnRenamed("k", key)
+    return map_batches(src, run, f"k {src.schema['k'].dataType.simpleString()}, n_bytes long, html string").withColumnRenamed("k", key)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 #: Base kinds in their order; added kinds follow.
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("key", "secret", "number")
@@ -148,7 +150,7 @@ def patterns(docs: DataFrame, text: str = "text") -> dict[tuple[int, ...], int]:
             seen = Counter(c[4] for t in b.column(0).to_pylist() for c in candidates(t))
             yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, p)) for p in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["p", "n"])
 
-    rows = docs.select(F.col(text)).mapInArrow(run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(docs.select(F.col(text)), run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()
     return {tuple(map(int, r[0].split(","))): r[1] for r in rows}
 
 
@@ -229,7 +231,7 @@ def detect(docs: DataFrame, weights: np.ndarray | None, key: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], names=["k", "spans"])
 
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, spans {SPANS}").withColumnRenamed("k", key)
+    return map_batches(src, run, f"k {src.schema['k'].dataType.simpleString()}, spans {SPANS}").withColumnRenamed("k", key)
 
 
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -262,4 +264,4 @@ def masked(docs: DataFrame, weights: np.ndarray | None, text: str = "text") -> D
             new = [mask(t, find(t, weights)) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)

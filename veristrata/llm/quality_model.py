@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, materialize, mix, prefix_hash, span_hash, word_spans
+from .common import blocks, discard, map_batches, materialize, mix, prefix_hash, span_hash, word_spans
 
 FEATURES = 96
 BINS = 256
@@ -91,7 +91,7 @@ def describe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["k", "stats"])
 
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, stats array<double>").withColumnRenamed("k", key)
+    return map_batches(src, run, f"k {src.schema['k'].dataType.simpleString()}, stats array<double>").withColumnRenamed("k", key)
 
 
 def held_out(key: Column) -> Column:
@@ -133,7 +133,7 @@ def _summed(df: DataFrame, partial, width: int) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(total.shape[0]), width)), pa.array(np.tile(np.arange(width), total.shape[0])), pa.array(total.reshape(-1))], names=["i", "j", "x"])
 
-    rows = df.mapInArrow(run, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    rows = map_batches(df, run, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
     out = np.zeros((max((r[0] for r in rows), default=-1) + 1, width))
     for i, j, x in rows:
         out[i, j] = x
@@ -212,7 +212,7 @@ def predict(stats: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["k", "score", "predicted"])
 
     src = stats.select(F.col(key).alias("k"), "stats")
-    out = src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, score double, predicted int")
+    out = map_batches(src, run, f"k {src.schema['k'].dataType.simpleString()}, score double, predicted int")
     return out.select(F.col("k").alias(key), F.coalesce(held_out(F.col("k")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
