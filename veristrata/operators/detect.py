@@ -80,10 +80,9 @@ def forbidden_exact(docs: DataFrame, rules: DataFrame, key: str = "id", text: st
         parts.append((r[0], found, r[1]))
     if len(parts) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules; scan them in parts")
-    base = docs.select(F.col(key).alias("id"), F.col(text).alias("__t"))
-    low = F.lower("__t")
+    base = docs.select(F.col(key).alias("id"), F.col(text).alias("__t")).withColumn("__low", F.lower("__t"))  # once, not by rule
     hit = [
-        F.when(F.contains(low, F.lit(needle.lower())), F.transform(found, _ruled(ord_))).otherwise(F.array().cast("array<struct<ord:int,start:int,end:int>>"))
+        F.when(F.contains(F.col("__low"), F.lit(needle.lower())), F.transform(found, _ruled(ord_))).otherwise(F.array().cast("array<struct<ord:int,start:int,end:int>>"))
         for ord_, found, needle in parts
     ]
     if not hit:
