@@ -14,16 +14,16 @@ def supersede_claims(claims: DataFrame) -> DataFrame:
     A success is verified with its verifier run. It clears earlier unverified claims of its own file, and earlier
     explicit failures of any file. The first success after an id, over the whole table, is found by block: ids are cut
     into blocks, a block's first success comes from one small table of block minima, and only the claim's own block
-    is ordered. No window spans the table.
+    is ordered. No window spans the table, and all of them run backwards, so that a frame grows by a row at a time.
     """
     success = F.when(F.col("verified") & F.col("vet_ok").isNotNull(), F.col("id"))
-    in_file = Window.partitionBy("file_path").orderBy("id").rowsBetween(1, Window.unboundedFollowing)
+    in_file = Window.partitionBy("file_path").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     block = F.floor(F.col("id") / F.lit(BLOCK)).cast("long")
-    in_block = Window.partitionBy("__block").orderBy("id").rowsBetween(1, Window.unboundedFollowing)
+    in_block = Window.partitionBy("__block").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     out = claims.withColumn("__t", success).withColumn("__block", block)
     out = out.withColumn("__file", F.when(F.col("file_path").isNotNull(), F.min("__t").over(in_file))).withColumn("__near", F.min("__t").over(in_block))
     firsts = out.where("__t IS NOT NULL").groupBy("__block").agg(F.min("__t").alias("__first"))
-    later = Window.orderBy("__b").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = claims.select(block.alias("__b")).distinct().join(firsts, F.col("__b") == F.col("__block"), "left").select("__b", F.min("__first").over(later).alias("__next"))
     out = out.join(blocks, F.col("__block") == F.col("__b"), "left")
     anywhere = F.when(F.col("vet_ok") == F.lit(False), F.coalesce("__near", "__next"))
@@ -32,7 +32,7 @@ def supersede_claims(claims: DataFrame) -> DataFrame:
 
 
 #: Ids in a block of supersede_claims(); the table of block minima has a row for each so many ids.
-BLOCK = 1 << 20
+BLOCK = 1 << 16
 
 
 def unverified(claims: DataFrame, session: str | None = None, all_rows: bool = False) -> DataFrame:
