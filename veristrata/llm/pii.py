@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import math
 import re
 from collections import Counter
@@ -31,6 +31,8 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 #: Tokens that may hold personal data or secrets beside the base kinds: with a digit, or after a cue and an equals sign or colon.
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/.-]*[0-9][A-Za-z0-9_+/.-]*")
 _EDGE = "._+/-"
+#: A number that starts like a phone's, where the base pattern ran on into what follows it.
+_DIAL = re.compile(r"\+[0-9](?:[ ().-]{0,2}[0-9]){9,14}(?![0-9])")
 
 #: Gazetteers (fixed values): words of credentials and contacts, and words about versions, licences and counting.
 CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "key", "iban", "ssn", "passport", "account", "mail", "tel", "phone", "call", "card")
@@ -42,6 +44,7 @@ _ASSIGN = re.compile(r"[=:]\s*[\"']?$")
 _HARMLESS = re.compile(r"(?i)(?:^|[^a-z])(?:" + "|".join(map(re.escape, HARMLESS)) + r")[^a-z0-9]{0,4}(?:[A-Za-z-]{1,6}[^a-z0-9]{1,2})?$")
 _HEX = re.compile(r"[0-9a-fA-F]{16,}")
 _KEYLIKE = re.compile(r"[A-Z0-9]{16,}")
+_LETTER = re.compile(r"[A-Za-z]")
 _PLAIN = re.compile(r"[0-9]{1,4}(?:[.,/-][0-9]{1,4}){0,2}")
 LABELERS = ("regex", "shape", "gazetteer", "context", "plain")
 
@@ -89,7 +92,7 @@ def votes(text: str, start: int, end: int, base: bool) -> tuple[int, ...]:
     """One vote per labeler: 1 personal, -1 harmless, 0 abstains."""
     x = text[start:end]
     before = text[max(0, start - 32) : start]
-    regex = 1 if base or x.startswith(KEY_PREFIXES) else 0
+    regex = 1 if base or x.startswith(KEY_PREFIXES) or _DIAL.fullmatch(x) else 0
     shape = 1 if _HEX.fullmatch(x) or _KEYLIKE.fullmatch(x) else -1 if len(x) < 8 else 0
     cue, assigned = bool(_CUE.search(before)), bool(_ASSIGN.search(before))
     gazetteer = 1 if cue else -1 if _HARMLESS.search(before) else 0
@@ -113,29 +116,43 @@ def traits(text: str, start: int, end: int) -> tuple[int, ...]:
 
 
 def candidates(text: str | None) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
-    """(kind, start, end, base?, votes and traits) of all base spans and of further tokens outside them."""
+    """(kind, start, end, base?, votes and traits) of all base spans and of further tokens that do not lie within them."""
     if not text or not _ANY.search(text):
         return []
     base = base_spans(text)
     out = [(k, s, e, True, votes(text, s, e, True) + traits(text, s, e)) for k, s, e in base]
-    taken = sorted((s, e) for _, s, e in base)
-    i = reach = 0
+    taken = _Cover([(s, e) for _, s, e in base])
+    dialled = [m.span() for m in _DIAL.finditer(text) if not taken.holds(*m.span())] if "+" in text else []
+    out += [("number", s, e, False, votes(text, s, e, False) + traits(text, s, e)) for s, e in dialled]
+    taken = _Cover([(s, e) for _, s, e in base] + dialled)
     for m in _TOKEN.finditer(text):
         s, e = m.span()
         while s < e and text[s] in _EDGE:
             s += 1
         while e > s and text[e - 1] in _EDGE:
             e -= 1
-        while i < len(taken) and taken[i][0] < e:
-            reach = max(reach, taken[i][1])
-            i += 1
-        if s < e and reach <= s:
+        if s < e and not taken.holds(s, e):
             x = text[s:e]
-            kind = "key" if x.startswith(KEY_PREFIXES) or _KEYLIKE.fullmatch(x) and not x.isdigit() else "number" if not re.search(r"[A-Za-z]", x) else "secret"
+            kind = "key" if x.startswith(KEY_PREFIXES) or _KEYLIKE.fullmatch(x) and not x.isdigit() else "number" if not _LETTER.search(x) else "secret"
             out.append((kind, s, e, False, votes(text, s, e, False) + traits(text, s, e)))
     return out
 
 
+class _Cover:
+    """Which spans lie within what earlier-starting spans reach."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts, self.reach, far = [s for s, _ in spans], [], 0
+        for _, e in spans:
+            far = max(far, e)
+            self.reach.append(far)
+
+    def holds(self, start: int, end: int) -> bool:
+        k = bisect.bisect_right(self.starts, start)
+        return k > 0 and self.reach[k - 1] >= end
+
+
 # ---------------------------------------------------------------- model
 
 
