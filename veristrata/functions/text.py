@@ -101,12 +101,21 @@ def matches(text: str, pattern: str, group: int = 0) -> Column:
 
     Offsets are sums over what lies between and in the matches, so no row leaves the JVM.
     """
-    p, q = pattern.replace("\\", "\\\\").replace("'", "\\'"), f"decode(encode({text}, 'UTF-8'), 'ISO-8859-1')"
-    whole = f"regexp_extract_all({q}, '{p}', 0)"
-    value = f"regexp_extract_all({q}, '{p}', {group})"
+    literal = pattern.replace("\\", "\\\\").replace("'", "\\'")
+    return _matches(text, f"'{literal}'", group)
+
+
+def matches_of(text: str, pattern: str) -> Column:
+    """matches() of the pattern that a column holds."""
+    return _matches(text, pattern, 0)
+
+
+def _matches(text: str, pattern: str, group: int) -> Column:
+    view = f"decode(encode({text}, 'UTF-8'), 'ISO-8859-1')"
+    whole, value = f"regexp_extract_all({view}, {pattern}, 0)", f"regexp_extract_all({view}, {pattern}, {group})"
     return F.expr(
         f"""aggregate(
-          arrays_zip({whole}, {value}, slice(split({q}, '{p}'), 1, size({whole}))),
+          arrays_zip({whole}, {value}, slice(split({view}, {pattern}), 1, size({whole}))),
           named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,end:int,text:string,value:string>>)),
           (a, x) -> named_struct('at', a.at + length(x.`2`) + length(x.`0`), 'out',
              concat(a.out, array(named_struct('start', a.at + length(x.`2`), 'end', a.at + length(x.`2`) + length(x.`0`), 'text', x.`0`, 'value', x.`1`)))),

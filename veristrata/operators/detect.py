@@ -5,6 +5,8 @@ All spans are in UTF-8 bytes. Nothing leaves the JVM but the fuzzy scan (fuzzy.p
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,37 +67,39 @@ def resolve_overlaps(spans: str) -> Column:
 def forbidden_exact(docs: DataFrame, rules: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, ord, start, end): rules' texts in documents, ignoring ASCII case, at ASCII word boundaries, not overlapping.
 
-    Rules are few (an operator writes them): they are read once and become one literal expression per rule, so
-    documents are scanned in place, without a join.
+    Rules are few (an operator writes them): their number is checked, and they are broadcast. A document meets a rule
+    only if it has the rule's first word, which any hit holds as a whole word; what is left is searched once.
     """
-    from ..functions.text import WORD
+    from ..functions.text import WORD, matches_of
 
-    parts = []
-    for r in rules.select("ord", "text").where("text IS NOT NULL AND text <> ''").orderBy("ord").limit(MAX_RULES + 1).collect():
-        needle = r[1].encode().decode("latin-1")
-        left = f"(?<![{WORD}])" if needle[0].isascii() and (needle[0].isalnum() or needle[0] == "_") else ""
-        right = f"(?![{WORD}])" if needle[-1].isascii() and (needle[-1].isalnum() or needle[-1] == "_") else ""
-        pattern = f"(?i){left}{_quote(needle)}{right}"
-        found = matches("__t", pattern, 0)
-        parts.append((r[0], found, r[1]))
-    if len(parts) > MAX_RULES:
+    listed = [(r[0], r[1]) for r in rules.select("ord", "text").where("text IS NOT NULL AND text <> ''").orderBy("ord").limit(MAX_RULES + 1).collect()]
+    if len(listed) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules; scan them in parts")
-    base = docs.select(F.col(key).alias("id"), F.col(text).alias("__t")).withColumn("__low", F.lower("__t"))  # once, not by rule
-    hit = [
-        F.when(F.contains(F.col("__low"), F.lit(needle.lower())), F.transform(found, _ruled(ord_))).otherwise(F.array().cast("array<struct<ord:int,start:int,end:int>>"))
-        for ord_, found, needle in parts
-    ]
-    if not hit:
-        return base.select("id", F.lit(0).alias("ord"), F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
-    out = base.select("id", F.explode(F.concat(*hit)).alias("h"))
-    return out.select(F.col("id").alias(key), "h.ord", "h.start", "h.end")
+    rows = []
+    for ord_, needle in listed:
+        raw = needle.encode().decode("latin-1")
+        edge = [c.isascii() and (c.isalnum() or c == "_") for c in (raw[0], raw[-1])]
+        pattern = f"(?i){f'(?<![{WORD}])' if edge[0] else ''}{_quote(raw)}{f'(?![{WORD}])' if edge[1] else ''}"
+        first = re.search(f"[{WORD}]+", needle)
+        rows.append((ord_, _ascii_lower(first[0]) if first else "", _ascii_lower(needle), pattern))
+    spark = docs.sparkSession
+    table = spark.createDataFrame(rows, "ord int, w string, needle string, pattern string")
+    low = F.translate("__t", UPPER, UPPER.lower())
+    base = docs.select(F.col(key).alias("id"), F.col(text).alias("__t")).where("__t IS NOT NULL").withColumn("__low", low)
+    words = F.array_append(F.array_distinct(F.regexp_extract_all("__low", F.lit(f"([{WORD}]+)"), 1)), F.lit(""))
+    firsts = F.array(*[F.lit(w) for w in sorted({r[1] for r in rows})]).cast("array<string>")
+    met = base.select("id", "__t", "__low", F.explode(F.array_intersect(words, firsts)).alias("w")).join(F.broadcast(table), "w")
+    met = met.where(F.contains("__low", F.col("needle")))
+    out = met.select("id", "ord", F.explode(matches_of("__t", "pattern")).alias("m"))
+    return out.select(F.col("id").alias(key), "ord", F.col("m.start").alias("start"), F.col("m.end").alias("end"))
 
 
 MAX_RULES = 2000
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _ruled(ord_: int):
-    return lambda m: F.struct(F.lit(ord_).cast("int").alias("ord"), m["start"].alias("start"), m["end"].alias("end"))
+def _ascii_lower(s: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
 
 
 def _quote(s: str) -> str:
@@ -133,8 +137,6 @@ MAX_LEAVES = 2000
 
 
 def _segments(path: str) -> list[str]:
-    import re
-
     return [s.lower() for s in re.split(r"[._\[\]]+", path) if len(s) >= 3]
 
 
