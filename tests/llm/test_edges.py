@@ -233,3 +233,14 @@ def test_forward_backward_in_segments():
         if b > a:
             q, _ = langid._expect(e[None, a:b].astype(float), model.transitions)
             assert np.abs(q[0] - p[a:b]).max() < 1e-4
+
+
+def test_near_duplicates_in_a_family(spark):
+    """Texts of one template are all just under the similarity; of the few pairs that reach it none may be lost."""
+    head = [f"t{i}" for i in range(174)]
+    own = [[f"x{k}y{j}" for j in range(30)] for k in range(3000)]
+    for k in range(0, 100, 10):
+        own[k + 1][:2] = own[k][:2]
+    texts = [(k, " ".join(head + w)) for k, w in enumerate(own)]
+    got = neardup.components(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got if r.component_id != r.doc_id} == {k + 1: k for k in range(0, 100, 10)}

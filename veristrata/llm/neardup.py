@@ -102,6 +102,51 @@ def _closer(base: DataFrame, members: DataFrame, groups: DataFrame, turn: int) -
     return _across(_near(pairs.select("u", "nu", F.col("w.id").alias("v"), F.col("w.n").alias("nv"))), groups), rows
 
 
+def _tokens(live: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, n, g, s): a row for each shingle of each text that live (id, n, g) names."""
+
+    def run(batches):
+        for b in batches:
+            at, held = [], []
+            for r, _, found in shingles.sets_of(b.column(3)):
+                at.append(np.full(len(found), r, np.int64))
+                held.append(found)
+                if sum(map(len, held)) >= 200_000 or r == b.num_rows - 1:
+                    rows = pa.array(np.concatenate(at))
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in range(3)), pa.array(np.concatenate(held).view(np.int64))], names=["id", "n", "g", "s"])
+                    at, held = [], []
+
+    return map_batches(live.join(texts, "id").select("id", "n", "g", "t"), run, "id long, n long, g long, s long")
+
+
+def _exact(members: DataFrame, groups: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Every pair that may reach the similarity across groups, of classes in bands that hold several; and tables behind it.
+
+    A prefix-filter join on full sets. Shingles of one group alone cannot be shared across groups; the rest of a set, m
+    of its n, lies rarest first. With J >= 3/4 and nu <= nv the overlap is at least 3/7 (nu + nv), so at least 6/7 nu
+    and 3/4 nv: the first shared shingle is in the first m - ceil(6/7 n) + 1 of u and the first m - ceil(3/4 n) + 1 of v,
+    and what follows it in both must suffice. Groups meet by shingle before their members do, so pairs within a group
+    are never made.
+    """
+    named = groups.select(F.col("node").alias("id"), F.col("component").alias("g"))
+    rows = members.select("band", "id", "n").join(named, "id", "left").select("band", "id", "n", F.coalesce("g", "id").alias("g"))
+    mixed = rows.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("band")
+    live = rows.join(mixed, "band", "left_semi").select("id", "n", "g").distinct()
+    live = materialize(live, "mixed-classes")
+    tokens = _tokens(live, texts)
+    wide = materialize(tokens.groupBy("s").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("s", "c"), "wide-shingles")
+    sets = tokens.join(wide, "s").groupBy("id", "n", "g").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("x"))
+    sets = sets.withColumn("m", F.size("x").cast("long")).where("m >= (3 * n + 3) div 4")
+    sets = sets.select("id", "n", "g", "m", F.posexplode(F.expr("slice(x, 1, cast(m - (3 * n + 3) div 4 + 1 AS int))")).alias("at", "e"))
+    prefix = materialize(sets.select("id", "n", "g", "m", (F.col("at") + 1).alias("at"), F.col("e.s").alias("s")), "prefixes")
+    u = prefix.where("at <= m - (6 * n + 6) div 7 + 1").select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("g").alias("gu"), (F.col("m") - F.col("at")).alias("lu"), "s")
+    v = prefix.select(F.col("id").alias("v"), F.col("n").alias("nv"), "g", (F.col("m") - F.col("at")).alias("lv"), "s")
+    of = v.groupBy("s", "g").agg(F.min("nv").alias("least"), F.max("nv").alias("most"), F.max("lv").alias("left"))
+    met = u.join(of, "s").where("g <> gu AND nu <= most AND 4 * nu >= 3 * least AND 7 * (1 + least(lu, left)) >= 3 * (nu + greatest(nu, least))").drop("least", "most", "left")
+    enough = "(nu < nv OR nu = nv AND u < v) AND 4 * nu >= 3 * nv AND 7 * (1 + least(lu, lv)) >= 3 * (nu + nv)"
+    return met.join(v, ["s", "g"]).where(enough).select("u", "v").distinct(), [live, wide, prefix]
+
+
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of docs.
 
@@ -113,6 +158,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     3. Stars are confirmed on the full sets and grouped. A second round then links each class to two more members
        of its band, drawn by hash band by band, where those lie in another group so far; this catches links
        whose ends do not resemble the first star's centre (texts at 0.75 share ten bands on average).
+    4. Turns over narrower bands follow until one confirms no link; then an exact join on full sets finds every link
+       that is left between groups of a band, however few of its pairs are similar.
     Ids of all rows, links and groups stay in tables; nothing is collected. Null and empty texts have an empty
     set and are linked with nothing. Rows that repeat an id are copies of one document. An empty table gives an
     empty result. Other columns are not touched.
@@ -152,6 +199,12 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         if not again.limit(1).count():
             break
         groups = connected_components(reduce(DataFrame.unionByName, found))
+    pairs, held = _exact(members, groups, texts)
+    found.append(materialize(verify(pairs, texts), "links"))
+    for t in held:
+        discard(t)
+    if found[-1].limit(1).count():
+        groups = connected_components(reduce(DataFrame.unionByName, found))
     out = classes.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
     out = materialize(out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept")), "components")
