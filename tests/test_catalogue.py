@@ -42,3 +42,17 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_forbidden_fuzzy_reads_documents_and_rules(spark, tmp_path):
+    spark.createDataFrame([(1, "ab. The quick brown fox jumps."), (2, "the quikc brown fox"), (3, "the quick browm fox"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "the quick brown fox"), (1, "jumps")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.doc_id, r.ord, r.start, r.end) for r in QUERIES["forbidden_fuzzy"](spark, str(tmp_path)).collect())
+    assert got == [(1, 1, 4, 23), (1, 2, 24, 29), (3, 1, 0, 19)]
+
+
+def test_uncovered_session_sentences(spark, tmp_path):
+    rows = [(1, 0, "I prefer Go. Nothing here! "), (1, 0, "I prefer Go. Nothing here! "), (2, 1, None), (2, 2, "since 2020\nñ 95% yes")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r.conv_id, r.turn, r.sentence) for r in QUERIES["uncovered_session_sentences"](spark, str(tmp_path)).collect())
+    assert got[:2] == [(1, 0, "Nothing here")] * 2 and (2, 2, "since 2020") in got

@@ -358,9 +358,9 @@ def forbidden_exact(spark, d):
 
 @query()
 def forbidden_fuzzy(spark, d):
-    """Fuzzy hits of the rules' first five words in prose; held against a plain scan in the tests."""
-    rules = spark.createDataFrame([(1, "I shiped Brand11"), (2, "and I preffer"), (3, "users since 2010")], "ord int, text string")
-    return fuzzy.forbidden_fuzzy(views.prose(spark, d), rules, 1)
+    """Fuzzy hits of all rules in all documents; held against known hits in the tests."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return fuzzy.forbidden_fuzzy(docs, views.rules(spark, d), 1, "doc_id")
 
 
 @query("SELECT count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND y) AS fn, count(*) FILTER (NOT p AND NOT y) AS tn, count(*) FILTER (p AND y) / count(*) FILTER (p) AS precision, count(*) FILTER (p AND y) / count(*) FILTER (y) AS recall FROM (SELECT contains(text, '!!') OR contains(text, '%%%') AS p, quality = 0 AS y FROM labels JOIN documents USING (doc_id))")
@@ -385,6 +385,15 @@ def uncovered_sentences(spark, d):
     return left.select(F.col("id").cast("long").alias("uncovered"))
 
 
+@query()
+def uncovered_session_sentences(spark, d):
+    """Sentences of conversations that no claim overlaps; claims are found row by row, so repeated turns stay apart."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text", detect.pattern_spans("text").alias("c"))
+    c = c.withColumn("c", detect.drop_temporal_years("c", "text")).withColumn("c", detect.resolve_overlaps("c")).withColumn("s", tx.sentences("text"))
+    left = F.expr("filter(s, x -> NOT exists(c, y -> x.start < y.end AND x.end > y.start))")
+    return c.select("conv_id", "turn", F.explode(left).alias("s")).select("conv_id", "turn", "s.start", "s.end", F.trim("s.text").alias("sentence"))
+
+
 # ---------------------------------------------------------------- facts
 
 
