@@ -56,3 +56,13 @@ def test_uncovered_session_sentences(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted((r.conv_id, r.turn, r.sentence) for r in QUERIES["uncovered_session_sentences"](spark, str(tmp_path)).collect())
     assert got[:2] == [(1, 0, "Nothing here")] * 2 and (2, 2, "since 2020") in got
+
+
+def test_facts_impact_by_context(spark):
+    """Hits at word boundaries; strong where the words around name the path; the first strong line, else the first."""
+    from veristrata.operators import detect
+
+    docs = spark.createDataFrame([(1, "atlas and atlasses\nñ the Product is called\n Atlas, 12000"), (2, "go on, Go"), (3, None), (4, "atlasses a\\Eb")], "doc_id long, text string")
+    leaves = spark.createDataFrame([("product.name", "atlas"), ("tech.primary", "go"), ("limits.users", "12000"), ("x.quoted", "a\\Eb"), ("x.none", None)], "path string, svalue string")
+    got = sorted(map(tuple, detect.facts_impact(docs, leaves).collect()))
+    assert got == [("limits.users", 1, 1, 0, 3), ("product.name", 1, 2, 1, 3), ("tech.primary", 2, 2, 0, 1), ("x.quoted", 4, 1, 0, 1)]

@@ -215,20 +215,28 @@ def stale_facts(leaves: DataFrame, today: str, days: int = 180) -> DataFrame:
 
 
 def facts_impact(docs: DataFrame, leaves: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(path, key, hits, strong_hits, first_line): where facts' values occur in documents; strong at word boundaries.
+    """(path, key, hits, strong_hits, first_line): where facts' values occur in documents, ignoring case, at word boundaries.
 
-    Documents are cut into words once and joined with the leaves' first words, so the number of comparisons follows the
-    matches; the leaf is then counted in the whole text.
+    A hit is strong if the three words before or after it name a segment of the leaf's path; first_line is that of the
+    first strong hit, or of the first hit. Documents are cut into words once and joined with the leaves' first words,
+    so the number of comparisons follows the matches; the leaf is then searched in the whole text.
     """
-    from ..functions.text import WORD
-
-    terms = leaves.where("svalue IS NOT NULL AND length(svalue) >= 3").select("path", F.lower("svalue").alias("term"))
-    terms = terms.withColumn("w", F.regexp_extract("term", f"[{WORD}]+", 0)).where("w <> ''")
-    words = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL")
-    words = words.select("k", "t", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(f"([{WORD}]+)"), 1))).alias("w"))
-    hit = words.join(terms, "w").where(F.contains(F.lower("t"), F.col("term")))
-    hits = F.size(F.expr("split(lower(t), concat('\\\\Q', term, '\\\\E'), -1)")) - 1
-    strong = F.size(F.expr(f"split(lower(t), concat('(?<![{WORD}])\\\\Q', term, '\\\\E(?![{WORD}])'), -1)")) - 1
-    at = F.expr("instr(lower(t), term)")
-    line = F.expr("size(split(substring(lower(t), 1, instr(lower(t), term) - 1), '\\n', -1))")
-    return hit.select("path", F.col("k").alias(key), hits.alias("hits"), strong.alias("strong_hits"), F.when(at > 0, line).alias("first_line"))
+    from ..functions.text import LEFT, RIGHT, WORD, byte_view, matches_of
+
+    terms = leaves.where("svalue <> ''").select("path", F.lower("svalue").alias("term"))
+    view = byte_view(F.col("term"))
+    edge = lambda at, look: F.when(F.col("term").rlike(at), F.lit(look)).otherwise("")
+    quoted = F.concat(F.lit("\\Q"), F.replace(view, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    segments = F.filter(F.split(F.lower("path"), r"[._\[\]]+"), lambda s: F.octet_length(s) >= 3)
+    terms = terms.select("path", "term", F.regexp_extract("term", f"[{WORD}]+", 0).alias("w"), F.concat(edge(f"^[{WORD}]", LEFT), quoted, edge(f"[{WORD}]$", RIGHT)).alias("pattern"), segments.alias("segments"))
+    words = docs.select(F.col(key).alias("k"), F.lower(text).alias("t")).where("t IS NOT NULL")
+    listed = F.array_append(F.array_distinct(F.regexp_extract_all("t", F.lit(f"([{WORD}]+)"), 1)), F.lit(""))
+    words = words.select("k", "t", F.explode(listed).alias("w"))
+    hit = words.join(terms, "w").where(F.contains("t", F.col("term")))
+    hit = hit.select("path", "k", "segments", byte_view(F.col("t")).alias("q"), matches_of("t", "pattern").alias("m")).where("size(m) > 0")
+    three = r"'^\\s*+(?:\\S++\\s++){0,2}+\\S*+'"
+    context = f"concat(reverse(regexp_extract(reverse(substring(q, 1, h.start)), {three}, 0)), ' ', regexp_extract(substring(q, h.end + 1), {three}, 0))"
+    strong = F.expr(f"filter(m, h -> exists(segments, s -> contains(regexp_replace({context}, '\\\\s+', ' '), decode(encode(s, 'UTF-8'), 'ISO-8859-1'))))")
+    hit = hit.withColumn("strong", strong).withColumn("at", F.expr("coalesce(get(strong, 0).start, m[0].start)"))
+    line = F.expr("1 + length(substring(q, 1, at)) - length(replace(substring(q, 1, at), '\n', ''))")
+    return hit.select("path", F.col("k").alias(key), F.size("m").alias("hits"), F.size("strong").alias("strong_hits"), line.alias("first_line"))

@@ -423,6 +423,13 @@ def facts_impact(spark, d):
     return detect.facts_impact(docs, views.facts(spark, d).where("path = 'product.active'")).select("path", "doc_id", "hits")
 
 
+@query()
+def facts_impact_all(spark, d):
+    """All leaves over all documents; facts_impact and its SQL keep to one leaf."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return detect.facts_impact(docs, views.facts(spark, d))
+
+
 # ---------------------------------------------------------------- guards
 
 PATH_FILTERS = [("language", "^src1[0-9]*/([a-z]+)/", ["FR", "de"]), ("hot", "^src0/", [])]
