@@ -244,3 +244,12 @@ def test_near_duplicates_in_a_family(spark):
     texts = [(k, " ".join(head + w)) for k, w in enumerate(own)]
     got = neardup.components(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
     assert {r.doc_id: r.component_id for r in got if r.component_id != r.doc_id} == {k + 1: k for k in range(0, 100, 10)}
+
+
+def test_chat_keeps_equal_rows_apart(spark):
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "abcd"), (1, 1, "assistant", "abcd"), (1, 1, "assistant", "abcd")]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    segments = chat.reconstruct(chat.log_of(talks))
+    assert sorted((r.conv_id, r.turn, *turn) for r in segments.collect() for turn in chat.read_turns(r.formatted)) == rows[:2] + rows[2:]
+    got = chat.digests(segments).first()
+    assert (got.n_turns, got.loss_chars) == (5, 12)

@@ -53,7 +53,8 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 def log_of(conversations: DataFrame) -> DataFrame:
     """An event log that streams each row as a chat service would: open, deltas, for assistants a discarded first draft.
 
-    Rows with equal (conv_id, turn) are separate turns, in the order of role and text. Null texts and roles are empty.
+    Rows with equal (conv_id, turn) are separate turns, in the order of role and text; `copy` keeps the events of equal
+    rows apart (any order of equal rows gives one result). Null texts and roles are empty.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     half = (F.length(t) / 2).cast("int")
@@ -66,9 +67,9 @@ def log_of(conversations: DataFrame) -> DataFrame:
     user = F.array(event("open", empty), event("delta", first), event("edit", F.col("text")))
     other = F.array(event("open", empty), event("delta", first), event("regenerate", empty), event("delta", first), event("delta", second))
     steps = base.withColumn("e", F.when(F.col("role") == "user", user).otherwise(other))
-    steps = steps.withColumn("tie", F.xxhash64("role", "text"))
-    return steps.select("conv_id", "turn", "tie", "role", F.posexplode("e").alias("seq", "e")).select(
-        "conv_id", "turn", "tie", F.col("seq").cast("long").alias("seq"), "role", F.col("e.kind").alias("kind"), F.col("e.text").alias("text")
+    steps = steps.withColumns({"tie": F.xxhash64("role", "text"), "copy": F.monotonically_increasing_id()})
+    return steps.select("conv_id", "turn", "tie", "copy", "role", F.posexplode("e").alias("seq", "e")).select(
+        "conv_id", "turn", "tie", "copy", F.col("seq").cast("long").alias("seq"), "role", F.col("e.kind").alias("kind"), F.col("e.text").alias("text")
     )
 
 
@@ -125,7 +126,7 @@ def reconstruct(log: DataFrame) -> DataFrame:
         rows = _rows(batches, ("conv_id", "turn", "kind", "role", "text"))
         yield from _batches(((c, t, *render_turn(role, text)) for c, t, role, text in fold(rows)), _SEGMENTS)
 
-    ordered = log.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tie", "role", "seq")
+    ordered = log.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tie", "role", "copy", "seq")
     return map_batches(ordered, run, "conv_id long, turn long, formatted string, loss_start int, loss_end int")
 
 
