@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristrata.llm import bpe, langid, mixing, neardup, pii
+from veristrata.llm.common import materialize
 from veristrata.llm.queries import LANGID_SAMPLE, MIX_SEED, MIX_WEIGHTS, tokenizer_path
 
 #: A text goes if no language has this share of its words; with four languages a guess has a quarter.
@@ -18,11 +19,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the least id, and one row of it."""
-    found = neardup.components(docs)
-    rows = docs.join(found.where("kept").select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return rows.dropDuplicates(["doc_id"]) if again else rows
+    """One row of each group stays: that of the least id. Rows with a null or repeated id are grouped by text like others; null ids come last."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = neardup.components(rows, "__row").select("__row", "component_id")
+    named = rows.select("__row", "doc_id").join(found, "__row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("x"))
+    return rows.join(first.select(F.col("x.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +59,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; between them a table is written in the shared folder, so a lost executor costs one stage."""
-    from veristrata.llm.common import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -253,3 +253,13 @@ def test_chat_keeps_equal_rows_apart(spark):
     assert sorted((r.conv_id, r.turn, *turn) for r in segments.collect() for turn in chat.read_turns(r.formatted)) == rows[:2] + rows[2:]
     got = chat.digests(segments).first()
     assert (got.n_turns, got.loss_chars) == (5, 12)
+
+
+def test_near_duplicate_stage_keeps_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    rows = [(None, one), (None, two), (None, two), (4, three), (4, one + " x"), (3, three)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(4, one + " x"), (None, two), (3, three)], key=str)
