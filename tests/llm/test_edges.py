@@ -263,3 +263,12 @@ def test_near_duplicate_stage_keeps_null_and_repeated_ids(spark):
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
     assert got.columns == ["doc_id", "text"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(4, one + " x"), (None, two), (3, three)], key=str)
+
+
+def test_html_links_are_resolved(spark):
+    base = "http://example.com/a/x?id=1"
+    named = {"/de/y": "http://example.com/de/y", "//h/p": "http://h/p", "z": "http://example.com/a/z", "../de/q?r#s": "http://example.com/de/q?r#s", "?id=2": "http://example.com/a/x?id=2", "/r?u=http://o/": "http://example.com/r?u=http://o/", "mailto:x": None, "https://o/../p": "https://o/../p"}
+    pages = spark.createDataFrame([(base, f'<link {"x" * 3000} rel="canonical" href="{k}">') for k in named], "url string, html string")
+    assert sorted(r.dst for r in urlfilter.html_links(pages).collect()) == sorted(v for v in named.values() if v)
+    page = spark.createDataFrame([(1, base, "<link rel=canonical href='/de/y'>")], "page_id long, url string, html string")
+    assert urlfilter.judge(page, URL_RULES, urlfilter.html_links(page)).first().verdict == "block"

@@ -36,14 +36,32 @@ def canonical_form(host: Column, path: Column) -> Column:
     return F.concat(bare, F.regexp_replace(path, r"(\.html?|/)+$", ""))
 
 
+def resolve(base: str, ref: str) -> Column:
+    """The address that `ref` names on a page at `base`; null for other schemes (mailto:) and where base is not absolute."""
+    base, ref = F.col(base), F.col(ref)
+    scheme, site = F.regexp_extract(base, r"^([^:/?#]+):", 1), F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0)
+    path = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    own, tail = F.regexp_extract(ref, r"^[^?#]*", 0), F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)
+    joined = F.when(own == "", path).when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(F.regexp_replace(path, r"[^/]*$", ""), own))
+    # . and .. are taken out of the path; a last one leaves its directory's slash
+    parts = F.filter(F.split(joined, "/"), lambda x: x != "")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x)))
+    end = F.when(joined.rlike(r"(^|/)\.{0,2}$") & (F.size(kept) > 0), "/").otherwise("")
+    dotted = joined.rlike(r"(^|/)\.{1,2}(/|$)")
+    within = F.concat(site, F.when(dotted, F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(F.when(joined.rlike("^[^/]"), F.concat(F.lit("/"), joined)).otherwise(joined)), tail)
+    relative = F.when(site == "", None).when(F.startswith(ref, F.lit("//")), F.concat(scheme, F.lit(":"), ref)).otherwise(within)
+    return F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), ref).when(~ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), relative)
+
+
 def html_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst): canonical links and meta-refresh redirects that a page's HTML names; absolute addresses only."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]{0,2000}>)"), 1)
+    """(src, dst): canonical links and meta-refresh redirects that a page's HTML names; relative addresses are resolved against its url."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1)
     tag = pages.where(F.col(url).isNotNull() & F.col(html).isNotNull()).select(F.col(url).alias("src"), F.explode(tags).alias("tag"))
     canonical = F.regexp_extract("tag", r"(?is)^<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     refresh = F.regexp_extract("tag", r"(?is)^<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*['\"]?([^\"'\s>;]+)", 1)
     dst = F.when(canonical != "", canonical).otherwise(refresh)
-    return tag.select("src", dst.alias("dst")).where(F.instr("dst", "://") > 0)
+    found = tag.select("src", dst.alias("dst")).where("dst <> ''")
+    return found.select("src", resolve("src", "dst").alias("dst")).where("dst IS NOT NULL")
 
 
 def judge(
