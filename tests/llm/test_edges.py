@@ -272,3 +272,12 @@ def test_html_links_are_resolved(spark):
     assert sorted(r.dst for r in urlfilter.html_links(pages).collect()) == sorted(v for v in named.values() if v)
     page = spark.createDataFrame([(1, base, "<link rel=canonical href='/de/y'>")], "page_id long, url string, html string")
     assert urlfilter.judge(page, URL_RULES, urlfilter.html_links(page)).first().verdict == "block"
+
+
+def test_pii_without_digits(spark):
+    """Values after a cue are candidates without a digit or an @; a corpus of prose and assignments teaches the classifier."""
+    texts = ["password=correcthorsebattery", 'api_key: "AKIAIOSFODNNEXAMPLE"'] + [f"version 1.{i} of page {i} in section {i % 7}" for i in range(40)] + [f"secret=abcdefghijklmnop{c}{i}x" for i, c in enumerate("qrstuvwxyz" * 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in pii.detect(docs, pii.train(docs)).collect()}
+    assert got[0] == [("secret", "correcthorsebattery")] and got[1] == [("key", "AKIAIOSFODNNEXAMPLE")] and not got[2]
+    assert pii.candidates("the key idea is this") == [] and [c[1:3] for c in pii.candidates("token: 'abc'")] == [(8, 11)]

@@ -26,10 +26,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
+_DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 #: Tokens that may hold personal data or secrets beside the base kinds: with a digit, or after a cue and an equals sign or colon.
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/.-]*[0-9][A-Za-z0-9_+/.-]*")
+_BARE = r"[A-Za-z0-9_+/.-]+"
 _EDGE = "._+/-"
 #: A number that starts like a phone's, where the base pattern ran on into what follows it.
 _DIAL = re.compile(r"\+[0-9](?:[ ().-]{0,2}[0-9]){9,14}(?![0-9])")
@@ -40,6 +42,8 @@ HARMLESS = ("version", "licensed", "license", "copyright", "page", "chapter", "s
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "sk_", "xoxb-", "xoxp-", "AIza", "glpat-")
 
 _CUE = re.compile(r"(?i)(?:^|[^a-z])(?:" + "|".join(map(re.escape, CUES)) + r")[\"']?\s*[=:]?\s*[\"']?$")
+#: A value after a cue and an equals sign or colon, with or without a digit.
+_GIVEN = re.compile(r"(?i)(?<![a-z])(?:" + "|".join(map(re.escape, CUES)) + r")[\"']?\s*+[=:]\s*+[\"']?(" + _BARE + ")")
 _ASSIGN = re.compile(r"[=:]\s*[\"']?$")
 _HARMLESS = re.compile(r"(?i)(?:^|[^a-z])(?:" + "|".join(map(re.escape, HARMLESS)) + r")[^a-z0-9]{0,4}(?:[A-Za-z-]{1,6}[^a-z0-9]{1,2})?$")
 _HEX = re.compile(r"[0-9a-fA-F]{16,}")
@@ -117,16 +121,16 @@ def traits(text: str, start: int, end: int) -> tuple[int, ...]:
 
 def candidates(text: str | None) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
     """(kind, start, end, base?, votes and traits) of all base spans and of further tokens that do not lie within them."""
-    if not text or not _ANY.search(text):
+    if not text:
         return []
-    base = base_spans(text)
+    base = base_spans(text) if _ANY.search(text) else []
     out = [(k, s, e, True, votes(text, s, e, True) + traits(text, s, e)) for k, s, e in base]
     taken = _Cover([(s, e) for _, s, e in base])
     dialled = [m.span() for m in _DIAL.finditer(text) if not taken.holds(*m.span())] if "+" in text else []
     out += [("number", s, e, False, votes(text, s, e, False) + traits(text, s, e)) for s, e in dialled]
     taken = _Cover([(s, e) for _, s, e in base] + dialled)
-    for m in _TOKEN.finditer(text):
-        s, e = m.span()
+    given = [m.span(1) for m in _GIVEN.finditer(text) if not _DIGIT.search(m[1])] if "=" in text or ":" in text else []
+    for s, e in [*(m.span() for m in _TOKEN.finditer(text)), *given]:
         while s < e and text[s] in _EDGE:
             s += 1
         while e > s and text[e - 1] in _EDGE:
