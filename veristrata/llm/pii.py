@@ -215,7 +215,6 @@ def fit(counts: dict[tuple[int, ...], int], rounds: int = 60, ridge: float = 1.0
     odds = np.array([math.log(prior / (1 - prior)) + sum(math.log(table[j, 1, p[j] + 1] / table[j, 0, p[j] + 1]) for j in range(k)) for p in keys])
     y = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     n = np.array([counts[p] for p in keys], dtype=float)
-    n = n * min(1.0, 1e5 / n.sum())
     x = np.stack([design(p) for p in keys])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
