@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,8 +12,10 @@ from .common import discard, map_batches, materialize
 from .graph import connected_components
 
 PERCENT = 75
-#: How far apart the two bands of a narrow band may be.
-REACH = 3
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,8 +46,8 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * shingles.BANDS), pa.array(out.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k0), pa.array(k1), pa.array(sizes), lists], names=["id", "k0", "k1", "n", "bands"])
 
-    src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    return map_batches(src, run, "id long, k0 long, k1 long, n long, bands array<long>")
+    src = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
+    return map_batches(src, run, f"id {_kind(src, 'id')}, k0 long, k1 long, n long, bands array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -64,42 +64,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     joined = pairs.join(texts.select(F.col("id").alias("u"), F.col("t").alias("tu")), "u")
     joined = joined.join(texts.select(F.col("id").alias("v"), F.col("t").alias("tv")), "v")
-    return map_batches(joined.select("u", "v", "tu", "tv"), run, "u long, v long")
-
-
-def _near(pairs: DataFrame) -> DataFrame:
-    """Sizes alone rule out the rest: the smaller set is at least PERCENT of the larger."""
-    return pairs.where((F.col("u") != F.col("v")) & (100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv"))).select("u", "v").distinct()
-
-
-def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs, each once, whose ends lie in different groups so far."""
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    group = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias("g" + c))
-    pairs = pairs.join(group("u"), "u", "left").join(group("v"), "v", "left")
-    return pairs.where(F.coalesce("gu", "u") != F.coalesce("gv", "v")).select("u", "v")
-
-
-def _closer(base: DataFrame, members: DataFrame, groups: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to test between groups that still share a band, and the table behind them.
-
-    Classes in such a band meet again in narrower ones, each made of two bands at most REACH apart: far fewer and
-    more similar classes share these. Each narrow band with several groups links its members to two of them, drawn
-    by a hash that depends on the turn.
-    """
-    named = groups.select(F.col("node").alias("id"), F.col("component").alias("g"))
-    lone = F.coalesce("g", "id").alias("g")
-    mixed = members.select("band", "id").join(named, "id", "left").select("band", "id", lone)
-    mixed = mixed.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("band")
-    live = members.join(mixed, "band", "left_semi").select("id").distinct()
-    narrow = F.array(*(F.xxhash64(F.col("bands")[k], F.col("bands")[(k + d) % shingles.BANDS]) for k in range(shingles.BANDS) for d in range(1, REACH + 1)))
-    rows = base.join(live, "id", "left_semi").join(named, "id", "left")
-    rows = materialize(rows.select("id", "n", lone, F.explode(narrow).alias("band")), "narrow-bands")
-    member, order = F.struct("id", "n"), F.struct(F.xxhash64("band", "id", F.lit(turn)), "id")
-    drawn = rows.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min_by(member, order).alias("a"), F.max_by(member, order).alias("b"))
-    drawn = drawn.where("lo <> hi").select("band", F.array("a", "b").alias("drawn"))
-    pairs = rows.join(drawn, "band").select(F.col("id").alias("u"), F.col("n").alias("nu"), F.explode("drawn").alias("w"))
-    return _across(_near(pairs.select("u", "nu", F.col("w.id").alias("v"), F.col("w.n").alias("nv"))), groups), rows
+    return map_batches(joined.select("u", "v", "tu", "tv"), run, f"u {_kind(pairs, 'u')}, v {_kind(pairs, 'v')}")
 
 
 def _tokens(live: DataFrame, texts: DataFrame) -> DataFrame:
@@ -107,20 +72,22 @@ def _tokens(live: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            at, held = [], []
+            at, held, size = [], [], 0
             for r, _, found in shingles.sets_of(b.column(3)):
                 at.append(np.full(len(found), r, np.int64))
                 held.append(found)
-                if sum(map(len, held)) >= 200_000 or r == b.num_rows - 1:
+                size += len(found)
+                if size >= 200_000 or r == b.num_rows - 1:
                     rows = pa.array(np.concatenate(at))
                     yield pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in range(3)), pa.array(np.concatenate(held).view(np.int64))], names=["id", "n", "g", "s"])
-                    at, held = [], []
+                    at, held, size = [], [], 0
 
-    return map_batches(live.join(texts, "id").select("id", "n", "g", "t"), run, "id long, n long, g long, s long")
+    kind = _kind(live, "id")
+    return map_batches(live.join(texts, "id").select("id", "n", "g", "t"), run, f"id {kind}, n long, g {kind}, s long")
 
 
 def _exact(members: DataFrame, groups: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Every pair that may reach the similarity across groups, of classes in bands that hold several; and tables behind it.
+    """Every pair that may reach the similarity between groups that share a band, centres aside; and tables behind it.
 
     A prefix-filter join on full sets. Shingles of one group alone cannot be shared across groups; the rest of a set, m
     of its n, lies rarest first. With J >= 3/4 and nu <= nv the overlap is at least 3/7 (nu + nv), so at least 6/7 nu
@@ -129,11 +96,11 @@ def _exact(members: DataFrame, groups: DataFrame, texts: DataFrame) -> tuple[Dat
     are never made.
     """
     named = groups.select(F.col("node").alias("id"), F.col("component").alias("g"))
-    rows = members.select("band", "id", "n").join(named, "id", "left").select("band", "id", "n", F.coalesce("g", "id").alias("g"))
+    rows = materialize(members.select("band", "id", "n").join(named, "id", "left").select("band", "id", "n", F.coalesce("g", "id").alias("g")), "grouped-members")
     mixed = rows.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("band")
-    live = rows.join(mixed, "band", "left_semi").select("id", "n", "g").distinct()
-    live = materialize(live, "mixed-classes")
-    tokens = _tokens(live, texts)
+    mixed = materialize(mixed, "mixed-bands")
+    live = materialize(rows.join(mixed, "band", "left_semi").select("id", "n", "g").distinct(), "mixed-classes")
+    tokens = materialize(_tokens(live, texts), "tokens")
     wide = materialize(tokens.groupBy("s").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("s", "c"), "wide-shingles")
     sets = tokens.join(wide, "s").groupBy("id", "n", "g").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("x"))
     sets = sets.withColumn("m", F.size("x").cast("long")).where("m >= (3 * n + 3) div 4")
@@ -144,7 +111,7 @@ def _exact(members: DataFrame, groups: DataFrame, texts: DataFrame) -> tuple[Dat
     of = v.groupBy("s", "g").agg(F.min("nv").alias("least"), F.max("nv").alias("most"), F.max("lv").alias("left"))
     met = u.join(of, "s").where("g <> gu AND nu <= most AND 4 * nu >= 3 * least AND 7 * (1 + least(lu, left)) >= 3 * (nu + greatest(nu, least))").drop("least", "most", "left")
     enough = "(nu < nv OR nu = nv AND u < v) AND 4 * nu >= 3 * nv AND 7 * (1 + least(lu, lv)) >= 3 * (nu + nv)"
-    return met.join(v, ["s", "g"]).where(enough).select("u", "v").distinct(), [live, wide, prefix]
+    return met.join(v, ["s", "g"]).where(enough).select("u", "v").distinct(), [rows, mixed, live, tokens, wide, prefix]
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,61 +120,52 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     1. Rows with one word sequence are one class, stood for by its least id (a partial minimum, so a text that
        fills a third of the table costs one row per task).
     2. Each class has a SuperMinHash signature of 127 slots in 31 bands of 4: texts at 0.75 share no band with
-       probability 8e-6. A band that several classes share links each of them to the least one: a star, never
-       all pairs.
-    3. Stars are confirmed on the full sets and grouped. A second round then links each class to two more members
-       of its band, drawn by hash band by band, where those lie in another group so far; this catches links
-       whose ends do not resemble the first star's centre (texts at 0.75 share ten bands on average).
-    4. Turns over narrower bands follow until one confirms no link; then an exact join on full sets finds every link
-       that is left between groups of a band, however few of its pairs are similar.
+       probability 8e-6. A band that several classes share links each of them to the least one, its centre: a star,
+       never all pairs.
+    3. Stars are confirmed on the full sets and grouped.
+    4. What is left is links between members of a band, none its centre, that are still in different groups. An exact
+       join on full sets finds all of them, however few of a band's pairs are similar.
+    Links of a band are thus whole: no cap, draw or turn decides which pairs are tested.
     Ids of all rows, links and groups stay in tables; nothing is collected. Null and empty texts have an empty
-    set and are linked with nothing. Rows that repeat an id are copies of one document. An empty table gives an
-    empty result. Other columns are not touched.
+    set and are linked with nothing. Ids may be of any type that has an order. Rows that repeat an id are copies of one
+    document. A null id stands for no class: such a row gets the component of an equal text with an id, or else null
+    and kept = true. An empty table gives an empty result. Other columns are not touched.
     """
-    src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    src = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     base = materialize(sketch(src, "id", "t"), "sketches")
     # only sequences that repeat are joined; as a table of their own, so that the join can split a hot one
     again = base.where("n > 0").groupBy("k0", "k1").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1")
     least = materialize(again.select("k0", "k1", "rep"), "repeated")
-    classes = materialize(base.select("id", "k0", "k1", "n").join(least, ["k0", "k1"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "classes")
-
-    reps = classes.where("n > 0 AND id = rep").select("id").distinct()
-    rows = base.select("id", "n", "bands").join(reps, "id", "left_semi").select("id", "n", F.explode("bands").alias("band"))
-    member = F.struct("id", "n")
-    shared = rows.groupBy("band").agg(F.min(member).alias("c"), F.max("id").alias("last")).where("c.id <> last").select("band", "c")
-    members = materialize(rows.join(shared, "band").select("band", "id", "n", "c"), "band-members")
-
-    stars = _near(members.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("c.id").alias("v"), F.col("c.n").alias("nv")))
-    texts = materialize(src.join(members.select("id").distinct(), "id", "left_semi"), "candidate-texts")
+    rep = F.coalesce("rep", "id")
+    classes = base.join(least, ["k0", "k1"], "left").select("id", "n", rep.alias("rep"), F.when((F.col("n") > 0) & (F.col("id") == rep), F.col("bands")).alias("bands"))
+    classes = materialize(classes, "classes")
+    discard(base)
+    discard(least)
+
+    reps = classes.where("bands IS NOT NULL")
+    rows = reps.select("id", "n", F.explode("bands").alias("band"))
+    shared = materialize(rows.groupBy("band").agg(F.min("id").alias("c"), F.max("id").alias("last")).where("c <> last").select("band", "c"), "shared-bands")
+    members = materialize(rows.join(shared, "band").where("id <> c").select("band", "id", "n", "c").distinct(), "band-members")
+    discard(shared)
+
+    pairs = members.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("c").alias("v")).distinct()
+    pairs = pairs.join(reps.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v")
+    # sizes alone rule out the rest: the smaller set is at least PERCENT of the larger
+    stars = materialize(pairs.where(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")).select("u", "v").distinct(), "stars")
+    needed = members.select("id").unionByName(stars.select(F.col("v").alias("id"))).distinct()
+    texts = materialize(src.join(needed, "id", "left_semi"), "candidate-texts")
     links = materialize(verify(stars, texts), "links")
-    first = connected_components(links)
-
-    drawn = members.groupBy("band").agg(
-        F.min_by(member, F.struct(F.xxhash64("band", "id"), "id")).alias("a"), F.max_by(member, F.struct(F.xxhash64("band", "id"), "id")).alias("b")
-    )
-    more = members.select("band", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("c.id").alias("was")).join(drawn, "band")
-    more = more.select("u", "nu", "was", F.explode(F.array("a", "b")).alias("w")).where("w.id <> was")
-    more = _near(more.select("u", "nu", F.col("w.id").alias("v"), F.col("w.n").alias("nv")))
-    more = _across(more, first)
-    rest = materialize(verify(more, texts), "links")
-    found, groups = [links, rest], connected_components(links.unionByName(rest))
-    while True:
-        pairs, held = _closer(base, members, groups, len(found))
-        again = materialize(verify(pairs, texts), "links")
-        discard(held)
-        found.append(again)
-        if not again.limit(1).count():
-            break
-        groups = connected_components(reduce(DataFrame.unionByName, found))
+    groups = materialize(connected_components(links), "groups")
     pairs, held = _exact(members, groups, texts)
-    found.append(materialize(verify(pairs, texts), "links"))
-    for t in held:
+    more = materialize(verify(pairs, texts), "links")
+    for t in (*held, members, stars, texts):
         discard(t)
-    if found[-1].limit(1).count():
-        groups = connected_components(reduce(DataFrame.unionByName, found))
+    if more.limit(1).count():
+        discard(groups)
+        groups = materialize(connected_components(links.unionByName(more)), "groups")
     out = classes.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
     out = materialize(out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept")), "components")
-    for t in (base, least, classes, members, texts, *found):
+    for t in (classes, links, more, groups):
         discard(t)
     return out
