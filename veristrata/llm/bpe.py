@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, map_batches, prefix_hash, span_hash, text_column
+from .common import KEEP, blocks, map_batches, mix, parts, same_spans, span_hash, text_column
 
 #: Bytes of text whose distinct words are folded together, and the longest word whose boundaries fit the fold's 64 bits.
 GROUP_BYTES = 4 << 20
@@ -90,6 +90,21 @@ def piece_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- merges
 
+_BASE = 0x2545F4914F6CDD1D
+
+
+class Rolling:
+    """Hashes of any spans of a block in constant time each. They only propose pieces; bytes decide."""
+
+    def __init__(self, data: np.ndarray):
+        power = lambda base: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(data), base, np.uint64)]))
+        self.back = power(pow(_BASE, -1, 1 << 64))
+        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(mix(data.astype(np.uint64) + np.uint64(1)) * power(_BASE)[:-1], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+
 
 class Vocabulary:
     """Pieces by rank, with what the fold and its preparation look up.
@@ -106,23 +121,39 @@ class Vocabulary:
         self.ranks = {b: r for r, b in enumerate(pieces)}
         if len(self.ranks) != len(pieces) or any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("distinct pieces with all single bytes among them are needed")
-        known = _hashes(pieces)
+        self.lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        ends = np.cumsum(self.lengths)
+        known = Rolling(data)(ends - self.lengths, ends)
         order = np.argsort(known)
         self.known, self.order = known[order], order.astype(np.int64)
+        if (self.known[1:] == self.known[:-1]).any():
+            raise ValueError("two pieces have one hash")
         self.maybe = np.zeros(1 << 22, dtype=bool)
         self.maybe[(known & np.uint64(len(self.maybe) - 1)).astype(np.int64)] = True
-        self.lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+        #: The pieces' bytes, eight by eight.
+        self.content = np.zeros((len(pieces), -(-int(self.lengths.max()) // 8)), dtype=np.uint64)
+        self.content.view(np.uint8)[np.arange(self.content.shape[1] * 8)[None, :] < self.lengths[:, None]] = data
         self.longest = int(min(self.lengths.max(), LONG))
         self.odd = np.zeros(len(pieces), dtype=bool)
         self.odd[[r for r, p in enumerate(pieces) if len(p) > 1 and self.merge(p, r) != [r]]] = True
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Ranks of pieces with these hashes, or -1."""
+    def find(self, p: np.ndarray, h: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The ranks of spans of parts()' p that are pieces, byte by byte, or -1; h: their Rolling hashes."""
         out = np.full(len(h), -1, dtype=np.int64)
         at = np.flatnonzero(self.maybe[(h & np.uint64(len(self.maybe) - 1)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
         hit = self.known[k] == h[at]
-        out[at[hit]] = self.order[k[hit]]
+        at, rank = at[hit], self.order[k[hit]]
+        hit = self.lengths[rank] == sizes[at]
+        at, rank = at[hit], rank[hit]
+        good = np.ones(len(at), dtype=bool)
+        live = np.arange(len(at))
+        for j in range(self.content.shape[1]):
+            n = sizes[at[live]]
+            good[live] &= p[starts[at[live]] + 8 * j] & KEEP[np.minimum(n - 8 * j, 8)] == self.content[rank[live], j]
+            live = live[n > 8 * (j + 1)]
+        out[at[good]] = rank[good]
         return out
 
     def merge(self, word: bytes, limit: int | None = None) -> list[int]:
@@ -165,7 +196,7 @@ class Vocabulary:
 
     def _candidates(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum(sizes)
-        h = prefix_hash(data)
+        h, p = Rolling(data), parts(data)
         word = np.repeat(np.arange(len(sizes)), sizes)
         place = np.arange(len(data)) - (ends - sizes)[word]
         left = ends[word] - np.arange(len(data))
@@ -175,7 +206,7 @@ class Vocabulary:
             at = at[left[at] >= n]
             if not len(at):
                 break
-            r = self.find(span_hash(h, at, at + n))
+            r = self.find(p, h(at, at + n), at, np.full(len(at), n))
             hit = r >= 0
             x = at[hit]
             found.append((word[x].astype(np.uint64) << np.uint64(32)) | (r[hit].astype(np.uint64) << np.uint64(8)) | place[x].astype(np.uint64))
@@ -192,12 +223,6 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def _hashes(pieces: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    ends = np.cumsum([len(p) for p in pieces])
-    return span_hash(prefix_hash(data), ends - np.array([len(p) for p in pieces]), ends)
-
-
 def _literal(spark: SparkSession, x: np.ndarray) -> Column:
     """An array<bigint> literal that keeps its numbers in one primitive array."""
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
@@ -206,6 +231,14 @@ def _literal(spark: SparkSession, x: np.ndarray) -> Column:
     return Column(jvm.org.apache.spark.sql.functions.lit(out))
 
 
+def decoded(ids: Column, voc: Vocabulary, spark: SparkSession) -> Column:
+    """The bytes of an array of ids: their binary pieces, concatenated. The literal piece list holds them as hex digits, as Spark joins text only."""
+    jvm = spark._jvm
+    pieces = jvm.java.util.regex.Pattern.compile(",").split(",".join(p.hex() for p in voc.pieces))
+    pieces = Column(jvm.org.apache.spark.sql.functions.lit(pieces))
+    return F.unhex(F.array_join(F.transform(ids, lambda i: pieces[i]), ""))
+
+
 def folded(full: Column, candidates: Column, ends: Column, inner: Column) -> Column:
     """The boundaries of each word's ids after its ranked merges, as bits: array<bigint>.
 
@@ -233,9 +266,10 @@ def encode(docs: DataFrame, voc: Vocabulary, key: str = "doc_id", text: str = "t
 
     Whole texts are cut into pieces of the pattern. A piece that is in the vocabulary is its own id; the distinct
     others of each group of texts (GROUP_BYTES, or one longer text) are folded once, where they are, and put back
-    by index: no shuffle, and memory for one group. Words of more than LONG bytes are merged with a heap, as the
-    fold keeps a word's boundaries in one number. decoded concatenates the binary pieces of the ids. Null texts are
-    empty, empty texts have no ids; rows repeat as in docs; an empty table gives an empty result.
+    by index: no shuffle, and memory for one group. Words are one word only if their bytes are equal. Words of more
+    than LONG bytes are merged with a heap, as the fold keeps a word's boundaries in one number. decoded concatenates
+    the binary pieces of the ids, in Spark. Null texts are empty, empty texts have no ids; rows repeat as in docs; an
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -243,20 +277,28 @@ def encode(docs: DataFrame, voc: Vocabulary, key: str = "doc_id", text: str = "t
     size = len(voc.pieces)
 
     def group(held, keys):
-        starts, sizes, hashes, counts, bufs, at = [], [], [], [], [], 0
+        starts, sizes, counts, bufs, at = [], [], [], [], 0
         for column in held:
             for _, buf, offsets in blocks(column):
                 s = piece_starts(buf, offsets)
                 e = np.append(s[1:], len(buf))
-                hashes.append(span_hash(prefix_hash(buf), s, e))
                 counts.append(np.diff(np.searchsorted(s, offsets)))
                 starts.append(s + at)
                 sizes.append(e - s)
                 bufs.append(buf)
                 at += len(buf)
-        data, starts, sizes, h = (np.concatenate(x) for x in (bufs, starts, sizes, hashes))
-        u, example, back = np.unique(h, return_index=True, return_inverse=True)
-        code = voc.find(u)
+        data, starts, sizes = (np.concatenate(x) for x in (bufs, starts, sizes))
+        p = parts(data)
+        _, example, back = np.unique(span_hash(p, starts, starts + sizes), return_index=True, return_inverse=True)
+        # words with one hash are one only if their bytes are
+        size_of, first_of = sizes[example[back]], starts[example[back]]
+        apart: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero((sizes != size_of) | ~same_spans(p, starts, first_of, np.minimum(sizes, size_of))):
+            apart.setdefault(data[starts[i] : starts[i] + sizes[i]].tobytes(), []).append(i)
+        for k, same in enumerate(apart.values()):
+            back[same] = len(example) + k
+        example = np.concatenate([example, np.array([same[0] for same in apart.values()], dtype=example.dtype)])
+        code = voc.find(p, Rolling(data)(starts[example], (starts + sizes)[example]), starts[example], sizes[example])
         rest = np.flatnonzero(code < 0)
 
         def cut(which):
@@ -309,10 +351,10 @@ def encode(docs: DataFrame, voc: Vocabulary, key: str = "doc_id", text: str = "t
         bits &= np.arange(LONG + 1)[None, :] < n[:, None]
         word, place = np.nonzero(bits)
         s = (np.cumsum(n) - n)[word] + place
-        return voc.find(span_hash(prefix_hash(data), s, np.append(s[1:], len(data)))), np.bincount(word, minlength=len(n))
+        e = np.append(s[1:], len(data))
+        return voc.find(parts(data), Rolling(data)(s, e), s, e - s), np.bincount(word, minlength=len(n))
 
     def join(batches):
-        pieces = voc.pieces
         for b in batches:
             for row in range(b.num_rows):
                 keys = b.column(0).slice(row, 1).flatten()
@@ -331,11 +373,7 @@ def encode(docs: DataFrame, voc: Vocabulary, key: str = "doc_id", text: str = "t
                     run = np.cumsum(m)
                     out = values[np.arange(int(m.sum())) - np.repeat(run - m, m) + np.repeat(starts[c], m)]
                     bounds = np.concatenate(([0], run))[np.concatenate(([base], ends[first:last])) - base].astype(np.int32)
-                    columns = [keys.slice(first, last - first), pa.ListArray.from_arrays(pa.array(bounds), pa.array(out))]
-                    if decode:
-                        every = out.tolist()
-                        columns.append(pa.array([b"".join([pieces[i] for i in every[x:y]]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary()))
-                    yield pa.RecordBatch.from_arrays(columns, names=["k", "ids", "decoded"][: len(columns)])
+                    yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), pa.ListArray.from_arrays(pa.array(bounds), pa.array(out))], names=["k", "ids"])
                     first = last
 
     blobs = ", ".join(f"{c} binary" for c in _GROUP)
@@ -343,7 +381,9 @@ def encode(docs: DataFrame, voc: Vocabulary, key: str = "doc_id", text: str = "t
     short = np.where(voc.lengths <= LONG, voc.lengths, 1)
     ends, inner = _literal(spark, (np.int64(1) << short) | 1), _literal(spark, ((np.int64(1) << short) - 1) & ~np.int64(1))
     masks = grouped.select("keys", *_GROUP, folded(F.col("full"), F.col("candidates"), ends, inner).alias("masks"))
-    out = map_batches(masks, join, f"k {key_type}, ids array<int>" + ", decoded binary" * decode)
+    out = map_batches(masks, join, f"k {key_type}, ids array<int>")
+    if decode:
+        out = out.select("k", "ids", decoded(F.col("ids"), voc, spark).alias("decoded"))
     return out.withColumnRenamed("k", key)
 
 

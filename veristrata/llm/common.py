@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,17 +18,17 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that are scanned at once; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
 
-_M64 = (1 << 64) - 1
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local session gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -36,16 +37,31 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 
-    The table lies on storage that outlives executors, so a later stage never recomputes what led to it.
+    The table lies on storage that outlives executors, so a later stage never recomputes what led to it. discard()
+    deletes it; what nobody discards, as a result that is still to be read, goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jpath, fs = _filesystem(spark, path)
+    fs.deleteOnExit(jpath)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out
 
 
+def _filesystem(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 #: Rows in an Arrow batch at most: a task holds a few batches at once, in the JVM and in Python.
 BATCH_ROWS = 2000
 
@@ -83,9 +99,8 @@ def discard(df: DataFrame | None) -> None:
     """Delete a table that materialize() wrote and that no later plan reads."""
     path = getattr(df, "_table_path", None)
     if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        jpath, fs = _filesystem(df.sparkSession, path)
+        fs.delete(jpath, True)
 
 
 # ---------------------------------------------------------------- vectorised text
@@ -100,47 +115,69 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _table(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-
-
-_BASE = 0x2545F4914F6CDD1D
-_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = _table(11)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and base ** -i modulo 2 ** 64, for i up to n; kept for blocks of the usual size only."""
-    if len(_powers[0]) > n:
-        return _powers[0], _powers[1]
-    size = max(n + 1, BLOCK_BYTES + 1)
-    out = []
-    for base in (_BASE, _INV):
-        x = np.full(size, base, dtype=np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    if size <= 4 * BLOCK_BYTES:
-        _powers[:] = out
-    return out[0], out[1]
-
-
-def prefix_hash(buf: np.ndarray, lower: bool = False) -> np.ndarray:
-    p, _ = powers(len(buf))
-    h = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[buf] * p[: len(buf)], out=h[1:])
-    return h
-
-
-def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, from prefix_hash()'s h."""
-    _, inv = powers(len(h))
-    return mix((h[ends] - h[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+#: Keeps the first 0 to 8 bytes of a part.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Parts of a span that are taken side by side with those of the other spans; longer ones follow on their own.
+_SIDE = 8
+
+
+def parts(buf: np.ndarray, lower: bool = False) -> np.ndarray:
+    """The eight bytes from each place of a block on, as little-endian numbers; zeros follow its end. lower: A-Z as a-z."""
+    data = np.zeros(len(buf) + 8, dtype=np.uint8)
+    data[: len(buf)] = _LOWER[buf] if lower else buf
+    return np.ndarray(len(buf) + 1, "<u8", data, strides=(1,))
+
+
+def _further(starts: np.ndarray, sizes: np.ndarray):
+    """For spans of over _SIDE parts: where each further part begins, its number, how many bytes of it count, and each span's first."""
+    n = -(-sizes // 8) - _SIDE
+    first = np.cumsum(n) - n
+    number = np.arange(int(n.sum())) - np.repeat(first, n) + _SIDE
+    return np.repeat(starts, n) + 8 * number, number, np.minimum(np.repeat(sizes, n) - 8 * number, 8), first
+
+
+def span_hash(p: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span of parts()' p: the sum of its eight-byte parts, each mixed with its number.
+
+    The parts are mixed before they are added, so no pattern of bytes cancels out, whatever its length. Other seeds give
+    independent hashes.
+    """
+
+    def mixed(at, number, size):
+        salt = mix(np.atleast_1d(np.asarray(number, dtype=np.uint64)) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        return mix((p[at] & KEEP[size]) ^ salt)
+
+    sizes = ends - starts
+    h = sizes.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    live = np.flatnonzero(sizes > 0)
+    for k in range(_SIDE):
+        if not len(live):
+            return mix(h)
+        h[live] += mixed(starts[live] + 8 * k, k, np.minimum(sizes[live] - 8 * k, 8))
+        live = live[sizes[live] > 8 * (k + 1)]
+    if len(live):
+        at, number, size, first = _further(starts[live], sizes[live])
+        h[live] += np.add.reduceat(mixed(at, number, size), first)
+    return mix(h)
+
+
+def same_spans(p: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the spans of these sizes that begin at a and at b hold the same bytes."""
+    out = np.ones(len(a), dtype=bool)
+    live = np.flatnonzero(sizes > 0)
+    for k in range(_SIDE):
+        keep = KEEP[np.minimum(sizes[live] - 8 * k, 8)]
+        out[live] &= (p[a[live] + 8 * k] ^ p[b[live] + 8 * k]) & keep == 0
+        live = live[sizes[live] > 8 * (k + 1)]
+    if len(live):
+        at, number, size, first = _further(a[live], sizes[live])
+        other = at + np.repeat(b[live] - a[live], np.diff(np.append(first, len(at))))
+        out[live] &= np.logical_and.reduceat((p[at] ^ p[other]) & KEEP[size] == 0, first)
+    return out
 
 
 def text_column(column: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -12,6 +12,8 @@ from .common import discard, map_batches, materialize
 from .graph import connected_components
 
 PERCENT = 75
+#: Links are confirmed by other word hashes than those that found them.
+CONFIRM = 1
 
 
 def _kind(df: DataFrame, column: str) -> str:
@@ -34,7 +36,7 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                     out[rows] = shingles.bands(shingles.signatures(held))
                 rows, held, size = [], [], 0
 
-            for r, pair, found in shingles.sets_of(b.column(1)):
+            for r, pair, found in shingles.keyed_sets_of(b.column(1)):
                 sizes[r] = len(found)
                 k0[r], k1[r] = np.array(pair, dtype=np.uint64).view(np.int64)
                 rows.append(r)
@@ -55,7 +57,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            both = [[s for _, _, s in shingles.sets_of(b.column(k))] for k in (2, 3)]
+            both = [[s for _, s in shingles.sets_of(b.column(k), seed=CONFIRM)] for k in (2, 3)]
             keep = []
             for x, y in zip(*both):
                 o = shingles.overlap(x, y)
@@ -73,7 +75,7 @@ def _tokens(live: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             at, held, size = [], [], 0
-            for r, _, found in shingles.sets_of(b.column(3)):
+            for r, found in shingles.sets_of(b.column(3), seed=CONFIRM):
                 at.append(np.full(len(found), r, np.int64))
                 held.append(found)
                 size += len(found)
@@ -151,7 +153,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     pairs = members.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("c").alias("v")).distinct()
     pairs = pairs.join(reps.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v")
     # sizes alone rule out the rest: the smaller set is at least PERCENT of the larger
-    stars = materialize(pairs.where(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")).select("u", "v").distinct(), "stars")
+    stars = materialize(pairs.where(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")).select("u", "v"), "stars")
     needed = members.select("id").unionByName(stars.select(F.col("v").alias("id"))).distinct()
     texts = materialize(src.join(needed, "id", "left_semi"), "candidate-texts")
     links = materialize(verify(stars, texts), "links")

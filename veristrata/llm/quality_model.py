@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, map_batches, materialize, mix, prefix_hash, span_hash, word_spans
+from .common import blocks, discard, map_batches, materialize, mix, parts, span_hash, word_spans
 
 FEATURES = 96
 BINS = 256
@@ -37,9 +37,8 @@ def statistics(column: pa.Array) -> np.ndarray:
     for first, buf, offsets in blocks(column):
         rows = len(offsets) - 1
         starts, ends, counts = word_spans(buf, offsets)
-        h = prefix_hash(buf)
-        words = span_hash(h, starts, ends)
-        low = span_hash(prefix_hash(buf, lower=True), starts, ends)
+        low = span_hash(parts(buf, lower=True), starts, ends)
+        p = parts(buf)
         share = []
         for m in (_UPPER, _DIGIT, _SYMBOL, _PUNCT, _EXCL, _PIPE, _HIGH, _SPACE):
             c = np.concatenate(([0], np.cumsum(m[buf])))
@@ -66,7 +65,7 @@ def statistics(column: pa.Array) -> np.ndarray:
             l0, l1 = np.concatenate(([s], cut + 1)), np.concatenate((cut, [e]))
             w = low[a:b]
             u, c = np.unique(w, return_counts=True)
-            lines = span_hash(h, l0, l1)[l1 > l0]
+            lines = span_hash(p, l0, l1)[l1 > l0]
             x[1], x[2] = np.log1p(n), np.log1p(len(lines))
             x[3] = (chars[b] - chars[a]) / n
             x[12], x[13] = len(u) / n, c.max() / n

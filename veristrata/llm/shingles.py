@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .common import blocks, mix, prefix_hash, span_hash, word_spans
+from .common import blocks, mix, parts, span_hash, word_spans
 
 WORDS = 5
 #: A prime: ranks of an element are an affine permutation of the slots.
@@ -15,14 +15,27 @@ BANDS = SLOTS // ROWS
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def sets_of(column: pa.Array, words: int = WORDS):
-    """Yields (row, sequence hash pair, sorted distinct shingle hashes) for every row of a text column.
+def sets_of(column: pa.Array, words: int = WORDS, seed: int = 0):
+    """Yields (row, sorted distinct shingle hashes) for every row of a text column; other seeds give independent hashes.
 
     A-Z is lower-cased; fewer than `words` words are one shingle; no word gives an empty set.
     """
+    for row, w, found, _ in _sets(column, words, seed, False):
+        yield row, found
+
+
+def keyed_sets_of(column: pa.Array, words: int = WORDS):
+    """Yields (row, sequence key, set): the key is two independent hashes of the word sequence, of independent word hashes."""
+    for row, w, found, other in _sets(column, words, 0, True):
+        yield row, (sequence_hash(w), sequence_hash(other)) if len(w) else (0, 0), found
+
+
+def _sets(column, words, seed, both):
     for first, buf, offsets in blocks(column):
         starts, ends, counts = word_spans(buf, offsets)
-        w = span_hash(prefix_hash(buf, lower=True), starts, ends)
+        p = parts(buf, lower=True)
+        w = span_hash(p, starts, ends, seed)
+        other = span_hash(p, starts, ends, seed + 1) if both else w
         n = len(w)
         if n >= words:
             s = w[: n - words + 1].copy()
@@ -32,12 +45,10 @@ def sets_of(column: pa.Array, words: int = WORDS):
         for r in range(len(offsets) - 1):
             a, b = int(counts[r]), int(counts[r + 1])
             if b - a >= words:
-                yield first + r, sequence_key(w[a:b]), distinct(s[a : b - words + 1])
-            elif b > a:
-                key = sequence_key(w[a:b])
-                yield first + r, key, np.array([key[0]], dtype=np.uint64)
+                found = distinct(s[a : b - words + 1])
             else:
-                yield first + r, (0, 0), np.zeros(0, dtype=np.uint64)
+                found = np.array([sequence_hash(w[a:b])], dtype=np.uint64)[: b - a]
+            yield first + r, w[a:b], found, other[a:b]
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -45,12 +56,10 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))]
 
 
-def sequence_key(w: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit hashes of a word sequence, from its words' hashes and places."""
+def sequence_hash(w: np.ndarray) -> int:
+    """A 64-bit hash of a word sequence, from its words' hashes and places."""
     at = np.arange(1, len(w) + 1, dtype=np.uint64)
-    a = int(np.bitwise_xor.reduce(mix(w + at * np.uint64(0xD1342543DE82EF95))))
-    b = int(np.add.reduce(mix(w ^ (at * np.uint64(0xA0761D6478BD642F)))))
-    return a, b
+    return int(np.add.reduce(mix(w ^ (at * np.uint64(0xA0761D6478BD642F))), dtype=np.uint64))
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
