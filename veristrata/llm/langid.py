@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, map_batches, mix, powers, prefix_hash, text_column
+from .common import KEEP, blocks, map_batches, mix, parts, span_hash, text_column
 
 UND = "und"
 BUCKETS = 1 << 15
@@ -32,24 +32,21 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray):
     return starts, ends, np.searchsorted(starts, offsets, side="left")
 
 
-def _slot(h, starts, ends, kind: int) -> np.ndarray:
-    _, inv = powers(len(h))
-    return (mix((h[ends] - h[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * np.uint64(64) + np.uint64(kind)) & np.uint64(BUCKETS - 1)).astype(np.int32)
-
-
-def _word_key(h, starts, ends) -> np.ndarray:
-    _, inv = powers(len(h))
-    return mix((h[ends] - h[starts]) * inv[starts])
+def _slot(x: np.ndarray, size, kind: int) -> np.ndarray:
+    """The slot of a feature: the first `size` bytes of the parts x, and its kind."""
+    return (mix((x & KEEP[size]) ^ (np.uint64(kind) << np.uint64(56))) & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
 def features(buf, starts, ends):
     """Affix slots [words, 2 * len(AFFIXES)], n-gram slots with each n-gram's word, and the words' keys."""
-    h = prefix_hash(buf, lower=True)
-    affixes = [_slot(h, starts, np.minimum(starts + k, ends), 1) for k in AFFIXES] + [_slot(h, np.maximum(ends - k, starts), ends, 2) for k in AFFIXES]
-    n = np.maximum(ends - starts - (NGRAM - 1), 0)
+    p = parts(buf, lower=True)
+    sizes = ends - starts
+    affixes = [_slot(p[starts], np.minimum(k, sizes), 2 * k) for k in AFFIXES]
+    affixes += [_slot(p[np.maximum(ends - k, starts)], np.minimum(k, sizes), 2 * k + 1) for k in AFFIXES]
+    n = np.maximum(sizes - (NGRAM - 1), 0)
     word = np.repeat(np.arange(len(starts)), n)
     at = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n) + starts[word]
-    return np.stack(affixes, axis=1) if len(starts) else np.zeros((0, 2 * len(AFFIXES)), np.int32), _slot(h, at, at + NGRAM, 3), word, n, _word_key(h, starts, ends)
+    return np.stack(affixes, axis=1) if len(starts) else np.zeros((0, 2 * len(AFFIXES)), np.int32), _slot(p[at], NGRAM, 255), word, n, span_hash(p, starts, ends)
 
 
 class Model:
@@ -231,16 +228,26 @@ def held_out(key: Column) -> Column:
     return (F.crc32(key.cast("string").cast("binary")) % 4) == 2
 
 
-def fit(docs: DataFrame, sample_docs: int = 1000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Train on at most sample_docs labelled rows that are not held out: those of least hashed key, over all rows.
+def fit(docs: DataFrame, sample_docs: int = 1000, sample_chars: int = 20_000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """Train on at most sample_docs labelled rows of at most sample_chars characters that are not held out.
 
-    The ids are picked without reading texts; their number is the parameter's, so the broadcast is bounded.
+    They are those of least hashed key, over all rows; of rows that repeat a key one counts, the least. The keys are
+    picked without reading texts, from the few whose hash is under a bound; longer texts are not used. So what
+    reaches the driver is bounded by the two parameters, however often a key repeats.
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
-    ids = usable.select(F.col(key).alias("__id"), F.xxhash64(F.col(key)).alias("__h")).orderBy("__h", "__id").limit(sample_docs).select("__id").distinct()
-    rows = usable.where(F.col(text).isNotNull()).join(F.broadcast(ids), F.col(key) == F.col("__id"), "left_semi").select(key, text, lang).collect()
-    rows = sorted(((r[0], r[1], r[2]) for r in rows), key=lambda r: (str(r[0]), r[2], r[1]))[: 2 * sample_docs]
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    hashed = usable.select(F.col(key).alias("__id"), (F.xxhash64(F.col(key)) / F.lit(2.0**64) + 0.5).alias("__h"))
+    share, rows = min(1.0, 4 * sample_docs / max(1, usable.count())), 0
+    while True:
+        ids = hashed.where(F.col("__h") <= share).distinct().orderBy("__h", "__id").limit(sample_docs)
+        rows = ids.count()
+        if rows >= sample_docs or share >= 1:
+            break
+        share = min(1.0, share * 8)
+    told = usable.where(F.col(text).isNotNull() & (F.length(text) <= sample_chars)).join(F.broadcast(ids.select("__id")), F.col(key) == F.col("__id"), "left_semi")
+    one = told.groupBy(F.col(key).alias("__k")).agg(F.min(F.struct(F.col(lang).alias("l"), F.col(text).alias("t"))).alias("x"))
+    found = sorted(((r[0], r[1], r[2]) for r in one.select("__k", "x.t", "x.l").collect()), key=lambda r: str(r[0]))
+    return train([r[1] for r in found], [r[2] for r in found])
 
 
 def judge(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
