@@ -74,6 +74,7 @@ class _Sequence(HTMLParser):
         self.run: list[str] = []
         self.figure: list[int] | None = None
         self.caption: list[str] | None = None
+        self.told = ""
         self.skip = 0
 
     def flush(self) -> None:
@@ -88,8 +89,10 @@ class _Sequence(HTMLParser):
         if tag in _BLOCKS:
             self.flush()
         if tag == "figure":
+            self.end_figure()
             self.figure = []
         elif tag == "figcaption":
+            self.end_caption()
             self.caption = []
         elif tag in _MEDIA:
             a = dict(attrs)
@@ -102,18 +105,36 @@ class _Sequence(HTMLParser):
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for k in self.figure or ():
-                self.items[k]["caption"] = text or self.items[k]["caption"]
-            if self.figure is None and text:
-                self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
-            self.caption = None
+        if tag == "figcaption":
+            self.end_caption()
         elif tag == "figure":
-            self.figure = None
+            self.end_figure()
         if tag in _BLOCKS:
             self.flush()
 
+    def end_caption(self):
+        """A caption is held until its figure ends, as media may follow it; without a figure it is text."""
+        if self.caption is None:
+            return
+        text = " ".join("".join(self.caption).split())
+        self.caption = None
+        if self.figure is None:
+            self.run.append(text)
+            self.flush()
+        else:
+            self.told = " ".join(x for x in (self.told, text) if x)
+
+    def end_figure(self):
+        """The caption goes to all media of the figure; in a figure without media it is text."""
+        self.end_caption()
+        if self.told and self.figure:
+            for k in self.figure:
+                self.items[k]["caption"] = self.told
+        elif self.told:
+            self.flush()
+            self.items.append({"kind": "text", "text": self.told, "ref": None, "caption": None})
+        self.figure, self.told = None, ""
+
     def handle_data(self, data):
         if not self.skip:
             (self.run if self.caption is None else self.caption).append(data)
@@ -123,8 +144,7 @@ def parse_html(html: str | None) -> list[dict]:
     p = _Sequence()
     p.feed(html or "")
     p.close()
-    if p.caption is not None:
-        p.handle_endtag("figcaption")
+    p.end_figure()
     p.flush()
     return [{"pos": k} | x for k, x in enumerate(p.items)]
 
@@ -133,7 +153,8 @@ def interleave(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, sequence): for each row the ordered structs (pos, kind text or media, text, ref, caption).
 
     Null, empty and broken HTML give what can be read of it, at least an empty array; scripts and styles are
-    skipped; rows repeat as in pages.
+    skipped; rows repeat as in pages. A figcaption before or after its media is their caption (several are joined by a
+    space); in a figure without media, or outside one, it is text.
     """
 
     def run(batches):
