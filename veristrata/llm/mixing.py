@@ -7,14 +7,18 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
+
 #: Beyond this tail the inverted distribution has no more mass than a double's rounding.
 TAIL = 1e-15
+#: A larger mean is a sum of equal means up to this one, each inverted at a hash of its own.
+LARGEST = 500
 
 
 def poisson_cdf(rate: float) -> list[float]:
     """P(count <= k) for k = 0, 1, ... until the rest is under TAIL."""
-    if not 0 <= rate <= 500:
-        raise ValueError("a mean repetition rate lies between 0 and 500")
+    if not 0 <= rate <= LARGEST:
+        raise ValueError(f"a mean repetition rate lies between 0 and {LARGEST}")
     out, p, total, k = [], math.exp(-rate), 0.0, 0
     while True:
         total += p
@@ -63,32 +67,38 @@ def mix(
     weights: target share by source; "*" is the share of all other sources (and null sources) together. Shares
     need not sum to 1; those of absent sources go to the rest in proportion. total: expected rows of the result
     (the input's size by default). A row's count inverts the Poisson distribution at a number hashed from seed
-    and key, so it depends on neither partitioning nor order: a lost task repeats the same copies. Equal keys
+    and key, so it depends on neither partitioning nor order: a lost task repeats the same copies. A mean over
+    LARGEST (a rare source with a large share) is split: a sum of independent Poisson counts is a Poisson count. Equal keys
     get equal counts; a null key hashes as the empty text. A count of 0 leaves the row out (that is the method).
     Adds the long column `copy` (1, 2, ... within a row; it replaces a column of that name). An empty table
     gives an empty one. The global shuffle is by a hash of key and copy, so a hot source has no partition of its own.
     """
     lam = rates(docs, weights, total, source)
-    u = unit_hash(F.coalesce(F.col(key).cast("string"), F.lit("")), seed)
-
+    names = [c for c in docs.columns if c != copy]
+    kept = [F.col(f"`{c}`") for c in names]
+    hashed, count, order = (spare(docs, c) for c in ("__u", "__n", "__order"))
+    name_of = F.coalesce(F.col(key).cast("string"), F.lit(""))
 
     def inverted(rate: float) -> Column:
-        cdf = F.array(*[F.lit(p) for p in poisson_cdf(rate)])
-        return F.size(F.filter(cdf, lambda c: c <= F.col("__u")))
+        times = max(1, math.ceil(rate / LARGEST))
+        cdf = F.array(*[F.lit(p) for p in poisson_cdf(rate / times)])
+        below = lambda u: F.size(F.filter(cdf, lambda c: c <= u))
+        if times == 1:
+            return below(F.col(hashed))
+        each = F.sequence(F.lit(1), F.lit(times))
+        return F.aggregate(each, F.lit(0), lambda n, i: n + below(unit_hash(F.concat(name_of, F.lit(":"), i.cast("string")), seed)))
 
     n = None
     for name, rate in lam.items():
         if name is not None:
             n = F.when(F.col(source) == name, inverted(rate)) if n is None else n.when(F.col(source) == name, inverted(rate))
     n = inverted(lam[None]) if n is None else n.otherwise(inverted(lam[None]))
-    names = [c for c in docs.columns if c != copy]
     copies = (
-        docs.select(*[F.col(f"`{c}`") for c in names], u.alias("__u"))
-        .select(*[F.col(f"`{c}`") for c in names], n.alias("__n"))
-        .where("__n > 0")
-        .select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n").cast("long"))).alias(copy))
+        docs.select(*kept, unit_hash(name_of, seed).alias(hashed))
+        .select(*kept, n.alias(count))
+        .where(F.col(count) > 0)
+        .select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count).cast("long"))).alias(copy))
     )
-    order = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(copy))
-    dealt = copies.withColumn("__order", order)
-    dealt = dealt.repartition(partitions, "__order") if partitions else dealt.repartition("__order")
-    return dealt.sortWithinPartitions("__order").drop("__order")
+    dealt = copies.withColumn(order, F.xxhash64(F.lit(seed), name_of, F.col(copy)))
+    dealt = dealt.repartition(partitions, order) if partitions else dealt.repartition(order)
+    return dealt.sortWithinPartitions(order).drop(order)
