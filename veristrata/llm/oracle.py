@@ -35,8 +35,10 @@ def _rule(what: str, host: str = "host", path: str = "path") -> str:
     return f"CASE{cases} END"
 
 
-def _node(host: str, path: str) -> str:
-    return f"regexp_replace(regexp_replace({host}, ':(80|443)$', ''), '^(www|m)\\.', '') || regexp_replace({path}, '(\\.html?|/)+$', '')"
+def _node(url: str) -> str:
+    host, path = _host_path(url)
+    query = f"regexp_extract(substr({url}, instr({url}, '://') + 3), '^[^?#]*(\\?[^#]*)', 1)"
+    return f"CASE WHEN {host} <> '' THEN regexp_replace({host}, ':(80|443)$', '') || CASE {path} WHEN '' THEN '/' ELSE {path} END || {query} END"
 
 
 def _op5() -> str:
@@ -45,17 +47,17 @@ def _op5() -> str:
     canonical = r"""'(?is)\brel\s*=\s*["'']?canonical\b'"""
     return rf"""
 WITH RECURSIVE p AS (SELECT page_id, coalesce({h}, '') AS host, coalesce({p}, '') AS path, url, html FROM pages),
-q AS (SELECT page_id, host, path, {_rule("rule")} AS rule, {_rule("verdict")} AS own, CASE WHEN host <> '' THEN {_node("host", "path")} END AS node FROM p),
+q AS (SELECT page_id, host, path, {_rule("rule")} AS rule, {_rule("verdict")} AS own, {_node("url")} AS node FROM p),
 t AS (SELECT url AS src, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
 d AS (SELECT src, CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, {canonical}) THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
    WHEN regexp_matches(tag, '(?is)^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*[''"]?([^"''\s>;]+)', 1) END AS dst FROM t),
 l AS (SELECT src, dst FROM d WHERE instr(dst, '://') > 0),
-e AS (SELECT {_node(*_host_path("src"))} AS u, {_node(*_host_path("dst"))} AS v FROM l),
+e AS (SELECT {_node("src")} AS u, {_node("dst")} AS v FROM l),
 s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 reach AS (SELECT u AS node, u AS root FROM s UNION SELECT s.v, reach.root FROM reach JOIN s ON s.u = reach.node),
 comp AS (SELECT node, min(root) AS component FROM reach GROUP BY 1),
 named AS (SELECT DISTINCT u FROM (SELECT src AS u FROM l UNION ALL SELECT dst FROM l)),
-known AS (SELECT node, own FROM q WHERE node IS NOT NULL UNION ALL SELECT {_node("host", "path")}, {_rule("verdict")} FROM (SELECT {a} AS host, {b} AS path FROM named)),
+known AS (SELECT node, own FROM q WHERE node IS NOT NULL UNION ALL SELECT node, {_rule("verdict")} FROM (SELECT {_node("u")} AS node, {a} AS host, {b} AS path FROM named)),
 verdicts AS (SELECT coalesce(component, known.node) AS c, coalesce(bool_or(own = 'block'), false) AND NOT coalesce(bool_or(own = 'allow'), false) AS blocked FROM known LEFT JOIN comp USING (node) GROUP BY 1)
 SELECT page_id, host, path, rule, CASE WHEN own IS NOT NULL THEN own WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM q LEFT JOIN comp USING (node) LEFT JOIN verdicts ON c = coalesce(component, q.node)

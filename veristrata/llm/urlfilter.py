@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialize
 from .graph import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,10 +31,14 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def canonical_form(host: Column, path: Column) -> Column:
-    """The key under which spellings of one address meet: no scheme, port 80/443, leading www. or m., query, fragment, trailing slash or .html."""
-    bare = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^(www|m)\.", "")
-    return F.concat(bare, F.regexp_replace(path, r"(\.html?|/)+$", ""))
+def address(url: str) -> Column:
+    """The node of a url beside split_url()'s columns: host without a default port, path and query; null without a host.
+
+    Scheme and fragment do not tell documents apart. Everything else does: only an edge makes two addresses aliases.
+    """
+    query = F.regexp_extract(F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)"), r"^[^?#]*(\?[^#]*)", 1)
+    path = F.when(F.col("__path") == "", "/").otherwise(F.col("__path"))
+    return F.when(F.col("__host") != "", F.concat(F.regexp_replace("__host", r":(80|443)$", ""), path, query))
 
 
 def resolve(base: str, ref: str) -> Column:
@@ -75,41 +80,42 @@ def judge(
 
     A fitting rule decides (the longest; allow before block among equals). A page without a rule takes "block"
     if an alias of it is blocked by rule and none is allowed by rule: allow has explicit precedence; else
-    "allow". Aliases are the pages of one connected component over `edges` (src, dst: redirects and canonical
-    links, by url) and over canonical forms: urls with one canonical form are one node. Rows repeat in the
-    result as in pages; null or malformed urls have empty host and path, no aliases, and verdict allow; with an
-    empty table or no edges nothing is propagated beyond equal canonical forms.
+    "allow". Aliases are the addresses of one connected component over `edges` (src, dst: redirects and canonical
+    links, by url), whether pages has them or only a link names them. Rows repeat in the result as in pages; null or
+    malformed urls have empty host and path, no aliases, and verdict allow; with an empty table or no edges nothing
+    is propagated beyond pages of one address. pages and edges are read once, into tables.
     """
-    at = split_url(pages.select(F.col(key).alias("__key"), F.col(url).alias("__in")), "__in")
-    at = at.withColumn("__rule", rule_of(F.col("__host"), F.col("__path"), rules))
-    at = at.withColumn("__node", F.when(F.col("__host") != "", canonical_form(F.col("__host"), F.col("__path"))))
     own = F.col("__rule.verdict")
-    nodes = at.where("__node IS NOT NULL").groupBy("__node").agg(
-        F.max((own == "block").cast("int")).alias("b"), F.max((own == "allow").cast("int")).alias("a")
-    )
-    nodes = nodes.select("__node", F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("a", F.lit(0)).alias("a"))
+
+    def judged(df, c):
+        df = split_url(df, c)
+        return df.withColumn("__rule", rule_of(F.col("__host"), F.col("__path"), rules)).withColumn("__node", address(c))
+
+    def verdicts(df):
+        told = lambda v: F.coalesce(F.max((own == v).cast("int")), F.lit(0))
+        return df.where("__node IS NOT NULL").groupBy("__node").agg(told("block").alias("b"), told("allow").alias("a"))
+
+    at = judged(pages.select(F.col(key).alias("__key"), F.col(url).alias("__in")), "__in")
+    at = materialize(at.select("__key", "__host", "__path", "__rule", "__node"), "judged-pages")
+    nodes = verdicts(at)
+    links = comps = None
     if edges is not None:
-        node = F.when(F.col("__host") != "", canonical_form(F.col("__host"), F.col("__path")))
-        links = edges.select("src", "dst")
+        links = materialize(edges.select("src", "dst").distinct(), "links")
+        ends = links
         for c, end in (("src", "u"), ("dst", "v")):
-            links = split_url(links, c).withColumn(end, node).drop("__host", "__path")
+            ends = split_url(ends, c).withColumn(end, address(c)).drop("__host", "__path")
+        comps = materialize(connected_components(ends).select(F.col("node").alias("__node"), "component"), "aliases")
         # the rules also judge addresses that only links name
-        comps = connected_components(links)
-        extra = edges.select(F.explode(F.array("src", "dst")).alias("__in")).distinct()
-        extra = split_url(extra, "__in")
-        extra = extra.select(
-            canonical_form(F.col("__host"), F.col("__path")).alias("__node"), rule_of(F.col("__host"), F.col("__path"), rules).alias("__rule")
-        )
-        linked = extra.where("__node <> ''").groupBy("__node").agg(
-            F.coalesce(F.max((own == "block").cast("int")), F.lit(0)).alias("b"), F.coalesce(F.max((own == "allow").cast("int")), F.lit(0)).alias("a")
-        )
-        nodes = nodes.unionByName(linked).groupBy("__node").agg(F.max("b").alias("b"), F.max("a").alias("a"))
-        nodes = nodes.join(comps.withColumnRenamed("node", "__node"), "__node", "left")
-        nodes = nodes.withColumn("component", F.coalesce("component", "__node"))
+        named = verdicts(judged(links.select(F.explode(F.array("src", "dst")).alias("__in")).distinct(), "__in"))
+        nodes = nodes.unionByName(named).groupBy("__node").agg(F.max("b").alias("b"), F.max("a").alias("a"))
+        nodes = nodes.join(comps, "__node", "left").withColumn("component", F.coalesce("component", "__node"))
         decided = nodes.groupBy("component").agg(F.max("b").alias("b"), F.max("a").alias("a"))
         blocked = nodes.select("__node", "component").join(decided.where("b = 1 AND a = 0"), "component").select("__node")
     else:
         blocked = nodes.where("b = 1 AND a = 0").select("__node")
+    blocked = materialize(blocked, "blocked")
+    discard(links)
+    discard(comps)
     blocked = blocked.withColumn("__blocked", F.lit(True))
     verdict = F.coalesce(own, F.when(F.col("__blocked"), "block"), F.lit("allow"))
     # only pages without a rule need their node's decision
