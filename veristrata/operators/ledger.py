@@ -6,28 +6,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions.text import human_duration, one_line
+from ..tables import discard, materialize
 
 
 def supersede_claims(claims: DataFrame) -> DataFrame:
     """claims with superseded_by: the first later success that clears the claim.
 
     A success is verified with its verifier run. It clears earlier unverified claims of its own file, and earlier
-    explicit failures of any file. The first success after an id, over the whole table, is found by block: ids are cut
-    into blocks, a block's first success comes from one small table of block minima, and only the claim's own block
-    is ordered. No window spans the table, and all of them run backwards, so that a frame grows by a row at a time.
+    explicit failures of any file. Both are found by block, of a file and of the whole table: ids are cut into blocks,
+    a later block's first success comes from a small table of block minima, and only the claim's own block is
+    ordered. No window spans the table or a hot file, and all run backwards, so that a frame grows by a row at a time.
     """
     success = F.when(F.col("verified") & F.col("vet_ok").isNotNull(), F.col("id"))
-    in_file = Window.partitionBy("file_path").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
-    block = F.floor(F.col("id") / F.lit(BLOCK)).cast("long")
-    in_block = Window.partitionBy("__block").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
-    out = claims.withColumn("__t", success).withColumn("__block", block)
-    out = out.withColumn("__file", F.when(F.col("file_path").isNotNull(), F.min("__t").over(in_file))).withColumn("__near", F.min("__t").over(in_block))
-    firsts = out.where("__t IS NOT NULL").groupBy("__block").agg(F.min("__t").alias("__first"))
-    later = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = claims.select(block.alias("__b")).distinct().join(firsts, F.col("__b") == F.col("__block"), "left").select("__b", F.min("__first").over(later).alias("__next"))
-    out = out.join(blocks, F.col("__block") == F.col("__b"), "left")
-    anywhere = F.when(F.col("vet_ok") == F.lit(False), F.coalesce("__near", "__next"))
-    pointer = F.when(~F.col("verified"), F.least("__file", anywhere))
+    rows = claims.withColumn("__t", success).withColumn("__block", F.floor(F.col("id") / F.lit(BLOCK)).cast("long"))
+
+    def later(keys: list[str], name: str) -> DataFrame:
+        """By key and block: the first success of the key in a later block."""
+        firsts = rows.groupBy(*keys, "__block").agg(F.min("__t").alias("__first"))
+        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+        return firsts.select(*keys, "__block", F.min("__first").over(w).alias(name))
+
+    def near(keys: list[str]):
+        return F.min("__t").over(Window.partitionBy(*keys, "__block").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, -1))
+
+    out = rows.withColumn("__own", near(["file_path"])).join(later(["file_path"], "__own_next"), ["file_path", "__block"], "left")
+    out = out.withColumn("__any", near([])).join(later([], "__any_next"), "__block", "left")
+    in_file = F.when(F.col("file_path").isNotNull(), F.coalesce("__own", "__own_next"))
+    anywhere = F.when(F.col("vet_ok") == F.lit(False), F.coalesce("__any", "__any_next"))
+    pointer = F.when(~F.col("verified"), F.least(in_file, anywhere))
     return out.withColumn("superseded_by", pointer).select(*claims.columns, "superseded_by")
 
 
@@ -75,12 +82,29 @@ def resolve(claims: DataFrame, id: int, note: str = "") -> DataFrame:
 
 
 def touch(claims: DataFrame, ids: DataFrame, now: int) -> DataFrame:
-    """last_checked of these ids is now."""
+    """last_checked of these ids is now; others change nothing (missing() names them)."""
     hit = ids.select(F.col("id"), F.lit(True).alias("__hit")).distinct()
     out = claims.join(hit, "id", "left").withColumn("last_checked", F.when(F.col("__hit"), F.lit(now)).otherwise(F.col("last_checked")))
     return out.select(claims.columns)
 
 
+def missing(claims: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ids that no claim has."""
+    return ids.select("id").distinct().join(claims.select("id"), "id", "left_anti")
+
+
+# Texts of claims that older versions recorded for edits they had refused.
+REFUSED = ("path escapes project root", "index=skipped (file not found)")
+
+
+def drop_refused(claims: DataFrame) -> DataFrame:
+    """Without claims about refused edits; running it again changes nothing."""
+    gone = F.lit(False)
+    for text in REFUSED:
+        gone = gone | F.contains("claim", F.lit(text))
+    return claims.where(~F.coalesce(gone, F.lit(False)))
+
+
 def purge(claims: DataFrame, before: int) -> DataFrame:
     """Without superseded automatic claims older than `before`; rows without a tool stay."""
     gone = (F.col("tool") != "") & F.col("superseded_by").isNotNull() & (F.col("recorded_at") < before)
@@ -136,17 +160,57 @@ def truth_history(rows: DataFrame, path: str, limit: int = schema.HISTORY_ROWS)
     return rows.where("truth_change IS NOT NULL").where(F.array_contains("truth_change.files", path)).orderBy("recorded_at", "id").limit(limit)
 
 
-def chain_heads(rows: DataFrame, key: str = "id", link: str = "superseded_by") -> DataFrame:
-    """(id, head, depth): where each chain of links ends; doubles the distance each round."""
-    from functools import reduce
+def truth_story(rows: DataFrame) -> DataFrame:
+    """(scope, n, n_trivial, first, last) of truth changes, by scope."""
+    return rows.where("truth_change IS NOT NULL").groupBy(F.col("truth_change.scope").alias("scope")).agg(
+        F.count("*").alias("n"), F.count_if("truth_change.trivial").alias("n_trivial"), F.min("recorded_at").alias("first"), F.max("recorded_at").alias("last")
+    )
 
-    step = rows.select(F.col(key).alias("id"), F.coalesce(link, key).alias("head"), F.when(F.col(link).isNull(), 0).otherwise(1).alias("depth"))
 
-    def double(s: DataFrame, _: int) -> DataFrame:
-        far = s.select(F.col("id").alias("head"), F.col("head").alias("__h"), F.col("depth").alias("__d"))
-        return s.join(far, "head", "left").select("id", F.coalesce("__h", "head").alias("head"), (F.col("depth") + F.coalesce("__d", F.lit(0))).alias("depth"))
+def story_lines(rows: DataFrame) -> DataFrame:
+    """(id, value): a markdown line for each truth change: day, scope, topic, choice, files, and what it replaces; trivial ones say why."""
+    c = F.col("truth_change")
+    day = F.date_format(F.timestamp_seconds("recorded_at"), "yyyy-MM-dd")
+    files = F.coalesce(F.array_join(c["files"], ", "), F.lit(""))
+    tail = F.concat_ws("; ", F.when(files != "", F.concat(F.lit("files: "), files)), F.when(c["supersedes"].isNotNull(), F.concat(F.lit("replaces #"), c["supersedes"].cast("string"))), F.when(c["trivial"], F.concat(F.lit("trivial: "), F.coalesce(c["trivial_reason"], F.lit("")))))
+    line = F.concat(F.lit("- "), day, F.lit(" ["), c["scope"], F.lit("] "), F.col("topic"), F.lit(": "), F.col("choice"), F.when(tail != "", F.concat(F.lit(" ("), tail, F.lit(")"))).otherwise(""))
+    return rows.where("truth_change IS NOT NULL").select("id", line.alias("value"))
 
-    return reduce(double, range(5), step)
+
+def decision_lines(rows: DataFrame, width: int = 80) -> DataFrame:
+    """(id, value): a line for each decision, its reasoning cut to `width` characters."""
+    mark = F.when(F.col("superseded_by").isNotNull(), F.concat(F.lit(" (superseded by #"), F.col("superseded_by").cast("string"), F.lit(")"))).otherwise("")
+    return rows.select("id", F.concat(F.lit("#"), F.col("id").cast("string"), F.lit(" ["), "topic", F.lit("] "), "choice", F.lit(" — "), one_line(F.coalesce("reasoning", F.lit("")), width), mark).alias("value"))
+
+
+def claim_lines(rows: DataFrame, now: int, width: int = 80) -> DataFrame:
+    """(id, value): a line for each claim, with its age."""
+    age = human_duration(F.lit(now) - F.col("recorded_at"))
+    return rows.select("id", F.concat(F.lit("#"), F.col("id").cast("string"), F.lit(" "), F.when(F.col("verified"), "ok").otherwise("unverified"), F.lit(" "), one_line(F.col("claim"), width), F.lit(" ("), age, F.lit(" ago)")).alias("value"))
+
+
+def chain_heads(rows: DataFrame, key: str = "id", link: str = "superseded_by") -> DataFrame:
+    """(id, head, depth): where each chain of links ends, however long. Each round doubles the distance, and is a table.
+
+    Ids are distinct. A chain ends at an id that rows lacks. Links in a circle are an error.
+    """
+    now = materialize(rows.select(F.col(key).alias("id"), F.coalesce(link, key).alias("head"), F.when(F.col(link).isNull(), 0).otherwise(1).cast("long").alias("depth")), "links")
+    before = None
+    for _ in range(CHAIN_ROUNDS):
+        total = now.agg(F.sum("depth")).first()[0]
+        if total == before or not total:
+            return now
+        before = total
+        far = now.where("depth > 0").select(F.col("id").alias("head"), F.col("head").alias("__h"), F.col("depth").alias("__d"))
+        step = now.join(far, "head", "left").select("id", F.coalesce("__h", "head").alias("head"), (F.col("depth") + F.coalesce("__d", F.lit(0))).alias("depth"))
+        step = materialize(step, "links")
+        discard(now)
+        now = step
+    raise ValueError("links form a circle")
+
+
+#: Rounds after which a chain would have 2 ** 40 links.
+CHAIN_ROUNDS = 40
 
 
 def session_summary(rows: DataFrame) -> DataFrame:
