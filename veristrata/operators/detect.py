@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BOUNDARY, is_year, matches, same_magnitude
+from ..functions.text import BOUNDARY, LEFT, RIGHT, WORD, byte_view, from_byte_view, is_year, matches, matches_in, matches_of, same_magnitude, words_among
 
 # The claim patterns in their order of priority (category, pattern, subject group).
 PATTERNS = [
@@ -21,7 +21,8 @@ PATTERNS = [
     ("date", r"\b(\d{4}-\d{2}-\d{2}|(?:19|20)\d{2})\b", 1),
 ]
 NUMBER = r"\b(\d+(?:,\d{3})*(?:\.\d+)?)\b"
-TEMPORAL = ("in", "since", "from", "until", "by", "during", "before", "after")
+# Prepositions before a bare year.
+TEMPORAL = ("in", "since", "by", "during", "from", "until", "before", "after")
 
 SPAN = "struct<stage:int,category:string,verdict:string,start:int,end:int,text:string,subject:string,path:string>"
 
@@ -67,34 +68,30 @@ def resolve_overlaps(spans: str) -> Column:
 def forbidden_exact(docs: DataFrame, rules: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, ord, start, end): rules' texts in documents, ignoring ASCII case, at ASCII word boundaries, not overlapping.
 
-    Rules are few (an operator writes them): their number is checked, and they are broadcast. A document meets a rule
-    only if it has the rule's first word, which any hit holds as a whole word; what is left is searched once.
+    A document meets a rule only if it has the rule's first word, which any hit holds as a whole word; what is left is
+    searched once. Rules are what an operator wrote: the driver reads them, however many; only up to BROADCAST_RULES
+    of them are broadcast, more are joined by word.
     """
-    from ..functions.text import WORD, matches_of
-
-    listed = [(r[0], r[1]) for r in rules.select("ord", "text").where("text IS NOT NULL AND text <> ''").orderBy("ord").limit(MAX_RULES + 1).collect()]
-    if len(listed) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; scan them in parts")
+    listed = [(r[0], r[1]) for r in rules.select("ord", "text").where("text IS NOT NULL AND text <> ''").orderBy("ord", "text").collect()]
     rows = []
     for ord_, needle in listed:
         raw = needle.encode().decode("latin-1")
         edge = [c.isascii() and (c.isalnum() or c == "_") for c in (raw[0], raw[-1])]
-        pattern = f"(?i){f'(?<![{WORD}])' if edge[0] else ''}{_quote(raw)}{f'(?![{WORD}])' if edge[1] else ''}"
+        pattern = f"(?i){LEFT if edge[0] else ''}{_quote(raw)}{RIGHT if edge[1] else ''}"
         first = re.search(f"[{WORD}]+", needle)
         rows.append((ord_, _ascii_lower(first[0]) if first else "", _ascii_lower(needle), pattern))
-    spark = docs.sparkSession
-    table = spark.createDataFrame(rows, "ord int, w string, needle string, pattern string")
+    table = docs.sparkSession.createDataFrame(rows, "ord int, w string, needle string, pattern string")
+    if len(rows) <= BROADCAST_RULES:
+        table = F.broadcast(table)
     low = F.translate("__t", UPPER, UPPER.lower())
     base = docs.select(F.col(key).alias("id"), F.col(text).alias("__t")).where("__t IS NOT NULL").withColumn("__low", low)
-    words = F.array_append(F.array_distinct(F.regexp_extract_all("__low", F.lit(f"([{WORD}]+)"), 1)), F.lit(""))
-    firsts = F.array(*[F.lit(w) for w in sorted({r[1] for r in rows})]).cast("array<string>")
-    met = base.select("id", "__t", "__low", F.explode(F.array_intersect(words, firsts)).alias("w")).join(F.broadcast(table), "w")
+    met = base.select("id", "__t", "__low", F.explode(words_among(F.col("__low"), [r[1] for r in rows])).alias("w")).join(table, "w")
     met = met.where(F.contains("__low", F.col("needle")))
     out = met.select("id", "ord", F.explode(matches_of("__t", "pattern")).alias("m"))
     return out.select(F.col("id").alias(key), "ord", F.col("m.start").alias("start"), F.col("m.end").alias("end"))
 
 
-MAX_RULES = 2000
+BROADCAST_RULES = 10_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -109,41 +106,41 @@ def _quote(s: str) -> str:
 def contradictions(docs: DataFrame, leaves: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, start, end, value, path): numbers that differ from every numeric leaf but resemble one whose path the words around it name.
 
-    Leaves are a tree that people maintain: their number is checked, and they become one literal array. The least path
-    is reported. Years are left out on both sides.
+    A text is cut at its white space once; a number's context is the three words before and after it (what is left of
+    its own word counts as one), so it takes nothing from the rest of the text. Numbers meet the leaves of their order
+    of magnitude and its neighbours by an equi-join, whatever the number of leaves. The least path is reported. Years are
+    left out on both sides.
     """
-    rows = leaves.where("nvalue IS NOT NULL").select("path", "nvalue").orderBy("path").limit(MAX_LEAVES + 1).collect()
-    if len(rows) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} numeric facts")
-    numeric = [r for r in rows if not (1900 <= r[1] <= 2100 and r[1] == int(r[1]))]
-    literal = F.array(*[F.struct(F.lit(r[0]).alias("path"), F.lit(float(r[1])).alias("value"), F.array(*[F.lit(s) for s in _segments(r[0])]).cast("array<string>").alias("segments")) for r in numeric])
-    base = docs.select(F.col(key).alias("id"), F.col(text).alias("__t"), F.explode(matches(text, _java(NUMBER), 1)).alias("m"))
+    numeric = leaves.where("nvalue IS NOT NULL AND NOT (nvalue >= 1900 AND nvalue <= 2100 AND nvalue = floor(nvalue))")
+    numeric = numeric.select("path", "nvalue", F.filter(F.split(F.lower("path"), r"[._\[\]]+"), lambda s: F.octet_length(s) >= 3).alias("segments"), F.when(F.col("nvalue") > 0, F.floor(F.log10("nvalue"))).alias("m"))
+    leaf = F.struct("path", "nvalue", "segments", "m")
+    # leaves that have no magnitude (0 and less) can only be equal; no number of a text is under 0
+    near = F.when(F.col("m").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.array(F.col("m") - 1, F.col("m"), F.col("m") + 1))
+    by = numeric.select(leaf.alias("leaf"), F.explode(near).alias("m")).groupBy(F.coalesce("m", F.lit(ZERO)).alias("m")).agg(F.collect_list("leaf").alias("leaves"))
+    base = docs.select(F.col(key).alias("id"), matches(text, r"\S+").alias("w"))
+    word = "named_struct('at', x.start, 'word', x.text, 'before', transform(slice(w, greatest(i - 2, 1), least(i, 3)), y -> y.text), 'after', transform(slice(w, i + 2, 3), y -> y.text))"
+    base = base.select("id", F.explode(F.expr(f"filter(transform(w, (x, i) -> IF(x.text RLIKE '[0-9]', {word}, NULL)), x -> x IS NOT NULL)")).alias("n"))
+    base = base.select("id", "n", F.explode(matches_in("n.word", _java(NUMBER), 1)).alias("m"))
     base = base.withColumn("v", F.expr("cast(replace(m.value, ',', '') AS double)")).where(~is_year(F.col("v")))
-    view = "decode(encode(__t, 'UTF-8'), 'ISO-8859-1')"
-    before = f"slice(filter(split(substring({view}, 1, m.start), '\\\\s+'), w -> w <> ''), -3, 3)"
-    after = f"slice(filter(split(substring({view}, m.end + 1), '\\\\s+'), w -> w <> ''), 1, 3)"
-    first = f"filter(split(substring({view}, 1, m.start), '\\\\s+'), w -> w <> '')"
-    before = f"IF(size({first}) > 3, {before}, {first})"
-    base = base.withColumn("ctx", F.lower(F.array_join(F.concat(F.expr(before), F.expr(after)), " ")))
-    if not numeric:
-        return base.select(F.col("id").alias(key), F.col("m.start"), F.col("m.end"), F.col("v").alias("value"), F.lit("").alias("path")).where("false")
-    same = F.exists(literal, lambda x: x["value"] == F.col("v"))
-    near = F.filter(literal, lambda x: same_magnitude(x["value"], F.col("v")) & F.exists(x["segments"], lambda s: F.contains(F.col("ctx"), s)))
-    base = base.where(~same).withColumn("path", F.array_min(F.transform(near, lambda x: x["path"]))).where("path IS NOT NULL")
-    return base.select(F.col("id").alias(key), F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("v").alias("value"), "path")
-
-
-MAX_LEAVES = 2000
+    before = F.expr("concat(n.before, filter(array(substring(n.word, 1, m.start)), y -> y <> ''))")
+    after = F.expr("concat(filter(array(substring(n.word, m.end + 1)), y -> y <> ''), n.after)")
+    base = base.withColumn("ctx", F.lower(from_byte_view(F.array_join(F.concat(F.slice(before, F.greatest(F.size(before) - 2, F.lit(1)), F.lit(3)), F.slice(after, 1, 3)), " "))))
+    magnitude = F.when(F.col("v") > 0, F.floor(F.log10("v"))).otherwise(ZERO)
+    base = base.select("id", (F.col("n.at") + F.col("m.start")).alias("start"), (F.col("n.at") + F.col("m.end")).alias("end"), "v", "ctx", magnitude.alias("m")).join(by, "m")
+    like = F.filter("leaves", lambda x: same_magnitude(x["nvalue"], F.col("v")) & F.exists(x["segments"], lambda s: F.contains(F.col("ctx"), s)))
+    base = base.where(~F.exists("leaves", lambda x: x["nvalue"] == F.col("v"))).withColumn("path", F.array_min(F.transform(like, lambda x: x["path"]))).where("path IS NOT NULL")
+    return base.select(F.col("id").alias(key), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("v").alias("value"), "path")
 
 
-def _segments(path: str) -> list[str]:
-    return [s.lower() for s in re.split(r"[._\[\]]+", path) if len(s) >= 3]
+#: Stands for the magnitude of 0.
+ZERO = -1000
 
 
 def detect(docs: DataFrame, leaves: DataFrame, forbidden: DataFrame | None = None, contradicted: DataFrame | None = None, key: str = "id", text: str = "text") -> DataFrame:
     """(key, category, verdict, start, end, text, subject, path) of every claim, in source order within a document.
 
-    forbidden: (key, ord, start, end), contradicted: contradictions()' rows; both optional.
+    forbidden: (key, ord, start, end) of fuzzy.forbidden() or forbidden_exact(), contradicted: contradictions()' rows; both
+    optional.
     """
     base = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t"))
     spans = base.select("__k", "__t", pattern_spans("__t").alias("__spans"))
@@ -186,21 +183,53 @@ def severity(summaries: DataFrame) -> DataFrame:
     return summaries.agg(F.coalesce(F.max(code), F.lit(0)).alias("exit_code"))
 
 
+def corpus_summary(docs: DataFrame, summaries: DataFrame, key: str = "id") -> DataFrame:
+    """One row for a scan: files, files with a forbidden claim, else with an unverified one, and the message that says so.
+
+    summaries: summary()'s rows; documents without any claim have none.
+    """
+    counts = summaries.agg(F.count_if(F.col("forbidden") > 0).alias("with_forbidden"), F.count_if((F.col("forbidden") == 0) & (F.col("unverified") > 0)).alias("with_unverified"))
+    total = docs.agg(F.count("*").alias("files"))
+    both = total.withColumn("k", F.lit(1)).join(counts.withColumn("k", F.lit(1)), "k").drop("k")
+    say = lambda n, text: F.when(F.col(n) > 0, F.concat(F.col(n).cast("string"), F.lit(text)))
+    found = F.concat_ws(", ", say("with_forbidden", " with forbidden claims"), say("with_unverified", " with unverified claims"))
+    return both.withColumn("message", F.concat(F.col("files").cast("string"), F.lit(" files: "), F.when(found == "", "no findings").otherwise(found)))
+
+
 def quality(rows: DataFrame, predicted: str, label: str) -> DataFrame:
-    """Confusion counts, precision and recall; null where a denominator is 0."""
+    """Confusion counts, precision, recall, and the rates of false positives and negatives; null where a denominator is 0."""
     p, y = F.col(predicted), F.col(label)
     out = rows.agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn"))
     ratio = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b)))
-    return out.withColumns({"precision": ratio("tp", "fp"), "recall": ratio("tp", "fn")})
+    return out.withColumns({"precision": ratio("tp", "fp"), "recall": ratio("tp", "fn"), "fp_rate": ratio("fp", "tn"), "fn_rate": ratio("fn", "tp")})
 
 
 # ---------------------------------------------------------------- facts
 
 
+def at_path(leaves: DataFrame, path: str) -> DataFrame:
+    """The leaves under a key path such as a.b[0]; an empty path is all. Paths that name nothing are an error, which says where they end."""
+    if path and not re.fullmatch(r"[^.\[\]]+(\[\d+\])*(\.[^.\[\]]+(\[\d+\])*)*", path):
+        raise ValueError(f"{path}: not a key path")
+    steps = re.findall(r"\[\d+\]|[^.\[\]]+", path)
+    seen = ""
+    for step in steps:
+        longer = seen + step if step.startswith("[") or not seen else f"{seen}.{step}"
+        if leaves.where(_under(longer)).isEmpty():
+            kind = "index" if step.startswith("[") else "key"
+            raise ValueError(f"{path}: {kind} {step} not found under {seen or 'the root'}")
+        seen = longer
+    return leaves.where(_under(path)) if path else leaves
+
+
+def _under(path: str) -> Column:
+    return (F.col("path") == path) | F.startswith("path", F.lit(path + ".")) | F.startswith("path", F.lit(path + "["))
+
+
 def visible_facts(leaves: DataFrame, category: str = "") -> DataFrame:
     """Leaves under a dotted category, without subtrees marked private, by path."""
     private = leaves.where("path RLIKE '(^|[.])sensitivity$' AND lower(svalue) = 'private'").selectExpr("regexp_replace(path, '[.]?sensitivity$', '') AS prefix")
-    out = leaves.where((F.col("path") == category) | F.startswith(F.col("path"), F.lit(category + ".")) | F.startswith(F.col("path"), F.lit(category + "["))) if category else leaves
+    out = leaves.where(_under(category)) if category else leaves
     # subtrees are found through the leaf's own ancestors: an equi-join, whatever the tree's size
     up = out.select("path", F.explode(F.expr("transform(filter(sequence(1, length(path)), i -> i = length(path) OR substring(path, i + 1, 1) IN ('.', '[')), i -> substring(path, 1, i))")).alias("prefix"))
     hidden = up.join(private, "prefix", "left_semi").select("path").distinct()
@@ -218,11 +247,9 @@ def facts_impact(docs: DataFrame, leaves: DataFrame, key: str = "doc_id", text:
     """(path, key, hits, strong_hits, first_line): where facts' values occur in documents, ignoring case, at word boundaries.
 
     A hit is strong if the three words before or after it name a segment of the leaf's path; first_line is that of the
-    first strong hit, or of the first hit. Documents are cut into words once and joined with the leaves' first words,
-    so the number of comparisons follows the matches; the leaf is then searched in the whole text.
+    first strong hit, or of the first hit. Of a document's words only those go on that begin a leaf (the leaves are what
+    an operator wrote; the driver reads their first words), so a text is copied for possible matches only.
     """
-    from ..functions.text import LEFT, RIGHT, WORD, byte_view, matches_of
-
     terms = leaves.where("svalue <> ''").select("path", F.lower("svalue").alias("term"))
     view = byte_view(F.col("term"))
     edge = lambda at, look: F.when(F.col("term").rlike(at), F.lit(look)).otherwise("")
@@ -230,8 +257,8 @@ def facts_impact(docs: DataFrame, leaves: DataFrame, key: str = "doc_id", text:
     segments = F.filter(F.split(F.lower("path"), r"[._\[\]]+"), lambda s: F.octet_length(s) >= 3)
     terms = terms.select("path", "term", F.regexp_extract("term", f"[{WORD}]+", 0).alias("w"), F.concat(edge(f"^[{WORD}]", LEFT), quoted, edge(f"[{WORD}]$", RIGHT)).alias("pattern"), segments.alias("segments"))
     words = docs.select(F.col(key).alias("k"), F.lower(text).alias("t")).where("t IS NOT NULL")
-    listed = F.array_append(F.array_distinct(F.regexp_extract_all("t", F.lit(f"([{WORD}]+)"), 1)), F.lit(""))
-    words = words.select("k", "t", F.explode(listed).alias("w"))
+    firsts = [r[0] for r in terms.select("w").distinct().collect()]
+    words = words.select("k", "t", F.explode(words_among(F.col("t"), firsts)).alias("w"))
     hit = words.join(terms, "w").where(F.contains("t", F.col("term")))
     hit = hit.select("path", "k", "segments", byte_view(F.col("t")).alias("q"), matches_of("t", "pattern").alias("m")).where("size(m) > 0")
     three = r"'^\\s*+(?:\\S++\\s++){0,2}+\\S*+'"

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .detect import forbidden_exact
+
 _WORD = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 _RUNS = re.compile(rb"[0-9]+")
 
@@ -16,17 +18,31 @@ def edit_distance(a: bytes, b: bytes, cap: int) -> int:
     """Levenshtein distance by bytes, or cap + 1 where it is more; only the diagonal band is filled."""
     if abs(len(a) - len(b)) > cap:
         return cap + 1
-    row = list(range(len(b) + 1))
+    # what both ends share needs no edit
+    first, last = 0, 0
+    while first < min(len(a), len(b)) and a[first] == b[first]:
+        first += 1
+    while last < min(len(a), len(b)) - first and a[len(a) - 1 - last] == b[len(b) - 1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    # row[d] is the distance of a[:i] and b[:i + d - cap]
+    width = 2 * cap + 1
+    row = [d - cap if d >= cap else cap + 1 for d in range(width)]
     for i, x in enumerate(a, 1):
-        lo, hi = max(1, i - cap), min(len(b), i + cap)
-        new = [cap + 1] * (len(b) + 1)
-        new[0] = i
-        for j in range(lo, hi + 1):
-            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1)
-        if min(new) > cap:
+        least = cap + 1
+        left = cap + 1
+        for d in range(width):
+            j = i + d - cap
+            if j < 0 or j > len(b):
+                left = row[d] = cap + 1
+                continue
+            up = row[d + 1] + 1 if d + 1 < width else cap + 1
+            best = i if j == 0 else min(row[d] + (x != b[j - 1]), up, left + 1)
+            left = row[d] = min(best, cap + 1)
+            least = min(least, left)
+        if least > cap:
             return cap + 1
-        row = new
-    return min(row[-1], cap + 1)
+    return row[len(b) - len(a) + cap]
 
 
 def _bounded(text: bytes, start: int, end: int, needle: bytes) -> bool:
@@ -93,15 +109,65 @@ def fuzzy(text: bytes, needle: bytes, threshold: int) -> list[tuple[int, int]]:
     return sorted(hits + found)
 
 
-def forbidden_fuzzy(docs: DataFrame, rules: DataFrame, threshold: int = 1, key: str = "id", text: str = "text", most: int = 2000) -> DataFrame:
-    """(key, ord, start, end) for each rule's hits; rules (ord, text) are few, and their number is checked."""
-    listed = [(r[0], r[1].encode()) for r in rules.select("ord", "text").where("text IS NOT NULL AND text <> ''").orderBy("ord").limit(most + 1).collect()]
-    if len(listed) > most:
-        raise ValueError(f"more than {most} rules")
+def forbidden(docs: DataFrame, rules: DataFrame, key: str = "id", text: str = "text", default_fuzz: int = 1) -> DataFrame:
+    """(key, ord, start, end) of all rules, each with its own number of edits (fuzz, else the default); those without any stay in the JVM."""
+    if "fuzz" not in rules.columns:
+        rules = rules.withColumn("fuzz", F.lit(default_fuzz))
+    rules = rules.withColumn("fuzz", F.coalesce(F.col("fuzz").cast("int"), F.lit(default_fuzz)))
+    near = forbidden_fuzzy(docs, rules.where("fuzz > 0"), default_fuzz, key, text)
+    return forbidden_exact(docs, rules.where("fuzz <= 0"), key, text).unionByName(near)
+
+
+class Pieces:
+    """Which needles can occur in a text with up to their threshold of edits: one pass over the text for all of them."""
+
+    def __init__(self, needles: list[tuple[bytes, int]]):
+        import ahocorasick
+
+        self.always: list[int] = []
+        self.found = ahocorasick.Automaton()
+        by: dict[str, list[int]] = {}
+        for i, (needle, threshold) in enumerate(needles):
+            want, parts = needle.lower().decode("latin-1"), max(threshold, 0) + 1
+            cuts = [len(want) * k // parts for k in range(parts + 1)]
+            pieces = {want[a:b] for a, b in zip(cuts, cuts[1:])}
+            if "" in pieces:
+                self.always.append(i)
+            else:
+                for p in pieces:
+                    by.setdefault(p, []).append(i)
+        for p, which in by.items():
+            self.found.add_word(p, which)
+        self.any = bool(by)
+        if self.any:
+            self.found.make_automaton()
+
+    def near(self, text: bytes) -> list[int]:
+        out = set(self.always)
+        if self.any:
+            for _, which in self.found.iter(text.lower().decode("latin-1")):
+                out.update(which)
+        return sorted(out)
+
+
+def forbidden_fuzzy(docs: DataFrame, rules: DataFrame, threshold: int = 1, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, ord, start, end) for each rule's hits. rules: (ord, text[, fuzz]); fuzz is a rule's own number of edits, else threshold.
+
+    Rules are what an operator wrote: the driver reads them, however many. A text is scanned once for the pieces of all
+    rules; only rules of which a piece occurs are compared with it.
+    """
+    fuzz = F.coalesce(F.col("fuzz").cast("int"), F.lit(threshold)) if "fuzz" in rules.columns else F.lit(threshold)
+    listed = [(r[0], r[1].encode(), r[2]) for r in rules.select("ord", "text", fuzz.alias("fuzz")).where("text IS NOT NULL AND text <> ''").orderBy("ord", "text").collect()]
 
     def run(batches):
+        pieces = Pieces([(needle, f) for _, needle, f in listed])
         for b in batches:
-            rows = [(k, o, s, e) for k, t in zip(b["k"], b["t"]) if t for o, needle in listed for s, e in fuzzy(t.encode(), needle, threshold)]
+            rows = []
+            for k, t in zip(b["k"], b["t"]):
+                raw = (t or "").encode()
+                for i in pieces.near(raw) if raw else ():
+                    ord_, needle, f = listed[i]
+                    rows += [(k, ord_, s, e) for s, e in fuzzy(raw, needle, f)]
             yield pd.DataFrame(rows, columns=["k", "ord", "start", "end"])
 
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
