@@ -235,19 +235,36 @@ def maven(path: str, text: str) -> list[dict]:
 
 
 def openapi(path: str, text: str) -> list[dict]:
-    tree = json.loads(text)
-    out = []
-    for route, item in sorted((tree.get("paths") or {}).items()):
-        for method in sorted(item):
-            if method in ("get", "put", "post", "delete", "options", "head", "patch", "trace"):
-                name = f"{method.upper()} {route}"
-                out.append(_row(name, name, "method", name, 1, 1, True))
-    for name in sorted({**(tree.get("components") or {}).get("schemas", {}), **(tree.get("definitions") or {})}):
-        out.append(_row(name, name, "type", "", 1, 1, True))
+    """Operations as methods and schemas as types, of a JSON or YAML document; a document that is no map has none."""
+    from ..sources import yaml
+
+    try:
+        tree = json.loads(text)
+    except ValueError:
+        tree = yaml.load(text)
+    maps = lambda x: x if isinstance(x, dict) else {}
+    tree, module, out = maps(tree), qualifier(path), []
+    for route, item in sorted(maps(tree.get("paths")).items()):
+        for method in sorted(m for m in maps(item) if m.lower() in HTTP_METHODS):
+            name = f"{method.upper()} {route}"
+            out.append(_row(name, f"{module}.{name}", "method", f"endpoint {name}", 1, 1, True))
+    schemas = maps(tree.get("components")).get("schemas")
+    for name in sorted(schemas if isinstance(schemas, dict) else maps(tree.get("definitions"))):
+        out.append(_row(name, f"{module}.{name}", "type", f"schema {name}", 1, 1, True))
     return out
 
 
-EXTRACTORS = {"python": python, "jupyter": jupyter, "vue": markup, "svelte": markup, "astro": markup, "package.json": package_json, "cargo": cargo, "go.mod": go_mod, "maven": maven, "openapi": openapi}
+# The keys of a path that are operations.
+HTTP_METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
+#: Manifests, by base name.
+MANIFESTS = {"package.json": package_json, "cargo.toml": cargo, "go.mod": go_mod, "pom.xml": maven}
+
+
+def manifest(path: str, text: str) -> list[dict]:
+    return MANIFESTS[path.rsplit("/", 1)[-1].lower()](path, text)
+
+
+EXTRACTORS = {"python": python, "jupyter": jupyter, "vue": markup, "svelte": markup, "astro": markup, "manifest": manifest, "openapi": openapi}
 
 
 def symbols_of(path: str, text: str | None, language: str | None) -> list[dict]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.text import contains_ignoring_case, glob_regex
+from ..sources.trees import query_language_of
 
 
 def get_file(files: DataFrame, path: str) -> DataFrame:
@@ -25,20 +26,31 @@ def find_symbols_by_query(symbols: DataFrame, query: str, limit: int = 0) -> Dat
     return symbols.where(hit).orderBy("name", "file_path", "start_line", "id").limit(n)
 
 
-def _matching(symbols: DataFrame, kind: str | None, exported: bool | None = None) -> DataFrame:
+def _matching(symbols: DataFrame, kind: str | None, language: str | None = None, exported: bool | None = None) -> DataFrame:
+    """language: that of the symbol's path, as queries see it."""
     out = symbols.where(F.col("kind") == kind) if kind else symbols
+    out = out.where(query_language_of(F.col("file_path")) == language.lower()) if language else out
     return out if exported is None else out.where(F.col("exported") == exported)
 
 
-def find_symbol(symbols: DataFrame, query: str, kind: str | None = None, limit: int = 0) -> DataFrame:
-    """The limit applies before the kind, so a result can be short; then the tool's own cap."""
-    return _matching(find_symbols_by_query(symbols, query, limit), kind).limit(schema.SYMBOL_ROWS)
+def _checked(query: str, what: str) -> None:
+    if len(query.encode()) > schema.QUERY_BYTES:
+        raise ValueError(f"{what} exceeds {schema.QUERY_BYTES} bytes")
 
 
-def verify_symbol(symbols: DataFrame, name: str, kind: str | None = None) -> DataFrame:
+def find_symbol(symbols: DataFrame, query: str, kind: str | None = None, limit: int = 0, language: str | None = None, exported: bool | None = None) -> DataFrame:
+    """The limit applies before kind, language and exported, so a result can be short; then the tool's own cap."""
+    if not query:
+        raise ValueError("the query must not be empty")
+    _checked(query, "query")
+    return _matching(find_symbols_by_query(symbols, query, limit), kind, language, exported).limit(schema.SYMBOL_ROWS)
+
+
+def verify_symbol(symbols: DataFrame, name: str, kind: str | None = None, language: str | None = None) -> DataFrame:
     """Exact matches (exists true), or, only where there are none, up to five near names as suggestions."""
-    hits = _matching(find_symbols_by_name(symbols, name), kind).withColumn("exists", F.lit(True))
-    near = _matching(find_symbols_by_query(symbols, name, schema.SUGGESTIONS), kind).withColumn("exists", F.lit(False))
+    _checked(name, "name")
+    hits = _matching(find_symbols_by_name(symbols, name), kind, language).withColumn("exists", F.lit(True))
+    near = _matching(find_symbols_by_query(symbols, name, schema.SUGGESTIONS), kind, language).withColumn("exists", F.lit(False))
     found = hits.limit(1).select(F.lit(True).alias("exists"))
     return hits.unionByName(near.join(found.select((~F.col("exists")).alias("exists")), "exists", "left_anti"))
 
@@ -48,6 +60,10 @@ def verify_qualified(symbols: DataFrame, qualified: str) -> DataFrame:
     return find_symbols_by_name(symbols, bare).where(F.col("qualified_name") == qualified)
 
 
+def all_files(files: DataFrame) -> DataFrame:
+    return files.orderBy("path")
+
+
 def list_files(files: DataFrame, pattern: str | None = None, language: str | None = None, limit: int = 0) -> DataFrame:
     out = files
     if pattern:
@@ -78,6 +94,34 @@ def empty_files(files: DataFrame, symbols: DataFrame, languages: tuple[str, ...]
     return rest.join(symbols.select("file_path").distinct(), rest.path == F.col("file_path"), "left_anti").select("path", "language", "size_bytes")
 
 
+def stale_files(files: DataFrame, scan: DataFrame) -> DataFrame:
+    """Indexed paths that the scan of the disk no longer has."""
+    return files.join(scan.select("path").distinct(), "path", "left_anti").select("path")
+
+
+def suspects(files: DataFrame, symbols: DataFrame, scan: DataFrame) -> DataFrame:
+    """empty_files() without stale ones: a file that is gone is no sign of a failed parse."""
+    return empty_files(files, symbols).join(stale_files(files, scan), "path", "left_anti")
+
+
+def ledger_counts(decisions: DataFrame, unverified: DataFrame, stale: DataFrame) -> DataFrame:
+    """(n_decisions, n_stale_decisions, n_unverified) as the lists that they count are capped: DECISION_ROWS, STALE_ROWS, STORE_ROWS."""
+    parts = [decisions.limit(schema.DECISION_ROWS[1]).agg(F.count("*").alias("n_decisions")), stale.agg(F.count("*").alias("n_stale_decisions")), unverified.limit(schema.STORE_ROWS).agg(F.count("*").alias("n_unverified"))]
+    out = parts[0].withColumn("one", F.lit(1))
+    for p in parts[1:]:
+        out = out.join(p.withColumn("one", F.lit(1)), "one")
+    return out.drop("one")
+
+
+def with_parents(symbols: DataFrame) -> DataFrame:
+    """symbols (id, file_path, qualified_name, ...) with parent_id: the symbol of the same file whose qualified name is theirs without its last part."""
+    outer = F.regexp_replace("qualified_name", r"\.[^.]*$", "")
+    parents = symbols.groupBy(F.col("file_path").alias("__f"), F.col("qualified_name").alias("__q")).agg(F.min("id").alias("__p"))
+    rows = symbols.drop("parent_id").withColumn("__o", F.when(outer != F.col("qualified_name"), outer))
+    out = rows.join(parents, (F.col("file_path") == F.col("__f")) & (F.col("__o") == F.col("__q")), "left")
+    return out.withColumn("parent_id", F.col("__p")).drop("__f", "__q", "__o", "__p")
+
+
 # ---------------------------------------------------------------- maintenance
 
 

@@ -22,6 +22,9 @@ RESPONSE_BYTES = 1 << 20
 INDEXED_BYTES = 2 << 20
 READ_BYTES = 1 << 20
 NOTE_BYTES = 4 << 10
+QUERY_BYTES = 4 << 10
+EVIDENCE_BYTES = 16 << 10
+SUMMARY_BYTES = 200
 
 
 def clamp(limit: int | None, bounds: tuple[int, int]) -> int:

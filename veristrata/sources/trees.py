@@ -3,35 +3,55 @@
 from __future__ import annotations
 
 import json
+import posixpath
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.text import glob_regex
+from ..functions.text import glob_regex, scope_regex
+from ..tables import filesystem
+from . import yaml
 
-# Folders that a scan skips, and what files are by extension and by name.
-SKIPPED = (".git", ".hg", ".svn", "node_modules", "vendor", "dist", "build", "target", "__pycache__", ".venv", "venv", ".idea", ".vscode", ".cache", ".next")
+# Folders that a scan of sources skips, and one of markdown; what files are by extension and by name, both in lower case.
+SKIPPED = (".git", ".mypy_cache", ".next", ".nuxt", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "target", "vendor", "venv")
+MARKDOWN_SKIPPED = ("node_modules", "vendor", "dist", "build", "target", ".next", "out")
 EXTENSIONS = {
-    "go": "go", "py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "jsx": "typescript", "mts": "typescript", "cts": "typescript", "rs": "rust", "java": "java", "rb": "ruby", "cs": "csharp",
-    "swift": "swift", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "sc": "scala", "dart": "dart", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hh": "cpp", "hpp": "cpp", "php": "php", "lua": "lua",
-    "sh": "bash", "bash": "bash", "zig": "zig", "nix": "nix", "ex": "elixir", "exs": "elixir", "sol": "solidity", "mk": "make", "cmake": "cmake", "tf": "hcl", "hcl": "hcl", "graphql": "graphql", "gql": "graphql",
-    "proto": "proto", "sql": "sql", "wit": "wit", "erl": "erlang", "hrl": "erlang", "r": "r", "R": "r", "just": "just", "bzl": "starlark", "star": "starlark", "glsl": "glsl", "vert": "glsl", "frag": "glsl", "hlsl": "hlsl",
-    "vue": "vue", "svelte": "svelte", "astro": "astro", "ipynb": "jupyter",
+    "go": "go", "py": "python", "rs": "rust", "ts": "typescript", "tsx": "typescript", "java": "java", "rb": "ruby", "cs": "csharp", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "dart": "dart",
+    "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "php": "php", "lua": "lua", "sh": "bash", "bash": "bash", "zig": "zig", "nix": "nix", "ex": "elixir", "exs": "elixir", "sol": "solidity",
+    "mk": "make", "cmake": "cmake", "vue": "vue", "svelte": "svelte", "tf": "hcl", "tfvars": "hcl", "hcl": "hcl", "graphql": "graphql", "gql": "graphql", "proto": "proto", "sql": "sql", "ipynb": "jupyter", "wit": "wit", "astro": "astro",
+    "jsx": "typescript", "erl": "erlang", "hrl": "erlang", "r": "r", "bzl": "starlark", "bazel": "starlark", "star": "starlark", "glsl": "glsl", "vert": "glsl", "frag": "glsl", "geom": "glsl", "comp": "glsl", "tesc": "glsl", "tese": "glsl",
+    "hlsl": "hlsl", "fx": "hlsl", "fxh": "hlsl",
 }
 NAMES = {
-    "Makefile": "make", "makefile": "make", "GNUmakefile": "make", "CMakeLists.txt": "cmake", "justfile": "just", "Justfile": "just", "BUILD": "starlark", "BUILD.bazel": "starlark", "WORKSPACE": "starlark",
-    "package.json": "package.json", "Cargo.toml": "cargo", "go.mod": "go.mod", "pom.xml": "maven", "openapi.yaml": "openapi", "openapi.yml": "openapi", "openapi.json": "openapi", "swagger.yaml": "openapi", "swagger.json": "openapi",
+    "makefile": "make", "gnumakefile": "make", "cmakelists.txt": "cmake", "openapi.yaml": "openapi", "openapi.yml": "openapi", "openapi.json": "openapi", "swagger.yaml": "openapi", "swagger.yml": "openapi", "swagger.json": "openapi",
+    "justfile": "just", "build": "starlark", "build.bazel": "starlark", "workspace": "starlark", "workspace.bazel": "starlark", "package.json": "manifest", "cargo.toml": "manifest", "go.mod": "manifest", "pom.xml": "manifest",
 }
+# Where the language that a query filters by differs from the indexed one: names come first, other script extensions count, and API files have none.
+QUERY_EXTENSIONS = {"js": "javascript", "jsx": "javascript"}
+QUERY_NO_NAMES = ("openapi.yaml", "openapi.yml", "openapi.json", "swagger.yaml", "swagger.yml", "swagger.json")
+
+
+def _named(path: Column) -> tuple[Column, Column]:
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    return name, F.when(F.contains(name, F.lit(".")), F.element_at(F.split(name, r"\."), -1))
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
 def language_of(path: Column) -> Column:
-    """By extension, then by name; null for others. Two literal maps."""
-    name = F.element_at(F.split(path, "/"), -1)
-    ext = F.when(F.contains(name, F.lit(".")), F.element_at(F.split(name, r"\."), -1))
-    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    return F.coalesce(F.try_element_at(table(NAMES), name), F.try_element_at(table(EXTENSIONS), ext))
+    """What the index calls a file: by extension, then by name, whatever the case; null for others. Two literal maps."""
+    name, ext = _named(path)
+    return F.coalesce(_lookup(EXTENSIONS, ext), _lookup(NAMES, name))
+
+
+def query_language_of(path: Column) -> Column:
+    """What a symbol query's language filter calls a file: by name, then by extension; null for others."""
+    name, ext = _named(path)
+    return F.coalesce(_lookup({k: v for k, v in NAMES.items() if k not in QUERY_NO_NAMES}, name), _lookup(EXTENSIONS | QUERY_EXTENSIONS, ext))
 
 
 def ignored(path: Column, patterns: list[str]) -> Column:
@@ -50,23 +70,84 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+def _scanned(spark: SparkSession, root: str, **options: str) -> DataFrame:
+    """Files under root with their path relative to it."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape("/" + root.strip("/")) + "/", "")
+    return reader.load(root).withColumn("path", rel)
+
+
+def _folders(path: Column) -> Column:
+    parts = F.split(path, "/")
+    return F.slice(parts, F.lit(1), F.size(parts) - 1)
+
+
+def ignore_patterns(*files: str) -> list[str]:
+    """The lines of several ignore files, one after the other, so that a later file can take a path back in."""
+    return [line for text in files for line in text.splitlines()]
+
+
+def read_ignore_files(spark: SparkSession, root: str, names: tuple[str, ...] = (".gitignore",)) -> list[str]:
+    """The patterns of the ignore files at the top of a tree, as far as there are any."""
+    out = []
+    for name in names:
+        p, fs = filesystem(spark, f"{root.rstrip('/')}/{name}")
+        if fs.exists(p):  # Spark's readers leave hidden files out
+            stream = fs.open(p)
+            out.append(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+    return ignore_patterns(*out)
+
+
 def scan_tree(spark: SparkSession, root: str, ignore: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(files with content, failures) of a source tree: skipped folders, ignore rules and unknown kinds left out; files over the
-    size limit are failures. Paths are relative to root."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape("/" + root.strip("/")) + "/", "")
-    rows = raw.withColumn("path", rel).where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
-    rows = rows.withColumn("language", language_of(F.col("path"))).where("language IS NOT NULL").where(~ignored(F.col("path"), ignore or []))
+    size limit are failures. Paths are relative to root. ignore: patterns, by default those of the tree's own ignore file."""
+    patterns = read_ignore_files(spark, root) if ignore is None else ignore
+    rows = _scanned(spark, root).where(~F.arrays_overlap(_folders(F.col("path")), F.array(*map(F.lit, SKIPPED))))
+    rows = rows.withColumn("language", language_of(F.col("path"))).where("language IS NOT NULL").where(~ignored(F.col("path"), patterns))
     small = F.col("length") <= schema.INDEXED_BYTES
     good = rows.where(small).select("path", F.sha2("content", 256).alias("hash"), "language", F.col("length").alias("size_bytes"), F.unix_seconds("modificationTime").alias("indexed_at"), "content")
     return good, rows.where(~small).select("path", F.lit("over the size limit").alias("error"))
 
 
-def scan_markdown(spark: SparkSession, root: str, limit: int = 500) -> DataFrame:
-    """(path, text) of the first `limit` markdown files by path, at most READ_BYTES of each (the scan's own bounds)."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
-    skipped = F.exists(F.split("path", "/"), lambda s: s.isin(*SKIPPED))
-    return raw.where(~skipped).orderBy("path").limit(limit).select("path", F.decode(F.substring("content", 1, schema.READ_BYTES), "UTF-8").alias("text"))
+def scan_file(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """One file as scan_tree() gives it; no row if it is missing, a folder, of no known kind, or not under root."""
+    rel = _relative(root, path)
+    kind = "path string, hash string, language string, size_bytes bigint, indexed_at bigint, content binary"
+    if rel is None:
+        return spark.createDataFrame([], kind)
+    p, fs = filesystem(spark, f"{root.rstrip('/')}/{rel}")
+    if not fs.exists(p) or fs.getFileStatus(p).isDirectory():
+        return spark.createDataFrame([], kind)
+    rows = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{rel}").withColumn("path", F.lit(rel)).withColumn("language", language_of(F.lit(rel))).where("language IS NOT NULL")
+    return rows.where(F.col("length") <= schema.INDEXED_BYTES).select("path", F.sha2("content", 256).alias("hash"), "language", F.col("length").alias("size_bytes"), F.unix_seconds("modificationTime").alias("indexed_at"), "content")
+
+
+def _relative(root: str, path: str) -> str | None:
+    """path, absolute or relative to root, without . and ..; None where it leaves root."""
+    if not path or re.search(r"[\x00\r\n]", path):
+        return None
+    base = posixpath.normpath("/" + root.strip("/"))
+    whole = posixpath.normpath(path if path.startswith("/") else f"{base}/{path}")
+    return whole[len(base) + 1 :] if whole.startswith(base + "/") else None
+
+
+def scan_markdown(spark: SparkSession, root: str, limit: int = 500, ignore: list[str] | None = None, exclude: tuple[str, ...] = (), scope: str | None = None) -> DataFrame:
+    """(path, text) of the first `limit` markdown files by path, at most READ_BYTES of each (the scan's own bounds).
+
+    Hidden folders, those of MARKDOWN_SKIPPED, ignored paths and those under `exclude` (relative folders) are left out;
+    scope: a glob that paths must fit.
+    """
+    rows = _scanned(spark, root, pathGlobFilter="*.md")
+    hidden = F.exists(_folders(F.col("path")), lambda s: s.isin(*MARKDOWN_SKIPPED) | F.startswith(s, F.lit(".")))
+    rows = rows.where(~hidden).where(~ignored(F.col("path"), ignore or []))
+    for folder in exclude:
+        rows = rows.where(~F.startswith("path", F.lit(folder.strip("/") + "/")))
+    if scope:
+        rows = rows.where(F.col("path").rlike(scope_regex(scope)))
+    return rows.orderBy("path").limit(limit).select("path", F.decode(F.substring("content", 1, schema.READ_BYTES), "UTF-8").alias("text"))
 
 
 def audit_log(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:
@@ -109,6 +190,43 @@ def flatten(tree, prefix: str = "") -> list[tuple[str, str, str | None, float |
     return [(prefix, "null", None, None)] if tree is None else [(prefix, "date" if re.fullmatch(r"\d{4}-\d\d-\d\d", str(tree)) else "string", str(tree), None)]
 
 
+def facts_from_yaml(spark: SparkSession, text: str | None) -> DataFrame:
+    """The leaves of a facts file; a missing or empty one has none. The root must be a map."""
+    tree = yaml.load(text or "")
+    if tree is not None and not isinstance(tree, dict):
+        raise ValueError("facts: the root must be a map")
+    return spark.createDataFrame(flatten(tree or {}), "path string, vtype string, svalue string, nvalue double")
+
+
+def filters_from_yaml(text: str | None) -> tuple[list[tuple[str, str, list[str]]], list[tuple[str, str, str]]]:
+    """(path filters, content filters) as guard.path_filter() and guard.content_filter() take them; entries that are not as they should be are errors."""
+    root = yaml.load(text or "") or {}
+
+    def entries(name: str, pattern: str):
+        found = root.get(name) or []
+        if not isinstance(found, list):
+            raise ValueError(f"{name} must be a list")
+        for i, e in enumerate(found):
+            if not isinstance(e, dict):
+                raise ValueError(f"{name}[{i}] must be a map")
+            if not isinstance(e.get(pattern), str) or not e[pattern]:
+                raise ValueError(f"{name}[{i}]: {pattern} is required and must be a string")
+            try:
+                re.compile(e[pattern])
+            except re.error as x:
+                raise ValueError(f"{name}[{i}]: {pattern}: {x}") from None
+            yield i, e
+
+    paths = []
+    for i, e in entries("path_filters", "path_pattern"):
+        values = e.get("forbidden_values") or []
+        if not isinstance(values, list) or not all(isinstance(v, str) for v in values):
+            raise ValueError(f"path_filters[{i}]: forbidden_values must be a list of strings")
+        paths.append((str(e.get("reason") or e["path_pattern"]), e["path_pattern"], values))
+    contents = [(str(e.get("required") or ""), e["content_pattern"], str(e.get("required") or "")) for _, e in entries("content_filters", "content_pattern")]
+    return paths, contents
+
+
 def facts_from_json(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(flatten(json.loads(text or "{}")), "path string, vtype string, svalue string, nvalue double")
 
@@ -133,6 +251,8 @@ def parse_rules(text: str, default_fuzz: int = 1) -> list[dict]:
                 if mark in body:
                     body, reason = (x.strip() for x in body.split(mark, 1))
                     break
+            if not body.strip().strip('"“”'):
+                raise ValueError(f"line {number}: a rule needs a text")
             out.append({"ord": len(out) + 1, "category": category, "text": body.strip().strip('"“”'), "reason": reason, "fuzz": fuzz, "line": number})
         elif out and line[:1] in " \t" and line.strip():
             out[-1]["reason"] = (out[-1]["reason"] + " " + line.strip()).strip()
@@ -159,3 +279,11 @@ def parse_stories(text: str) -> dict[str, dict]:
         elif story is not None and part is not None and line.strip():
             story["parts"][part].append(line.strip().removeprefix("- "))
     return out
+
+
+def get_story(stories: dict[str, dict], name: str) -> dict:
+    """A story by name, whatever the case."""
+    found = stories.get(name.strip().lower())
+    if found is None:
+        raise KeyError(f"no story {name!r}")
+    return found
