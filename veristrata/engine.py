@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import unicodedata
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schema
 from .functions import extract as ex
-from .operators import detect, index, ledger
+from .functions.text import line_of, normalize_path, since_seconds
+from .operators import audit, detect, fuzzy, index, ledger, postedit
 from .sources import trees
-from .store import Snapshots
+from .store import Conflict, Snapshots
+from .tables import materialize
 
 
 class Engine:
@@ -51,16 +56,34 @@ class Engine:
             F.xxhash64("path", "ord").alias("id"), F.col("path").alias("file_path"), "name", "qualified_name", "kind", "signature", "start_line", "end_line", "exported", F.lit(None).cast("bigint").alias("parent_id")
         )
         files = index.prune(index.upsert_files(self.files, rows).select("path", "hash", "language", "size_bytes", "indexed_at"), scanned, trees.SKIPPED)
-        symbols = index.replace_symbols(self.symbols, symbol, rows)
+        symbols = index.replace_symbols(self.symbols, index.with_parents(symbol).select(symbol.columns), rows)
         symbols = symbols.join(files.select(F.col("path").alias("file_path")), "file_path", "left_semi").select(symbol.columns)
         self.snapshots.commit(files=files, symbols=symbols)
         return failures.unionByName(parsed.where("error IS NOT NULL").select("path", "error"))
 
-    def find_symbol(self, query: str, kind: str | None = None, limit: int = 0) -> DataFrame:
-        return index.find_symbol(self.symbols, query, kind, limit)
+    def index_file(self, root: str, path: str) -> None:
+        """One file of the tree, as it is now; nothing changes if it is missing, of no known kind or out of the tree."""
+        found = trees.scan_file(self.spark, root, path)
+        edit = found.select(F.lit(1).cast("bigint").alias("id"), F.lit("").alias("session_id"), F.lit("").alias("tool"), "path", F.decode("content", "UTF-8").alias("content"))
+        at = found.agg(F.max("indexed_at")).first()[0]
+        if at is not None:
+            files, symbols, _ = postedit.apply_edits(edit, self.files, self.symbols, "/", at)
+            self.snapshots.commit(files=files, symbols=symbols)
+
+    def find_symbol(self, query: str, kind: str | None = None, limit: int = 0, language: str | None = None) -> DataFrame:
+        return index.find_symbol(self.symbols, query, kind, limit, language)
+
+    def verify_symbol(self, name: str, kind: str | None = None, language: str | None = None) -> DataFrame:
+        return index.verify_symbol(self.symbols, name, kind, language)
+
+    def verify_qualified(self, qualified: str) -> DataFrame:
+        return index.verify_qualified(self.symbols, qualified)
 
-    def verify_symbol(self, name: str, kind: str | None = None) -> DataFrame:
-        return index.verify_symbol(self.symbols, name, kind)
+    def get_file(self, path: str) -> DataFrame:
+        return index.get_file(self.files, path)
+
+    def all_files(self) -> DataFrame:
+        return index.all_files(self.files)
 
     def list_files(self, pattern: str | None = None, language: str | None = None, limit: int = 0) -> DataFrame:
         return index.list_files(self.files, pattern, language, limit)
@@ -68,24 +91,40 @@ class Engine:
     def recent_changes(self, since: int = 0, limit: int = 0) -> DataFrame:
         return index.recent_changes(self.files, since, limit)
 
-    def doctor(self) -> tuple[DataFrame, DataFrame]:
-        """Counts by language, and files that look as if their symbols were missed."""
-        return index.language_counts(self.files, self.symbols), index.empty_files(self.files, self.symbols)
+    def doctor(self, root: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Counts by language, files that look as if their symbols were missed, and counts of the ledger's (capped) lists.
+
+        root: the tree on disk, of which files that are gone are not suspects.
+        """
+        bad = index.suspects(self.files, self.symbols, trees.scan_tree(self.spark, root)[0]) if root else index.empty_files(self.files, self.symbols)
+        counts = index.ledger_counts(self.decisions, ledger.unverified(self._claims()), self.get_stale_decisions())
+        return index.language_counts(self.files, self.symbols), bad, counts
 
     # ledger
 
-    def _append(self, name: str, kind: str, row: dict) -> int:
-        now = self.table(name, kind)
-        new_id = (now.agg(F.max("id")).first()[0] or 0) + 1
+    def _append(self, name: str, kind: str, rows: list[dict], tries: int = 20) -> list[int]:
+        """Add rows with the next ids, as files beside those that are there; another writer in between makes it try again."""
         fields = self.spark.createDataFrame([], kind).schema
-        one = self.spark.createDataFrame([tuple({**dict.fromkeys(fields.names), **row, "id": new_id}[n] for n in fields.names)], fields)
-        self.snapshots.commit(**{name: now.unionByName(one)})
-        return new_id
+        for _ in range(tries):
+            based_on = self.snapshots.versions()
+            last = self.snapshots.read(name, based_on).agg(F.max("id")).first()[0] if name in based_on else None
+            ids = [(last or 0) + 1 + k for k in range(len(rows))]
+            new = self.spark.createDataFrame([tuple({**dict.fromkeys(fields.names), **row, "id": i}[n] for n in fields.names) for i, row in zip(ids, rows)], fields)
+            try:
+                self.snapshots.commit(based_on, (name,), **{name: new.coalesce(1)})
+                return ids
+            except Conflict:
+                continue
+        raise Conflict(f"{name} was changed {tries} times in between")
+
+    def _claims(self) -> DataFrame:
+        """The claims with the pointers that successes give them."""
+        return ledger.supersede_claims(self.claims.drop("superseded_by"))
 
     def record_decision(self, topic: str, choice: str, reasoning: str, now: int, **more) -> int:
         if not topic:
             raise ValueError("a decision needs a topic")
-        return self._append("decisions", schema.DECISIONS, {"topic": topic, "choice": choice, "reasoning": reasoning, "recorded_at": now} | more)
+        return self._append("decisions", schema.DECISIONS, [{"topic": topic, "choice": choice, "reasoning": reasoning, "recorded_at": now} | more])[0]
 
     def supersede_decision(self, id: int, choice: str, reasoning: str, now: int) -> int:
         rows = self.decisions
@@ -108,10 +147,38 @@ class Engine:
         return a.unionByName(ledger.stale_decisions(d, names, have, limit))
 
     def record_claim(self, claim: str, evidence: str, verified: bool, now: int, **more) -> int:
-        return self._append("claims", schema.CLAIMS, {"claim": claim, "evidence": evidence, "verified": verified, "recorded_at": now, "session_id": ""} | more)
+        """more: further columns of a claim; a path is kept with forward slashes and in NFC."""
+        if more.get("file_path"):
+            more["file_path"] = unicodedata.normalize("NFC", more["file_path"].replace("\\", "/"))
+        return self._append("claims", schema.CLAIMS, [{"claim": claim, "evidence": evidence, "verified": verified, "recorded_at": now, "session_id": ""} | more])[0]
+
+    def get_claim(self, id: int) -> DataFrame:
+        found = self._claims().where(F.col("id") == id)
+        if found.isEmpty():
+            raise KeyError(f"no claim {id}")
+        return found
 
     def unverified_claims(self, limit: int = 0) -> DataFrame:
-        return ledger.unverified_listing(ledger.supersede_claims(self.claims.drop("superseded_by")), limit)
+        return ledger.unverified_listing(self._claims(), limit)
+
+    def stale_claims(self, now: int, session: str | None = None) -> DataFrame:
+        return ledger.stale(self._claims(), now, session)
+
+    def touch_claims(self, ids: list[int], now: int) -> None:
+        """These claims were checked now; an id that no claim has is an error, and nothing changes."""
+        wanted = self.spark.createDataFrame([(i,) for i in ids], "id bigint")
+        gone = [r[0] for r in ledger.missing(self.claims, wanted).orderBy("id").limit(5).collect()]
+        if gone:
+            raise KeyError(f"no claim {gone}")
+        self.snapshots.commit(claims=ledger.touch(self.claims, wanted, now))
+
+    def purge_claims(self, before: int) -> None:
+        kept = ledger.purge(self._claims(), before).select("id")
+        self.snapshots.commit(claims=self.claims.join(kept, "id", "left_semi"))
+
+    def migrate(self) -> None:
+        """Drop what older versions recorded about edits that they had refused."""
+        self.snapshots.commit(claims=ledger.drop_refused(self.claims))
 
     def resolve_claim(self, id: int, note: str = "") -> None:
         if not self.claims.where(F.col("id") == id).count():
@@ -121,12 +188,81 @@ class Engine:
     def truth_history(self, path: str, limit: int = schema.HISTORY_ROWS) -> DataFrame:
         return ledger.truth_history(self.decisions, path, limit)
 
+    def truth_story(self, scope: str | None = None, since: str | None = None) -> DataFrame:
+        """(scope, n, n_trivial, first, last) of the truth changes, by scope; since: a day YYYY-MM-DD."""
+        rows = self.decisions.where("truth_change IS NOT NULL")
+        if since:
+            start = self.spark.range(1).select(since_seconds(F.lit(since))).first()[0]
+            if start is None:
+                raise ValueError(f"{since!r} is not YYYY-MM-DD")
+            rows = rows.where(F.col("recorded_at") >= start)
+        if scope:
+            if scope not in ("domain", "toolkit"):
+                raise ValueError(f"no scope {scope!r}")
+            rows = rows.where(F.col("truth_change.scope") == scope)
+        return ledger.truth_story(rows)
+
+    def session_start(self, source: str, limit: int = 10) -> DataFrame:
+        return audit.session_start(self.decisions, source, limit)
+
+    def session_stop(self, session: str) -> DataFrame:
+        return ledger.session_summary(self._claims().where(F.col("session_id") == session))
+
+    def post_edit(self, edits: DataFrame, root: str, now: int, verify: Callable[[str], tuple[bool, str, str | None]] | None = None, verb: str = "verify", noise: tuple[str, ...] = (), evidence_prefix: str = "") -> DataFrame:
+        """Index a batch of edits, verify the project once, record a claim for each edit; returns the claims.
+
+        edits: id (their order), session_id, tool, path, content. verify: root to (passed, output, exit error); without
+        one nothing runs. Files, symbols and claims change in one commit; a success clears earlier failures when read.
+        """
+        files, symbols, events = postedit.apply_edits(edits, self.files, self.symbols, root, now)
+        passed, output, error = verify(root) if verify else (None, "", None)
+        based_on = self.snapshots.versions()
+        last = self.claims.agg(F.max("id")).first()[0] or 0
+        order = Window.orderBy("id")
+        claims = postedit.claims_of(events, verb, verify is not None, passed, output, error, now, noise)
+        claims = claims.withColumn("evidence", F.concat(F.lit(evidence_prefix), "evidence"))
+        claims = claims.withColumn("id", F.lit(last).cast("bigint") + F.row_number().over(order)).withColumn("file_path", normalize_path("file_path"))
+        claims = materialize(claims.select(*self.spark.createDataFrame([], schema.CLAIMS).columns), "claims")
+        self.snapshots.commit(based_on, ("claims",), files=files, symbols=symbols, claims=claims)
+        return claims
+
+    # facts and stories
+
+    def list_facts(self, facts: DataFrame, category: str = "") -> DataFrame:
+        return detect.visible_facts(detect.at_path(facts, category) if category else facts)
+
+    def stats(self, facts: DataFrame, rules: DataFrame | None = None, stories: dict | None = None) -> DataFrame:
+        """(kind, name, n): facts by category, rules by category, and the number of stories."""
+        category = F.split(F.regexp_replace("path", r"\[.*$", ""), r"\.")[0]
+        out = facts.groupBy(category.alias("name")).agg(F.count("*").alias("n")).select(F.lit("facts").alias("kind"), "name", "n")
+        if rules is not None:
+            out = out.unionByName(rules.groupBy(F.col("category").alias("name")).agg(F.count("*").alias("n")).select(F.lit("rules").alias("kind"), "name", "n"))
+        return out.unionByName(self.spark.createDataFrame([("stories", "", len(stories or {}))], "kind string, name string, n bigint"))
+
+    def lint(self, facts: DataFrame, today: str, days: int = 180) -> DataFrame:
+        return detect.stale_facts(facts, today, days)
+
+    def get_story(self, stories: dict[str, dict], name: str) -> dict:
+        return trees.get_story(stories, name)
+
+    def sync(self, facts: DataFrame, fetch: Callable[[str, str], str], pattern: str) -> tuple[DataFrame, DataFrame]:
+        return audit.sync(facts, fetch, pattern)
+
     # prose
 
-    def check(self, docs: DataFrame, facts: DataFrame, rules: DataFrame | None = None, key: str = "id") -> DataFrame:
-        """Claims of documents (key, text) with their lines."""
-        forbidden = detect.forbidden_exact(docs, rules, key) if rules is not None else None
-        found = detect.detect(docs, facts, forbidden, detect.contradictions(docs, facts, key), key)
-        from .functions.text import line_of
+    def facts_impact(self, docs: DataFrame, facts: DataFrame, path: str, key: str = "id") -> DataFrame:
+        return detect.facts_impact(docs, detect.at_path(facts, path), key)
 
+    def corpus_summary(self, docs: DataFrame, facts: DataFrame, rules: DataFrame | None = None, key: str = "id") -> DataFrame:
+        return detect.corpus_summary(docs, detect.summary(self.check(docs, facts, rules, key), key), key)
+
+    def check(self, docs: DataFrame, facts: DataFrame, rules: DataFrame | None = None, key: str = "id", most_bytes: int | None = None) -> DataFrame:
+        """Claims of documents (key, text) with their lines. A rule's column fuzz is the number of edits it forgives (1 without it).
+
+        most_bytes: longer documents are not scanned, as a tool that answers at once has it.
+        """
+        if most_bytes is not None:
+            docs = docs.where(F.octet_length("text") <= most_bytes)
+        forbidden = fuzzy.forbidden(docs, rules, key) if rules is not None else None
+        found = detect.detect(docs, facts, forbidden, detect.contradictions(docs, facts, key), key)
         return found.join(docs.select(key, "text").withColumnRenamed("text", "__t"), key).withColumn("line", line_of(F.col("__t"), F.col("start"))).drop("__t")

@@ -41,16 +41,22 @@ def session_totals(events: DataFrame, watermark: str = "10 minutes") -> DataFram
     )
 
 
-def stop_reports(events: DataFrame) -> DataFrame:
+def stop_reports(events: DataFrame, idle: str = "24 hours") -> DataFrame:
     """A session's unverified and failed counts, emitted when its stop event comes; then its state is dropped.
 
-    events: session_id, event (claim or stop), verified, vet_ok. State holds two numbers per session.
+    events: session_id, event (claim or stop), verified, vet_ok, ts. State holds two numbers per session; that of a session
+    that never stops goes when the watermark has passed `idle` since its last event, without a report.
     """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         unverified, failed = state.get if state.exists else (0, 0)
-        stopped = False
+        stopped, last = False, state.getCurrentWatermarkMs()
         for f in frames:
+            last = max([last, *(int(t.timestamp() * 1000) for t in f["ts"].dropna())])
             claims = f[f["event"] != "stop"]
             unverified += int((~claims["verified"].fillna(False).astype(bool)).sum())
             failed += int((claims["vet_ok"] == False).sum())  # noqa: E712
@@ -61,17 +67,23 @@ def stop_reports(events: DataFrame) -> DataFrame:
             yield pd.DataFrame([(key[0], unverified, failed)], columns=["session_id", "n_unverified", "n_failed"])
         else:
             state.update((unverified, failed))
+            state.setTimeoutTimestamp(last + idle_ms)
 
-    return events.groupBy("session_id").applyInPandasWithState(step, "session_id string, n_unverified long, n_failed long", "u long, f long", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", "10 minutes")
+    return rows.groupBy("session_id").applyInPandasWithState(step, "session_id string, n_unverified long, n_failed long", "u long, f long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tokens(events: DataFrame, seconds: int = TOKEN_SECONDS) -> DataFrame:
     """Which edits a token covers. events: project, path, kind (token or edit), ts.
 
     A token is for one path, lasts `seconds`, and is used up by the first edit that it covers; a newer one replaces it.
+    State is a token that still lasts; it goes once the watermark has passed its end, and nothing is kept for other paths.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         issued = state.get[0] if state.exists else -1
         out = []
         rows = pd.concat(list(frames)).sort_values(["ts", "kind"], ascending=[True, False])
@@ -82,15 +94,40 @@ def tokens(events: DataFrame, seconds: int = TOKEN_SECONDS) -> DataFrame:
                 ok = issued >= 0 and ts - issued <= seconds
                 out.append((*key, ts, ok))
                 issued = -1
-        state.update((issued,))
+        end = (issued + seconds + 1) * 1000
+        if issued >= 0 and end > state.getCurrentWatermarkMs():
+            state.update((issued,))
+            state.setTimeoutTimestamp(end)
+        elif state.exists:
+            state.remove()
         if out:
             yield pd.DataFrame(out, columns=["project", "path", "at", "covered"])
 
-    return events.groupBy("project", "path").applyInPandasWithState(step, "project string, path string, at long, covered boolean", "issued long", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", "10 minutes")
+    return rows.groupBy("project", "path").applyInPandasWithState(step, "project string, path string, at long, covered boolean", "issued long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drain(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Drain what is there into files and return them as a table; nothing passes through the driver. Append mode."""
+    query = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)
+
+
+def drain_last(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Drain what is there in complete mode: each micro-batch writes the whole result to files of its own, the last one is returned."""
+    spark, seen = stream.sparkSession, []
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+        seen[:] = [epoch]
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/epoch={seen[0]}") if seen else spark.createDataFrame([], stream.schema)
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Drain what is there into an in-memory table and return it."""
+    """Drain what is there into an in-memory table of the driver, for small results as in tests; drain() writes files."""
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
@@ -99,6 +136,22 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint
     return stream.sparkSession.table(name)
 
 
+def post_edits(engine, root: str, clock: Callable[[], int], verify: Callable[[str], tuple] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that indexes a micro-batch's edits, verifies once, and records their claims.
+
+    Batches: id, session_id, tool, path, content. A batch that is run again after a failure records no claim twice: claims of
+    an epoch carry its number, and an epoch that has any is skipped.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        mark = f"epoch {epoch}: "
+        if not engine.claims.where(F.startswith("evidence", F.lit(mark))).isEmpty():
+            return
+        engine.post_edit(batch, root, clock(), verify, evidence_prefix=mark)
+
+    return run
+
+
 def post_edit_sink(load: Callable[[], tuple], apply: Callable[[DataFrame, tuple], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that reloads its truth files for every micro-batch and keeps the last good ones if that fails."""
     held: list = []
