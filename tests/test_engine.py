@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from veristrata.engine import Engine
@@ -48,9 +49,10 @@ def test_check_and_audit(spark, tmp_path):
 
 
 def test_audit_texts(spark):
-    e = spark.createDataFrame([("s", "p", 1, 0, 0), ("s", "q", 0, 0, 5)], "session_id string, path string, forbidden int, unverified int, recorded_at bigint")
+    item = "claims array<struct<text:string,verdict:string,path:string>>"
+    e = spark.createDataFrame([("s", "Edit", "p", "2024-01-02T03:04:05Z", 1, 0, 0, [("a|b", "forbidden", "#1"), (None, "verified", None)]), ("s", "Edit", "q", "?", 0, 0, 5, [])], f"session_id string, tool string, path string, timestamp string, forbidden int, unverified int, recorded_at bigint, {item}")
     assert audit.audit_lines(e).count() == 1
-    assert "FORBIDDEN HIT" in audit.audit_markdown(e).orderBy("recorded_at").first().value
+    assert [r.value for r in audit.audit_markdown(e).collect()] == ["## 2024-01-02 — p — FORBIDDEN HIT\n\n**Claims made:**\n- a\\|b — FORBIDDEN (do-not-claim.md##1)\n-  — VERIFIED\n\n**Tool:** Edit  \n**Session:** s  \n**Timestamp:** 2024-01-02T03:04:05Z\n\n"]
     m = spark.createDataFrame([("a", 2, "two"), ("a", 1, "one"), ("a", 3, " ")], "k string, o int, t string")
     assert audit.fold_messages(m, "k", "o", "t").first().message == "one\n\ntwo"
     d = spark.createDataFrame([(1, "t", "c", 5)], "id bigint, topic string, choice string, recorded_at bigint")
@@ -69,3 +71,77 @@ def test_sync_reports_changes_and_errors(spark):
     assert {r.path: r.svalue for r in new.collect()} == {"pr.a": "merged", "pr.b": "open", "x": "y"}
     assert {(r.path, r.reason) for r in changes.collect()} == {("pr.a", "synced"), ("pr.b", "rate limit")}
     assert audit.fact_changes(leaves, new, "r").select(F.max("path")).first()[0] == "pr.a"
+
+
+def test_check_forgives_a_rules_edits(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "We say Terraform iz great"), (2, "terraform is great."), (3, "Terraform is gret"), (4, "Terraform is greatly")], "id bigint, text string")
+    facts = spark.createDataFrame([], "path string, vtype string, svalue string, nvalue double")
+    e = Engine(spark, str(tmp_path / "db"))
+    hits = lambda rules: sorted((r.id, r.start, r.end) for r in e.check(docs, facts, rules).where("verdict = 'forbidden'").collect())
+    assert hits(spark.createDataFrame([(1, "Terraform is great", 1)], "ord int, text string, fuzz int")) == [(1, 7, 25), (2, 0, 18), (3, 0, 17)]
+    assert hits(spark.createDataFrame([(1, "Terraform is great", 0)], "ord int, text string, fuzz int")) == [(2, 0, 18)]
+    assert len(hits(spark.createDataFrame([(1, "Terraform is great")], "ord int, text string"))) == 3
+    assert e.check(docs, facts, None, most_bytes=17).count() == 0
+    assert e.corpus_summary(docs, facts, spark.createDataFrame([(1, "Terraform is great")], "ord int, text string")).first().message == "4 files: 3 with forbidden claims"
+
+
+def test_post_edit_flow(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    kind = "id bigint, session_id string, tool string, path string, content string"
+    edit = lambda *rows: spark.createDataFrame(list(rows), kind)
+    e.post_edit(edit((1, "s", "Edit", "a.py", "def f(): pass"), (2, "s", "Edit", "b.py", "def (")), "/p", 10, lambda root: (False, "# p\nbad line", "exit status 1"), "go vet")
+    got = {r.id: r for r in e.claims.collect()}
+    assert [got[i].index_ok for i in (1, 2)] == [True, False] and got[1].vet_error_summary == "bad line" and got[1].evidence == "file: a.py\ngo vet: failed\nexit: exit status 1\n# p\nbad line"
+    assert [r["name"] for r in e.symbols.collect()] == ["f"] and e.unverified_claims().count() == 2
+    e.post_edit(edit((1, "s", "Edit", "c.py", "class C:\n    def m(self): pass")), "/p", 20, lambda root: (True, "", None), "go vet")
+    assert e.unverified_claims().count() == 0 and [r.id for r in e.claims.where("verified").collect()] == [3]
+    parents = {r["name"]: r.parent_id for r in e.symbols.collect()}
+    assert parents["m"] == e.symbols.where("name = 'C'").first().id and parents["C"] is None
+    assert e.get_claim(1).first().superseded_by == 3
+    for call in (lambda: e.get_claim(99), lambda: e.touch_claims([1, 99], 5)):
+        with pytest.raises(KeyError):
+            call()
+    e.touch_claims([1], 77)
+    assert e.claims.where("last_checked = 77").count() == 1
+    e.purge_claims(15)
+    assert [r.id for r in e.claims.collect()] == [3]
+
+
+def test_engine_reads(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text("def f(x): return x\n")
+    e.index(str(src)).count()
+    (src / "b.py").write_text("def g(): pass\n")
+    e.index_file(str(src), "b.py")
+    e.index_file(str(src), "../none.py")
+    assert [r.path for r in e.all_files().collect()] == ["a.py", "b.py"] and e.get_file("b.py").count() == 1
+    assert e.find_symbol("f", language="python").count() == 1 and e.find_symbol("f", language="go").count() == 0 and e.verify_qualified("a.f").count() == 1
+    with pytest.raises(ValueError, match="empty"):
+        e.find_symbol("")
+    with pytest.raises(ValueError, match="bytes"):
+        e.verify_symbol("x" * 5000)
+    languages, bad, counts = e.doctor(str(src))
+    assert languages.first().n_files == 2 and bad.count() == 0 and tuple(counts.first()) == (0, 0, 0)
+    e.record_decision("t", "x", "r", 86400 * 10, truth_change=("domain", ["p"], None, None, None, True, "typo"))
+    assert e.truth_story(since="1970-01-05").first().n_trivial == 1 and e.truth_story("toolkit").count() == 0
+    for bad_call in (lambda: e.truth_story("x"), lambda: e.truth_story(since="yesterday")):
+        with pytest.raises(ValueError, match="x|yesterday"):
+            bad_call()
+    facts = spark.createDataFrame(trees.flatten({"a": {"b": "Atlas", "last_verified": "2020-01-01"}}), "path string, vtype string, svalue string, nvalue double")
+    assert e.list_facts(facts, "a").count() == 2 and e.lint(facts, "2024-01-01").count() == 1 and e.stats(facts, None, {"x": {}}).count() == 2
+    docs = spark.createDataFrame([(1, "atlas b")], "id bigint, text string")
+    assert e.facts_impact(docs, facts, "a.b").count() == 1
+    e.record_claim("c", "", False, 5, file_path="x\\e\u0301.py", session_id="s")
+    assert e.claims.first().file_path == "x/\u00e9.py" and e.session_stop("s").first().n_unverified == 1 and e.session_start("startup").count() == 1
+    e.migrate()
+    assert e.claims.count() == 1
+
+
+def test_appends_do_not_lose_each_other(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(3) as pool:
+        ids = list(pool.map(lambda k: Engine(spark, str(tmp_path / "db")).record_claim(f"c{k}", "", False, k), range(6)))
+    assert sorted(ids) == [1, 2, 3, 4, 5, 6] and sorted(r.id for r in Engine(spark, str(tmp_path / "db")).claims.collect()) == [1, 2, 3, 4, 5, 6]

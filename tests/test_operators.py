@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from veristrata import schema
@@ -224,8 +225,8 @@ def test_extractors():
         got = {(r["name"], r["kind"]) for r in ex.symbols_of("a/b.x", text, language)}
         assert want <= got, (language, got)
     assert ex.symbols_of("a.py", "def (", "python")[0]["error"]
-    assert {r["name"] for r in ex.symbols_of("go.mod", "require (\n a/b v1\n c/d v2 // indirect\n)\n", "go.mod")} == {"a/b", "c/d"}
-    assert ex.symbols_of("pom.xml", "<project><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>1</version></dependency></dependencies></project>", "maven")[0]["name"] == "g:a"
+    assert {r["name"] for r in ex.symbols_of("go.mod", "require (\n a/b v1\n c/d v2 // indirect\n)\n", "manifest")} == {"a/b", "c/d"}
+    assert ex.symbols_of("pom.xml", "<project><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>1</version></dependency></dependencies></project>", "manifest")[0]["name"] == "g:a"
     assert ex.symbols_of("x.vue", "<template/>\n<script>\nexport function f() {}\n</script>", "vue")[0]["start_line"] == 3
 
 
@@ -236,3 +237,218 @@ def test_blanking_keeps_length():
         for style in ("c", "hash", "sql"):
             b = ex.blank(t, style)
             assert len(b) == len(t) and b.count("\n") == t.count("\n")
+
+
+def test_supersession_in_a_hot_file(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "BLOCK", 5)
+    rows = [(i, "hot", i % 17 == 0, True if i % 17 == 0 else [None, False][i % 2]) for i in range(1, 90)]
+    got = {r.id: r.superseded_by for r in ledger.supersede_claims(claims(spark, rows)).collect()}
+    want = replay(rows)
+    assert got == {r[0]: want.get(r[0]) for r in rows}
+
+
+def test_chains_of_any_length(spark):
+    rows = [(i, i + 1 if i < 500 else None) for i in range(501)] + [(900, 901), (1000, None)]
+    got = {r.id: (r.head, r.depth) for r in ledger.chain_heads(spark.createDataFrame(rows, "id bigint, superseded_by bigint")).collect()}
+    assert got[0] == (500, 500) and got[499] == (500, 1) and got[500] == (500, 0) and got[900] == (901, 1) and got[1000] == (1000, 0)
+    assert ledger.chain_heads(spark.createDataFrame([], "id bigint, superseded_by bigint")).count() == 0
+    with pytest.raises(ValueError, match="circle"):
+        ledger.chain_heads(spark.createDataFrame([(1, 2), (2, 1)], "id bigint, superseded_by bigint"))
+
+
+def test_offsets_of_many_matches(spark):
+    text = "é 1, " * 1000
+    df = spark.createDataFrame([(text,)], "t string")
+    raw = text.encode()
+    got = df.select(tx.matches("t", "[0-9]").alias("m"), tx.sentences("t").alias("s")).first()
+    assert [m.start for m in got.m] == [i for i, c in enumerate(raw) if c == ord("1")] and len(got.s) == 1
+    many = spark.createDataFrame([("ab. " * 500,)], "t string").select(tx.sentences("t")).first()[0]
+    assert [(s.start, s.end) for s in many[:3]] == [(0, 2), (3, 6), (7, 10)] and len(many) == 500
+
+
+def test_more_rules_than_are_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Term7 and term2999, term30001")], "id bigint, text string")
+    rules = spark.range(3000).selectExpr("cast(id AS int) AS ord", "concat('term', id) AS text")
+    for most in (10, 10_000):
+        monkeypatch.setattr(detect, "BROADCAST_RULES", most)
+        assert [(r.ord, r.start) for r in detect.forbidden_exact(docs, rules).orderBy("start").collect()] == [(7, 0), (2999, 10)]
+    assert sorted((r.ord, r.start) for r in fuzzy.forbidden_fuzzy(docs, rules, 0).collect()) == [(7, 0), (2999, 10)]
+
+
+def test_contradictions_by_context(spark):
+    texts = ["we serve (9,500) api requests daily", "9500 requests", "api requests reach 7000, maybe 2015 or 0", "requests " + "x " * 5000 + "9500", "the limit of requests is 9000 api"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    leaves = trees.flatten({"limits": {"api": {"requests": 9000}, "requests": 8000}, "zero": 0, "big": {"requests": 10**9}, "years": 2015})
+    leaves += [(f"other.k{i}", "number", str(i), float(10 * i)) for i in range(1, 3001)]
+    facts = spark.createDataFrame([x for x in leaves if x[3] != 9500.0 and x[3] != 7000.0], "path string, vtype string, svalue string, nvalue double")
+    got = sorted((r.id, texts[r.id].encode()[r.start : r.end].decode(), r.path) for r in detect.contradictions(docs, facts).collect())
+    assert got == [(0, "9,500", "limits.api.requests"), (1, "9500", "limits.api.requests"), (2, "7000", "limits.api.requests")]
+    assert detect.contradictions(docs, facts.where("false")).count() == 0
+
+
+def test_fuzzy_pieces_lose_no_rule():
+    rng = random.Random(8)
+    needles = [("".join(rng.choice("ab c") for _ in range(rng.randint(1, 7))).encode(), rng.randint(0, 2)) for _ in range(60)]
+    pieces = fuzzy.Pieces(needles)
+    for _ in range(400):
+        text = "".join(rng.choice("ab cé") for _ in range(rng.randint(0, 20))).encode()
+        near = set(pieces.near(text))
+        assert all(i in near for i, (n, k) in enumerate(needles) if fuzzy.fuzzy(text, n, k))
+
+
+def test_edit_distance_is_bounded():
+    assert fuzzy.edit_distance(b"kitten", b"sitting", 5) == 3 and fuzzy.edit_distance(b"kitten", b"sitting", 2) == 3 and fuzzy.edit_distance(b"", b"ab", 2) == 2
+
+
+def test_impact_is_at_word_boundaries_and_in_context(spark):
+    docs = spark.createDataFrame([(1, "xatlasx\nfoo atlas"), (2, "atlas\n\nand now we say the product is called Atlas")], "doc_id bigint, text string")
+    leaves = spark.createDataFrame([("product.name", "atlas")], "path string, svalue string")
+    got = sorted(map(tuple, detect.facts_impact(docs, leaves).collect()))
+    assert got == [("product.name", 1, 1, 0, 2), ("product.name", 2, 2, 1, 3)]
+
+
+def test_key_paths(spark):
+    leaves = spark.createDataFrame(trees.flatten({"a": {"b": [1, {"c": 2}]}, "ab": 3}), "path string, vtype string, svalue string, nvalue double")
+    assert sorted(r.path for r in detect.at_path(leaves, "a").collect()) == ["a.b[0]", "a.b[1].c"] and detect.at_path(leaves, "a.b[1]").count() == 1
+    for bad in ("a.x", "a.b[7]", "a..b", "[0"):
+        with pytest.raises(ValueError, match="a|0"):
+            detect.at_path(leaves, bad)
+
+
+def test_shaping(spark):
+    df = spark.createDataFrame([("é" * 10, 1, "a\nb"), (None, 2, "")], "t string, n int, x string")
+    got = df.select(tx.cut_bytes(F.col("t"), 8, "…").alias("c"), tx.plural(F.col("n"), "file").alias("p"), tx.one_line(F.col("x"), 5).alias("o"), tx.human_duration(F.col("n") * 4000).alias("h")).collect()
+    assert tuple(got[0]) == ("éé…", "1 file", "a", "1h") and tuple(got[1]) == (None, "2 files", "", "2h")
+    paths = [("a/../b", "/r/b"), ("/r/c/./d", "/r/c/d"), ("../x", None), ("/r/../y", None), ("", None), ("a\nb", None), ("/rx/a", None), (".", "/r")]
+    df = spark.createDataFrame(paths, "p string, want string")
+    assert df.where(~tx.contained(F.col("p"), "/r/").eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_source_sets(spark):
+    df = spark.createDataFrame([("x/BUILD", "starlark", "starlark"), ("a.TF", "hcl", "hcl"), ("a.js", None, "javascript"), ("b.jsx", "typescript", "javascript"), ("x/OpenAPI.yaml", "openapi", None), ("pom.xml", "manifest", "manifest"), ("README", None, None)], "p string, a string, b string")
+    assert df.where(~(trees.language_of(F.col("p")).eqNullSafe(F.col("a")) & trees.query_language_of(F.col("p")).eqNullSafe(F.col("b")))).count() == 0
+
+
+def test_scans(spark, tmp_path):
+    for name, text in {"a.md": "1", "out/b.md": "2", ".x/c.md": "3", "docs/d.md": "4", "docs/e/f.md": "5", "truth/g.md": "6", "m.py": "x = 1\n", "gen/n.py": "y = 1\n", ".gitignore": "gen/\n", ".mypy_cache/o.py": "z = 1\n"}.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    md = lambda **k: [r.path for r in trees.scan_markdown(spark, str(tmp_path), **k).collect()]
+    assert md(exclude=("truth",)) == ["a.md", "docs/d.md", "docs/e/f.md"] and md(scope="docs/*.md") == ["docs/d.md"] and md(limit=1) == ["a.md"]
+    assert [r.path for r in trees.scan_tree(spark, str(tmp_path))[0].collect()] == ["m.py"]
+    one = lambda p: [r.path for r in trees.scan_file(spark, str(tmp_path), p).collect()]
+    assert one("m.py") == ["m.py"] and one("./docs/../m.py") == ["m.py"] and one("../m.py") == [] and one("none.py") == [] and one("docs") == [] and one("a.md") == []
+
+
+def test_snapshots_append_and_conflict(spark, tmp_path):
+    from veristrata.store import Conflict, Snapshots
+
+    s = Snapshots(spark, str(tmp_path / "t"))
+    s.commit(a=spark.range(2), b=spark.range(1))
+    before = s.versions()
+    s.commit(before, ("a",), a=spark.range(2, 5))
+    assert sorted(r.id for r in s.read("a").collect()) == [0, 1, 2, 3, 4] and len(s.versions()["a"]) == 2
+    with pytest.raises(Conflict):
+        s.commit(before, ("a",), a=spark.range(9))
+    s.commit(before, b=spark.range(7))
+    assert s.read("b").count() == 7 and s.read("a").count() == 5 and not list((tmp_path / "t").glob("LOCK"))
+
+
+def test_adapters(spark):
+    from veristrata.operators import adapters
+
+    config = adapters.read_config('[[adapters]]\ntype = "x"\n[[adapters]]\ntype = "x"\n[[adapters]]\ntype = "y"\n')
+    assert adapters.enabled(config, True) == ["x", "y"] and adapters.enabled({}, True) == ["code", "ground-truth"] and adapters.enabled(adapters.read_config(None), False) == ["code"]
+
+    class Says(adapters.Adapter):
+        def post_edit(self, events):
+            return F.concat(F.lit(self.options["word"] + " "), F.col("path"))
+
+    r = adapters.Registry()
+    r.register("x", Says)
+    r.register("y", Says)
+    with pytest.raises(ValueError, match="taken"):
+        r.register("x", Says)
+    with pytest.raises(KeyError):
+        r.create(["z"])
+    e = spark.createDataFrame([(1, "p"), (2, None)], "id bigint, path string")
+    got = {x.id: x.message for x in adapters.messages(e, r.create(["x", "y"], {"x": {"word": "a"}, "y": {"word": "b"}}), "post_edit").collect()}
+    assert got == {1: "a p\n\nb p"}
+
+
+def test_post_edit_of_one_path_twice(spark):
+    from veristrata.operators import postedit
+
+    files, symbols = spark.createDataFrame([("a.py", "h", "python", 1, 1)], schema.FILES), spark.createDataFrame([(5, "a.py", "old", "a.old", "function", "", 1, 1, True, None)], schema.SYMBOLS)
+    edits = spark.createDataFrame([(1, "s", "Edit", "a.py", "def f(): pass"), (2, "s", None, "/p/a.py", "def g(): pass"), (3, "s", "Edit", "notes.txt", "x"), (4, "s", "Edit", "/etc/passwd", "x"), (5, "s", "Edit", "gone.py", None)], "id bigint, session_id string, tool string, path string, content string")
+    f, s, e = postedit.apply_edits(edits, files, symbols, "/p", 9)
+    assert [r["name"] for r in s.collect()] == ["g"] and [(r.path, r.indexed_at) for r in f.collect()] == [("a.py", 9)]
+    claims_ = {r.id: r for r in postedit.claims_of(e, "verify", False, None, "", None, 9).collect()}
+    assert sorted(claims_) == [1, 2, 3] and claims_[2].claim == "tool=edit file=a.py; index=ok; verify=skipped (no module)" and claims_[1].verified and claims_[1].vet_ok is None
+
+
+def test_plugins_are_bounded():
+    import sys
+
+    from veristrata.operators import audit
+
+    run = lambda code, **k: audit.run_plugin([sys.executable, "-c", code], {"a": 1}, **k)
+    assert run("import json,sys; x=json.load(sys.stdin); print(json.dumps({'b': x['a'] + 1}))") == {"b": 2}
+    for code in ("print('[]')", "import sys; sys.exit('no')", "print('{}' + ' ' * 5000)"):
+        with pytest.raises((RuntimeError, ValueError)):
+            run(code, most=1000)
+
+
+def test_truth_files(spark, tmp_path):
+    from veristrata.operators import audit
+
+    facts = trees.facts_from_yaml(spark, "product:\n  name: Atlas\n  tags: [a, 2]\n  since: 2024-03-05\n")
+    assert sorted((r.path, r.vtype, r.svalue) for r in facts.collect()) == [("product.name", "string", "Atlas"), ("product.since", "date", "2024-03-05"), ("product.tags[0]", "string", "a"), ("product.tags[1]", "number", "2")]
+    assert trees.facts_from_yaml(spark, None).count() == 0
+    with pytest.raises(ValueError, match="map"):
+        trees.facts_from_yaml(spark, "- a")
+    paths, contents = trees.filters_from_yaml('path_filters:\n  - path_pattern: "applications/([^/]+)/"\n    forbidden_values: [acme]\n    reason: over\ncontent_filters:\n  - content_pattern: sponsored\n    required: "Ad:"\n')
+    assert paths == [("over", "applications/([^/]+)/", ["acme"])] and contents == [("Ad:", "sponsored", "Ad:")] and trees.filters_from_yaml("") == ([], [])
+    for bad in ("path_filters: x", "path_filters: [1]", "path_filters: [{reason: x}]", "path_filters: [{path_pattern: '('}]", "content_filters: [{content_pattern: 3}]", "path_filters: [{path_pattern: a, forbidden_values: [1]}]"):
+        with pytest.raises(ValueError, match="filters"):
+            trees.filters_from_yaml(bad)
+    for text in ("a: 1\n", "a: 2\n"):
+        audit.write_facts(spark, str(tmp_path / "facts.yaml"), text)
+        assert (tmp_path / "facts.yaml").read_text() == text
+    stories = trees.parse_stories("## STORY: A b\n### Short\ntext\n")
+    assert trees.get_story(stories, " a B")["name"] == "A b"
+    with pytest.raises(KeyError):
+        trees.get_story(stories, "c")
+    with pytest.raises(ValueError, match="line 2"):
+        trees.parse_rules('## X\n- ❌ ""\n')
+
+
+YAML = """
+a: {b: [1, 'x, y', {c: ~}], "d": true}   # note
+list:
+- one
+- two: 2
+  three: "3\\n"
+- - x
+text: |
+  first
+    second
+
+fold: >-
+  some
+  words
+'q k': 0x10
+plain: goes
+  on
+"""
+
+
+def test_yaml():
+    from veristrata.sources import yaml
+
+    assert yaml.load(YAML) == {"a": {"b": [1, "x, y", {"c": None}], "d": True}, "list": ["one", {"two": 2, "three": "3\n"}, ["x"]], "text": "first\n  second\n", "fold": "some words", "q k": 16, "plain": "goes on"}
+    assert yaml.load("") is None and yaml.load("- a: 1\n  b: 2\n-\n  - c") == [{"a": 1, "b": 2}, ["c"]] and yaml.load("x: 1.5e3") == {"x": 1500.0}
+    for bad in ("a: &x 1", "a: 1\na: 2", "a: [1, 2", "a: 1\n---\nb: 2", "a:\n   b: 1\n  c: 2", "a: *x", "\ta: 1"):
+        with pytest.raises(ValueError, match="line"):
+            yaml.load(bad)

@@ -14,8 +14,9 @@ def test_pre_edit_stream_denies_malformed(spark, tmp_path):
 
 
 def test_stop_reports(spark, tmp_path):
-    write(tmp_path, "a.jsonl", [{"session_id": "s", "event": "claim", "verified": False, "vet_ok": False}, {"session_id": "s", "event": "claim", "verified": False}, {"session_id": "t", "event": "claim", "verified": False}, {"session_id": "s", "event": "stop"}])
-    raw = spark.readStream.schema("session_id string, event string, verified boolean, vet_ok boolean").json(str(tmp_path))
+    at = {"ts": "2024-01-01T00:00:00Z"}
+    write(tmp_path, "a.jsonl", [{"session_id": "s", "event": "claim", "verified": False, "vet_ok": False} | at, {"session_id": "s", "event": "claim", "verified": False} | at, {"session_id": "t", "event": "claim", "verified": False} | at, {"session_id": "s", "event": "stop"} | at])
+    raw = spark.readStream.schema("session_id string, event string, verified boolean, vet_ok boolean, ts timestamp").json(str(tmp_path))
     out = st.run_available(st.stop_reports(raw), "stops").collect()
     assert [(r.session_id, r.n_failed) for r in out] == [("s", 1)]
 
@@ -26,3 +27,51 @@ def test_tokens_are_used_once_and_expire(spark, tmp_path):
     raw = spark.readStream.schema("project string, path string, kind string, ts timestamp").json(str(tmp_path))
     out = st.run_available(st.tokens(raw), "tokens").orderBy("at").collect()
     assert [r.covered for r in out] == [True, False, False]
+
+
+def test_state_of_idle_sessions_goes(spark, tmp_path):
+    """A session's counts are dropped once the watermark has passed; a later stop then reports what came after."""
+    kind = "session_id string, event string, verified boolean, vet_ok boolean, ts timestamp"
+    source = tmp_path / "in"
+    source.mkdir()
+    stream = lambda: st.stop_reports(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).json(str(source)), "1 hour")
+    day = lambda d, h=0: f"2024-01-{d:02d}T{h:02d}:00:00Z"
+    for name, rows in (("1", [("s", "claim", day(1))]), ("2", [("t", "claim", day(3))]), ("3", [("t", "claim", day(3, 1))]), ("4", [("s", "claim", day(4)), ("s", "stop", day(4))])):
+        write(source, name, [{"session_id": s, "event": e, "verified": False, "ts": ts} for s, e, ts in rows])
+        out = st.drain(stream(), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert [(r.session_id, r.n_unverified) for r in out.collect()] == [("s", 1)]
+
+
+def test_unchanged_files_go_once(spark, tmp_path):
+    write(tmp_path, "a.jsonl", [{"path": p, "hash": h, "ts": "2024-01-01T00:00:00Z"} for p, h in (("a", "1"), ("a", "1"), ("a", "2"))])
+    raw = spark.readStream.schema("path string, hash string, ts timestamp").json(str(tmp_path))
+    assert sorted(r.hash for r in st.run_available(st.unchanged_dropped(raw), "unchanged").collect()) == ["1", "2"]
+
+
+def test_post_edit_batches_are_recorded_once(spark, tmp_path):
+    from veristrata.engine import Engine
+
+    source = tmp_path / "in"
+    source.mkdir()
+    write(source, "a.jsonl", [{"id": 1, "session_id": "s", "tool": "Edit", "path": "a.py", "content": "def f(): pass"}])
+    e = Engine(spark, str(tmp_path / "db"))
+    run = st.post_edits(e, "/p", lambda: 9, lambda root: (True, "", None))
+    raw = spark.readStream.schema("id bigint, session_id string, tool string, path string, content string").json(str(source))
+    raw.writeStream.foreachBatch(run).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    run(spark.read.schema(raw.schema).json(str(source)), 0)
+    assert [(r.verified, r.evidence) for r in e.claims.collect()] == [(True, "epoch 0: file: a.py\nverify: ok")] and [r["name"] for r in e.symbols.collect()] == ["f"]
+
+
+def test_good_truth_files_stay(spark):
+    loads, seen = iter([("a",), None, ("b",)]), []
+
+    def load():
+        found = next(loads)
+        if found is None:
+            raise OSError("gone")
+        return found
+
+    run = st.post_edit_sink(load, lambda batch, truth: seen.append(truth))
+    for epoch in range(3):
+        run(None, epoch)
+    assert seen == [("a",), ("a",), ("b",)]

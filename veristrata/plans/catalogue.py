@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import extract as ex
 from ..functions import text as tx
-from ..operators import detect, fuzzy, guard, index, ledger
-from ..sources import views
+from ..operators import adapters, audit, detect, fuzzy, guard, index, ledger, postedit
+from ..sources import trees, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,7 +56,7 @@ DUCK["v_super"] = """SELECT c.*, CASE WHEN NOT verified THEN least(coalesce(min(
 DUCK["v_superseded"] = "SELECT * EXCLUDE (sup0), CASE WHEN sup0 < 9223372036854775807 THEN sup0 END AS superseded_by FROM v_super"
 DUCK["v_linked"] = "SELECT *, lead(id) OVER (PARTITION BY author, topic ORDER BY recorded_at, id) AS superseded_by FROM v_decisions"
 DUCK["v_changes"] = """SELECT o_orderkey AS id, o_orderpriority AS topic, CAST(epoch(o_orderdate) AS BIGINT) AS recorded_at, CASE WHEN o_orderstatus = 'O' THEN 'domain' WHEN o_orderstatus = 'F' THEN 'toolkit' END AS scope, files, o_custkey % 5 = 0 AS trivial
-  FROM orders LEFT JOIN (SELECT l_orderkey, list('src/p'||(l_partkey % 40)||'.md' ORDER BY l_linenumber) AS files FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('O','F')"""
+  FROM orders LEFT JOIN (SELECT l_orderkey, list('src/p'||(l_partkey % 40)||'.md' ORDER BY l_linenumber, 'src/p'||(l_partkey % 40)||'.md') AS files FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('O','F')"""
 
 
 def claims(spark: SparkSession, d: str) -> DataFrame:
@@ -77,10 +78,31 @@ def find_symbol_substring(spark, d):
     return index.find_symbols_by_query(views.symbols(spark, d), "A").select("id", "file_path", "name", "qualified_name")
 
 
-@query("SELECT id, name, kind FROM (SELECT * FROM v_symbols WHERE contains(lower(name), 'a') OR contains(lower(qualified_name), 'a') ORDER BY name, file_path, start_line, id LIMIT 200) WHERE exported LIMIT 500")
+@query("SELECT id, name, kind FROM (SELECT * FROM v_symbols WHERE contains(lower(name), 'a') OR contains(lower(qualified_name), 'a') ORDER BY name, file_path, start_line, id LIMIT 200) WHERE kind = 'PROMO' LIMIT 500")
 def find_symbol_limit_then_filter(spark, d):
-    s = index.find_symbols_by_query(views.symbols(spark, d), "a", 200)
-    return index._matching(s, None, exported=True).limit(500).select("id", "name", "kind")
+    return index.find_symbol(views.symbols(spark, d), "a", "PROMO", 200).select("id", "name", "kind")
+
+
+SUFFIXES = ("go", "py", "js", "rs", "md")
+DUCK["v_coded"] = "SELECT * REPLACE ('m/f'||(id % 50)||CASE id % 5 WHEN 0 THEN '.go' WHEN 1 THEN '.py' WHEN 2 THEN '.JS' WHEN 3 THEN '.rs' ELSE '.md' END AS file_path) FROM v_symbols"
+
+
+def coded_symbols(spark, d):
+    """Symbols on paths of several languages."""
+    kinds = F.array(*map(F.lit, (".go", ".py", ".JS", ".rs", ".md")))
+    return views.symbols(spark, d).withColumn("file_path", F.concat(F.lit("m/f"), F.col("id") % 50, kinds[(F.col("id") % 5).cast("int")]))
+
+
+@query("SELECT id, name, file_path FROM (SELECT * FROM v_coded WHERE contains(lower(name), 'o') OR contains(lower(qualified_name), 'o') ORDER BY name, file_path, start_line, id LIMIT 1000) WHERE file_path LIKE '%.JS' LIMIT 500")
+def find_symbol_by_language(spark, d):
+    return index.find_symbol(coded_symbols(spark, d), "o", language="JavaScript").select("id", "name", "file_path")
+
+
+@query("SELECT file_path, CASE regexp_extract(lower(file_path), '[^.]+$') WHEN 'go' THEN 'go' WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' END AS indexed, CASE regexp_extract(lower(file_path), '[^.]+$') WHEN 'go' THEN 'go' WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' WHEN 'js' THEN 'javascript' END AS queried FROM (SELECT DISTINCT file_path FROM v_coded)")
+def language_of_paths(spark, d):
+    """The index's language of a path, and that of a query's filter, which knows further kinds."""
+    p = coded_symbols(spark, d).select("file_path").distinct()
+    return p.select("file_path", trees.language_of(F.col("file_path")).alias("indexed"), trees.query_language_of(F.col("file_path")).alias("queried"))
 
 
 @query("SELECT id, name, false AS exists FROM v_symbols WHERE contains(lower(qualified_name), 'brand#1') OR contains(lower(name), 'brand#1') ORDER BY name, file_path, start_line, id LIMIT 5")
@@ -90,9 +112,9 @@ def verify_symbol_suggest(spark, d):
 
 @query("SELECT id, qualified_name FROM v_symbols WHERE qualified_name = (SELECT qualified_name FROM v_symbols WHERE id = 11) AND name = (SELECT name FROM v_symbols WHERE id = 11)")
 def verify_qualified_symbol(spark, d):
-    s = views.symbols(spark, d)
-    name, q = s.where("id = 11").select("name", "qualified_name").first()
-    return index.find_symbols_by_name(s, name).where(F.col("qualified_name") == q).select("id", "qualified_name")
+    s = views.symbols(spark, d).withColumn("qualified_name", F.concat("qualified_name", F.lit("."), "name"))
+    row = s.where("id = 11").select("qualified_name").first()
+    return index.verify_qualified(s, row[0]).select("id", F.regexp_replace("qualified_name", r"\.[^.]*$", "").alias("qualified_name"))
 
 
 @query("SELECT * FROM v_files WHERE path = 'src1/en/1.md'")
@@ -143,6 +165,29 @@ def doctor_ledger_counts(spark, d):
     return out.drop("one")
 
 
+@query("SELECT path, language, size_bytes FROM v_files WHERE size_bytes > 512 AND language NOT IN ('bash','nix') AND path NOT IN (SELECT file_path FROM v_filesym) AND size_bytes % 5 <> 0")
+def doctor_suspects(spark, d):
+    """Files without symbols, but for those that are gone from the disk."""
+    f = views.files(spark, d)
+    return index.suspects(f, file_symbols(spark, d), f.where("size_bytes % 5 <> 0")).select("path", "language", "size_bytes")
+
+
+@query("""SELECT least(200, (SELECT count(*) FROM v_decisions)) AS n_decisions, (SELECT count(DISTINCT r.id) FROM v_refs r WHERE r.id IN (SELECT id FROM v_decisions ORDER BY recorded_at DESC, id DESC LIMIT 50) AND r.ref NOT IN (SELECT 'p'||p_partkey FROM part WHERE p_partkey % 3 <> 0)) AS n_stale_decisions,
+  least(1000, (SELECT count(*) FROM v_superseded WHERE NOT verified AND superseded_by IS NULL)) AS n_unverified""")
+def doctor_capped_counts(spark, d):
+    """The counts as the lists behind them are capped; doctor_ledger_counts has the true ones."""
+    have = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 3 <> 0").selectExpr("concat('p', p_partkey) AS ref")
+    stale = ledger.stale_decisions(views.decisions(spark, d), views.decision_refs(spark, d), have)
+    return index.ledger_counts(views.decisions(spark, d), ledger.unverified(claims(spark, d)), stale)
+
+
+@query("SELECT s.id, min(p.id) AS parent_id FROM (SELECT id, file_path, qualified_name FROM v_symbols UNION ALL SELECT 1000000 + id, file_path, qualified_name||'.run' FROM v_symbols) s LEFT JOIN v_symbols p ON p.file_path = s.file_path AND p.qualified_name = regexp_replace(s.qualified_name, '\\.[^.]*$', '') GROUP BY 1")
+def symbol_parents(spark, d):
+    s = views.symbols(spark, d).select("id", "file_path", "qualified_name")
+    inner = s.select((F.col("id") + 1000000).alias("id"), "file_path", F.concat("qualified_name", F.lit(".run")).alias("qualified_name"))
+    return index.with_parents(s.unionByName(inner)).select("id", "parent_id")
+
+
 # ---------------------------------------------------------------- index maintenance
 
 
@@ -234,6 +279,25 @@ def purge_claims(spark, d):
     return ledger.purge(claims(spark, d), NOW).select("id", "tool")
 
 
+DUCK["v_told"] = "SELECT *, CASE WHEN id % 11 = 0 THEN 'x: path escapes project root' WHEN id % 13 = 0 THEN 'index=skipped (file not found); y' ELSE claim END AS told FROM v_claims"
+
+
+@query("SELECT id, told AS claim FROM v_told WHERE id % 11 <> 0 AND id % 13 <> 0")
+def drop_refused_claims(spark, d):
+    told = F.expr("CASE WHEN id % 11 = 0 THEN 'x: path escapes project root' WHEN id % 13 = 0 THEN 'index=skipped (file not found); y' ELSE claim END")
+    return ledger.drop_refused(views.claims(spark, d).withColumn("claim", told)).select("id", "claim")
+
+
+@query("SELECT id FROM (SELECT unnest(range(0, 40000, 777)) AS id) WHERE id NOT IN (SELECT id FROM v_claims)")
+def claims_missing(spark, d):
+    return ledger.missing(views.claims(spark, d), spark.range(0, 40000, 777))
+
+
+@query(f"""WITH a AS (SELECT *, {NOW} - recorded_at AS s FROM v_claims) SELECT id, '#'||id||' '||CASE WHEN verified THEN 'ok' ELSE 'unverified' END||' '||CASE WHEN length(claim) > 5 THEN substr(claim, 1, 4)||'…' ELSE claim END||' ('||CASE WHEN s < 60 THEN s||'s' WHEN s < 3600 THEN (s // 60)||'m' WHEN s < 86400 THEN (s // 3600)||'h' ELSE (s // 86400)||'d' END||' ago)' AS value FROM a""")
+def claim_lines(spark, d):
+    return ledger.claim_lines(views.claims(spark, d), NOW, 5)
+
+
 @query("SELECT session_id, count(*) FILTER (vet_ok = false) AS n_failed, count(*) FILTER (vet_ok IS NULL) AS n_unverified, count(DISTINCT file_path) AS n_files FROM v_superseded WHERE NOT verified GROUP BY 1")
 def session_stop_summary(spark, d):
     return ledger.session_summary(claims(spark, d))
@@ -292,19 +356,41 @@ def truth_history(spark, d):
     return ledger.truth_history(changes(spark, d), "src/p7.md").select("id", "topic", "recorded_at")
 
 
-@query("SELECT scope, count(*) AS n, count(*) FILTER (trivial) AS n_trivial FROM v_changes GROUP BY 1")
+@query("SELECT scope, count(*) AS n, count(*) FILTER (trivial) AS n_trivial, min(recorded_at) AS first, max(recorded_at) AS last FROM v_changes GROUP BY 1")
 def truth_story(spark, d):
-    return changes(spark, d).groupBy(F.col("truth_change.scope").alias("scope")).agg(F.count("*").alias("n"), F.count_if("truth_change.trivial").alias("n_trivial"))
+    return ledger.truth_story(changes(spark, d))
+
+
+@query("""SELECT id, '- '||strftime(make_timestamp(recorded_at * 1000000), '%Y-%m-%d')||' ['||scope||'] '||topic||': done'||CASE WHEN tail <> '' THEN ' ('||tail||')' ELSE '' END AS value
+  FROM (SELECT *, concat_ws('; ', CASE WHEN files IS NOT NULL THEN 'files: '||array_to_string(files, ', ') END, CASE WHEN trivial THEN 'trivial: typo' END) AS tail FROM v_changes)""")
+def truth_story_lines(spark, d):
+    t = F.col("truth_change")
+    full = F.struct(t["scope"].alias("scope"), t["files"].alias("files"), F.lit(None).cast("bigint").alias("supersedes"), t["trivial"].alias("trivial"), F.lit("typo").alias("trivial_reason"))
+    return ledger.story_lines(changes(spark, d).withColumn("choice", F.lit("done")).withColumn("truth_change", full))
+
+
+@query("SELECT id, '#'||id||' ['||topic||'] '||choice||' — '||CASE WHEN length(reasoning) > 10 THEN substr(reasoning, 1, 9)||'…' ELSE reasoning END||CASE WHEN superseded_by IS NOT NULL THEN ' (superseded by #'||superseded_by||')' ELSE '' END AS value FROM v_linked")
+def decision_lines(spark, d):
+    return ledger.decision_lines(ledger.link_superseded(views.decisions(spark, d), ["author", "topic"]), 10)
 
 
 # ---------------------------------------------------------------- detection
 
 
+DUCK["v_techprose"] = "SELECT p_partkey AS id, 'Since '||CASE p_size % 3 WHEN 0 THEN 'live' WHEN 1 THEN 'Production' ELSE 'beta' END||' '||CASE p_partkey % 5 WHEN 0 THEN 'Go' WHEN 1 THEN 'python' WHEN 2 THEN 'C++' WHEN 3 THEN 'Rusty' ELSE 'Elixir' END||' serves '||p_name AS text FROM part"
+
+
+def tech_prose(spark, d):
+    """Sentences that name languages in production, or nearly."""
+    return spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey AS id", "concat('Since ', CASE p_size % 3 WHEN 0 THEN 'live' WHEN 1 THEN 'Production' ELSE 'beta' END, ' ', CASE p_partkey % 5 WHEN 0 THEN 'Go' WHEN 1 THEN 'python' WHEN 2 THEN 'C++' WHEN 3 THEN 'Rusty' ELSE 'Elixir' END, ' serves ', p_name) AS text")
+
+
 def _pattern_query(name: str, category: str, pattern: str):
-    sql = f"SELECT id, m AS text FROM (SELECT id, unnest(regexp_extract_all(text, '{pattern}', 0)) AS m FROM v_prose)"
+    source, view = (tech_prose, "v_techprose") if category == "tech_in_production" else (views.prose, "v_prose")
+    sql = f"SELECT id, m AS text FROM (SELECT id, unnest(regexp_extract_all(text, '{pattern}', 0)) AS m FROM {view})"
 
     def run(spark, d):
-        p = views.prose(spark, d)
+        p = source(spark, d)
         found = p.select("id", F.explode(detect.pattern_spans("text")).alias("s")).where(F.col("s.category") == category)
         return found.select("id", "s.text")
 
@@ -331,23 +417,62 @@ def detect_contradiction(spark, d):
     return detect.contradictions(views.prose(spark, d), views.facts(spark, d)).select("id", "value", "path")
 
 
-@query("SELECT 3 * count(*) AS total, count(*) AS opinion, CAST(0 AS BIGINT) AS forbidden FROM v_prose")
+DUCK["v_verdicts"] = """SELECT id, 'personal_action' AS category, CASE WHEN f.path IS NULL THEN 'unverified' ELSE 'verified' END AS verdict, f.path FROM (SELECT id, lower(regexp_extract(text, 'I shipped ([A-Za-z0-9]+)', 1)) AS v FROM v_prose) p LEFT JOIN (SELECT lower(svalue) AS v, min(path) AS path FROM v_facts GROUP BY 1) f USING (v)
+  UNION ALL SELECT id, 'quantitative', CASE WHEN f.path IS NULL THEN 'unverified' ELSE 'verified' END, f.path FROM (SELECT id, replace(regexp_extract(text, '([0-9]+,000) users', 1), ',', '') AS v FROM v_prose) p LEFT JOIN (SELECT lower(svalue) AS v, min(path) AS path FROM v_facts GROUP BY 1) f USING (v)
+  UNION ALL SELECT id, 'opinion', 'opinion', NULL FROM v_prose"""
+DUCK["v_contradicted"] = """SELECT n.id, v AS value, min(f.path) AS path FROM (SELECT p.id, replace(regexp_extract(p.text, '([0-9]+,000) users', 1), ',', '')::DOUBLE AS v FROM v_prose p) n
+  JOIN (SELECT path, nvalue FROM v_facts WHERE nvalue IS NOT NULL AND NOT (nvalue BETWEEN 1900 AND 2100 AND nvalue = floor(nvalue))) f ON abs(floor(log10(v)) - floor(log10(f.nvalue))) <= 1 AND contains(f.path, 'users')
+  WHERE v NOT IN (SELECT nvalue FROM v_facts WHERE nvalue IS NOT NULL AND NOT (nvalue BETWEEN 1900 AND 2100 AND nvalue = floor(nvalue))) AND NOT (v BETWEEN 1900 AND 2100) GROUP BY ALL"""
+#: Two rules: one holds as it stands, one with an edit (the prose has `users since 2015`).
+PROSE_RULES = [(1, "and I prefer", 0), (2, "users sinse 2015", 1)]
+DUCK["v_found"] = """SELECT id, 'forbidden' AS category, 'forbidden' AS verdict, '#1' AS path FROM v_prose UNION ALL SELECT id, 'forbidden', 'forbidden', '#2' FROM v_prose WHERE contains(text, 'users since 2015 ')
+  UNION ALL SELECT id, 'contradiction', 'contradiction', path FROM v_contradicted
+  UNION ALL SELECT id, category, verdict, path FROM v_verdicts v WHERE category = 'personal_action' OR category = 'quantitative' AND id NOT IN (SELECT id FROM v_contradicted) AND id NOT IN (SELECT id FROM v_prose WHERE contains(text, 'users since 2015 '))"""
+
+
+def found(spark, d):
+    """Claims of every stage in the prose, overlaps resolved."""
+    prose, facts = views.prose(spark, d), views.facts(spark, d)
+    rules = spark.createDataFrame(PROSE_RULES, "ord int, text string, fuzz int")
+    return detect.detect(prose, facts, fuzzy.forbidden(prose, rules), detect.contradictions(prose, facts))
+
+
+@query("SELECT id, category, verdict, path FROM v_found")
+def detect_all(spark, d):
+    """Every stage together: a forbidden claim takes what it overlaps, but not a contradiction's number beside it."""
+    return found(spark, d).select("id", "category", "verdict", "path")
+
+
+@query("""SELECT id, count(*) AS total, count(*) FILTER (verdict = 'verified') AS verified, count(*) FILTER (verdict = 'unverified') AS unverified, count(*) FILTER (verdict = 'forbidden') AS forbidden,
+  count(*) FILTER (verdict = 'opinion') AS opinion, count(*) FILTER (verdict = 'contradiction') AS contradiction FROM v_found GROUP BY 1""")
 def detect_summary(spark, d):
-    s = detect.summary(detect.detect(views.prose(spark, d), views.facts(spark, d)))
-    return s.agg(F.sum("total").alias("total"), F.sum("opinion").alias("opinion"), F.sum("forbidden").alias("forbidden"))
+    return detect.summary(found(spark, d))
 
 
-@query("SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS exit_code FROM v_prose")
-def severity_exit_code(spark, d):
-    return detect.severity(detect.summary(detect.detect(views.prose(spark, d), views.facts(spark, d))))
+DUCK["v_summed"] = "SELECT id, count(*) FILTER (verdict = 'unverified') AS unverified, count(*) FILTER (verdict = 'forbidden' AND path = '#2') AS forbidden, count(*) FILTER (verdict = 'contradiction') AS contradiction FROM v_found GROUP BY 1"
 
 
-@query()
-def detect_all(spark, d):
-    """Spans of every stage with overlaps resolved; its parts have oracles of their own, golden tests hold the whole."""
+def summed(spark, d):
+    """summary() of the prose under the second rule only, so that documents differ."""
     prose, facts = views.prose(spark, d), views.facts(spark, d)
-    rules = spark.createDataFrame([(1, "and I prefer")], "ord int, text string")
-    return detect.detect(prose, facts, detect.forbidden_exact(prose, rules), detect.contradictions(prose, facts))
+    rules = spark.createDataFrame(PROSE_RULES[1:], "ord int, text string, fuzz int")
+    return detect.summary(detect.detect(prose, facts, fuzzy.forbidden(prose, rules), detect.contradictions(prose, facts)))
+
+
+@query("""SELECT 'all' AS part, max(CASE WHEN forbidden > 0 THEN 2 WHEN unverified + contradiction > 0 THEN 1 ELSE 0 END) AS exit_code FROM v_summed UNION ALL SELECT 'allowed', max(CASE WHEN unverified + contradiction > 0 THEN 1 ELSE 0 END) FROM v_summed WHERE forbidden = 0
+  UNION ALL SELECT 'clean', coalesce(max(1), 0) FROM v_summed WHERE unverified + contradiction + forbidden = 0 AND unverified > 0""")
+def severity_exit_code(spark, d):
+    """The exit code of a scan of all documents, of those without a forbidden claim, and of those without any finding."""
+    s = summed(spark, d)
+    parts = {"all": s, "allowed": s.where("forbidden = 0"), "clean": s.where("unverified + contradiction + forbidden = 0")}
+    out = [detect.severity(p).withColumn("part", F.lit(k)) for k, p in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("""SELECT files, f AS with_forbidden, u AS with_unverified, files||' files: '||CASE WHEN f + u = 0 THEN 'no findings' ELSE concat_ws(', ', CASE WHEN f > 0 THEN f||' with forbidden claims' END, CASE WHEN u > 0 THEN u||' with unverified claims' END) END AS message
+  FROM (SELECT (SELECT count(*) FROM v_prose) AS files, count(*) FILTER (forbidden > 0) AS f, count(*) FILTER (forbidden = 0 AND unverified > 0) AS u FROM v_summed)""")
+def corpus_scan_summary(spark, d):
+    return detect.corpus_summary(views.prose(spark, d), summed(spark, d))
 
 
 @query("SELECT doc_id, ord FROM (SELECT doc_id, text AS t FROM documents) JOIN v_rules r ON contains(lower(t), lower(r.text)) AND regexp_matches(lower(t), '(^|[^a-z0-9_])'||regexp_escape(lower(r.text))||'($|[^a-z0-9_])')")
@@ -363,7 +488,7 @@ def forbidden_fuzzy(spark, d):
     return fuzzy.forbidden_fuzzy(docs, views.rules(spark, d), 1, "doc_id")
 
 
-@query("SELECT count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND y) AS fn, count(*) FILTER (NOT p AND NOT y) AS tn, count(*) FILTER (p AND y) / count(*) FILTER (p) AS precision, count(*) FILTER (p AND y) / count(*) FILTER (y) AS recall FROM (SELECT contains(text, '!!') OR contains(text, '%%%') AS p, quality = 0 AS y FROM labels JOIN documents USING (doc_id))")
+@query("SELECT count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND y) AS fn, count(*) FILTER (NOT p AND NOT y) AS tn, count(*) FILTER (p AND y) / count(*) FILTER (p) AS precision, count(*) FILTER (p AND y) / count(*) FILTER (y) AS recall, count(*) FILTER (p AND NOT y) / count(*) FILTER (NOT y) AS fp_rate, count(*) FILTER (NOT p AND y) / count(*) FILTER (y) AS fn_rate FROM (SELECT contains(text, '!!') OR contains(text, '%%%') AS p, quality = 0 AS y FROM labels JOIN documents USING (doc_id))")
 def detector_quality(spark, d):
     rows = spark.read.parquet(f"{d}/labels.parquet").join(spark.read.parquet(f"{d}/documents.parquet"), "doc_id")
     return detect.quality(rows.selectExpr("contains(text, '!!') OR contains(text, '%%%') AS p", "quality = 0 AS y"), "p", "y")
@@ -375,17 +500,24 @@ def sentence_split(spark, d):
     return c.select("conv_id", "turn", F.explode(tx.sentences("text")).alias("s")).select("conv_id", "turn", F.trim("s.text").alias("sentence"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS uncovered WHERE false")
+@query("SELECT id, 'Box '||id||' stays' AS sentence FROM v_prose WHERE id % 2 = 0")
 def uncovered_sentences(spark, d):
-    """Sentences that no claim overlaps: none in prose, whose one sentence has claims."""
-    prose = views.prose(spark, d)
+    """Sentences that no claim overlaps: every other text has a second one that claims nothing."""
+    prose = views.prose(spark, d).withColumn("text", F.expr("concat(text, IF(id % 2 = 0, concat('. Box ', id, ' stays'), '; Box 3 GB.'))"))
     s = prose.select("id", F.explode(tx.sentences("text")).alias("s"))
     c = detect.detect(prose, views.facts(spark, d)).select(F.col("id").alias("cid"), "start", "end")
     left = s.join(c, (s.id == c.cid) & (F.col("s.start") < c.end) & (F.col("s.end") > c.start), "left_anti")
-    return left.select(F.col("id").cast("long").alias("uncovered"))
+    return left.select("id", F.trim("s.text").alias("sentence"))
 
 
-@query()
+#: No claim of a conversation holds a sentence's end, so sentences can be judged one by one.
+_CLAIM = "|".join(f"({p})" for _, p, _ in detect.PATTERNS)
+
+
+@query(f"""WITH t AS (SELECT row_number() OVER () AS rid, conv_id, turn, regexp_split_to_array(text, '[.!?\\n]') AS x FROM conversations WHERE text IS NOT NULL),
+  s AS (SELECT rid, conv_id, turn, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM t),
+  o AS (SELECT *, CAST(coalesce(sum(strlen(s) + 1) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start FROM s)
+  SELECT conv_id, turn, start, CAST(start + strlen(s) AS INTEGER) AS "end", trim(s) AS sentence FROM o WHERE trim(s) <> '' AND NOT regexp_matches(s, '{_CLAIM}')""")
 def uncovered_session_sentences(spark, d):
     """Sentences of conversations that no claim overlaps; claims are found row by row, so repeated turns stay apart."""
     c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text", detect.pattern_spans("text").alias("c"))
@@ -417,17 +549,31 @@ def facts_stats(spark, d):
     return views.facts(spark, d).select(F.split(F.regexp_replace("path", r"\[.*$", ""), r"\.")[0].alias("category"), "vtype").groupBy("category", "vtype").agg(F.count("*").alias("n"))
 
 
-@query("SELECT f.path, d.doc_id, len(string_split(lower(d.text), lower(f.svalue))) - 1 AS hits FROM documents d JOIN v_facts f ON length(f.svalue) >= 3 AND contains(lower(d.text), lower(f.svalue)) WHERE regexp_matches(lower(d.text), '(^|[^a-z0-9_])'||lower(f.svalue)||'($|[^a-z0-9_])') AND f.path = 'product.active' OR false")
+@query("SELECT path, svalue FROM v_facts WHERE starts_with(path, 'releases[0]')")
+def facts_at_path(spark, d):
+    return detect.at_path(views.facts(spark, d), "releases[0]").select("path", "svalue")
+
+
+#: All leaves' values begin and end with a word character, and none overlaps itself.
+DUCK["v_hits"] = r"""SELECT path, doc_id, l, strong FROM (SELECT *, len(list_filter(segments, lambda g: contains(around, g))) > 0 AS strong FROM (
+  SELECT *, array_to_string(list_filter(regexp_split_to_array(l, '\s+'), lambda w: w <> '')[-3:], ' ') || ' ' || array_to_string(list_filter(regexp_split_to_array(r, '\s+'), lambda w: w <> '')[:3], ' ') AS around,
+    list_filter(regexp_split_to_array(lower(path), '[._\[\]]+'), lambda g: strlen(g) >= 3) AS segments
+  FROM (SELECT path, doc_id, list_reduce(p[:i], lambda a, b: a || v || b) AS l, list_reduce(p[i + 1:], lambda a, b: a || v || b) AS r FROM (SELECT *, unnest(range(1, len(p))) AS i FROM (
+    SELECT f.path, d.doc_id, lower(f.svalue) AS v, string_split(lower(d.text), lower(f.svalue)) AS p FROM documents d JOIN v_facts f ON contains(lower(d.text), lower(f.svalue)))))
+  WHERE NOT regexp_matches(right(l, 1), '[a-z0-9_]') AND NOT regexp_matches(left(r, 1), '[a-z0-9_]')))"""
+_IMPACT = "SELECT path, doc_id, CAST(count(*) AS INTEGER) AS hits, CAST(count(*) FILTER (strong) AS INTEGER) AS strong_hits, CAST(1 + coalesce(min(length(l) - length(replace(l, chr(10), ''))) FILTER (strong), min(length(l) - length(replace(l, chr(10), '')))) AS INTEGER) AS first_line FROM v_hits GROUP BY ALL"
+
+
+@query(_IMPACT)
 def facts_impact(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    return detect.facts_impact(docs, views.facts(spark, d).where("path = 'product.active'")).select("path", "doc_id", "hits")
+    """All leaves over all documents."""
+    return detect.facts_impact(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), views.facts(spark, d))
 
 
-@query()
+@query("SELECT path, CAST(count(*) AS BIGINT) AS documents, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(strong_hits) AS BIGINT) AS strong_hits FROM (" + _IMPACT + ") GROUP BY 1")
 def facts_impact_all(spark, d):
-    """All leaves over all documents; facts_impact and its SQL keep to one leaf."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    return detect.facts_impact(docs, views.facts(spark, d))
+    """By leaf: the documents that name its value, and how often."""
+    return facts_impact(spark, d).groupBy("path").agg(F.count("*").alias("documents"), F.sum("hits").cast("bigint").alias("hits"), F.sum("strong_hits").cast("bigint").alias("strong_hits"))
 
 
 # ---------------------------------------------------------------- guards
@@ -470,6 +616,131 @@ def fabricated_refs(spark, d):
     return guard.fabricated_references(snippets, imports, s.where("contains(name, 'bolt')"), "own/")
 
 
+@query("SELECT path, regexp_matches(path, '/[0-9]*7\\.md$') OR regexp_full_match(path, 'src1/[^/]*/1[^/]*\\.md') AS target FROM v_files")
+def verify_targets(spark, d):
+    return views.files(spark, d).select("path", tx.matches_target(F.col("path"), ["*7.md", "src1/*/1*.md"]).alias("target"))
+
+
+DUCK["v_claimed"] = "SELECT path, CASE size_bytes % 4 WHEN 0 THEN path WHEN 1 THEN './a/../'||path WHEN 2 THEN '../'||path ELSE '/work/p/'||path END AS claimed, size_bytes % 4 AS kind FROM v_files"
+
+
+@query("SELECT claimed, CASE WHEN kind <> 2 THEN '/work/p/'||path END AS resolved FROM v_claimed")
+def path_containment(spark, d):
+    claimed = F.expr("CASE size_bytes % 4 WHEN 0 THEN path WHEN 1 THEN concat('./a/../', path) WHEN 2 THEN concat('../', path) ELSE concat('/work/p/', path) END")
+    p = views.files(spark, d).select(claimed.alias("claimed"))
+    return p.select("claimed", tx.contained(F.col("claimed"), "/work/p").alias("resolved"))
+
+
+@query("SELECT path, CASE WHEN starts_with(path, 'src0/') THEN 'deny' ELSE 'pass' END AS verdict FROM v_files")
+def adapter_verdicts(spark, d):
+    """Two adapters: the second one's ask counts as deny where the first one passes."""
+
+    class Code(adapters.Adapter):
+        kind = "code"
+
+    class Truth(adapters.Adapter):
+        kind = "ground-truth"
+
+        def pre_edit(self, events):
+            return F.when(F.startswith("path", F.lit("src0/")), "ask").otherwise("pass")
+
+    registry = adapters.Registry()
+    registry.register("code", Code)
+    registry.register("ground-truth", Truth)
+    used = registry.create(adapters.enabled(adapters.read_config(""), truth_folder=True))
+    return adapters.pre_edit_verdicts(views.files(spark, d), used, "path")
+
+
+# ---------------------------------------------------------------- after an edit
+
+
+def edits(spark, d):
+    """An edit of a Python file for each symbol: some do not parse, leave the project, or did not land."""
+    body = "CASE WHEN id % 17 = 0 THEN 'def (' WHEN id % 19 = 0 THEN NULL ELSE concat('class C', id, ':\\n    def run(self): pass\\n') END"
+    return views.symbols(spark, d).selectExpr("cast(id AS bigint) AS id", "concat('s', id % 7) AS session_id", "IF(id % 2 = 0, 'Edit', '') AS tool", "concat(IF(id % 23 = 0, '../', 'pkg/'), 'm', id, '.py') AS path", f"{body} AS content")
+
+
+DUCK["v_edits"] = "SELECT id, 's'||(id % 7) AS session_id, CASE WHEN id % 2 = 0 THEN 'Edit' ELSE 'edit' END AS tool, 'pkg/m'||id||'.py' AS path, id % 17 = 0 AS broken FROM v_symbols WHERE id % 23 <> 0 AND (id % 17 = 0 OR id % 19 <> 0)"
+
+
+def edited(spark, d):
+    none = spark.createDataFrame([], schema.FILES), spark.createDataFrame([], schema.SYMBOLS)
+    return postedit.apply_edits(edits(spark, d), *none, "/work/p", NOW)
+
+
+@query("SELECT path, 'class' AS of, 'C'||id AS name, CAST(NULL AS VARCHAR) AS parent FROM v_edits WHERE NOT broken UNION ALL SELECT path, 'method', 'run', 'C'||id FROM v_edits WHERE NOT broken")
+def post_edit_symbols(spark, d):
+    """Symbols after the edits, each with its parent's name."""
+    _, s, _ = edited(spark, d)
+    up = s.select(F.col("id").alias("pid"), F.col("name").alias("parent"))
+    return s.join(up, s.parent_id == up.pid, "left").select(F.col("file_path").alias("path"), F.when(F.col("name") == "run", "method").otherwise("class").alias("of"), "name", "parent")
+
+
+@query("SELECT path, size_bytes FROM (SELECT path, strlen('class C'||id||':'||chr(10)||'    def run(self): pass'||chr(10)) AS size_bytes FROM v_edits WHERE NOT broken)")
+def post_edit_files(spark, d):
+    return edited(spark, d)[0].select("path", "size_bytes")
+
+
+@query("""SELECT id, session_id, 'tool='||tool||' file='||path||'; index='||CASE WHEN broken THEN 'failed' ELSE 'ok' END||'; ruff check=failed' AS claim, NOT broken AS index_ok, false AS verified, false AS vet_ok, 'pkg/m1.py:1: bad' AS vet_error_summary FROM v_edits""")
+def post_edit_claims(spark, d):
+    """Claims of edits after which the verifier failed; a package's noise is left out of what it said."""
+    _, _, events = edited(spark, d)
+    out = postedit.claims_of(events, "ruff check", True, False, "# noise/pkg\nwarning: x\n# own\n\npkg/m1.py:1: bad\nmore", "exit status 1", NOW, ("noise/pkg",))
+    return out.select("id", "session_id", "claim", "index_ok", "verified", "vet_ok", "vet_error_summary")
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'verify' WHEN 1 THEN 'cargo check' WHEN 2 THEN 'make' ELSE p_name END AS verb, CASE WHEN p_partkey % 3 = 0 THEN 'e'||p_size ELSE 'exit '||p_size END AS error, '# q/r'||chr(10)||'kept '||p_size AS output FROM part")
+def verifier_shaping(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    command = F.expr("CASE p_partkey % 4 WHEN 0 THEN '  ' WHEN 1 THEN ' cargo  check --workspace' WHEN 2 THEN 'make -j8 all' ELSE concat(p_name, ' --all') END")
+    said = F.expr("concat(IF(p_partkey % 3 = 0, concat('# pkg\\n\\n  e', p_size, '\\nf'), '# pkg\\n# [pkg]'))")
+    noisy = F.expr("concat('# a/b\\ndrop\\n# q/r\\nkept ', p_size, '\\n# a/b [c]\\ngone\\n')")
+    return p.select(F.col("p_partkey").alias("id"), tx.verify_verb(command).alias("verb"), tx.first_error(said, F.expr("concat('exit ', p_size)")).alias("error"), tx.without_noise(noisy, ("a/b",)).alias("output"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) END AS since FROM orders")
+def since_dates(spark, d):
+    text = F.expr("CASE o_orderkey % 3 WHEN 0 THEN concat('x', o_orderkey) ELSE date_format(o_orderdate, 'yyyy-MM-dd') END")
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), tx.since_seconds(text).alias("since"))
+
+
+@query("SELECT id, sha256(topic) AS fingerprint FROM v_decisions")
+def command_fingerprints(spark, d):
+    return views.decisions(spark, d).select("id", tx.fingerprint(F.concat(F.lit(" \n"), "topic", F.lit("\t "))).alias("fingerprint"))
+
+
+DUCK["v_logged"] = "SELECT id, session_id, claim, 'f'||(id % 5) AS path, strftime(make_timestamp(recorded_at * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp, recorded_at FROM v_claims"
+
+
+def logged(spark, d):
+    stamp = F.date_format(F.timestamp_seconds("recorded_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return views.claims(spark, d).select("id", "session_id", F.lit("Edit").alias("tool"), F.concat(F.lit("f"), F.col("id") % 5).alias("path"), stamp.alias("timestamp"), "recorded_at", F.col("claim").alias("said"))
+
+
+@query("""SELECT recorded_at, '## '||stamp[:10]||' — '||path||' — '||CASE WHEN id % 2 = 0 THEN 'FORBIDDEN HIT' ELSE 'flagged' END||chr(10)||chr(10)||'**Claims made:**'||chr(10)||'- a \\| '||claim||' — '||CASE WHEN id % 2 = 0 THEN 'FORBIDDEN (do-not-claim.md##1)' ELSE 'UNVERIFIED' END||chr(10)||chr(10)
+  ||'**Tool:** Edit  '||chr(10)||'**Session:** '||session_id||'  '||chr(10)||'**Timestamp:** '||stamp||chr(10)||chr(10) AS value FROM v_logged""")
+def audit_sections(spark, d):
+    verdict = F.expr("IF(id % 2 = 0, 'forbidden', 'unverified')")
+    item = F.struct(F.concat(F.lit("a | "), "said", F.lit("\n")).alias("text"), verdict.alias("verdict"), F.lit("#1").alias("path"))
+    e = logged(spark, d).withColumns({"claims": F.array(item), "forbidden": F.expr("1 - id % 2"), "unverified": F.expr("id % 2")})
+    return audit.audit_markdown(e)
+
+
+@query("SELECT recorded_at, '## '||stamp[:10]||' — '||path||' — tree edit'||chr(10)||chr(10)||'**Type:** truth-tree edit (operator-authored)  '||chr(10)||'**Tool:** Edit  '||chr(10)||'**Session:** '||session_id||'  '||chr(10)||'**Timestamp:** '||stamp||chr(10)||chr(10) AS value FROM v_logged")
+def audit_tree_edits(spark, d):
+    return audit.tree_edits(logged(spark, d))
+
+
+@query("SELECT id, session_id, scope, tier, path FROM (SELECT id, session_id, path, CASE path WHEN 'f1' THEN 'domain' WHEN 'f2' THEN 'toolkit' END AS scope, CASE path WHEN 'f1' THEN 'require' WHEN 'f2' THEN 'warn' END AS tier FROM v_logged) WHERE tier IS NOT NULL")
+def pending_decisions(spark, d):
+    """Drafts of decisions for edits that the policy asks about; the lines are read back."""
+    e = logged(spark, d).withColumn("session_id", F.concat_ws(":", "id", "session_id"))
+    lines = audit.pending_decisions(e, [("f0", "domain", "skip"), ("f1", "domain", "require"), ("f2", "toolkit", "warn")])
+    x = F.from_json("value", "session_id string, file_path string, scope string, tier string, truth_change struct<scope:string,files:array<string>>")
+    rows = lines.select(x.alias("x")).where("x.truth_change.files[0] = x.file_path")
+    return rows.select(F.split("x.session_id", ":")[0].cast("bigint").alias("id"), F.split("x.session_id", ":")[1].alias("session_id"), "x.scope", "x.tier", F.col("x.file_path").alias("path"))
+
+
 # ---------------------------------------------------------------- text functions and extraction
 
 
@@ -502,17 +773,25 @@ def script_blocks(spark, d):
     return p.select("page_id", F.size(F.regexp_extract_all(bare, F.lit(r"(?is)(<script\b[^>]*(?<!/)>.*?</script\s*>)"), 1)).cast("long").alias("n_blocks"))
 
 
-@query()
+@query("""SELECT 'pkg/m'||id||'.py' AS path, unnest(['C'||id, 'run', 'LIMIT']) AS name, unnest(['pkg.m'||id||'.C'||id, 'pkg.m'||id||'.C'||id||'.run', 'pkg.m'||id||'.LIMIT']) AS qualified_name, unnest(['type', 'method', 'const']) AS kind,
+  unnest([CAST(1 AS INTEGER), 2, 3]) AS start_line, unnest([CAST(2 AS INTEGER), 2, 3]) AS end_line, unnest([true, true, true]) AS exported FROM v_symbols""")
 def python_symbols(spark, d):
-    """Symbols of generated Python sources; the extractors' own tests hold what they find."""
     src = views.symbols(spark, d).selectExpr("concat('pkg/m', id, '.py') AS path", "'python' AS language", "concat('class C', id, ':\\n    def run(self): pass\\nLIMIT = ', start_line, '\\n') AS text")
-    return ex.extract(src)
+    return ex.extract(src).select("path", "name", "qualified_name", "kind", "start_line", "end_line", "exported")
 
 
-@query()
+@query("SELECT 'a'||id||'/package.json' AS path, 'lib'||id AS name, 'dependency' AS kind, '^1.'||start_line AS version FROM v_symbols")
 def manifest_deps(spark, d):
-    src = views.symbols(spark, d).selectExpr("concat('a', id, '/package.json') AS path", "'package.json' AS language", "concat('{\"dependencies\": {\"lib', id, '\": \"^1.', start_line, '\"}}') AS text")
-    return ex.extract(src)
+    src = views.symbols(spark, d).selectExpr("concat('a', id, '/package.json') AS path", "'manifest' AS language", "concat('{\"dependencies\": {\"lib', id, '\": \"^1.', start_line, '\"}}') AS text")
+    return ex.extract(src).select("path", "name", "kind", F.col("signature").alias("version"))
+
+
+@query("SELECT 'a'||id||'/openapi.yaml' AS path, unnest(['GET /i'||id, 'POST /i'||id, 'S'||id]) AS name, unnest(['method', 'method', 'type']) AS kind, unnest(['endpoint GET /i'||id, 'endpoint POST /i'||id, 'schema S'||id]) AS signature FROM v_symbols")
+def openapi_yaml(spark, d):
+    """Operations and schemas of API files in YAML."""
+    text = "concat('paths:\\n  /i', id, ':\\n    get: {summary: \"a: b\"}\\n    post:\\n      tags: [x, y]\\n    parameters: []\\ncomponents:\\n  schemas:\\n    S', id, ':\\n      type: object\\n')"
+    src = views.symbols(spark, d).selectExpr("concat('a', id, '/openapi.yaml') AS path", "'openapi' AS language", f"{text} AS text")
+    return ex.extract(src).select("path", "name", "kind", "signature")
 
 
 # ---------------------------------------------------------------- streams
@@ -520,12 +799,14 @@ def manifest_deps(spark, d):
 
 @query("SELECT session_id, count(*) FILTER (vet_ok = false) AS n_failed, count(*) FILTER (NOT verified) AS n_unverified, count(*) AS n_events FROM v_claims GROUP BY 1")
 def session_state_stream(spark, d):
-    """The stream's totals over all that is there equal the batch's."""
+    """The stream's totals over all that is there equal the batch's; its result goes through files of the shared folder."""
     import uuid
 
     from ..streaming import events as st
+    from ..tables import shared_dir
 
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     raw = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     rows = raw.selectExpr("cast(user_id AS string) AS session_id", "cast(ts AS timestamp) AS ts", "event_type NOT IN ('error', 'view') AS verified", "CASE event_type WHEN 'purchase' THEN true WHEN 'error' THEN false END AS vet_ok")
-    return st.run_available(st.session_totals(rows), "s" + uuid.uuid4().hex, "complete")
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/totals-{uuid.uuid4().hex}"
+    return st.drain_last(st.session_totals(rows), f"{folder}/out", f"{folder}/checkpoint")
