@@ -500,10 +500,10 @@ def sentence_split(spark, d):
     return c.select("conv_id", "turn", F.explode(tx.sentences("text")).alias("s")).select("conv_id", "turn", F.trim("s.text").alias("sentence"))
 
 
-@query("SELECT id, 'Box '||id||' stays' AS sentence FROM v_prose WHERE id % 2 = 0")
+@query("SELECT id, 'Box b'||id||' stays' AS sentence FROM v_prose WHERE id % 2 = 0")
 def uncovered_sentences(spark, d):
     """Sentences that no claim overlaps: every other text has a second one that claims nothing."""
-    prose = views.prose(spark, d).withColumn("text", F.expr("concat(text, IF(id % 2 = 0, concat('. Box ', id, ' stays'), '; Box 3 GB.'))"))
+    prose = views.prose(spark, d).withColumn("text", F.expr("concat(text, IF(id % 2 = 0, concat('. Box b', id, ' stays'), '; Box 3 GB.'))"))
     s = prose.select("id", F.explode(tx.sentences("text")).alias("s"))
     c = detect.detect(prose, views.facts(spark, d)).select(F.col("id").alias("cid"), "start", "end")
     left = s.join(c, (s.id == c.cid) & (F.col("s.start") < c.end) & (F.col("s.end") > c.start), "left_anti")
