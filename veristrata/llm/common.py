@@ -1,17 +1,15 @@
-"""Helpers that several operators share: tables, lineage cuts, and vectorised text scanning."""
+"""Helpers that several operators share: Arrow batches and vectorised text scanning; tables come from the core."""
 
 from __future__ import annotations
 
 import ctypes
-import os
-import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..tables import discard, materialize, spare  # noqa: F401
+
 #: The white space that separates words everywhere in this subpackage: 0x20 and 0x09 to 0x0D.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -23,45 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local session gets one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back.
-
-    The table lies on storage that outlives executors, so a later stage never recomputes what led to it. discard()
-    deletes it; what nobody discards, as a result that is still to be read, goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jpath, fs = _filesystem(spark, path)
-    fs.deleteOnExit(jpath)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._table_path = path
-    return out
-
-
-def _filesystem(spark: SparkSession, path: str):
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def spare(df: DataFrame, name: str) -> str:
-    """A column name that df does not have."""
-    while name.lower() in (c.lower() for c in df.columns):
-        name += "_"
-    return name
-
-
 #: Rows in an Arrow batch at most: a task holds a few batches at once, in the JVM and in Python.
 BATCH_ROWS = 2000
 
@@ -95,14 +54,6 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(tidied, schema)
 
 
-def discard(df: DataFrame | None) -> None:
-    """Delete a table that materialize() wrote and that no later plan reads."""
-    path = getattr(df, "_table_path", None)
-    if path:
-        jpath, fs = _filesystem(df.sparkSession, path)
-        fs.delete(jpath, True)
-
-
 # ---------------------------------------------------------------- vectorised text
 
 

@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     node, until the edges no longer change: O(log n) rounds in practice. A hot node's neighbours are never
     gathered: the minimum is a partial aggregate and the star is a join that adaptive execution can split.
     Nulls in src or dst are ignored, self loops give their node alone, repeated edges count once; an empty
-    table gives an empty result. Each round's edges are a table in the shared folder; the one before is deleted.
+    table gives an empty result. Each round's edges are a table in the shared folder; the one before is deleted. The
+    result is such a table too, for the caller to discard.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     loops = e.where("u = v").select("u").distinct()
@@ -36,7 +37,9 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
         raise RuntimeError("the components did not settle")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = found.select(F.col("component").alias("node"), "component").distinct()
-    return found.unionByName(roots).unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
+    out = materialize(found.unionByName(roots).unionByName(loops).groupBy("node").agg(F.min("component").alias("component")), "components-of-edges")
+    discard(now)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -157,14 +157,14 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     needed = members.select("id").unionByName(stars.select(F.col("v").alias("id"))).distinct()
     texts = materialize(src.join(needed, "id", "left_semi"), "candidate-texts")
     links = materialize(verify(stars, texts), "links")
-    groups = materialize(connected_components(links), "groups")
+    groups = connected_components(links)
     pairs, held = _exact(members, groups, texts)
     more = materialize(verify(pairs, texts), "links")
     for t in (*held, members, stars, texts):
         discard(t)
     if more.limit(1).count():
         discard(groups)
-        groups = materialize(connected_components(links.unionByName(more)), "groups")
+        groups = connected_components(links.unionByName(more))
     out = classes.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
     out = materialize(out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept")), "components")

@@ -98,13 +98,14 @@ def judge(
     at = judged(pages.select(F.col(key).alias("__key"), F.col(url).alias("__in")), "__in")
     at = materialize(at.select("__key", "__host", "__path", "__rule", "__node"), "judged-pages")
     nodes = verdicts(at)
-    links = comps = None
+    links = found = None
     if edges is not None:
         links = materialize(edges.select("src", "dst").distinct(), "links")
         ends = links
         for c, end in (("src", "u"), ("dst", "v")):
             ends = split_url(ends, c).withColumn(end, address(c)).drop("__host", "__path")
-        comps = materialize(connected_components(ends).select(F.col("node").alias("__node"), "component"), "aliases")
+        found = connected_components(ends)
+        comps = found.select(F.col("node").alias("__node"), "component")
         # the rules also judge addresses that only links name
         named = verdicts(judged(links.select(F.explode(F.array("src", "dst")).alias("__in")).distinct(), "__in"))
         nodes = nodes.unionByName(named).groupBy("__node").agg(F.max("b").alias("b"), F.max("a").alias("a"))
@@ -115,7 +116,7 @@ def judge(
         blocked = nodes.where("b = 1 AND a = 0").select("__node")
     blocked = materialize(blocked, "blocked")
     discard(links)
-    discard(comps)
+    discard(found)
     blocked = blocked.withColumn("__blocked", F.lit(True))
     verdict = F.coalesce(own, F.when(F.col("__blocked"), "block"), F.lit("allow"))
     # only pages without a rule need their node's decision
