@@ -82,6 +82,30 @@ def test_op4_base_spans(spark, docs):
     assert seen
 
 
+def test_op4_added_spans(spark):
+    """The spans beside the base ones, from counts over all candidates and one text at a time."""
+    data = DATA.replace("0.001", "0.01")
+    texts = dict(duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{data}/documents.parquet'").fetchall())
+    weights = pii.fit(Counter(c[4] for t in texts.values() for c in pii.candidates(t)))
+    added = 0
+    for r in QUERIES["op4_pii"](spark, data).collect():
+        text = texts[r.doc_id]
+        want = {c[:3] for c in pii.candidates(text) if c[3] or float(pii.design(c[4]) @ weights) >= 0}
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(want, key=lambda x: (x[1], pii.ORDER[x[0]], x[2])))
+        added += len(want) - r.n_email - r.n_ip - r.n_card - r.n_phone
+    assert added > 0
+
+
+def test_op3_features(spark, docs):
+    for r in QUERIES["op3_media"](spark, DATA).collect():
+        raw = docs[r.doc_id][1].encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        c = [x - 128 for x in payload]
+        bins = Counter(x >> 4 for x in payload)
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(c, c[1:]))
+        assert r.feature == f"frames={len(c)};sum={sum(c)};energy={sum(x * x for x in c)};crossings={crossings};bins={','.join(str(bins[k]) for k in range(16))}"
+
+
 def shingles(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
