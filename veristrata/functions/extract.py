@@ -1,7 +1,7 @@
 """Symbols of source files, by language, as a table function over (path, language, text).
 
-Python is parsed; other languages are scanned by declaration patterns after comments and strings are blanked, with
-containers found by brace or end depth. A file that cannot be read gives an error row and no symbols.
+Python is parsed; Go, TypeScript and Rust are read along their brackets (structure.py); other languages are scanned by
+declaration patterns after comments and strings are blanked, with containers found by braces or `end`. A file that cannot be read gives an error row and no symbols.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import structure
+
 SYMBOL = "path string, ord int, name string, qualified_name string, kind string, signature string, start_line int, end_line int, exported boolean, error string"
 
 
@@ -26,29 +28,35 @@ def _row(name, qname, kind, signature, start, end, exported):
     return {"name": name, "qualified_name": qname, "kind": kind, "signature": signature, "start_line": start, "end_line": end, "exported": exported, "error": None}
 
 
+def _shown(name: str) -> bool:
+    return not name.startswith("_")
+
+
 def python(path: str, text: str) -> list[dict]:
-    """Top-level functions, classes with one level of methods, and assigned names."""
+    """Top-level functions, classes with one level of methods, and assigned names. A name with a leading underscore is private."""
     prefix, out = qualifier(path), []
 
-    def add(node, kind, container=""):
-        name = node.name
-        q = f"{prefix}.{container + '.' if container else ''}{name}"
-        sig = f"class {name}" if kind == "type" else f"def {name}({ast.unparse(node.args)})"
-        out.append(_row(name, q, kind, sig, node.lineno, node.end_lineno, not name.startswith("_")))
+    def function(node, container=""):
+        a = node.args
+        names = [x.arg for x in a.posonlyargs] + ["/"] * bool(a.posonlyargs) + [x.arg for x in a.args]
+        names += [f"*{a.vararg.arg}"] if a.vararg else ["*"] * bool(a.kwonlyargs)
+        names += [x.arg for x in a.kwonlyargs] + ([f"**{a.kwarg.arg}"] if a.kwarg else [])
+        qualified = ".".join(x for x in (prefix, container, node.name) if x)
+        out.append(_row(node.name, qualified, "method" if container else "function", f"def {node.name}({', '.join(names)})", node.lineno, node.end_lineno, _shown(node.name)))
 
-    for node in ast.parse(text).body:
+    for node in ast.parse(text.removeprefix("\ufeff")).body:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            add(node, "function")
+            function(node)
         elif isinstance(node, ast.ClassDef):
-            add(node, "type")
+            bases = ", ".join(map(ast.unparse, node.bases))
+            out.append(_row(node.name, f"{prefix}.{node.name}", "type", f"class {node.name}" + (f"({bases})" if bases else ""), node.lineno, node.end_lineno, _shown(node.name)))
             for sub in node.body:
                 if isinstance(sub, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                    add(sub, "method", node.name)
+                    function(sub, node.name)
         elif isinstance(node, (ast.Assign, ast.AnnAssign)):
             for target in node.targets if isinstance(node, ast.Assign) else [node.target]:
-                if isinstance(target, ast.Name):
-                    kind = "const" if target.id.isupper() else "var"
-                    out.append(_row(target.id, f"{prefix}.{target.id}", kind, "", node.lineno, node.end_lineno, not target.id.startswith("_")))
+                if isinstance(target, ast.Name) and target.id != "_":
+                    out.append(_row(target.id, f"{prefix}.{target.id}", "var", f"var {target.id}", node.lineno, node.end_lineno, _shown(target.id)))
     return out
 
 
@@ -56,6 +64,8 @@ _BLANK = {
     "c": re.compile(r'//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|\'(?:[^\'\\\n]|\\.)*\'', re.S),
     "hash": re.compile(r'#[^\n]*|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''),
     "sql": re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'", re.S),
+    "lua": re.compile(r"--\[\[.*?\]\]|--[^\n]*|\[\[.*?\]\]|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S),
+    "percent": re.compile(r'%[^\n]*|"(?:[^"\\]|\\.)*"', re.S),
 }
 
 
@@ -64,95 +74,122 @@ def blank(text: str, style: str) -> str:
     return _BLANK[style].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
+def blank_comments(text: str, style: str) -> str:
+    """Comments become spaces, strings stay."""
+    return _BLANK[style].sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] not in "\"'`" else m[0], text)
+
+
 def _d(kind: str, pattern: str, container: bool = False):
     return kind, re.compile(pattern, re.M), container
 
 
 _N = r"([A-Za-z_$][\w$]*)"
-_MOD = r"^[ \t]*(?:(?:export|default|declare|public|private|protected|internal|static|final|abstract|sealed|open|override|async|readonly|partial|virtual|inline|pub(?:\([^)]*\))?|unsafe|const|extern|data|suspend|case|implicit|lazy|external|payable|view|pure)\s+)*"
-#: language: (blanking style, methods exported by default, declarations)
+_MOD = r"(?:^|(?<=[{};]))[ \t]*(?:(?:export|default|declare|public|private|fileprivate|protected|internal|static|final|abstract|sealed|open|override|async|readonly|partial|virtual|inline|unsafe|const|extern|data|suspend|case|implicit|lazy|external|mutating|required|convenience|enum|annotation|value|inner|companion|operator|infix|tailrec)\s+)*"
+_NOT_CALL = r"(?!(?:if|for|while|switch|catch|return|new|else|throw|do|foreach|using|lock|synchronized|await|assert|super|this|function)\b)"
+
+
+class Language:
+    """How declarations of a language are found. containers: where a method's owner comes from; braces, or `end` at its own indentation.
+
+    inside: functions in a container are methods. exported: whether functions are without a modifier that says so.
+    """
+
+    def __init__(self, style: str, exported: bool, declarations: list, ends: str = "brace", inside: bool = False):
+        self.style, self.exported, self.declarations, self.ends, self.inside = style, exported, declarations, ends, inside
+
+
+#: The languages that are scanned by patterns. In a declaration the last group is the name; true: a container.
 LANGUAGES = {
-    "go": ("c", None, [_d("function", rf"^func\s+{_N}\s*[\[(]"), _d("method", r"^func\s+\(\s*(?:\w+\s+)?\*?(?P<recv>\w+)(?:\[[^\]]*\])?\s*\)\s*(\w+)\s*\("), _d("interface", rf"^type\s+{_N}(?:\[[^\]]*\])?\s+interface\b"), _d("type", rf"^type\s+{_N}(?:\[[^\]]*\])?\s+(?!interface\b)"), _d("const", rf"^const\s+{_N}"), _d("var", rf"^var\s+{_N}")]),
-    "typescript": ("c", True, [_d("function", rf"{_MOD}function\s*\*?\s*{_N}"), _d("type", rf"{_MOD}(?:class|enum|namespace)\s+{_N}", True), _d("interface", rf"{_MOD}interface\s+{_N}", True), _d("type", rf"{_MOD}type\s+{_N}\s*(?:<[^=]*>)?\s*="), _d("function", rf"{_MOD}(?:const|let|var)\s+{_N}\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=\n]+)?=>"), _d("var", rf"{_MOD}(?:let|var)\s+{_N}"), _d("const", r"^[ \t]*(?:export\s+)?const\s+([A-Za-z_$][\w$]*)"), _d("method", rf"^[ \t]+(?:(?:public|private|protected|static|async|get|set)\s+)*(?!(?:if|for|while|switch|catch|return|function|constructor)\b){_N}\s*\([^)\n]*\)\s*(?::[^{{\n]+)?\{{")]),
-    "rust": ("c", False, [_d("function", rf"{_MOD}fn\s+{_N}"), _d("type", rf"{_MOD}(?:struct|enum|union|type)\s+{_N}"), _d("interface", rf"{_MOD}trait\s+{_N}", True), _d("impl", r"^impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?([A-Za-z_]\w*)", True), _d("const", r"^[ \t]*(?:pub\s+)?const\s+([A-Za-z_]\w*)"), _d("var", r"^[ \t]*(?:pub\s+)?static\s+(?:mut\s+)?([A-Za-z_]\w*)")]),
-    "java": ("c", False, [_d("type", rf"{_MOD}(?:class|record|enum)\s+{_N}", True), _d("interface", rf"{_MOD}(?:interface|@interface)\s+{_N}", True), _d("method", rf"^[ \t]+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*(?:<[^>]+>\s*)?(?:[\w<>\[\],.?]+\s+)?(?!(?:if|for|while|switch|catch|return|new)\b){_N}\s*\([^)]*\)\s*(?:throws [\w, .]+)?[{{;]")]),
-    "csharp": ("c", False, [_d("type", rf"{_MOD}(?:class|struct|record|enum|delegate\s+\w+)\s+{_N}", True), _d("interface", rf"{_MOD}interface\s+{_N}", True), _d("method", rf"^[ \t]+(?:(?:public|private|protected|internal|static|async|override|virtual)\s+)+(?:[\w<>\[\],.?]+\s+)?{_N}\s*\([^)]*\)\s*(?:\{{|=>)")]),
-    "kotlin": ("c", True, [_d("type", rf"{_MOD}(?:class|object)\s+{_N}", True), _d("type", rf"{_MOD}interface\s+{_N}", True), _d("method", rf"{_MOD}fun\s+(?:<[^>]+>\s*)?(?:\w+\.)?{_N}")]),
-    "swift": ("c", True, [_d("type", rf"{_MOD}(?:class|struct|enum|actor|extension)\s+{_N}", True), _d("interface", rf"{_MOD}protocol\s+{_N}", True), _d("function", rf"{_MOD}func\s+{_N}")]),
-    "scala": ("c", True, [_d("type", rf"{_MOD}(?:class|object)\s+{_N}", True), _d("interface", rf"{_MOD}trait\s+{_N}", True), _d("function", rf"{_MOD}def\s+{_N}")]),
-    "dart": ("c", True, [_d("type", rf"{_MOD}class\s+{_N}", True), _d("function", rf"^[ \t]*[\w<>?]+\s+{_N}\s*\([^)]*\)\s*(?:async\s*)?[{{=]")]),
-    "c": ("c", True, [_d("function", rf"^[A-Za-z_][\w \t*]*?[ \t*]{_N}\s*\([^;{{]*\)\s*\{{"), _d("type", rf"^[ \t]*(?:typedef\s+)?(?:struct|union|enum)\s+{_N}\s*\{{"), _d("type", r"^\}\s*([A-Za-z_]\w*)\s*;")]),
-    "cpp": ("c", False, [_d("type", rf"^[ \t]*(?:template\s*<[^>]*>\s*)?(?:class|struct|union|namespace|enum(?:\s+class)?)\s+{_N}\s*[^;\n]*\{{", True), _d("function", rf"^[A-Za-z_][\w \t*&<>:,]*?[ \t*&]{_N}\s*\([^;{{]*\)\s*(?:const\s*)?\{{")]),
-    "php": ("c", True, [_d("type", rf"{_MOD}(?:class|trait|enum|namespace)\s+{_N}", True), _d("interface", rf"{_MOD}interface\s+{_N}", True), _d("function", rf"{_MOD}function\s+{_N}")]),
-    "solidity": ("c", False, [_d("type", rf"^[ \t]*(?:abstract\s+)?(?:contract|library)\s+{_N}", True), _d("interface", rf"^[ \t]*interface\s+{_N}", True), _d("method", rf"^[ \t]*(?:function|modifier|event)\s+{_N}")]),
-    "graphql": ("hash", True, [_d("type", rf"^(?:type|enum|scalar|union|input)\s+{_N}", True), _d("interface", rf"^interface\s+{_N}", True), _d("method", rf"^[ \t]+{_N}\s*(?:\([^)]*\))?\s*:")]),
-    "proto": ("c", True, [_d("type", rf"^[ \t]*(?:message|enum)\s+{_N}", True), _d("interface", rf"^[ \t]*service\s+{_N}", True), _d("method", rf"^[ \t]*rpc\s+{_N}")]),
-    "wit": ("c", True, [_d("interface", r"^[ \t]*interface\s+([\w-]+)", True), _d("type", r"^[ \t]*(?:world|record|enum|variant|flags)\s+([\w-]+)", True), _d("method", r"^[ \t]*(?:export\s+|import\s+)?([\w-]+)\s*:\s*func\b")]),
-    "zig": ("c", False, [_d("function", rf"^[ \t]*(?:pub\s+)?fn\s+{_N}"), _d("type", rf"^[ \t]*(?:pub\s+)?const\s+{_N}\s*=\s*(?:packed\s+|extern\s+)?(?:struct|enum|union)\b")]),
-    "glsl": ("c", True, [_d("function", rf"^[A-Za-z_]\w*\s+{_N}\s*\([^;{{]*\)\s*\{{"), _d("type", rf"^struct\s+{_N}"), _d("const", rf"^const\s+\w+\s+{_N}")]),
-    "hcl": ("hash", True, [_d("type", r'^((?:resource|data|module|variable|output|provider|locals|terraform)(?:[ \t]+[\w" -]+)?)\s*\{')]),
-    "ruby": ("hash", True, [_d("type", r"^[ \t]*(?:class|module)\s+([A-Z]\w*)"), _d("method", r"^[ \t]*def\s+(?:self\.)?([\w?!=]+)")]),
-    "elixir": ("hash", True, [_d("type", r"^[ \t]*defmodule\s+([\w.]+)"), _d("interface", r"^[ \t]*defprotocol\s+([\w.]+)"), _d("method", r"^[ \t]*defp?\s+([\w?!]+)")]),
-    "lua": ("c", True, [_d("method", r"^[ \t]*function\s+\w+[.:](\w+)"), _d("function", r"^[ \t]*(?:local\s+)?function\s+(\w+)\s*\(")]),
-    "bash": ("hash", True, [_d("function", r"^[ \t]*(?:function\s+)?([\w-]+)\s*\(\)\s*\{?"), _d("function", r"^[ \t]*function\s+([\w-]+)\s*\{")]),
-    "nix": ("hash", True, [_d("function", r"^[ \t]*([\w-]+)\s*=\s*(?:\{[^}]*\}|\w+)\s*:")]),
-    "make": ("hash", True, [_d("const", r"^([\w.-]+)\s*[:?+]?=(?!=)"), _d("function", r"^([\w./%-]+)\s*:(?!=)")]),
-    "cmake": ("hash", True, [_d("function", r"^[ \t]*(?:function|macro)\s*\(\s*(\w+)"), _d("type", r"^[ \t]*add_(?:executable|library|custom_target)\s*\(\s*([\w-]+)")]),
-    "sql": ("sql", True, [_d("type", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:unique\s+)?(?:table|view|index)\s+(?:if\s+not\s+exists\s+)?([\w.]+)"), _d("function", r"(?i)^\s*create\s+(?:or\s+replace\s+)?function\s+([\w.]+)")]),
-    "erlang": ("hash", False, [_d("type", r"^-module\((\w+)\)"), _d("type", r"^-record\((\w+)"), _d("function", r"^([a-z]\w*)\s*\([^)]*\)\s*(?:when[^-]*)?->")]),
-    "r": ("hash", True, [_d("function", r"^[ \t]*([\w.]+)\s*(?:<-|=)\s*function\b")]),
-    "just": ("hash", True, [_d("const", r"^(\w[\w-]*)\s*:="), _d("function", r"^@?(\w[\w-]*)[^:=\n]*:(?!=)")]),
-    "starlark": ("hash", True, [_d("function", r"^def\s+(\w+)")]),
+    "java": Language("c", False, [_d("type", rf"{_MOD}(?:class|record|enum)\s+{_N}", True), _d("interface", rf"{_MOD}(?:interface|@interface)\s+{_N}", True), _d("method", rf"^[ \t]+(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s*)?(?:[\w<>\[\],.?]+\s+)?{_NOT_CALL}{_N}\s*\([^)]*\)\s*(?:throws [\w, .]+)?[{{;]")]),
+    "csharp": Language("c", False, [_d("type", rf"{_MOD}(?:class|struct|record(?:\s+struct|\s+class)?|enum)\s+{_N}", True), _d("type", rf"{_MOD}delegate\s+[\w<>\[\],.?]+\s+{_N}"), _d("interface", rf"{_MOD}interface\s+{_N}", True), _d("method", rf"^[ \t]+(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|async|override|virtual|abstract|sealed|partial|extern|new|unsafe)\s+)*(?:[\w<>\[\],.?]+\s+)?{_NOT_CALL}{_N}\s*(?:<[^>]*>)?\s*\([^)]*\)\s*(?::\s*(?:base|this)\s*\([^)]*\)\s*)?(?:where [^{{;]+)?(?:\{{|=>|;)")]),
+    "kotlin": Language("c", True, [_d("type", rf"{_MOD}(?:class|object|interface)\s+{_N}", True), _d("method", rf"{_MOD}fun\s+(?:<[^>]+>\s*)?(?:[\w<>?]+\.)?{_N}")]),
+    "swift": Language("c", True, [_d("type", rf"{_MOD}(?:class|struct|enum|actor|extension)\s+(?!func\b|var\b|let\b){_N}", True), _d("interface", rf"{_MOD}protocol\s+{_N}", True), _d("function", rf"{_MOD}(?:class\s+)?func\s+{_N}"), _d("method", rf"{_MOD}(init)[?!]?\s*[(<]")]),
+    "scala": Language("c", True, [_d("type", rf"{_MOD}(?:class|object)\s+{_N}", True), _d("interface", rf"{_MOD}trait\s+{_N}", True), _d("method", rf"{_MOD}def\s+{_N}")]),
+    "dart": Language("c", True, [_d("type", rf"{_MOD}(?:class|mixin)\s+{_N}", True), _d("function", rf"^[ \t]*(?:(?:static|external|abstract|override)\s+)*{_NOT_CALL}[\w<>?,]+\s+{_NOT_CALL}{_N}\s*\([^)]*\)\s*(?:async\*?\s*|sync\*\s*)?(?:[{{;]|=>)")]),
+    "c": Language("c", True, [_d("function", rf"^[A-Za-z_][\w \t*]*?[ \t*]{_NOT_CALL}{_N}\s*\([^;{{]*\)\s*\{{"), _d("type", rf"^[ \t]*(?:typedef\s+)?(?:struct|union)\s+{_N}\s*\{{", True), _d("type", rf"^[ \t]*(?:typedef\s+)?enum\s+{_N}\s*\{{"), _d("type", r"^\}\s*([A-Za-z_]\w*)\s*;"), _d("type", r"^typedef\s+[^;{}()]*?[\s*]([A-Za-z_]\w*)\s*;")]),
+    "cpp": Language("c", False, [_d("type", rf"^[ \t]*(?:template\s*<[^>]*>\s*)?(?:class|struct|union)\s+{_N}\b[^;\n(]*\{{", True), _d("type", rf"^[ \t]*(?:inline\s+)?namespace\s+{_N}\s*\{{", True), _d("type", rf"^[ \t]*enum(?:\s+class|\s+struct)?\s+{_N}[^;\n]*\{{"), _d("type", r"^\}\s*([A-Za-z_]\w*)\s*;"), _d("function", rf"^[ \t]*(?:template\s*<[^>]*>\s*)?[A-Za-z_][\w \t*&<>:,]*?[ \t*&:]{_NOT_CALL}{_N}\s*\([^;{{]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?\{{"), _d("method", rf"^[ \t]+[A-Za-z_][\w \t*&<>:,]*?[ \t*&]{_NOT_CALL}{_N}\s*\([^;{{]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?(?:=\s*0\s*)?;")], inside=True),
+    "php": Language("c", True, [_d("type", r"^[ \t]*namespace\s+([\w\\]+)"), _d("type", rf"{_MOD}(?:class|trait)\s+{_N}", True), _d("type", rf"{_MOD}enum\s+{_N}"), _d("interface", rf"{_MOD}interface\s+{_N}", True), _d("function", rf"{_MOD}function\s+&?\s*{_N}")], inside=True),
+    "solidity": Language("c", False, [_d("type", rf"^[ \t]*(?:abstract\s+)?(?:contract|library)\s+{_N}", True), _d("interface", rf"^[ \t]*interface\s+{_N}", True), _d("method", rf"^[ \t]*(?:function|modifier|event)\s+{_N}(?:\s*\([^)]*\)[^{{;]*)?"), _d("method", r"^[ \t]*(constructor)\s*\([^)]*\)[^{;]*")]),
+    "graphql": Language("hash", True, [_d("type", rf"^(?:extend\s+)?type\s+{_N}", True), _d("type", rf"^(?:extend\s+)?(?:enum|scalar|union|input)\s+{_N}"), _d("interface", rf"^(?:extend\s+)?interface\s+{_N}", True), _d("method", rf"^[ \t]+{_N}\s*(?:\([^)]*\))?\s*:")]),
+    "proto": Language("c", True, [_d("type", rf"^[ \t]*message\s+{_N}", True), _d("type", rf"^[ \t]*enum\s+{_N}"), _d("interface", rf"^[ \t]*service\s+{_N}", True), _d("method", rf"(?:^|[{{;])[ \t]*rpc\s+{_N}")]),
+    "wit": Language("c", True, [_d("interface", r"^[ \t]*interface\s+([\w-]+)", True), _d("type", r"^[ \t]*world\s+([\w-]+)", True), _d("type", r"^[ \t]*(?:record|enum|variant|flags)\s+([\w-]+)"), _d("method", r"^[ \t]*(?:export\s+|import\s+)?([\w-]+)\s*:\s*(?:async\s+)?func\b")]),
+    "zig": Language("c", False, [_d("function", rf"^[ \t]*(?:pub\s+)?(?:export\s+|inline\s+)?fn\s+{_N}"), _d("type", rf"^[ \t]*(?:pub\s+)?const\s+{_N}\s*=\s*(?:packed\s+|extern\s+)?(?:struct|enum|union)\b")]),
+    "glsl": Language("c", True, [_d("function", rf"^[A-Za-z_]\w*\s+{_N}\s*\([^;{{]*\)\s*(?::\s*\w+\s*)?\{{"), _d("type", rf"^struct\s+{_N}"), _d("const", rf"^(?:layout\s*\([^)]*\)\s*)?(?:(?:uniform|varying|in|out|const|static|attribute|highp|mediump|lowp|flat)\s+)*(?!struct\b|return\b|void\b|float\b|int\b|uint\b|bool\b|double\b|precision\b|cbuffer\b)[A-Za-z_]\w*\s+{_N}\s*(?:\[[^\]]*\]\s*)?(?:=[^;]*)?(?::\s*\w+(?:\([^)]*\))?\s*)?;")]),
+    "hcl": Language("hash", True, [_d("type", r'^[ \t]*(?:resource|variable|module|output|data|provider|locals|terraform)[ \t]+"([^"\n]*)"')]),
+    "ruby": Language("hash", True, [_d("type", r"^[ \t]*(?:class|module)\s+(?:\w+::)*([A-Z]\w*)", True), _d("method", r"^[ \t]*(?:private\s+|public\s+|protected\s+)?def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)")], "end"),
+    "elixir": Language("hash", True, [_d("type", r"^[ \t]*defmodule\s+([\w.]+)"), _d("interface", r"^[ \t]*defprotocol\s+([\w.]+)"), _d("method", r"^[ \t]*(?:defp?|defmacro)\s+([a-z_]\w*[?!]?)\s*\(")]),
+    "lua": Language("lua", True, [_d("method", r"^[ \t]*function\s+(?:\w+\.)*\w+[.:](\w+)\s*\("), _d("function", r"^[ \t]*(?:local\s+)?function\s+(\w+)\s*\(")]),
+    "bash": Language("hash", True, [_d("function", r"^[ \t]*(?:function\s+)?([\w-]+)\s*\(\)\s*\{?"), _d("function", r"^[ \t]*function\s+([\w-]+)\s*\{")]),
+    "nix": Language("hash", True, [_d("function", r"^[ \t]*([\w-]+)\s*=\s*(?:\{[^}]*\}(?:\s*@\s*\w+)?|\w+(?:\s*@\s*\{[^}]*\})?)\s*:")]),
+    "make": Language("hash", True, [_d("const", r"^(?:export\s+)?([\w.-]+)\s*[:?+]{0,2}=(?!=)"), _d("function", r"^([\w./%-]+)(?:[ \t]+[\w./%-]+)*\s*:{1,2}(?![=:])")]),
+    "cmake": Language("hash", True, [_d("function", r"(?i)^[ \t]*function\s*\(\s*(\w+)"), _d("type", r"^[ \t]*(?:add_library|add_executable|option)\s*\(\s*([\w.-]+)")]),
+    "sql": Language("sql", True, [_d("type", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?table\s+(?:if\s+not\s+exists\s+)?(?:\w+\.)?[\"`]?(\w+)", True), _d("type", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:(?:temp(?:orary)?|materialized|unique)\s+)*(?:view|index(?:\s+concurrently)?)\s+(?:if\s+not\s+exists\s+)?(?:\w+\.)?[\"`]?(\w+)"), _d("function", r"(?i)^\s*create\s+(?:or\s+replace\s+)?function\s+(?:\w+\.)?[\"`]?(\w+)")]),
+    "erlang": Language("percent", False, [_d("type", r"^-module\((\w+)\)"), _d("type", r"^-record\((\w+)"), _d("function", r"^([a-z]\w*)\s*\([^\n]*?(?:->|\bwhen\b)")]),
+    "r": Language("hash", True, [_d("function", r"^[ \t]*([\w.]+)\s*<-\s*function\b")]),
+    "just": Language("hash", True, [_d("const", r"^(?:export\s+)?(\w[\w-]*)\s*:="), _d("function", r"^@?(\w[\w-]*)[^:=\n]*:(?!=)")]),
+    "starlark": Language("hash", True, [_d("function", r"^def\s+(\w+)"), _d("type", r"(?<=[(,\s])name\s*=\s*\"([^\"\n]*)\"")]),
 }
 LANGUAGES["hlsl"] = LANGUAGES["glsl"]
+#: Declarations whose name lies in a string: they are sought in the text itself.
+_IN_TEXT = {"hcl", "starlark"}
+_SHOWN = {"public", "open", "export", "pub", "extern", "external", "internal"}
+_HIDDEN = {"private", "fileprivate"}
+_COLUMN = re.compile(r"\s*[\"`]?([A-Za-z_]\w*)[\"`]?\s+[A-Za-z]")
+_NO_COLUMN = {"primary", "foreign", "unique", "constraint", "check", "key", "index", "exclude", "like"}
 
 
 def scan(path: str, text: str, language: str) -> list[dict]:
-    style, default, declarations = LANGUAGES[language]
-    clean = blank(text, style)
-    prefix = qualifier(path)
-    if language == "go" and (m := re.search(r"^package\s+(\w+)", clean, re.M)):
-        prefix = m[1]
+    """Declarations by pattern, in the text with comments and strings blanked. Functions are named after the container around them."""
+    spec, prefix = LANGUAGES[language], qualifier(path)
+    clean = blank(text, spec.style)
     found = []
-    for order, (kind, pattern, container) in enumerate(declarations):
-        for m in pattern.finditer(clean):
+    for order, (kind, pattern, container) in enumerate(spec.declarations):
+        for m in pattern.finditer(blank_comments(text, spec.style) if language in _IN_TEXT else clean):
             group = m.lastindex
             found.append((m.start(group), order, kind, text[m.start(group) : m.end(group)].strip(), m, container))
     found.sort(key=lambda f: (f[0], f[1]))
     out, stack, seen = [], [], set()
     for at, _, kind, name, m, container in found:
-        if at in seen:
+        if at in seen or not name:
             continue
         seen.add(at)
         while stack and at >= stack[-1][1]:
             stack.pop()
-        end = _end(clean, m.end())
-        inside = [s[0] for s in stack]
-        if "recv" in m.groupdict() and m.groupdict().get("recv"):
-            inside = [m["recv"]]
+        end = _end(clean, m.end()) if spec.ends == "brace" else _indented_end(clean, m.start(), m.end())
+        name = "init" if language in ("swift", "solidity") and name in ("init", "constructor") and kind == "method" else name
+        owner = stack[-1][0] if stack and kind in ("method", "function", "const") else ""
         if container:
-            stack.append((name, end))
-        if kind == "impl":
-            continue
-        if kind == "function" and inside and language in ("rust", "typescript", "kotlin", "php", "swift", "scala", "cpp"):
+            stack.append((name, end, m[0]))
+        namespace = bool(stack) and not container and "namespace" in stack[-1][2].split()
+        if kind == "function" and owner and (spec.inside and not namespace or language == "swift" and "protocol" in stack[-1][2].split()):
             kind = "method"
-        if language == "rust" and kind == "function" and re.match(r"[ \t]", m[0]):
-            continue
-        head = m[0]
-        if language == "go":
-            exported = name[:1].isupper()
-        elif language in ("rust", "zig"):
-            exported = bool(re.search(r"\bpub\b", head))
-        elif language == "typescript":
-            exported = not name.startswith("_") and (bool(re.search(r"\bexport\b", head)) or kind == "method" and "private" not in head)
-        elif re.search(r"\b(private|protected|internal)\b", head):
-            exported = False
-        elif re.search(r"\bpublic\b", head):
-            exported = True
-        else:
-            exported = bool(default) if kind in ("method", "function") else kind in ("type", "interface")
+        words = set(re.findall(r"[a-z]+", m[0]))
+        exported = True if words & _SHOWN else False if words & _HIDDEN or kind == "const" else spec.exported if kind in ("method", "function") else True
         start = text.count("\n", 0, at) + 1
-        out.append(_row(name, ".".join([prefix, *inside, name]), kind, " ".join(head.split()).rstrip("{ "), start, max(start, text.count("\n", 0, end) + 1), exported))
+        signature = f"fn {name}()" if kind in ("method", "function") else f"{kind} {name}"
+        out.append(_row(name, ".".join(x for x in (prefix, owner, name) if x), kind, signature, start, max(start, text.count("\n", 0, max(end - 1, 0)) + 1), exported))
+        if language == "sql" and container:
+            out += _columns(text, clean, m.end(), prefix, name)
+    return out
+
+
+def _columns(text: str, clean: str, at: int, prefix: str, table: str) -> list[dict]:
+    """The columns in the parentheses of a table that is created."""
+    first = clean.find("(", at)
+    if first < 0 or clean[at:first].strip(" \t\n\"`"):
+        return []
+    out, depth, begin = [], 0, first + 1
+    for i in range(first, len(clean)):
+        c = clean[i]
+        depth += (c == "(") - (c == ")")
+        if depth == 1 and c == "," or not depth:
+            m = _COLUMN.match(text, begin, i)
+            if m and m[1].lower() not in _NO_COLUMN:
+                line = text.count("\n", 0, m.start(1)) + 1
+                out.append(_row(m[1], f"{prefix}.{table}.{m[1]}", "const", f"const {m[1]}", line, max(line, text.count("\n", 0, max(i - 1, 0)) + 1), False))
+            begin = i + 1
+        if not depth:
+            break
     return out
 
 
@@ -161,7 +198,9 @@ def _end(text: str, at: int) -> int:
     line = text.find("\n", at)
     line = len(text) if line < 0 else line
     brace = text.find("{", max(0, at - 1), line + 1)
-    if brace < 0:
+    if brace < 0 and (m := re.compile(r"\s*\{").match(text, line)):
+        brace = m.end() - 1
+    if brace < 0 or ";" in text[at:brace]:
         return line
     depth = 0
     for m in re.finditer(r"[{}]", text[brace:]):
@@ -171,6 +210,15 @@ def _end(text: str, at: int) -> int:
     return len(text)
 
 
+def _indented_end(text: str, start: int, at: int) -> int:
+    """Behind the `end` that stands where the declaration's line begins; its own line's end without one."""
+    line = text.rfind("\n", 0, start + 1) + 1
+    indent = re.compile(r"[ \t]*").match(text, max(line, start))[0]
+    m = re.compile(rf"^{indent}end\b", re.M).search(text, at)
+    stop = text.find("\n", at)
+    return m.end() if m else len(text) if stop < 0 else stop
+
+
 _SCRIPT = re.compile(r"<script\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>(.*?)</script\s*>", re.S | re.I)
 
 
@@ -186,7 +234,7 @@ def markup(path: str, text: str) -> list[dict]:
         blocks = [(text.count("\n", 0, m.start(1)), m[1]), *blocks]
     out = []
     for lines, content in blocks:
-        for r in scan(path, content, "typescript"):
+        for r in structure.typescript(qualifier(path), content):
             out.append(r | {"start_line": r["start_line"] + lines, "end_line": r["end_line"] + lines})
     return out
 
@@ -196,8 +244,8 @@ def jupyter(path: str, text: str) -> list[dict]:
     return python(path, "\n".join("".join(s) if isinstance(s := c.get("source", ""), list) else s for c in cells))
 
 
-def _dependency(path, name, version):
-    return _row(name, name, "dependency", version, 1, 1, True)
+def _dependency(path, name, version, shown=""):
+    return _row(name, f"{qualifier(path)}.{name}", "dependency", f"dependency {shown or name}" + (f"@{version}" if version else ""), 1, 1, True)
 
 
 def package_json(path: str, text: str) -> list[dict]:
@@ -205,7 +253,7 @@ def package_json(path: str, text: str) -> list[dict]:
     out = []
     for section in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies"):
         for name, v in sorted((tree.get(section) or {}).items()):
-            out.append(_dependency(path, name, v if isinstance(v, str) else v.get("version", "") if isinstance(v, dict) else str(v)))
+            out.append(_dependency(path, name, v if isinstance(v, str) else v.get("version") or "" if isinstance(v, dict) else ""))
     return out
 
 
@@ -216,7 +264,7 @@ def cargo(path: str, text: str) -> list[dict]:
     out = []
     for section in ("dependencies", "dev-dependencies", "build-dependencies"):
         for name, v in sorted((tree.get(section) or {}).items()):
-            out.append(_dependency(path, name, v if isinstance(v, str) else v.get("version") or v.get("path") or v.get("git") or ""))
+            out.append(_dependency(path, name, v if isinstance(v, str) else v["version"] if isinstance(v.get("version"), str) else "path" if "path" in v else "git" if "git" in v else ""))
     return out
 
 
@@ -224,14 +272,16 @@ def go_mod(path: str, text: str) -> list[dict]:
     out = []
     body = re.sub(r"require\s*\(([^)]*)\)", lambda m: "\n".join("require " + x.strip() for x in m[1].splitlines() if x.strip()), text)
     for m in re.finditer(r"^require\s+(\S+)\s+(\S+)([ \t]*//[ \t]*indirect)?", body, re.M):
-        out.append(_dependency(path, m[1], m[2] + (" (indirect)" if m[3] else "")))
+        row = _dependency(path, m[1].strip('"'), m[2])
+        out.append(row | {"signature": row["signature"] + (" (indirect)" if m[3] else "")})
     return out
 
 
 def maven(path: str, text: str) -> list[dict]:
     root = ET.fromstring(re.sub(r'\sxmlns="[^"]*"', "", text, count=1))
     pick = lambda d, t: (d.findtext(t) or "").strip()
-    return [_dependency(path, f"{pick(d, 'groupId')}:{pick(d, 'artifactId')}", pick(d, "version")) for d in root.findall("./dependencies/dependency")]
+    named = lambda d: ":".join(x for x in (pick(d, "groupId"), pick(d, "artifactId")) if x)
+    return [_dependency(path, pick(d, "artifactId"), pick(d, "version"), named(d)) for d in root.findall("./dependencies/dependency")]
 
 
 def openapi(path: str, text: str) -> list[dict]:
@@ -264,7 +314,10 @@ def manifest(path: str, text: str) -> list[dict]:
     return MANIFESTS[path.rsplit("/", 1)[-1].lower()](path, text)
 
 
-EXTRACTORS = {"python": python, "jupyter": jupyter, "vue": markup, "svelte": markup, "astro": markup, "manifest": manifest, "openapi": openapi}
+EXTRACTORS = {
+    "go": lambda path, text: structure.go(text), "typescript": lambda path, text: structure.typescript(qualifier(path), text), "rust": lambda path, text: structure.rust(qualifier(path), text),
+    "python": python, "jupyter": jupyter, "vue": markup, "svelte": markup, "astro": markup, "manifest": manifest, "openapi": openapi,
+}
 
 
 def symbols_of(path: str, text: str | None, language: str | None) -> list[dict]:

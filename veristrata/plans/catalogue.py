@@ -773,17 +773,36 @@ def script_blocks(spark, d):
     return p.select("page_id", F.size(F.regexp_extract_all(bare, F.lit(r"(?is)(<script\b[^>]*(?<!/)>.*?</script\s*>)"), 1)).cast("long").alias("n_blocks"))
 
 
-@query("""SELECT 'pkg/m'||id||'.py' AS path, unnest(['C'||id, 'run', 'LIMIT']) AS name, unnest(['pkg.m'||id||'.C'||id, 'pkg.m'||id||'.C'||id||'.run', 'pkg.m'||id||'.LIMIT']) AS qualified_name, unnest(['type', 'method', 'const']) AS kind,
+@query("""SELECT 'pkg/m'||id||'.py' AS path, unnest(['C'||id, 'run', 'LIMIT']) AS name, unnest(['pkg.m'||id||'.C'||id, 'pkg.m'||id||'.C'||id||'.run', 'pkg.m'||id||'.LIMIT']) AS qualified_name, unnest(['type', 'method', 'var']) AS kind,
   unnest([CAST(1 AS INTEGER), 2, 3]) AS start_line, unnest([CAST(2 AS INTEGER), 2, 3]) AS end_line, unnest([true, true, true]) AS exported FROM v_symbols""")
 def python_symbols(spark, d):
     src = views.symbols(spark, d).selectExpr("concat('pkg/m', id, '.py') AS path", "'python' AS language", "concat('class C', id, ':\\n    def run(self): pass\\nLIMIT = ', start_line, '\\n') AS text")
     return ex.extract(src).select("path", "name", "qualified_name", "kind", "start_line", "end_line", "exported")
 
 
-@query("SELECT 'a'||id||'/package.json' AS path, 'lib'||id AS name, 'dependency' AS kind, '^1.'||start_line AS version FROM v_symbols")
+@query("SELECT 'a'||id||'/package.json' AS path, 'lib'||id AS name, 'a'||id||'.package.lib'||id AS qualified_name, 'dependency' AS kind, 'dependency lib'||id||'@^1.'||start_line AS signature FROM v_symbols")
 def manifest_deps(spark, d):
     src = views.symbols(spark, d).selectExpr("concat('a', id, '/package.json') AS path", "'manifest' AS language", "concat('{\"dependencies\": {\"lib', id, '\": \"^1.', start_line, '\"}}') AS text")
-    return ex.extract(src).select("path", "name", "kind", F.col("signature").alias("version"))
+    return ex.extract(src).select("path", "name", "qualified_name", "kind", "signature")
+
+
+SOURCES = {
+    "go": ("m.go", "package p\n\ntype T@ struct { n int }\n\nfunc (t *T@) run(x int) error { return nil }\n"),
+    "typescript": ("m.ts", "export class T@ {\n  run(x: number): { a: string } { return f(/}/); }\n}\n"),
+    "rust": ("m.rs", "pub struct T@;\nimpl<'a> Show for T@ {\n    pub fn run(&self, x: i32) -> Vec<u8> { vec![] }\n}\n"),
+    "java": ("m.java", "public class T@ {\n  public int run(int x) { return x; }\n}\n"),
+}
+
+
+@query("""SELECT language, unnest(['T'||id, 'run']) AS name, unnest([q||'T'||id, q||'T'||id||'.run']) AS qualified_name, unnest(['type', 'method']) AS kind, unnest([CASE language WHEN 'go' THEN 3 ELSE 1 END, CASE language WHEN 'go' THEN 5 WHEN 'rust' THEN 3 ELSE 2 END]) AS start_line
+  FROM v_symbols, (SELECT unnest(['go', 'typescript', 'rust', 'java']) AS language, unnest(['p.', 'm.', 'm.', 'm.']) AS q)""")
+def structured_symbols(spark, d):
+    """A type and its method in four languages."""
+    ids = views.symbols(spark, d).select("id")
+    each = [ids.select(F.lit(path).alias("path"), F.lit(k).alias("language"), F.replace(F.lit(text), F.lit("@"), F.col("id").cast("string")).alias("text")) for k, (path, text) in SOURCES.items()]
+    src = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+    language = F.element_at(F.create_map(*[F.lit(x) for k, (path, _) in SOURCES.items() for x in (path, k)]), F.col("path"))
+    return ex.extract(src).select(language.alias("language"), "name", "qualified_name", "kind", "start_line")
 
 
 @query("SELECT 'a'||id||'/openapi.yaml' AS path, unnest(['GET /i'||id, 'POST /i'||id, 'S'||id]) AS name, unnest(['method', 'method', 'type']) AS kind, unnest(['endpoint GET /i'||id, 'endpoint POST /i'||id, 'schema S'||id]) AS signature FROM v_symbols")
