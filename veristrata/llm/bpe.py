@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import KEEP, blocks, map_batches, mix, parts, same_spans, span_hash, text_column
 
 #: Bytes of text whose distinct words are folded together, and the longest word whose boundaries fit the fold's 64 bits.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 LONG = 62
 
 
@@ -298,13 +298,15 @@ def encode(docs: DataFrame, voc: Vocabulary, key: str = "doc_id", text: str = "t
         for k, same in enumerate(apart.values()):
             back[same] = len(example) + k
         example = np.concatenate([example, np.array([same[0] for same in apart.values()], dtype=example.dtype)])
-        code = voc.find(p, Rolling(data)(starts[example], (starts + sizes)[example]), starts[example], sizes[example])
-        rest = np.flatnonzero(code < 0)
 
         def cut(which):
             n, first = sizes[example[which]], starts[example[which]]
             return data[np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)], n
 
+        taken, n = cut(np.arange(len(example)))
+        ends = np.cumsum(n)
+        code = voc.find(parts(taken), Rolling(taken)(ends - n, ends), ends - n, n)
+        rest = np.flatnonzero(code < 0)
         long = sizes[example[rest]] > LONG
         words, slow = rest[~long], rest[long]
         taken, n = cut(words)
