@@ -270,7 +270,11 @@ def judge(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
 
 
 def keep_known(docs: DataFrame, model: Model, min_score: float, text: str = "text") -> DataFrame:
-    """docs' rows, all columns, without those whose language is und or has a score under min_score. No join, no shuffle."""
+    """docs' rows, all columns, without those whose language is und or has a score under min_score. No join, no shuffle.
+
+    So null and empty texts and texts without a letter go, and all texts if the model has no language. Rows that repeat
+    stay repeated, null keys do not matter, columns may have any names but must not repeat one.
+    """
     at = docs.columns.index(text)
 
     def run(batches):

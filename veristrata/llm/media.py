@@ -180,7 +180,8 @@ def store(texts: DataFrame, text: str = "text") -> DataFrame:
     """(digest, media): the stored form of each distinct payload, once; digest is that of the stored form.
 
     Copies meet in a partial aggregate before the shuffle, so a text that fills a third of the table crosses
-    the network once per task at most. Null texts are empty ones.
+    the network once per task at most. Null texts are empty ones: one payload of UNIT zero bytes. Very long texts are
+    one payload each. An empty table gives an empty store; other columns are not read.
     """
 
     def run(batches):
@@ -212,12 +213,18 @@ _DESCRIBED = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_
 
 
 def resolve(items: DataFrame, resolved: DataFrame) -> DataFrame:
-    """items (with digest) and the columns that `resolved` has by digest; unknown digests keep their place with nulls."""
+    """items (with digest) and the columns that `resolved` has by digest; unknown and null digests keep their place with nulls.
+
+    Items that repeat a digest each get its columns. Columns of items and of resolved must not share a name but digest.
+    """
     return items.join(resolved, "digest", "left")
 
 
 def documents_as_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, html): each document as a page that holds one figure, whose media is the whole text."""
+    """(key, n_bytes, html): each document as a page that holds one figure, whose media is the whole text.
+
+    Null texts are empty; null keys stay; rows repeat as in docs; an empty table gives an empty one.
+    """
 
     def run(batches):
         for b in batches:

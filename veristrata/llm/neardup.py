@@ -53,7 +53,11 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets reach the similarity; texts (id, t) holds both sides of each."""
+    """The pairs (u, v) whose full shingle sets reach the similarity; texts (id, t) holds both sides of each.
+
+    A pair with a null or empty text, or with an id that texts lacks, is not one; an id that has several texts counts if
+    any of them does. Pairs that repeat stay repeated; without pairs the result is empty.
+    """
 
     def run(batches):
         for b in batches:

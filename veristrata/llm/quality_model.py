@@ -216,6 +216,11 @@ def predict(stats: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """Statistics once, into a table; fit on its labelled rows; score all rows. Rows repeat as in docs."""
+    """Statistics once, into a table; fit on its labelled rows; score all rows.
+
+    Null and empty texts have the statistic `empty` alone and a score like others. Rows repeat as in docs, ties and all;
+    rows with a null key are scored and never trained on. An empty table, or one without labels, is no error (see fit()).
+    Only the key and the text are read, so other columns may have any names.
+    """
     stats = materialize(describe(docs, key, text), "statistics")
     return predict(stats, fit(stats, labels, key, label), key)

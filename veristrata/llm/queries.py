@@ -25,17 +25,20 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and the bytes they decode to, as digests. Null and empty texts have no ids; rows repeat as in documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.encode(docs, bpe.vocabulary(tokenizer_path())))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every whole text, and the cascade's verdict. Null and empty texts fail the base; rows repeat as in documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality_rules.filter_quality(docs)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as a payload that a page refers to, stored, read back and described. Null texts are empty; equal texts are stored once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pages = media.documents_as_pages(docs)
     pages = pages.withColumn("doc", F.struct("doc_id", "n_bytes"))
@@ -46,16 +49,19 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url, with redirects and canonical links that its HTML names. Null urls have empty host and path, and pass."""
     pages = table(spark, sf_dir, "pages")
     return urlfilter.judge(pages.select("page_id", "url"), URL_RULES, urlfilter.html_links(pages.select("url", "html")))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target share asks for. A null source counts among the others; a null id hashes as empty."""
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, MIX_WEIGHTS, seed=MIX_SEED).select("doc_id", "copy", "source", "lang", "text")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, rendered and read back. Null texts are empty; rows that repeat are turns of their own."""
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], talks.schema)
@@ -63,20 +69,24 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data in every whole text. Null and empty texts have none; rows repeat as in documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.report(pii.detect(docs, pii.train(docs)))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document. Null and empty texts are alone; rows that repeat an id are one document."""
     return neardup.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every whole text, learned from labels that are not held out. Null and empty texts are scored too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_model.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from rows that are not held out. `und` for null texts and texts without a letter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.predict(docs, langid.fit(docs, LANGID_SAMPLE))
     return found.select("doc_id", F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
