@@ -145,3 +145,21 @@ def test_appends_do_not_lose_each_other(spark, tmp_path):
     with ThreadPoolExecutor(3) as pool:
         ids = list(pool.map(lambda k: Engine(spark, str(tmp_path / "db")).record_claim(f"c{k}", "", False, k), range(6)))
     assert sorted(ids) == [1, 2, 3, 4, 5, 6] and sorted(r.id for r in Engine(spark, str(tmp_path / "db")).claims.collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_pre_edit(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    kind = "id bigint, tool string, path string, text string, command string"
+    said = "first line\nñ We use Terraform"
+    rows = [(1, "Write", "docs/a.md", said, None), (2, "Write", "/p/docs/a.md", said, None), (3, "Write", "/elsewhere/a.md", said, None), (4, "Write", "truth/a.md", said, None), (5, "Write", "a.txt", said, None), (6, "Bash", None, "", "echo 'We use Terraform' > x"), (7, "Bash", None, "", "grep 'We use Terraform' x"), (8, "Write", "docs/ok.md", said, None), (9, "Write", "notes/a.md", "sponsored", None), (10, "Write", "docs/b.md", None, None), (11, "Write", "docs/free.md", said, None), (12, "Write", "old/acme/x.md", "", None)]
+    events = spark.createDataFrame(rows, kind)
+    facts = spark.createDataFrame([], "path string, vtype string, svalue string, nvalue double")
+    rules = spark.createDataFrame([(4, "We use Terraform", 0, "never did " + "x" * 300)], "ord int, text string, fuzz int, reason string")
+    run = lambda **k: {r.id: (r.decision, r.reason) for r in e.pre_edit(events, facts, rules, "/p", [("closed", "old/([a-z]+)/", ["ACME"])], [("Ad:", "sponsored", "Ad:")], targets=["*.md"], exempt_globs=["docs/free.md"], **k).collect()}
+    got = run(overrides=["docs/ok.md"])
+    assert [k for k in sorted(got) if got[k][0] == "deny"] == [1, 2, 6, 9, 12]
+    assert got[1][1].startswith('Forbidden claim "We use Terraform" at line 2 col 4 matches rule #4 in do-not-claim.md — never did xxx') and "…. Rewrite" in got[1][1] and "line 1 col 7" in got[6][1]
+    assert "path_filters[0]: closed" in got[12][1] and got[9][1] == "Content matches content_filters[0] without the required text Ad:."
+    loose = run(trusted=False)
+    assert {d for d, _ in loose.values()} == {"pass"} and loose[1][1] and loose[8][1]
+    assert e.pre_edit(events.where("false"), facts, rules, "/p").count() == 0

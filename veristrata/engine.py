@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import schema
 from .functions import extract as ex
 from .functions.text import line_of, normalize_path, since_seconds
-from .operators import audit, detect, fuzzy, index, ledger, postedit
+from .operators import audit, detect, fuzzy, guard, index, ledger, postedit
 from .sources import trees
 from .store import Conflict, Snapshots
 from .tables import materialize
@@ -256,6 +256,12 @@ class Engine:
     def corpus_summary(self, docs: DataFrame, facts: DataFrame, rules: DataFrame | None = None, key: str = "id") -> DataFrame:
         return detect.corpus_summary(docs, detect.summary(self.check(docs, facts, rules, key), key), key)
 
+    def pre_edit(self, events: DataFrame, facts: DataFrame, rules: DataFrame, root: str, path_filters=(), content_filters=(), **more) -> DataFrame:
+        """(id, decision, reason) of proposed edits: events (id, tool, path, text, command), rules (ord, text, fuzz, reason); more: guard.guard_edits()'s."""
+        scan = events.select("id", guard.scanned_text(F.col("tool"), F.col("text"), F.col("command")).alias("text")).where("text IS NOT NULL")
+        found = detect.detect(scan, facts, fuzzy.forbidden(scan, rules), detect.contradictions(scan, facts))
+        return guard.guard_edits(events, found, rules, list(path_filters), list(content_filters), root, **more)
+
     def check(self, docs: DataFrame, facts: DataFrame, rules: DataFrame | None = None, key: str = "id", most_bytes: int | None = None) -> DataFrame:
         """Claims of documents (key, text) with their lines. A rule's column fuzz is the number of edits it forgives (1 without it).
 

@@ -156,7 +156,10 @@ def detect(docs: DataFrame, leaves: DataFrame, forbidden: DataFrame | None = Non
             extra = extra.unionByName(m)
         extra = extra.groupBy("__k").agg(F.collect_list("s").alias("__more"))
         spans = spans.join(extra, "__k", "left").withColumn("__spans", F.concat("__spans", F.coalesce("__more", F.array().cast(f"array<{SPAN}>"))))
-    claims = spans.select("__k", F.explode(resolve_overlaps("__spans")).alias("c")).select("__k", "c.*")
+    # claims that come from outside have offsets only
+    quoted = from_byte_view(F.substring(byte_view(F.col("__t")), F.col("c.start") + 1, F.col("c.end") - F.col("c.start")))
+    claims = spans.select("__k", "__t", F.explode(resolve_overlaps("__spans")).alias("c"))
+    claims = claims.select("__k", "c.*", F.when(F.col("c.text").isNull(), quoted).otherwise(F.col("c.text")).alias("__text")).drop("text").withColumnRenamed("__text", "text")
     subject = F.lower(F.rtrim(F.replace(F.col("subject"), F.lit(","), F.lit("")), F.lit(".,;!?")))
     known = leaves.groupBy(F.lower("svalue").alias("__v")).agg(F.min("path").alias("__path"))
     claims = claims.withColumn("__v", F.when(F.col("verdict") == "unverified", subject)).join(known, "__v", "left")

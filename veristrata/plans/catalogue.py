@@ -333,6 +333,13 @@ def supersede_decisions(spark, d):
     return ledger.link_superseded(views.decisions(spark, d), ["author", "topic"]).where("superseded_by IS NOT NULL").select("id", "topic", "superseded_by")
 
 
+@query("""SELECT id, topic, choice, superseded_by FROM (SELECT id, topic, choice, CASE WHEN id = 7 THEN -1 END AS superseded_by FROM v_decisions UNION ALL SELECT -1, topic, 'better', NULL FROM v_decisions WHERE id = 7)""")
+def supersede_decision(spark, d):
+    """A decision is replaced: the new one takes its topic, and the old one points to it."""
+    rows = views.decisions(spark, d).drop("author").withColumn("superseded_by", F.lit(None).cast("bigint"))
+    return ledger.supersede(rows, 7, -1, "better", "why", NOW).select("id", "topic", "choice", "superseded_by")
+
+
 @query("""WITH RECURSIVE c AS (SELECT id, id AS head, superseded_by AS nxt, 0 AS depth FROM v_linked UNION ALL SELECT c.id, l.id, l.superseded_by, depth + 1 FROM c JOIN v_linked l ON l.id = c.nxt)
   SELECT id, head, depth FROM c WHERE nxt IS NULL""")
 def supersession_chain_head(spark, d):
@@ -741,6 +748,38 @@ def pending_decisions(spark, d):
     return rows.select(F.split("x.session_id", ":")[0].cast("bigint").alias("id"), F.split("x.session_id", ":")[1].alias("session_id"), "x.scope", "x.tier", F.col("x.file_path").alias("path"))
 
 
+PROSE_EDIT = "concat(CASE id % 5 WHEN 0 THEN 'truth/' WHEN 1 THEN '../out/' WHEN 2 THEN 'secret/' ELSE 'docs/' END, 'm', id, IF(id % 7 = 0, '.txt', '.md'))"
+DUCK["v_prose_edits"] = "SELECT id, text, CASE id % 5 WHEN 0 THEN 'truth/' WHEN 1 THEN '../out/' WHEN 2 THEN 'secret/' ELSE 'docs/' END||'m'||id||CASE WHEN id % 7 = 0 THEN '.txt' ELSE '.md' END AS path, id % 7 <> 0 AND id % 5 > 1 AS target FROM v_prose"
+
+
+def prose_edits(spark, d):
+    """An edit for each text of the prose: some leave the project, are the truth's own, or of other kinds."""
+    e = views.prose(spark, d).withColumn("path", F.expr(PROSE_EDIT))
+    return e.withColumns({"tool": F.lit("Write"), "command": F.lit(None).cast("string"), "session_id": F.lit("s"), "timestamp": F.lit("2024-01-02T03:04:05Z"), "recorded_at": F.col("id").cast("bigint")})
+
+
+@query("""WITH n AS (SELECT id, count(*) AS n FROM v_found WHERE NOT (category = 'forbidden' AND path = '#1') GROUP BY 1), o AS (SELECT id, n + 1 AS n FROM n)
+  SELECT id, CASE WHEN id % 5 = 2 OR target AND contains(text, 'users since 2015 ') THEN 'deny' ELSE 'pass' END AS decision,
+    CASE WHEN id % 5 = 2 THEN 'Path "'||path||'" is forbidden by path_filters[0]: closed. Use an override to bypass for a single edit.'
+      WHEN target AND contains(text, 'users since 2015 ') THEN 'Forbidden claim "users since 2015" at line 1 col '||instr(text, 'users since')||' matches rule #2 in do-not-claim.md — never so. (1 of '||n||' forbidden findings in this edit) Rewrite to avoid the claim or update the rule if it is wrong.' END AS reason
+  FROM v_prose_edits LEFT JOIN o USING (id)""")
+def pre_edit_guard(spark, d):
+    """Path filters first, then forbidden claims in the project's own markdown; the finding is quoted with its place."""
+    e, facts = prose_edits(spark, d), views.facts(spark, d)
+    rules = spark.createDataFrame([(2, "users sinse 2015", 1, "never so")], "ord int, text string, fuzz int, reason string")
+    found = detect.detect(e.select("id", "text"), facts, fuzzy.forbidden(e, rules), detect.contradictions(e, facts))
+    return guard.guard_edits(e, found, rules, [("closed", "^secret/", [])], [], "/work/p", ["*.md"])
+
+
+@query("""SELECT e.id, e.path, count(*) FILTER (verdict = 'forbidden') AS forbidden, count(*) FILTER (verdict = 'unverified') AS unverified FROM v_prose_edits e JOIN v_found f ON f.id = e.id WHERE target AND verdict IN ('forbidden', 'unverified') GROUP BY ALL
+  UNION ALL SELECT id, path, 0, 0 FROM v_prose_edits WHERE id % 5 = 0""")
+def post_edit_audit(spark, d):
+    """Findings of edits that landed, and edits of the truth folder (without counts)."""
+    e = prose_edits(spark, d)
+    rows, own = guard.audited(e, found(spark, d), "/work/p", ["*.md"])
+    return rows.select("id", "path", "forbidden", "unverified").unionByName(own.select("id", "path", F.lit(0).cast("bigint").alias("forbidden"), F.lit(0).cast("bigint").alias("unverified")))
+
+
 # ---------------------------------------------------------------- text functions and extraction
 
 
