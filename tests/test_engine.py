@@ -163,3 +163,34 @@ def test_pre_edit(spark, tmp_path):
     loose = run(trusted=False)
     assert {d for d, _ in loose.values()} == {"pass"} and loose[1][1] and loose[8][1]
     assert e.pre_edit(events.where("false"), facts, rules, "/p").count() == 0
+
+
+def test_stale_claims_of_a_tree(spark, tmp_path):
+    for name, text in {"a.md": "# x\nI shipped Go.", "b/c.md": "We use Terraform", "ok.md": "nothing", "gen/d.md": "We use Terraform", ".gitignore": "gen/\n"}.items():
+        p = tmp_path / "t" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    e = Engine(spark, str(tmp_path / "db"))
+    facts = trees.facts_from_yaml(spark, "x: 1\n")
+    rules = spark.createDataFrame([(1, "We use Terraform")], "ord int, text string")
+    found, code = e.list_stale_claims(str(tmp_path / "t"), facts, rules)
+    assert sorted((r.file, r.line, r.verdict) for r in found.collect()) == [("a.md", 2, "unverified"), ("b/c.md", 1, "forbidden")] and code == 2
+    assert e.list_stale_claims(str(tmp_path / "t"), facts, rules, scope="ok*")[1] == 0
+    claims, counts = e.verify_claim("I think 95 users", facts)
+    assert claims.count() == 2 and "contradiction" not in counts.columns and counts.first().total == 2
+    with pytest.raises(ValueError, match="bytes"):
+        e.verify_claim("x" * (1 << 20), facts)
+
+
+def test_logs_and_envelopes_are_bounded(spark, tmp_path):
+    (tmp_path / "log").write_text('{"session_id": "s", "path": "p", "forbidden": 1, "unverified": 0, "recorded_at": 5}\n{oops\n[1]\n{"session_id": "t"}\n{"session_id": "' + "x" * (1 << 20) + '"}\n')
+    assert sorted(r.session_id for r in trees.audit_log(spark, str(tmp_path / "log")).collect()) == ["s", "t"] and trees.audit_log(spark, str(tmp_path / "log"), "s").count() == 1
+    lines = spark.createDataFrame([('{"jsonrpc": "2.0", "id": 1}',), ("[]",), ('"jsonrpc"',), ('{"jsonrpc": "1.0"}',), ("",), (None,)], "value string")
+    assert trees.rpc_lines(lines).count() == 1
+    assert [r.malformed for r in trees.decode_events(spark.createDataFrame([('{"session_id": "s"}',), ('{"session_id": "' + "x" * 50 + '"}',)], "value string"), most_bytes=40).collect()] == [False, True]
+
+
+def test_tables_of_an_older_version(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    e.snapshots.commit(claims=spark.createDataFrame([(1, "s", "c", "", False, 5)], "id bigint, session_id string, claim string, evidence string, verified boolean, recorded_at bigint"))
+    assert e.unverified_claims().count() == 1 and e.record_claim("d", "", False, 6) == 2 and e.claims.count() == 2

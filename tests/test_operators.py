@@ -636,3 +636,28 @@ def test_yaml():
     for bad in ("a: &x 1", "a: 1\na: 2", "a: [1, 2", "a: 1\n---\nb: 2", "a:\n   b: 1\n  c: 2", "a: *x", "\ta: 1"):
         with pytest.raises(ValueError, match="line"):
             yaml.load(bad)
+
+
+def test_overlaps_equal_a_plain_greedy(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(200):
+        spans = []
+        for _ in range(rng.randint(0, 12)):
+            a = rng.randint(0, 40)
+            spans.append((rng.randint(0, 6), "c", "v", a, a + rng.randint(1, 9), None, None, str(len(spans))))
+        rows.append((k, spans))
+
+    def greedy(spans):
+        out = []
+        for s in sorted(spans, key=lambda s: (s[0], s[3])):
+            if s[0] == 0 or not any(s[3] < t[4] and s[4] > t[3] for t in out):
+                out.append(s)
+        return out
+
+    df = spark.createDataFrame(rows, f"id int, s array<{detect.SPAN}>")
+    for r in df.select("id", detect.resolve_overlaps("s").alias("s")).collect():
+        want = greedy(rows[r.id][1])
+        assert [x[3] for x in r.s] == sorted(x[3] for x in want) and len(r.s) == len(want)
+        stages = {(x[0], x[3]) for x in want}
+        assert {(x[0], x[3]) for x in r.s} == stages

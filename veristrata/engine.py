@@ -24,9 +24,12 @@ class Engine:
         self.spark, self.snapshots = spark, Snapshots(spark, root)
 
     def table(self, name: str, kind: str) -> DataFrame:
-        if name in self.snapshots.versions():
-            return self.snapshots.read(name)
-        return self.spark.createDataFrame([], kind)
+        """A table as this version knows it: columns that an older version did not write are null."""
+        empty = self.spark.createDataFrame([], kind)
+        if name not in self.snapshots.versions():
+            return empty
+        found = self.snapshots.read(name)
+        return found.select(*[F.col(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema])
 
     @property
     def files(self) -> DataFrame:
@@ -232,12 +235,7 @@ class Engine:
         return detect.visible_facts(detect.at_path(facts, category) if category else facts)
 
     def stats(self, facts: DataFrame, rules: DataFrame | None = None, stories: dict | None = None) -> DataFrame:
-        """(kind, name, n): facts by category, rules by category, and the number of stories."""
-        category = F.split(F.regexp_replace("path", r"\[.*$", ""), r"\.")[0]
-        out = facts.groupBy(category.alias("name")).agg(F.count("*").alias("n")).select(F.lit("facts").alias("kind"), "name", "n")
-        if rules is not None:
-            out = out.unionByName(rules.groupBy(F.col("category").alias("name")).agg(F.count("*").alias("n")).select(F.lit("rules").alias("kind"), "name", "n"))
-        return out.unionByName(self.spark.createDataFrame([("stories", "", len(stories or {}))], "kind string, name string, n bigint"))
+        return detect.truth_stats(facts, rules, len(stories or {}))
 
     def lint(self, facts: DataFrame, today: str, days: int = 180) -> DataFrame:
         return detect.stale_facts(facts, today, days)
@@ -256,6 +254,20 @@ class Engine:
     def corpus_summary(self, docs: DataFrame, facts: DataFrame, rules: DataFrame | None = None, key: str = "id") -> DataFrame:
         return detect.corpus_summary(docs, detect.summary(self.check(docs, facts, rules, key), key), key)
 
+    def verify_claim(self, text: str, facts: DataFrame, rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(claims, counts) of one text; the counts leave contradictions out, as the tool's answer does."""
+        if len(text.encode()) >= schema.CLAIM_TEXT_BYTES:
+            raise ValueError(f"the text exceeds {schema.CLAIM_TEXT_BYTES} bytes")
+        found = self.check(self.spark.createDataFrame([(1, text)], "id bigint, text string"), facts, rules)
+        return found, detect.summary(found).drop("id", "contradiction")
+
+    def list_stale_claims(self, root: str, facts: DataFrame, rules: DataFrame | None = None, scope: str | None = None, exclude: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+        """(claims that need a look, exit code) of the markdown files of a tree: unverified, forbidden and contradicted ones with file and line."""
+        docs = trees.scan_markdown(self.spark, root, scope=scope, ignore=trees.read_ignore_files(self.spark, root), exclude=exclude).withColumnRenamed("path", "id")
+        found = materialize(self.check(docs, facts, rules), "claims")
+        code = detect.severity(detect.summary(found)).first()[0]
+        return found.where(F.col("verdict").isin("unverified", "forbidden", "contradiction")).select(F.col("id").alias("file"), "line", "category", "verdict", "text", "path"), code
+
     def pre_edit(self, events: DataFrame, facts: DataFrame, rules: DataFrame, root: str, path_filters=(), content_filters=(), **more) -> DataFrame:
         """(id, decision, reason) of proposed edits: events (id, tool, path, text, command), rules (ord, text, fuzz, reason); more: guard.guard_edits()'s."""
         scan = events.select("id", guard.scanned_text(F.col("tool"), F.col("text"), F.col("command")).alias("text")).where("text IS NOT NULL")

@@ -56,13 +56,16 @@ def drop_temporal_years(spans: str, text: str) -> Column:
 
 
 def resolve_overlaps(spans: str) -> Column:
-    """Greedy by stage, then place: a candidate goes if it overlaps one already taken; forbidden ones (stage 0) all stay."""
-    return F.expr(
-        f"""array_sort(aggregate(array_sort({spans}, (a, b) -> CASE WHEN a.stage <> b.stage THEN a.stage - b.stage ELSE a.start - b.start END),
-          cast(array() AS array<{SPAN}>),
-          (acc, x) -> IF(x.stage > 0 AND exists(acc, y -> x.start < y.end AND x.end > y.start), acc, concat(acc, array(x)))),
-          (a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start ELSE a.stage - b.stage END)"""
-    )
+    """Greedy by stage, then place: a candidate goes if it overlaps one already taken; forbidden ones (stage 0) all stay.
+
+    Candidates are first cut into clusters that no overlap crosses, so one is compared with its few neighbours only.
+    """
+    none, place = f"cast(array() AS array<{SPAN}>)", "(a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start ELSE a.stage - b.stage END"
+    greedy = f"aggregate(array_sort(c, (a, b) -> CASE WHEN a.stage <> b.stage THEN a.stage - b.stage ELSE a.start - b.start END), {none}, (acc, x) -> IF(x.stage > 0 AND exists(acc, y -> x.start < y.end AND x.end > y.start), acc, concat(acc, array(x))))"
+    grown = "named_struct('now', concat(a.now, array(x)), 'end', greatest(a.end, x.end), 'done', a.done)"
+    opened = "named_struct('now', array(x), 'end', x.end, 'done', concat(a.done, array(a.now)))"
+    clusters = f"aggregate(array_sort({spans}, {place}), named_struct('now', {none}, 'end', -1, 'done', cast(array() AS array<array<{SPAN}>>)), (a, x) -> IF(x.start < a.end, {grown}, {opened}), a -> concat(a.done, array(a.now)))"
+    return F.expr(f"array_sort(flatten(transform({clusters}, c -> {greedy})), {place})")
 
 
 def forbidden_exact(docs: DataFrame, rules: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -210,6 +213,15 @@ def quality(rows: DataFrame, predicted: str, label: str) -> DataFrame:
 # ---------------------------------------------------------------- facts
 
 
+def truth_stats(facts: DataFrame, rules: DataFrame | None = None, n_stories: int = 0) -> DataFrame:
+    """(kind, name, n): facts by top-level category, rules by category, and the number of stories."""
+    category = F.split(F.regexp_replace("path", r"\[.*$", ""), r"\.")[0]
+    out = facts.groupBy(category.alias("name")).agg(F.count("*").alias("n")).select(F.lit("facts").alias("kind"), "name", "n")
+    if rules is not None:
+        out = out.unionByName(rules.groupBy(F.col("category").alias("name")).agg(F.count("*").alias("n")).select(F.lit("rules").alias("kind"), "name", "n"))
+    return out.unionByName(facts.sparkSession.createDataFrame([("stories", "", n_stories)], "kind string, name string, n bigint"))
+
+
 def at_path(leaves: DataFrame, path: str) -> DataFrame:
     """The leaves under a key path such as a.b[0]; an empty path is all. Paths that name nothing are an error, which says where they end."""
     if path and not re.fullmatch(r"[^.\[\]]+(\[\d+\])*(\.[^.\[\]]+(\[\d+\])*)*", path):

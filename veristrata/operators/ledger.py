@@ -167,14 +167,32 @@ def truth_story(rows: DataFrame) -> DataFrame:
     )
 
 
-def story_lines(rows: DataFrame) -> DataFrame:
-    """(id, value): a markdown line for each truth change: day, scope, topic, choice, files, and what it replaces; trivial ones say why."""
+def story_lines(rows: DataFrame, style: str = "markdown", include_trivial: bool = True) -> DataFrame:
+    """(id, value): a line for each truth change, as markdown, plain (tab-separated) or json; without trivial ones if so asked.
+
+    rows that are left out are counted by collapsed().
+    """
     c = F.col("truth_change")
+    kept = rows.where("truth_change IS NOT NULL")
+    kept = kept if include_trivial else kept.where(~F.coalesce(c["trivial"], F.lit(False)))
+    if style == "json":
+        return kept.select("id", F.to_json(F.struct("id", "topic", "choice", "recorded_at", "truth_change")).alias("value"))
+    if style == "plain":
+        flat = F.translate(F.coalesce(c["motivated_by"], F.lit("")), "\t\n", "  ")
+        when = F.date_format(F.timestamp_seconds("recorded_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        return kept.select("id", F.concat_ws("\t", when, F.concat(F.lit("#"), F.col("id").cast("string")), F.concat(F.coalesce(F.nullif(c["scope"], F.lit("")), F.lit("?")), F.when(c["trivial"], " TRIVIAL").otherwise("")), "topic", flat).alias("value"))
+    if style != "markdown":
+        raise ValueError(f"no style {style!r}")
     day = F.date_format(F.timestamp_seconds("recorded_at"), "yyyy-MM-dd")
     files = F.coalesce(F.array_join(c["files"], ", "), F.lit(""))
     tail = F.concat_ws("; ", F.when(files != "", F.concat(F.lit("files: "), files)), F.when(c["supersedes"].isNotNull(), F.concat(F.lit("replaces #"), c["supersedes"].cast("string"))), F.when(c["trivial"], F.concat(F.lit("trivial: "), F.coalesce(c["trivial_reason"], F.lit("")))))
     line = F.concat(F.lit("- "), day, F.lit(" ["), c["scope"], F.lit("] "), F.col("topic"), F.lit(": "), F.col("choice"), F.when(tail != "", F.concat(F.lit(" ("), tail, F.lit(")"))).otherwise(""))
-    return rows.where("truth_change IS NOT NULL").select("id", line.alias("value"))
+    return kept.select("id", line.alias("value"))
+
+
+def collapsed(rows: DataFrame) -> DataFrame:
+    """One row: how many trivial truth changes a story leaves out."""
+    return rows.where("truth_change.trivial").agg(F.count("*").alias("collapsed_trivial"))
 
 
 def decision_lines(rows: DataFrame, width: int = 80) -> DataFrame:

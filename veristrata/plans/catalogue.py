@@ -376,6 +376,19 @@ def truth_story_lines(spark, d):
     return ledger.story_lines(changes(spark, d).withColumn("choice", F.lit("done")).withColumn("truth_change", full))
 
 
+@query("""SELECT id, strftime(make_timestamp(recorded_at * 1000000), '%Y-%m-%dT%H:%M:%SZ')||chr(9)||'#'||id||chr(9)||scope||chr(9)||topic||chr(9)||'a b' AS value FROM v_changes WHERE NOT trivial""")
+def truth_story_plain(spark, d):
+    """Without trivial changes; tabs and line ends of a motivation become spaces."""
+    t = F.col("truth_change")
+    full = F.struct(t["scope"].alias("scope"), F.lit("a\tb").alias("motivated_by"), t["trivial"].alias("trivial"))
+    return ledger.story_lines(changes(spark, d).withColumn("truth_change", full), "plain", include_trivial=False)
+
+
+@query("SELECT count(*) FILTER (trivial) AS collapsed_trivial FROM v_changes")
+def truth_story_collapsed(spark, d):
+    return ledger.collapsed(changes(spark, d))
+
+
 @query("SELECT id, '#'||id||' ['||topic||'] '||choice||' — '||CASE WHEN length(reasoning) > 10 THEN substr(reasoning, 1, 9)||'…' ELSE reasoning END||CASE WHEN superseded_by IS NOT NULL THEN ' (superseded by #'||superseded_by||')' ELSE '' END AS value FROM v_linked")
 def decision_lines(spark, d):
     return ledger.decision_lines(ledger.link_superseded(views.decisions(spark, d), ["author", "topic"]), 10)
@@ -556,6 +569,11 @@ def facts_stats(spark, d):
     return views.facts(spark, d).select(F.split(F.regexp_replace("path", r"\[.*$", ""), r"\.")[0].alias("category"), "vtype").groupBy("category", "vtype").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT 'facts' AS kind, split_part(regexp_replace(path, '\\[.*$', ''), '.', 1) AS name, count(*) AS n FROM v_facts GROUP BY ALL UNION ALL SELECT 'rules', category, count(*) FROM v_rules GROUP BY ALL UNION ALL SELECT 'stories', '', 3""")
+def truth_stats(spark, d):
+    return detect.truth_stats(views.facts(spark, d), views.rules(spark, d), 3)
+
+
 @query("SELECT path, svalue FROM v_facts WHERE starts_with(path, 'releases[0]')")
 def facts_at_path(spark, d):
     return detect.at_path(views.facts(spark, d), "releases[0]").select("path", "svalue")
@@ -705,6 +723,13 @@ def verifier_shaping(spark, d):
     return p.select(F.col("p_partkey").alias("id"), tx.verify_verb(command).alias("verb"), tx.first_error(said, F.expr("concat('exit ', p_size)")).alias("error"), tx.without_noise(noisy, ("a/b",)).alias("output"))
 
 
+@query("SELECT p_partkey AS id, trim(regexp_replace(p_name||'  '||chr(10)||p_brand, '\\s+', ' ', 'g')) AS flat, p_size||CASE WHEN p_size = 1 THEN ' entry' ELSE ' entries' END AS counted, CASE WHEN strlen(p_name||'é') > 9 THEN substr(p_name||'é', 1, 6)||'…' ELSE p_name||'é' END AS cut FROM part")
+def formatting(spark, d):
+    """White space collapsed, counts in words, and texts cut by bytes where a character begins (names are ASCII but for their end)."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    return p.select(F.col("p_partkey").alias("id"), tx.collapse_space(F.concat("p_name", F.lit("  \n"), "p_brand")).alias("flat"), tx.plural(F.col("p_size"), "entry", "entries").alias("counted"), tx.cut_bytes(F.concat("p_name", F.lit("é")), 9, "…").alias("cut"))
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) END AS since FROM orders")
 def since_dates(spark, d):
     text = F.expr("CASE o_orderkey % 3 WHEN 0 THEN concat('x', o_orderkey) ELSE date_format(o_orderdate, 'yyyy-MM-dd') END")

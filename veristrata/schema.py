@@ -23,6 +23,10 @@ INDEXED_BYTES = 2 << 20
 READ_BYTES = 1 << 20
 NOTE_BYTES = 4 << 10
 QUERY_BYTES = 4 << 10
+LINE_BYTES = 1 << 20
+PAYLOAD_BYTES = 4 << 20
+RPC_BYTES = 16 << 20
+CLAIM_TEXT_BYTES = 1 << 20
 EVIDENCE_BYTES = 16 << 10
 SUMMARY_BYTES = 200
 

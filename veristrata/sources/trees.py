@@ -151,26 +151,29 @@ def scan_markdown(spark: SparkSession, root: str, limit: int = 500, ignore: list
 
 
 def audit_log(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:
-    """JSON lines of flagged edits; lines that are not JSON are dropped."""
+    """JSON lines of flagged edits; lines that are not JSON objects, or longer than LINE_BYTES, are dropped."""
     kind = "session_id string, path string, forbidden bigint, unverified bigint, recorded_at bigint"
-    out = spark.read.schema(kind).option("mode", "DROPMALFORMED").json(path)
+    lines = spark.read.text(path).where(F.octet_length("value") <= schema.LINE_BYTES)
+    out = lines.select(F.from_json("value", kind + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("e")).where("e IS NOT NULL AND e._bad IS NULL").select("e.*").drop("_bad")
     return out.where(F.col("session_id") == session) if session else out
 
 
 ENVELOPE = "session_id string, hook_event_name string, tool_name string, cwd string, source string, ts timestamp, tool_input struct<file_path:string,notebook_path:string,new_string:string,content:string,new_source:string,command:string,edits:array<struct<old_string:string,new_string:string>>>"
 
 
-def decode_events(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Event envelopes from JSON text; `malformed` marks those that must be denied. Multi-edits are joined by line ends."""
+def decode_events(lines: DataFrame, column: str = "value", most_bytes: int = schema.PAYLOAD_BYTES) -> DataFrame:
+    """Event envelopes from JSON text; `malformed` marks those that must be denied: no JSON, or too long. Multi-edits are joined by line ends."""
     e = F.from_json(column, ENVELOPE + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     out = lines.withColumn("e", e)
     text = F.coalesce("e.tool_input.new_string", "e.tool_input.content", "e.tool_input.new_source", F.array_join(F.transform("e.tool_input.edits", lambda x: x["new_string"]), "\n"), F.lit(""))
     path = F.coalesce("e.tool_input.file_path", "e.tool_input.notebook_path")
-    return out.select("e.session_id", F.col("e.hook_event_name").alias("event"), "e.tool_name", "e.ts", path.alias("path"), text.alias("text"), F.col("e.tool_input.command").alias("command"), (F.col("e").isNull() | F.col("e._bad").isNotNull()).alias("malformed"))
+    return out.select("e.session_id", F.col("e.hook_event_name").alias("event"), "e.tool_name", "e.ts", path.alias("path"), text.alias("text"), F.col("e.tool_input.command").alias("command"), (F.col("e").isNull() | F.col("e._bad").isNotNull() | (F.octet_length(column) > most_bytes)).alias("malformed"))
 
 
 def rpc_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    return lines.where(F.get_json_object(column, "$.jsonrpc") == "2.0")
+    """Lines that are JSON objects with jsonrpc 2.0; others, and those over RPC_BYTES, are dropped, and what follows them counts again."""
+    whole = F.octet_length(column) <= schema.RPC_BYTES
+    return lines.where(whole & F.startswith(F.ltrim(F.col(column)), F.lit("{")) & (F.get_json_object(column, "$.jsonrpc") == "2.0"))
 
 
 # ---------------------------------------------------------------- truth files
