@@ -661,3 +661,35 @@ def test_overlaps_equal_a_plain_greedy(spark):
         assert [x[3] for x in r.s] == sorted(x[3] for x in want) and len(r.s) == len(want)
         stages = {(x[0], x[3]) for x in want}
         assert {(x[0], x[3]) for x in r.s} == stages
+
+
+#: (text, claims as (category, verdict, quoted text, path)), held by byte offsets: multi-byte text, overlaps across stages, years, edges of words.
+GOLDEN = [
+    ("", []),
+    ("Nothing is claimed here, not even 12 things.", []),
+    ("Zoë: I believe the production Go service has 1,200 users.", [("opinion", "opinion", "I believe", None), ("tech_in_production", "verified", "production Go", "stack.language"), ("quantitative", "verified", "1,200 users", "limits.users")]),
+    ("I shipped Atlas on 2024-03-05, in 2019.", [("personal_action", "verified", "I shipped Atlas", "product.name"), ("date", "verified", "2024-03-05", "releases[0].shipped")]),
+    ("2019 was fine; since 2020 too.", [("date", "unverified", "2019", None)]),
+    ("Our users number 1,300 by now", [("contradiction", "contradiction", "1,300", "limits.users")]),
+    ("We use Terraform, we uze terraform; we use Terraforming.", [("forbidden", "forbidden", "We use Terraform", "#1"), ("forbidden", "forbidden", "we uze terraform", "#1")]),
+    ("52 releases and 53 releases", [("forbidden", "forbidden", "52 releases", "#2")]),
+    ("I think we use Terraform", [("opinion", "opinion", "I think", None), ("forbidden", "forbidden", "we use Terraform", "#1")]),
+    ("I built we use terraform", [("forbidden", "forbidden", "we use terraform", "#1")]),
+    ("95 MB, 95% users, 1,200 users.", [("quantitative", "unverified", "95 MB", None), ("quantitative", "verified", "1,200 users", "limits.users")]),
+    ("ééé I wrote foo/bar-1.2, yes", [("personal_action", "unverified", "I wrote foo/bar-1.2", None)]),
+    ("the limits allow 1200 of them", []),
+]
+GOLDEN_FACTS = "product: {name: Atlas}\nstack: {language: Go}\nlimits:\n  users: 1200\n  years: 2019\nreleases:\n- shipped: 2024-03-05\n"
+
+
+def test_golden_claims(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(GOLDEN)] + [(99, None)], "id bigint, text string")
+    facts = trees.facts_from_yaml(spark, GOLDEN_FACTS).where("path <> 'limits.years'")
+    rules = spark.createDataFrame([(1, "We use Terraform", 1), (2, "52 releases", 1)], "ord int, text string, fuzz int")
+    found = detect.detect(docs, facts, fuzzy.forbidden(docs, rules), detect.contradictions(docs, facts))
+    got = {i: [] for i in range(len(GOLDEN))}
+    for r in found.orderBy("id", "start").collect():
+        raw = GOLDEN[r.id][0].encode()
+        assert raw[r.start : r.end].decode() == r.text
+        got[r.id].append((r.category, r.verdict, r.text, r.path))
+    assert got == {i: want for i, (_, want) in enumerate(GOLDEN)}
