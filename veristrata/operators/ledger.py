@@ -212,7 +212,7 @@ def chain_heads(rows: DataFrame, key: str = "id", link: str = "superseded_by") -
 
     Ids are distinct. A chain ends at an id that rows lacks. Links in a circle are an error.
     """
-    now = materialize(rows.select(F.col(key).alias("id"), F.coalesce(link, key).alias("head"), F.when(F.col(link).isNull(), 0).otherwise(1).cast("long").alias("depth")), "links")
+    now = materialize(rows.select(F.col(key).alias("id"), F.coalesce(link, key).alias("head"), F.when(F.col(link).isNull(), 0).otherwise(1).alias("depth")), "links")
     before = None
     for _ in range(CHAIN_ROUNDS):
         total = now.agg(F.sum("depth")).first()[0]

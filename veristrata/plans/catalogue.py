@@ -333,7 +333,7 @@ def supersede_decisions(spark, d):
     return ledger.link_superseded(views.decisions(spark, d), ["author", "topic"]).where("superseded_by IS NOT NULL").select("id", "topic", "superseded_by")
 
 
-@query("""SELECT id, topic, choice, superseded_by FROM (SELECT id, topic, choice, CASE WHEN id = 7 THEN -1 END AS superseded_by FROM v_decisions UNION ALL SELECT -1, topic, 'better', NULL FROM v_decisions WHERE id = 7)""")
+@query("""SELECT id, topic, choice, superseded_by FROM (SELECT id, topic, choice, CASE WHEN id = 7 THEN CAST(-1 AS BIGINT) END AS superseded_by FROM v_decisions UNION ALL SELECT -1, topic, 'better', NULL FROM v_decisions WHERE id = 7)""")
 def supersede_decision(spark, d):
     """A decision is replaced: the new one takes its topic, and the old one points to it."""
     rows = views.decisions(spark, d).drop("author").withColumn("superseded_by", F.lit(None).cast("bigint"))
