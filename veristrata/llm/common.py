@@ -21,16 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows in an Arrow batch at most: a task holds a few batches at once, in the JVM and in Python.
-BATCH_ROWS = 2000
+#: Rows and bytes in an Arrow batch at most (a longer row is a batch of its own): a task holds a few batches at once, in the JVM and in Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's rows per Arrow batch to BATCH_ROWS; a lower setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's rows and bytes per Arrow batch to BATCH_ROWS and BATCH_BYTES; lower settings stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(key).removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def tidy() -> None:

@@ -61,9 +61,8 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            both = [[s for _, s in shingles.sets_of(b.column(k), seed=CONFIRM)] for k in (2, 3)]
             keep = []
-            for x, y in zip(*both):
+            for (_, x), (_, y) in zip(*(shingles.sets_of(b.column(k), seed=CONFIRM) for k in (2, 3))):
                 o = shingles.overlap(x, y)
                 keep.append(bool(len(x)) and 100 * o >= PERCENT * (len(x) + len(y) - o))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
