@@ -91,17 +91,15 @@ def _tokens(live: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(live.join(texts, "id").select("id", "n", "g", "t"), run, f"id {kind}, n long, g {kind}, s long")
 
 
-def _exact(members: DataFrame, groups: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Every pair that may reach the similarity between groups that share a band, centres aside; and tables behind it.
+def _prefixes(members: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, n, g, m, at, s): what a prefix-filter join on full sets needs of the classes in bands that hold several groups, centres aside.
 
-    A prefix-filter join on full sets. Shingles of one group alone cannot be shared across groups; the rest of a set, m
-    of its n, lies rarest first. With J >= 3/4 and nu <= nv the overlap is at least 3/7 (nu + nv), so at least 6/7 nu
+    Shingles of one group alone cannot be shared across groups; the rest of a set, m of its n, lies rarest first, and at is
+    a shingle's place in that order. With J >= 3/4 and nu <= nv the overlap is at least 3/7 (nu + nv), so at least 6/7 nu
     and 3/4 nv: the first shared shingle is in the first m - ceil(6/7 n) + 1 of u and the first m - ceil(3/4 n) + 1 of v,
-    and what follows it in both must suffice. Groups meet by shingle before their members do, so pairs within a group
-    are never made.
+    and what follows it in both must suffice.
     """
-    named = groups.select(F.col("node").alias("id"), F.col("component").alias("g"))
-    rows = materialize(members.select("band", "id", "n").join(named, "id", "left").select("band", "id", "n", F.coalesce("g", "id").alias("g")), "grouped-members")
+    rows = materialize(_grouped(members.select("band", "id", "n"), groups), "grouped-members")
     mixed = rows.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("band")
     mixed = materialize(mixed, "mixed-bands")
     live = materialize(rows.join(mixed, "band", "left_semi").select("id", "n", "g").distinct(), "mixed-classes")
@@ -111,12 +109,33 @@ def _exact(members: DataFrame, groups: DataFrame, texts: DataFrame) -> tuple[Dat
     sets = sets.withColumn("m", F.size("x").cast("long")).where("m >= (3 * n + 3) div 4")
     sets = sets.select("id", "n", "g", "m", F.posexplode(F.expr("slice(x, 1, cast(m - (3 * n + 3) div 4 + 1 AS int))")).alias("at", "e"))
     prefix = materialize(sets.select("id", "n", "g", "m", (F.col("at") + 1).alias("at"), F.col("e.s").alias("s")), "prefixes")
+    for t in (rows, mixed, live, tokens, wide):
+        discard(t)
+    return prefix
+
+
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows (with id) and g: the id's group, or the id where it has none."""
+    named = groups.select(F.col("node").alias("id"), F.col("component").alias("__g"))
+    return rows.join(named, "id", "left").withColumn("g", F.coalesce("__g", "id")).drop("__g")
+
+
+_ENOUGH = "(nu < nv OR nu = nv AND u < v) AND 4 * nu >= 3 * nv AND 7 * (1 + least(lu, lv)) >= 3 * (nu + nv)"
+
+
+def _sides(prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The prefixes as they count for the smaller and for the larger set of a pair."""
     u = prefix.where("at <= m - (6 * n + 6) div 7 + 1").select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("g").alias("gu"), (F.col("m") - F.col("at")).alias("lu"), "s")
     v = prefix.select(F.col("id").alias("v"), F.col("n").alias("nv"), "g", (F.col("m") - F.col("at")).alias("lv"), "s")
+    return u, v
+
+
+def _all_pairs(prefix: DataFrame) -> DataFrame:
+    """Every pair across groups that may reach the similarity. Groups meet by shingle before their members do, so pairs within a group are never made."""
+    u, v = _sides(prefix)
     of = v.groupBy("s", "g").agg(F.min("nv").alias("least"), F.max("nv").alias("most"), F.max("lv").alias("left"))
     met = u.join(of, "s").where("g <> gu AND nu <= most AND 4 * nu >= 3 * least AND 7 * (1 + least(lu, left)) >= 3 * (nu + greatest(nu, least))").drop("least", "most", "left")
-    enough = "(nu < nv OR nu = nv AND u < v) AND 4 * nu >= 3 * nv AND 7 * (1 + least(lu, lv)) >= 3 * (nu + nv)"
-    return met.join(v, ["s", "g"]).where(enough).select("u", "v").distinct(), [rows, mixed, live, tokens, wide, prefix]
+    return met.join(v, ["s", "g"]).where(_ENOUGH).select("u", "v").distinct()
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -125,11 +144,12 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     1. Rows with one word sequence are one class, stood for by its least id (a partial minimum, so a text that
        fills a third of the table costs one row per task).
     2. Each class has a SuperMinHash signature of 127 slots in 31 bands of 4: texts at 0.75 share no band with
-       probability 8e-6. A band that several classes share links each of them to the least one, its centre: a star,
-       never all pairs.
+       probability 8e-6. A band that several classes share links each of them to one, its centre: a star, never all
+       pairs. The centre is the member that meets most classes over all its bands: of a text and its near copies that
+       is the text itself, which they resemble more than each other.
     3. Stars are confirmed on the full sets and grouped.
-    4. What is left is links between members of a band, none its centre, that are still in different groups. An exact
-       join on full sets finds all of them, however few of a band's pairs are similar.
+    4. What is left is links between members of a band, none its centre, that are still in different groups. A
+       prefix-filter join on full sets finds all of them, however few of a band's pairs are similar.
     Links of a band are thus whole: no cap, draw or turn decides which pairs are tested.
     Ids of all rows, links and groups stay in tables; nothing is collected. Null and empty texts have an empty
     set and are linked with nothing. Ids may be of any type that has an order. Rows that repeat an id are copies of one
@@ -149,28 +169,34 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     reps = classes.where("bands IS NOT NULL")
     rows = reps.select("id", "n", F.explode("bands").alias("band"))
-    shared = materialize(rows.groupBy("band").agg(F.min("id").alias("c"), F.max("id").alias("last")).where("c <> last").select("band", "c"), "shared-bands")
-    members = materialize(rows.join(shared, "band").where("id <> c").select("band", "id", "n", "c").distinct(), "band-members")
-    discard(shared)
-
-    pairs = members.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("c").alias("v")).distinct()
-    pairs = pairs.join(reps.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v")
+    shared = rows.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size")
+    shared = materialize(shared, "shared-bands")
+    together = materialize(rows.join(shared, "band").distinct(), "band-members")
+    meets = materialize(together.groupBy("id").agg(F.sum("size").alias("meets")), "meets")
+    ranked = materialize(together.join(meets, "id").select("band", "id", "n", "meets"), "ranked-members")
+    centres = ranked.groupBy("band").agg(F.max_by(F.struct("id", "n"), F.struct("meets", "id")).alias("c"))
+    centres = materialize(centres.select("band", F.col("c.id").alias("v"), F.col("c.n").alias("nv")), "centres")
+    around = materialize(ranked.join(centres, "band").where("id <> v").select("band", "id", "n", "v", "nv"), "stars-of-bands")
+    for t in (shared, together, meets, ranked, centres):
+        discard(t)
+    members = around.select("band", "id", "n")
     # sizes alone rule out the rest: the smaller set is at least PERCENT of the larger
-    stars = materialize(pairs.where(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")).select("u", "v"), "stars")
+    near = around.where(100 * F.least("n", "nv") >= PERCENT * F.greatest("n", "nv"))
+    stars = materialize(near.select(F.col("id").alias("u"), "v").distinct(), "stars")
     needed = members.select("id").unionByName(stars.select(F.col("v").alias("id"))).distinct()
     texts = materialize(src.join(needed, "id", "left_semi"), "candidate-texts")
     links = materialize(verify(stars, texts), "links")
     groups = connected_components(links)
-    pairs, held = _exact(members, groups, texts)
-    more = materialize(verify(pairs, texts), "links")
-    for t in (*held, members, stars, texts):
+    prefix = _prefixes(members, groups, texts)
+    more = materialize(verify(_all_pairs(prefix), texts), "links")
+    for t in (around, stars, prefix, texts):
         discard(t)
-    if more.limit(1).count():
+    if not more.isEmpty():
         discard(groups)
         groups = connected_components(links.unionByName(more))
     out = classes.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
     out = materialize(out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept")), "components")
-    for t in (classes, links, more, groups):
+    for t in (classes, groups, links, more):
         discard(t)
     return out
