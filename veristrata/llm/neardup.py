@@ -156,13 +156,14 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     document. A null id stands for no class: such a row gets the component of an equal text with an id, or else null
     and kept = true. An empty table gives an empty result. Other columns are not touched.
     """
+    # the large joins are sort-merge joins at every size: nothing that grows is broadcast below a threshold
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     base = materialize(sketch(src, "id", "t"), "sketches")
     # only sequences that repeat are joined; as a table of their own, so that the join can split a hot one
     again = base.where("n > 0").groupBy("k0", "k1").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1")
     least = materialize(again.select("k0", "k1", "rep"), "repeated")
     rep = F.coalesce("rep", "id")
-    classes = base.join(least, ["k0", "k1"], "left").select("id", "n", rep.alias("rep"), F.when((F.col("n") > 0) & (F.col("id") == rep), F.col("bands")).alias("bands"))
+    classes = base.join(least.hint("merge"), ["k0", "k1"], "left").select("id", "n", rep.alias("rep"), F.when((F.col("n") > 0) & (F.col("id") == rep), F.col("bands")).alias("bands"))
     classes = materialize(classes, "classes")
     discard(base)
     discard(least)
@@ -171,7 +172,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = reps.select("id", "n", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size")
     shared = materialize(shared, "shared-bands")
-    together = materialize(rows.join(shared, "band").distinct(), "band-members")
+    together = materialize(rows.join(shared.hint("merge"), "band").distinct(), "band-members")
     meets = materialize(together.groupBy("id").agg(F.sum("size").alias("meets")), "meets")
     ranked = materialize(together.join(meets, "id").select("band", "id", "n", "meets"), "ranked-members")
     centres = ranked.groupBy("band").agg(F.max_by(F.struct("id", "n"), F.struct("meets", "id")).alias("c"))
@@ -184,7 +185,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     near = around.where(100 * F.least("n", "nv") >= PERCENT * F.greatest("n", "nv"))
     stars = materialize(near.select(F.col("id").alias("u"), "v").distinct(), "stars")
     needed = members.select("id").unionByName(stars.select(F.col("v").alias("id"))).distinct()
-    texts = materialize(src.join(needed, "id", "left_semi"), "candidate-texts")
+    texts = materialize(src.join(needed.hint("merge"), "id", "left_semi"), "candidate-texts")
     links = materialize(verify(stars, texts), "links")
     groups = connected_components(links)
     prefix = _prefixes(members, groups, texts)
