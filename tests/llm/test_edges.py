@@ -345,6 +345,30 @@ def test_band_members_that_only_meet_each_other(spark):
     assert got == {k: find(k) for k in range(len(texts))}
 
 
+def test_groups_do_not_depend_on_the_ids(spark):
+    """Other ids make other representatives, never other groups: a text and copies that resemble it more than each other."""
+    rng = random.Random(21)
+    base = [f"h{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for k in range(60):
+        words = list(base)
+        for i in rng.sample(range(0, 200, 8), 4):
+            words[i] = f"k{k}i{i}"
+        texts.append(" ".join(words))
+    texts += [f"lone text number {k} " + " ".join(f"l{k}w{i}" for i in range(30)) for k in range(20)]
+
+    def partition(ids):
+        docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        by: dict = {}
+        for r in neardup.components(docs).collect():
+            by.setdefault(r.component_id, set()).add(ids.index(r.doc_id))
+        return sorted(map(sorted, by.values()))
+
+    ids = list(range(len(texts)))
+    want = partition(ids)
+    assert want == partition(ids[::-1]) == partition(rng.sample(range(10**6), len(texts))) and want[0] == list(range(61))
+
+
 def test_superminhash_has_less_variance_than_minhash():
     """The slots of a set's own permutations are dealt without repetition, so estimates for small sets scatter less."""
     rng = np.random.default_rng(5)
