@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import KEEP, blocks, map_batches, mix, parts, same_spans, span_hash, text_column
 
 #: Bytes of text whose distinct words are folded together, and the longest word whose boundaries fit the fold's 64 bits.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 LONG = 62
 
 

@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows and bytes in an Arrow batch at most (a longer row is a batch of its own): a task holds a few batches at once, in the JVM and in Python.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
