@@ -130,7 +130,8 @@ def candidates(text: str | None) -> list[tuple[str, int, int, bool, tuple[int, .
     out += [("number", s, e, False, votes(text, s, e, False) + traits(text, s, e)) for s, e in dialled]
     taken = _Cover([(s, e) for _, s, e in base] + dialled)
     given = [m.span(1) for m in _GIVEN.finditer(text) if not _DIGIT.search(m[1])] if "=" in text or ":" in text else []
-    for s, e in [*(m.span() for m in _TOKEN.finditer(text)), *given]:
+    tokens = [m.span() for m in _TOKEN.finditer(text)] if _DIGIT.search(text) else []
+    for s, e in [*tokens, *given]:
         while s < e and text[s] in _EDGE:
             s += 1
         while e > s and text[e - 1] in _EDGE:
