@@ -17,6 +17,8 @@ from .common import KEEP, blocks, map_batches, mix, parts, same_spans, span_hash
 #: Bytes of text whose distinct words are folded together, and the longest word whose boundaries fit the fold's 64 bits.
 GROUP_BYTES = 1 << 20
 LONG = 62
+#: Entries of the tables that find a piece by its hash.
+SLOTS = 1 << 20
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -91,16 +93,25 @@ def piece_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- merges
 
 _BASE = 0x2545F4914F6CDD1D
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64, up to the nth."""
+    one = lambda base: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+    return one(_BASE), one(pow(_BASE, -1, 1 << 64))
 
 
 class Rolling:
     """Hashes of any spans of a block in constant time each. They only propose pieces; bytes decide."""
 
     def __init__(self, data: np.ndarray):
-        power = lambda base: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(data), base, np.uint64)]))
-        self.back = power(pow(_BASE, -1, 1 << 64))
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(mix(data.astype(np.uint64) + np.uint64(1)) * power(_BASE)[:-1], out=self.sums[1:])
+        n = len(data)
+        forth, back = _powers(1 << max(18, (n - 1).bit_length()) if n <= 1 << 20 else n)
+        self.back = back[: n + 1]
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data] * forth[:n], out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
@@ -117,6 +128,15 @@ class Vocabulary:
     """
 
     def __init__(self, pieces: list[bytes]):
+        self._build(pieces)
+        self.odd = np.zeros(len(pieces), dtype=bool)
+        self.odd[[r for r, p in enumerate(pieces) if len(p) > 1 and self.merge(p, r) != [r]]] = True
+
+    def __reduce__(self):
+        """Workers get the pieces and build the tables themselves, once."""
+        return _revived, (b"".join(self.pieces), self.lengths.astype("<u4").tobytes(), self.odd.tobytes())
+
+    def _build(self, pieces: list[bytes]) -> None:
         self.pieces = pieces
         self.ranks = {b: r for r, b in enumerate(pieces)}
         if len(self.ranks) != len(pieces) or any(bytes([b]) not in self.ranks for b in range(256)):
@@ -124,27 +144,39 @@ class Vocabulary:
         self.lengths = np.array([len(p) for p in pieces], dtype=np.int64)
         data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         ends = np.cumsum(self.lengths)
-        known = Rolling(data)(ends - self.lengths, ends)
-        order = np.argsort(known)
-        self.known, self.order = known[order], order.astype(np.int64)
-        if (self.known[1:] == self.known[:-1]).any():
+        self.known = Rolling(data)(ends - self.lengths, ends)
+        if len(np.unique(self.known)) != len(pieces):
             raise ValueError("two pieces have one hash")
-        self.maybe = np.zeros(1 << 22, dtype=bool)
-        self.maybe[(known & np.uint64(len(self.maybe) - 1)).astype(np.int64)] = True
+        #: Ranks by some bits of the hash, and by others for the few that find their slot taken.
+        self.first, self.second = np.full(SLOTS, -1, dtype=np.int32), np.full(SLOTS, -1, dtype=np.int32)
+        order = np.arange(len(pieces), dtype=np.int32)
+        self.first[self._slot(self.known, 0)] = order
+        late = order[self.first[self._slot(self.known, 0)] != order]
+        for self.shift in range(20, 44):
+            self.second[:] = -1
+            self.second[self._slot(self.known[late], self.shift)] = late
+            if (self.second[self._slot(self.known[late], self.shift)] == late).all():
+                break
+        else:
+            raise ValueError("too many pieces for the table")
         #: The pieces' bytes, eight by eight.
         self.content = np.zeros((len(pieces), -(-int(self.lengths.max()) // 8)), dtype=np.uint64)
         self.content.view(np.uint8)[np.arange(self.content.shape[1] * 8)[None, :] < self.lengths[:, None]] = data
         self.longest = int(min(self.lengths.max(), LONG))
-        self.odd = np.zeros(len(pieces), dtype=bool)
-        self.odd[[r for r, p in enumerate(pieces) if len(p) > 1 and self.merge(p, r) != [r]]] = True
+
+    @staticmethod
+    def _slot(h: np.ndarray, shift: int) -> np.ndarray:
+        return ((h >> np.uint64(shift)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
     def find(self, p: np.ndarray, h: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The ranks of spans of parts()' p that are pieces, byte by byte, or -1; h: their Rolling hashes."""
         out = np.full(len(h), -1, dtype=np.int64)
-        at = np.flatnonzero(self.maybe[(h & np.uint64(len(self.maybe) - 1)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
-        hit = self.known[k] == h[at]
-        at, rank = at[hit], self.order[k[hit]]
+        found = self.first[self._slot(h, 0)]
+        other = np.flatnonzero((found >= 0) & (self.known[found] != h))
+        found[other] = self.second[self._slot(h[other], self.shift)]
+        found[other[self.known[found[other]] != h[other]]] = -1
+        at = np.flatnonzero(found >= 0)
+        rank = found[at].astype(np.int64)
         hit = self.lengths[rank] == sizes[at]
         at, rank = at[hit], rank[hit]
         good = np.ones(len(at), dtype=bool)
@@ -214,6 +246,15 @@ class Vocabulary:
         return (found & np.uint64(0xFFFFFFFF)).astype(np.int32), np.bincount((found >> np.uint64(32)).astype(np.int64), minlength=len(sizes))
 
 
+@lru_cache(maxsize=2)
+def _revived(joined: bytes, lengths: bytes, odd: bytes) -> Vocabulary:
+    ends = np.cumsum(np.frombuffer(lengths, "<u4")).tolist()
+    out = Vocabulary.__new__(Vocabulary)
+    out._build([joined[a:b] for a, b in zip([0, *ends], ends)])
+    out.odd = np.frombuffer(odd, dtype=bool)
+    return out
+
+
 _vocabularies: dict[str, Vocabulary] = {}
 
 
