@@ -212,12 +212,12 @@ def chain_heads(rows: DataFrame, key: str = "id", link: str = "superseded_by") -
 
     Ids are distinct. A chain ends at an id that rows lacks. Links in a circle are an error.
     """
-    now = materialize(rows.select(F.col(key).alias("id"), F.coalesce(link, key).alias("head"), F.when(F.col(link).isNull(), 0).otherwise(1).alias("depth")), "links")
+    now = materialize(rows.select(F.col(key).alias("id"), F.coalesce(link, key).alias("head"), F.when(F.col(link).isNull(), 0).otherwise(1).cast("long").alias("depth")), "links")
     before = None
     for _ in range(CHAIN_ROUNDS):
         total = now.agg(F.sum("depth")).first()[0]
         if total == before or not total:
-            return now
+            return now.withColumn("depth", F.col("depth").cast("int"))
         before = total
         far = now.where("depth > 0").select(F.col("id").alias("head"), F.col("head").alias("__h"), F.col("depth").alias("__d"))
         step = now.join(far, "head", "left").select("id", F.coalesce("__h", "head").alias("head"), (F.col("depth") + F.coalesce("__d", F.lit(0))).alias("depth"))
