@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, media, mixing, neardup, pii, quality_model, quality_rules, urlfilter
+from . import bpe, chat, langid, media, merkle, mixing, neardup, neighbours, pii, quality_model, quality_rules, repair, urlfilter
 from .common import table
 
 #: Target shares; "*" stands for all other sources together. src0 is the hot one.
@@ -92,6 +92,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after its damage: faults, and the cheapest repair. Nulls count as one space; rows that repeat are rows of their own."""
+    return repair.repaired(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and the root that its leaf folds to after tampering. Null values are leaves too; rows repeat as in documents."""
+    return merkle.manifest(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found of each vector whose id is divisible by 100. Null, zero and non-finite vectors take no part; repeated rows count once."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -103,4 +119,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_chat": op9_chat,
     "op10_language_id": op10_language_id,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
