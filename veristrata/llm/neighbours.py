@@ -155,7 +155,8 @@ def fit(x: np.ndarray, sample_part: int = PART, routed: float = ROUTED) -> Route
     their nearest, where a vector lies in the part that the router finds likeliest, as it does in the index. Fewer than
     two parts' worth of vectors are one part.
     """
-    x = np.unique(x, axis=0)
+    unit = float(np.abs(x).max(initial=0.0)) or 1.0  # squares of what is left cannot overflow
+    x = np.unique(x, axis=0) / unit
     parts = max(1, len(x) // sample_part)
     dims = x.shape[1]
     if parts == 1:
@@ -170,6 +171,7 @@ def fit(x: np.ndarray, sample_part: int = PART, routed: float = ROUTED) -> Route
     rank = np.argsort(order, axis=1)  # of each part, for each query
     reached = np.bincount(np.take_along_axis(rank, wanted, axis=1).ravel(), minlength=parts).cumsum() / wanted.size
     router.width = int(np.searchsorted(reached, routed)) + 1
+    router.mean, router.scale = router.mean * unit, router.scale * unit
     return router
 
 
@@ -293,13 +295,16 @@ def _ranked(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
     norms = (x * x).sum(axis=1)
     for first in range(0, len(q), BESIDE):
         block = q[first : first + BESIDE]
-        d = norms[None, :] + (block * block).sum(axis=1)[:, None] - 2 * block @ x.T
+        with np.errstate(over="ignore", invalid="ignore"):
+            d = norms[None, :] + (block * block).sum(axis=1)[:, None] - 2 * block @ x.T
         d[qid[first : first + BESIDE, None] == ids[None, :]] = np.inf
         for r in range(len(block)):
             room = 1e-9 * (norms.max(initial=0.0) + float(block[r] @ block[r]))
             bound = np.partition(d[r], k - 1)[k - 1] if len(ids) > k else np.inf
-            near = np.flatnonzero((d[r] <= bound + room) & (d[r] < np.inf))
-            exact = np.sqrt(((x[near] - block[r]) ** 2).sum(axis=1))
+            other = ids != qid[first + r]
+            near = np.flatnonzero(other & (d[r] <= bound + room) if np.isfinite(bound) else other)  # squares overflow: differences alone
+            with np.errstate(over="ignore"):
+                exact = np.sqrt(((x[near] - block[r]) ** 2).sum(axis=1))
             best = np.lexsort((ids[near], exact))[:k]
             out[0].extend([qid[first + r]] * len(best))
             out[1].extend(ids[near][best])

@@ -1,6 +1,6 @@
 """SQL (DuckDB) for the queries of this subpackage that SQL can express.
 
-op1, op3, op4, op7, op8 and op10 have none: tests hold them against brute force, a round trip or held-out labels.
+op1, op3, op4, op7, op8, op10 and op13 have none: tests hold them against brute force, a round trip or held-out labels.
 """
 
 from __future__ import annotations
@@ -88,4 +88,76 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM a GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op2_quality_rules": _OP2, "op5_url_filters": _op5(), "op6_mixing": _op6(), "op9_chat": _OP9}
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a string of ASCII characters."""
+    bits = "list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(c, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda s: CAST(ord(s) AS BIGINT)), lambda c, b: {bits}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _op11() -> str:
+    """The cheapest repair by states: e nothing yet, s after the system, u after a user, a after an assistant; k is cost and audit, t the repaired rows."""
+    letters = {"u": "user", "a": "assistant"}
+
+    def then(state: str, cost: str, letter: str, said: str = "''") -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'k': lpad(CAST(CAST({state}.k[1:8] AS BIGINT) + {cost} AS VARCHAR), 8, '0') || {state}.k[9:] || '{letter}', 't': {state}.t || {said}}} END"
+
+    def taken(state: str, to: str) -> str:
+        keep, change = then(state, "extra", "K", "chr(10) || role || ':' || text"), then(state, "(3 + extra)", "R", f"chr(10) || '{letters.get(to)}:' || text")
+        return f"CASE WHEN fault IN (1, 2) THEN NULL WHEN starts_with(role, '{to}') THEN {keep} " + (f"ELSE {change} END" if to in letters else "END")
+
+    insert = lambda state, to: then(state, "3", "I", f"chr(10) || '{letters[to]}:'")
+    closed = lambda src: f"""SELECT conv_id, i, e, s, u, least(a, {insert("u", "a")}) AS a FROM (SELECT conv_id, i, e, s, least(u, {insert("e", "u")}, {insert("s", "u")}, {insert("a", "u")}) AS u, a FROM ({src}))"""
+    none = "CAST(NULL AS STRUCT(k VARCHAR, t VARCHAR))"
+    start = f"SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, {{'k': '00000000', 't': ''}} AS e, {none} AS s, {none} AS u, {none} AS a FROM conversations"
+    scan = f"""SELECT w.conv_id, w.i + 1 AS i, {then("e", "4", "D")} AS e, least({then("s", "4", "D")}, {taken("e", "s")}) AS s,
+  least({then("u", "4", "D")}, {taken("e", "u")}, {taken("s", "u")}, {taken("a", "u")}) AS u, least({then("a", "4", "D")}, {taken("u", "a")}) AS a
+  FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1"""
+    return rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+h AS (SELECT *, {_crc32("name")} % 20 AS how FROM c),
+d AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE how WHEN 3 THEN [0, 1] ELSE [0] END) AS again FROM h WHERE how <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_replace(text, '[ 	-]+$', '') AS said FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
+f AS (SELECT *, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS extra FROM (SELECT *, CASE WHEN said = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM n)),
+w AS ({closed(start)} UNION ALL {closed(scan)}),
+g AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+r AS (SELECT w.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, least(e, a) AS best
+  FROM w LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id WHERE i = coalesce(rows, 0))
+SELECT conv_id, gaps, blank, duplicate, truncated, illegal, CAST(best.k[1:8] AS BIGINT) AS cost, best.k[9:] AS audit, sha256(substr(best.t, 2)) AS repaired_sha256 FROM r
+"""
+
+
+def _op12() -> str:
+    """Levels by grouping three by three; a leaf's path is its run's others at each level."""
+
+    def field(c: str) -> str:
+        return f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    def tree(name: str, leaves: str) -> str:
+        """Nodes, the others of each node's run, and the last node by tree; leaves: tree, i from 0, n, value."""
+        run, others = "PARTITION BY level, tree, i // 3 ORDER BY i", "coalesce(string_agg(value, '') OVER ({run} ROWS BETWEEN {a} AND {b}), '')"
+        left, right = others.format(run=run, a="UNBOUNDED PRECEDING", b="1 PRECEDING"), others.format(run=run, a="1 FOLLOWING", b="UNBOUNDED FOLLOWING")
+        return f"""{name} AS (SELECT 0 AS level, tree, i, n, value FROM {leaves} UNION ALL SELECT level + 1, tree, i // 3, (n + 2) // 3, sha256(string_agg(value, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY level, tree, i // 3, n),
+{name}_links AS (SELECT level, tree, i, {left} AS l, {right} AS r FROM {name} WHERE n > 1),
+{name}_roots AS (SELECT tree, value FROM {name} WHERE n = 1),
+{name}_paths AS (SELECT x.tree, x.i, list(l || ':' || r ORDER BY level) AS path FROM {leaves} x JOIN {name}_links k ON k.tree IS NOT DISTINCT FROM x.tree AND k.i = x.i // CAST(pow(3, level) AS BIGINT) GROUP BY x.tree, x.i)"""
+
+    return f"""
+WITH RECURSIVE rows AS (SELECT row_number() OVER () AS rid, doc_id, source, {leaf("text")} AS value, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 AND text IS NOT NULL THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS changed FROM documents),
+leaves AS (SELECT source AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, value) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, value, doc_id, changed FROM rows),
+{tree("low", "leaves")},
+tops AS (SELECT 0 AS tree, tree AS source, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n, value FROM low_roots),
+{tree("high", "tops")},
+whole AS (SELECT doc_id, v.value AS leaf, s.value AS subroot, changed, coalesce(p.path, []) || coalesce(q.path, []) AS path FROM leaves v JOIN tops s ON s.source IS NOT DISTINCT FROM v.tree
+  LEFT JOIN low_paths p ON p.tree IS NOT DISTINCT FROM v.tree AND p.i = v.i LEFT JOIN high_paths q ON q.i = s.i)
+SELECT doc_id, leaf, subroot, value AS root, sha256(replace(array_to_string(path, ''), ':', '')) AS proof_sha256, list_reduce(list_prepend(changed, path), lambda v, x: sha256(split_part(x, ':', 1) || v || split_part(x, ':', 2))) AS folded_root, folded_root = root AS verified
+FROM whole, high_roots
+"""
+
+
+SQL: dict[str, str] = {"op2_quality_rules": _OP2, "op5_url_filters": _op5(), "op6_mixing": _op6(), "op9_chat": _OP9, "op11_conversation_repair": _op11(), "op12_merkle_manifest": _op12()}
