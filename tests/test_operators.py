@@ -193,7 +193,71 @@ def test_rules_and_stories():
     rules = trees.parse_rules('## Tech\n- ❌ "We use X" — never did {fuzz: exact}\n   more\n- ❌ plain {fuzz: 3}\n')
     assert [(r["category"], r["text"], r["fuzz"]) for r in rules] == [("Tech", "We use X", 0), ("Tech", "plain", 3)]
     assert rules[0]["reason"] == "never did more"
-    assert trees.parse_stories("## STORY: A b\n### Short\ntext\n- x\n")["a b"]["parts"]["short"] == ["text", "x"]
+    assert trees.parse_stories("## STORY: A b\n### Short version\ntext\n- x\n")["a b"]["short"] == "text\n- x"
+
+
+def test_rule_files():
+    text = "prose\n  ## Plain\n* X We never lose data — nor - time\n- x \"quoted\" - why {fuzz: 2}\n   goes on\n one space does not\n  ## B\n- 🚫 “Curly” rule {fuzz: -1}\n- ✗ no marker\n- Xylophone is none\n- ❌ a {b} {fuzz : exact}\r\n- [x] done\n"
+    got = [(r["ord"], r["category"], r["text"], r["reason"], r["fuzz"], r["line"]) for r in trees.parse_rules(text)]
+    assert got == [(1, "Plain", "We never lose data", "nor - time", 1, 3), (2, "Plain", "quoted", "why goes on", 2, 4), (3, "B", "“Curly” rule {fuzz: -1}", "", 1, 8), (4, "B", "a {b}", "", 0, 11)]
+    assert trees.parse_rules("") == []
+    for bad in ("- ❌", '- ❌ ""'):
+        with pytest.raises(ValueError, match="line 1"):
+            trees.parse_rules(bad)
+
+
+def test_story_files():
+    text = "# title\n### short version\nbefore any story\n## One\n### Short version (tweet)\n a\n\n b\n### Do not drift\n- x\n-y\nz\n### Sensitivity\n\n low \n high\n### Other\nq\n## STORY: Two\n### LONG VERSION\nl\n ## one\n### do-not-drift\n- w\n"
+    got = trees.parse_stories(text)
+    assert got == {"one": {"name": "one", "line": 22, "short": "", "long": "", "do_not_drift": ["w"], "sensitivity": ""}, "two": {"name": "Two", "line": 19, "short": "", "long": "l", "do_not_drift": [], "sensitivity": ""}}
+    one = trees.parse_stories(text.rsplit(" ## one", 1)[0])["one"]
+    assert one == {"name": "One", "line": 4, "short": "a\n\n b", "long": "", "do_not_drift": ["x"], "sensitivity": "low"}
+    with pytest.raises(ValueError, match="line 2"):
+        trees.parse_stories("\n## STORY:\n")
+
+
+def test_rules_and_stories_of_many_files(spark):
+    docs = spark.createDataFrame([(1, "## A\n- ❌ one\n- X two - why\n## S\n### sensitivity\nlow\n"), (2, None), (3, "")], "doc_id long, text string")
+    assert sorted(map(tuple, trees.rules_of(docs).collect())) == [(1, 1, "A", "one", "", 1, 2), (1, 2, "A", "two", "why", 1, 3)]
+    assert sorted(map(tuple, trees.stories_of(docs).collect())) == [(1, "A", 1, "", "", [], ""), (1, "S", 4, "", "", [], "low")]
+    assert trees.rules_of(docs.limit(0)).collect() == trees.stories_of(docs.limit(0)).collect() == []
+
+
+def test_trees_are_scanned_without_opening_skipped_folders(spark, tmp_path):
+    from veristrata.sources import walk
+
+    for k in range(300):
+        p = tmp_path / f"node_modules/m{k}/lib/a.py"
+        p.parent.mkdir(parents=True)
+        p.write_text("x = 1\n")
+    names = ("pkg/__init__.py", "pkg/_x.py", "pkg/a.py", "_lib/b.py", ".github/c.py", "gen/d.py", "gen/keep/e.py", "own/f.py", "deep/a/b/c/d/g.py", "docs/_intro.md", "docs/D.MD")
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("y = 2\n")
+    (tmp_path / ".gitignore").write_text("gen/\n!gen/keep\n*.tmp\r\n")
+    (tmp_path / ".veristrataignore").write_text("/own/\n")
+    (tmp_path / "pkg/link.py").symlink_to(tmp_path / "gen/d.py")
+    (tmp_path / "linked").symlink_to(tmp_path / "gen")
+    want = [".github/c.py", "_lib/b.py", "deep/a/b/c/d/g.py", "pkg/__init__.py", "pkg/_x.py", "pkg/a.py"]
+    assert sorted(r.path for r in trees.scan_tree(spark, str(tmp_path))[0].collect()) == want
+    walker = walk.Walker(str(tmp_path), trees.SKIPPED, ("gen/", "/own/"))
+    assert [f[0] for f in walker.files("") if f[0].endswith(".py")] == want or sorted(f[0] for f in walk.Walker(str(tmp_path), trees.SKIPPED, ("gen/", "/own/")).files("") if f[0].endswith(".py")) == want
+    assert walker.opened == 10  # the root, pkg, _lib, .github, docs and five of deep: none of 300 modules
+    few = walk.plan(walk.Walker(str(tmp_path), trees.SKIPPED), planned=2)
+    assert [p.folders for p in few if p.folders] and sorted(f[0] for p in few for f in [*p.found, *(x for d in p.folders for x in walk.Walker(str(tmp_path), trees.SKIPPED).files(d))]) == sorted(f[0] for f in walk.Walker(str(tmp_path), trees.SKIPPED).files(""))
+    assert [r.path for r in trees.scan_file(spark, str(tmp_path), "pkg/__init__.py").collect()] == ["pkg/__init__.py"] and trees.scan_file(spark, str(tmp_path), "pkg/link.py").collect() == []
+    assert sorted(r.path for r in trees.markdown_files(spark, str(tmp_path)).collect()) == ["docs/D.MD", "docs/_intro.md"]
+    assert [r.path for r in trees.markdown_files(spark, str(tmp_path), "gen/*.py").collect()] == ["gen/d.py"] and trees.markdown_files(spark, str(tmp_path), "g*/k**").count() == 1
+    assert trees.scan_tree(spark, str(tmp_path / "none"))[0].collect() == []
+
+
+def test_markdown_is_read_whole_and_without_a_limit(spark, tmp_path):
+    for k in range(520):
+        (tmp_path / f"f{k}.md").write_text("x")
+    (tmp_path / "long.md").write_text("ñ" * 700_000)
+    rows = trees.markdown_files(spark, str(tmp_path)).select("path", F.length("text").alias("n")).collect()
+    assert len(rows) == 521 and max(r.n for r in rows) == 700_000
+    assert trees.scan_markdown(spark, str(tmp_path)).count() == 500
 
 
 def test_tree_scan(spark, tmp_path):
@@ -600,7 +664,7 @@ def test_truth_files(spark, tmp_path):
     for text in ("a: 1\n", "a: 2\n"):
         audit.write_facts(spark, str(tmp_path / "facts.yaml"), text)
         assert (tmp_path / "facts.yaml").read_text() == text
-    stories = trees.parse_stories("## STORY: A b\n### Short\ntext\n")
+    stories = trees.parse_stories("## STORY: A b\n### Short version\ntext\n")
     assert trees.get_story(stories, " a B")["name"] == "A b"
     with pytest.raises(KeyError):
         trees.get_story(stories, "c")

@@ -261,9 +261,12 @@ class Engine:
         found = self.check(self.spark.createDataFrame([(1, text)], "id bigint, text string"), facts, rules)
         return found, detect.summary(found).drop("id", "contradiction")
 
-    def list_stale_claims(self, root: str, facts: DataFrame, rules: DataFrame | None = None, scope: str | None = None, exclude: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-        """(claims that need a look, exit code) of the markdown files of a tree: unverified, forbidden and contradicted ones with file and line."""
-        docs = trees.scan_markdown(self.spark, root, scope=scope, ignore=trees.read_ignore_files(self.spark, root), exclude=exclude).withColumnRenamed("path", "id")
+    def list_stale_claims(self, root: str, facts: DataFrame, rules: DataFrame | None = None, scope: str | None = None) -> tuple[DataFrame, int]:
+        """(claims that need a look, exit code) of every markdown file of a tree, whole: unverified, forbidden and contradicted ones with file and line.
+
+        scope: a glob of files of any kind instead, ignored or not.
+        """
+        docs = trees.markdown_files(self.spark, root, scope).withColumnRenamed("path", "id")
         found = materialize(self.check(docs, facts, rules), "claims")
         code = detect.severity(detect.summary(found)).first()[0]
         return found.where(F.col("verdict").isin("unverified", "forbidden", "contradiction")).select(F.col("id").alias("file"), "line", "category", "verdict", "text", "path"), code

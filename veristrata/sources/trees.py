@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.text import glob_regex, scope_regex
+from ..functions.text import scope_regex, segment_glob_regex
 from ..tables import filesystem
-from . import yaml
+from . import walk, yaml
 
 # Folders that a scan of sources skips, and one of markdown; what files are by extension and by name, both in lower case.
 SKIPPED = (".git", ".mypy_cache", ".next", ".nuxt", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "target", "vendor", "venv")
@@ -33,6 +33,10 @@ QUERY_EXTENSIONS = {"js": "javascript", "jsx": "javascript"}
 QUERY_NO_NAMES = ("openapi.yaml", "openapi.yml", "openapi.json", "swagger.yaml", "swagger.yml", "swagger.json")
 
 
+#: Ignore files at the top of a tree; the second is this engine's own.
+IGNORE_FILES = (".gitignore", ".veristrataignore")
+
+
 def _named(path: Column) -> tuple[Column, Column]:
     name = F.lower(F.element_at(F.split(path, "/"), -1))
     return name, F.when(F.contains(name, F.lit(".")), F.element_at(F.split(name, r"\."), -1))
@@ -57,40 +61,18 @@ def query_language_of(path: Column) -> Column:
 def ignored(path: Column, patterns: list[str]) -> Column:
     """Ignore-file rules in order: the last that matches decides, and a leading ! takes a path back in."""
     out = F.lit(False)
-    for p in patterns:
-        p = p.strip()
-        if not p or p.startswith("#"):
-            continue
-        back, p = p.startswith("!"), p.lstrip("!")
-        folder, p = p.endswith("/"), p.rstrip("/")
-        anchored, p = "/" in p, p.lstrip("/")
-        body = glob_regex(p, crosses=False)[5:-1]
-        hit = path.rlike(("^" if anchored else "(^|/)") + body + ("/" if folder else "(/|$)"))
-        out = F.when(hit, F.lit(not back)).otherwise(out)
+    for rule, back in walk.ignore_rules(patterns):
+        out = F.when(path.rlike(rule), F.lit(not back)).otherwise(out)
     return out
 
 
-def _scanned(spark: SparkSession, root: str, **options: str) -> DataFrame:
-    """Files under root with their path relative to it."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape("/" + root.strip("/")) + "/", "")
-    return reader.load(root).withColumn("path", rel)
-
-
-def _folders(path: Column) -> Column:
-    parts = F.split(path, "/")
-    return F.slice(parts, F.lit(1), F.size(parts) - 1)
-
-
 def ignore_patterns(*files: str) -> list[str]:
     """The lines of several ignore files, one after the other, so that a later file can take a path back in."""
     return [line for text in files for line in text.splitlines()]
 
 
-def read_ignore_files(spark: SparkSession, root: str, names: tuple[str, ...] = (".gitignore",)) -> list[str]:
-    """The patterns of the ignore files at the top of a tree, as far as there are any."""
+def read_ignore_files(spark: SparkSession, root: str, names: tuple[str, ...] = IGNORE_FILES) -> list[str]:
+    """The patterns of the ignore files at the top of a tree, as far as there are any, one file after the other."""
     out = []
     for name in names:
         p, fs = filesystem(spark, f"{root.rstrip('/')}/{name}")
@@ -101,28 +83,30 @@ def read_ignore_files(spark: SparkSession, root: str, names: tuple[str, ...] = (
     return ignore_patterns(*out)
 
 
+_FILE = "path string, hash string, language string, size_bytes bigint, indexed_at bigint, content binary"
+
+
+def _source_files(rows: DataFrame) -> DataFrame:
+    return rows.select("path", F.sha2("content", 256).alias("hash"), "language", F.col("length").alias("size_bytes"), F.col("modified").alias("indexed_at"), "content")
+
+
 def scan_tree(spark: SparkSession, root: str, ignore: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files with content, failures) of a source tree: skipped folders, ignore rules and unknown kinds left out; files over the
-    size limit are failures. Paths are relative to root. ignore: patterns, by default those of the tree's own ignore file."""
+    """(files with content, failures) of a source tree: skipped folders, ignored paths and unknown kinds left out; files over the
+    size limit are failures. Skipped and ignored folders are never opened, and larger files never read; names that begin with a dot or an
+    underscore are files like others. Paths are relative to root. ignore: patterns, by default those of the tree's own ignore files."""
     patterns = read_ignore_files(spark, root) if ignore is None else ignore
-    rows = _scanned(spark, root).where(~F.arrays_overlap(_folders(F.col("path")), F.array(*map(F.lit, SKIPPED))))
-    rows = rows.withColumn("language", language_of(F.col("path"))).where("language IS NOT NULL").where(~ignored(F.col("path"), patterns))
+    rows = walk.read_tree(spark, root, SKIPPED, patterns, most=schema.INDEXED_BYTES).withColumn("language", language_of(F.col("path"))).where("language IS NOT NULL")
     small = F.col("length") <= schema.INDEXED_BYTES
-    good = rows.where(small).select("path", F.sha2("content", 256).alias("hash"), "language", F.col("length").alias("size_bytes"), F.unix_seconds("modificationTime").alias("indexed_at"), "content")
-    return good, rows.where(~small).select("path", F.lit("over the size limit").alias("error"))
+    return _source_files(rows.where(small)), rows.where(~small).select("path", F.lit("over the size limit").alias("error"))
 
 
 def scan_file(spark: SparkSession, root: str, path: str) -> DataFrame:
-    """One file as scan_tree() gives it; no row if it is missing, a folder, of no known kind, or not under root."""
+    """One file as scan_tree() gives it; no row if it is missing, a folder, a link, of no known kind, or not under root."""
     rel = _relative(root, path)
-    kind = "path string, hash string, language string, size_bytes bigint, indexed_at bigint, content binary"
     if rel is None:
-        return spark.createDataFrame([], kind)
-    p, fs = filesystem(spark, f"{root.rstrip('/')}/{rel}")
-    if not fs.exists(p) or fs.getFileStatus(p).isDirectory():
-        return spark.createDataFrame([], kind)
-    rows = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{rel}").withColumn("path", F.lit(rel)).withColumn("language", language_of(F.lit(rel))).where("language IS NOT NULL")
-    return rows.where(F.col("length") <= schema.INDEXED_BYTES).select("path", F.sha2("content", 256).alias("hash"), "language", F.col("length").alias("size_bytes"), F.unix_seconds("modificationTime").alias("indexed_at"), "content")
+        return spark.createDataFrame([], _FILE)
+    rows = walk.read_tree(spark, root, files=[rel], most=schema.INDEXED_BYTES).withColumn("language", language_of(F.col("path"))).where("language IS NOT NULL")
+    return _source_files(rows.where(F.col("length") <= schema.INDEXED_BYTES))
 
 
 def _relative(root: str, path: str) -> str | None:
@@ -135,21 +119,30 @@ def _relative(root: str, path: str) -> str | None:
 
 
 def scan_markdown(spark: SparkSession, root: str, limit: int = 500, ignore: list[str] | None = None, exclude: tuple[str, ...] = (), scope: str | None = None) -> DataFrame:
-    """(path, text) of the first `limit` markdown files by path, at most READ_BYTES of each (the scan's own bounds).
+    """(path, text) of the first `limit` markdown files by path, at most READ_BYTES of each: the bounds of a scan at a session's start.
 
     Hidden folders, those of MARKDOWN_SKIPPED, ignored paths and those under `exclude` (relative folders) are left out;
-    scope: a glob that paths must fit.
+    scope: a glob that paths must fit. markdown_files() has no bounds.
     """
-    rows = _scanned(spark, root, pathGlobFilter="*.md")
-    hidden = F.exists(_folders(F.col("path")), lambda s: s.isin(*MARKDOWN_SKIPPED) | F.startswith(s, F.lit(".")))
-    rows = rows.where(~hidden).where(~ignored(F.col("path"), ignore or []))
-    for folder in exclude:
-        rows = rows.where(~F.startswith("path", F.lit(folder.strip("/") + "/")))
+    rows = walk.read_tree(spark, root, MARKDOWN_SKIPPED, [*(ignore or []), *(f"/{folder.strip('/')}/" for folder in exclude)], hidden=False, only=r"\.md$")
     if scope:
         rows = rows.where(F.col("path").rlike(scope_regex(scope)))
     return rows.orderBy("path").limit(limit).select("path", F.decode(F.substring("content", 1, schema.READ_BYTES), "UTF-8").alias("text"))
 
 
+def markdown_files(spark: SparkSession, root: str, scope: str | None = None, ignore: list[str] | None = None) -> DataFrame:
+    """(path, text) of every markdown file of a tree, whole: for full coverage.
+
+    Without a scope: files whose extension is md, whatever its case, but those in hidden folders and those that the
+    tree's ignore files (or `ignore`) name. With one: all files whose path fits the glob, of any kind, ignored or not.
+    """
+    if scope:
+        rows = walk.read_tree(spark, root, only=scope_regex(scope) if "**" in scope else segment_glob_regex(scope))
+    else:
+        rows = walk.read_tree(spark, root, ignore=read_ignore_files(spark, root) if ignore is None else ignore, hidden=False, only=r"(?i)\.md$")
+    return rows.select("path", F.decode("content", "UTF-8").alias("text"))
+
+
 def audit_log(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:
     """JSON lines of flagged edits; lines that are not JSON objects, or longer than LINE_BYTES, are dropped."""
     kind = "session_id string, path string, forbidden bigint, unverified bigint, recorded_at bigint"
@@ -234,53 +227,87 @@ def facts_from_json(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(flatten(json.loads(text or "{}")), "path string, vtype string, svalue string, nvalue double")
 
 
-_BULLET = re.compile(r"^\s*[-*]\s*(?:❌|✗|✘|🚫)\s*(.*)$")
-_FUZZ = re.compile(r"\s*\{fuzz:\s*(exact|\d+)\}\s*$")
+# What marks a bullet as a statement not to make, what ends its text, and the parts of a story by how their headings begin.
+RULE_MARKERS = ("❌", "🚫", "X", "x")
+RULE_BREAKS = (" — ", " -- ", " - ")
+STORY_PARTS = (("short version", "short"), ("long version", "long"), ("do not drift", "do_not_drift"), ("do-not-drift", "do_not_drift"), ("do not", "do_not_drift"), ("sensitivity", "sensitivity"))
+_FUZZ = re.compile(r"^(.*?) *\{\s*fuzz\s*:\s*(exact|\+?\d+)\s*\}$", re.S | re.A)
+
+
+def _unmarked(bullet: str) -> str | None:
+    """What follows a marker that stands alone or before a space; None without one."""
+    for mark in RULE_MARKERS:
+        if bullet == mark or bullet.startswith(mark + " "):
+            return bullet[len(mark) :].strip()
+    return None
+
+
+def _rule(body: str, default_fuzz: int) -> dict:
+    """Text, reason and edits forgiven: the reason follows the first kind of break that there is; enclosing straight quotes go."""
+    fuzz = default_fuzz
+    if m := _FUZZ.match(body):
+        body, fuzz = m[1], 0 if m[2] == "exact" else int(m[2])
+    mark = next((mark for mark in RULE_BREAKS if mark in body), None)
+    text, reason = (x.strip() for x in body.split(mark, 1)) if mark else (body.strip(), "")
+    if len(text) >= 2 and text[0] == text[-1] == '"':
+        text = text[1:-1]
+    return {"text": text, "reason": reason, "fuzz": fuzz}
 
 
 def parse_rules(text: str, default_fuzz: int = 1) -> list[dict]:
-    """Bullets of statements not to make, by category: quoted or plain text, a reason after a dash, a fuzz suffix, indented continuations."""
+    """Statements not to make: bullets with a marker, by the second-level heading before them (indented or not).
+
+    A line that begins with two spaces and is no bullet or heading goes on with the last rule's reason. Other bullets and
+    prose are left out; a rule without a text is an error that names its line. No text has no rules.
+    """
     out: list[dict] = []
     category = ""
-    for number, line in enumerate(text.splitlines(), 1):
-        if line.startswith("## "):
-            category = line[3:].strip()
-        elif m := _BULLET.match(line):
-            body, fuzz = m[1].strip(), default_fuzz
-            if f := _FUZZ.search(body):
-                body, fuzz = body[: f.start()], 0 if f[1] == "exact" else int(f[1])
-            reason = ""
-            for mark in (" — ", " -- ", " - "):
-                if mark in body:
-                    body, reason = (x.strip() for x in body.split(mark, 1))
-                    break
-            if not body.strip().strip('"“”'):
+    for number, line in enumerate(text.split("\n"), 1):
+        bare = line.strip()
+        if bare.startswith("## "):
+            category = bare[3:].strip()
+        elif bare[:2] in ("- ", "* "):
+            body = _unmarked(bare[2:].strip())
+            if body is None:
+                continue
+            rule = _rule(body, default_fuzz)
+            if not rule["text"]:
                 raise ValueError(f"line {number}: a rule needs a text")
-            out.append({"ord": len(out) + 1, "category": category, "text": body.strip().strip('"“”'), "reason": reason, "fuzz": fuzz, "line": number})
-        elif out and line[:1] in " \t" and line.strip():
-            out[-1]["reason"] = (out[-1]["reason"] + " " + line.strip()).strip()
+            out.append({"ord": len(out) + 1, "category": category, **rule, "line": number})
+        elif line.startswith("  ") and bare and out:
+            out[-1]["reason"] = f"{out[-1]['reason']} {bare}".strip()
     return out
 
 
 def parse_stories(text: str) -> dict[str, dict]:
-    """Stories by lower-cased name: their sub-sections' text and bullets; a later story of the same name replaces one."""
+    """Stories by lower-cased name: name, line, short, long, do_not_drift (its bullets), sensitivity (its first line with a word).
+
+    Every second-level heading opens a story; STORY: before its name goes. A later story of the same name replaces one,
+    other parts are left out, and a story without a name is an error that names its line.
+    """
     out: dict[str, dict] = {}
     story = part = None
-    for number, line in enumerate(text.splitlines(), 1):
-        if line.startswith("## "):
-            m = re.match(r"## STORY:\s*(.*)$", line)
-            story = None
-            if m:
-                if not m[1].strip():
-                    raise ValueError(f"line {number}: a story needs a name")
-                story = {"name": m[1].strip(), "line": number, "parts": {}}
-                out[m[1].strip().lower()] = story
-            part = None
-        elif line.startswith("### ") and story is not None:
-            part = line[4:].strip().lower()
-            story["parts"][part] = []
-        elif story is not None and part is not None and line.strip():
-            story["parts"][part].append(line.strip().removeprefix("- "))
+    for number, line in enumerate(text.split("\n"), 1):
+        bare = line.strip()
+        if bare.startswith("## "):
+            name, part = bare[3:].strip().removeprefix("STORY:").strip(), None
+            if not name:
+                raise ValueError(f"line {number}: a story needs a name")
+            story = {"name": name, "line": number, "short": "", "long": "", "do_not_drift": [], "sensitivity": ""}
+            out[name.lower()] = story
+        elif story is None:
+            continue
+        elif bare.startswith("### "):
+            heading = bare[4:].lower()
+            part = next((p for begins, p in STORY_PARTS if heading.startswith(begins)), None)
+        elif part in ("short", "long"):
+            story[part] += line.removesuffix("\r") + "\n"
+        elif part == "do_not_drift" and bare.startswith("- "):
+            story[part].append(bare[1:].strip())
+        elif part == "sensitivity" and not story[part]:
+            story[part] = bare
+    for story in out.values():
+        story["short"], story["long"] = story["short"].strip(), story["long"].strip()
     return out
 
 
@@ -290,3 +317,36 @@ def get_story(stories: dict[str, dict], name: str) -> dict:
     if found is None:
         raise KeyError(f"no story {name!r}")
     return found
+
+
+def _parsed(docs: DataFrame, key: str, parse, kind: str) -> DataFrame:
+    """A row of `kind` for each thing that parse() finds in each text, with the text's key."""
+    import pyarrow as pa
+
+    fields = [c.split() for c in kind.split(", ")]
+    types = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+
+    def run(batches):
+        for b in batches:
+            keys, rows = [], []
+            for at, text in enumerate(b.column(1).to_pylist()):
+                found = parse(text or "")
+                keys += [at] * len(found)
+                rows += found
+            columns = [pa.array([row[name] for row in rows], types[of]) for name, of in fields]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), *columns], names=[key, *(name for name, _ in fields)])
+
+    src = docs.select(key, "text")
+    return src.mapInArrow(run, f"`{key}` {src.schema[key].dataType.simpleString()}, {kind}")
+
+
+def rules_of(docs: DataFrame, key: str = "doc_id", default_fuzz: int = 1) -> DataFrame:
+    """(key, ord, category, text, reason, fuzz, line) of the rules in many rule files (key, text); null and empty files have none."""
+    kind = "ord int, category string, text string, reason string, fuzz int, line int"
+    return _parsed(docs, key, lambda text: parse_rules(text, default_fuzz), kind)
+
+
+def stories_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, name, line, short, long, do_not_drift, sensitivity) of the stories in many files (key, text); null and empty files have none."""
+    kind = "name string, line int, short string, long string, do_not_drift array<string>, sensitivity string"
+    return _parsed(docs, key, lambda text: list(parse_stories(text).values()), kind)
