@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from veristrata.engine import Engine
 from veristrata.operators import audit, detect
 from veristrata.sources import trees
+from veristrata.store import Change, Version
 
 
 def test_index_is_incremental(spark, tmp_path):
@@ -192,5 +193,63 @@ def test_logs_and_envelopes_are_bounded(spark, tmp_path):
 
 def test_tables_of_an_older_version(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "db"))
-    e.snapshots.commit(claims=spark.createDataFrame([(1, "s", "c", "", False, 5)], "id bigint, session_id string, claim string, evidence string, verified boolean, recorded_at bigint"))
+    e.snapshots.commit(Version(), claims=Change(spark.createDataFrame([(1, "s", "c", "", False, 5)], "id bigint, session_id string, claim string, evidence string, verified boolean, recorded_at bigint")))
     assert e.unverified_claims().count() == 1 and e.record_claim("d", "", False, 6) == 2 and e.claims.count() == 2
+
+
+def test_broken_files_keep_a_row_and_no_symbols(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "m.py").write_text("def f(): pass\n")
+    (src / "n.py").write_text("def g(): pass\n")
+    e.index(str(src)).count()
+    edit = lambda *rows: spark.createDataFrame(list(rows), "id bigint, session_id string, tool string, path string, content string")
+    e.post_edit(edit((1, "s", "Edit", "m.py", "def (")), "/p", 9)
+    assert {r.path: r.indexed_at for r in e.files.collect()}["m.py"] == 9 and [r["name"] for r in e.symbols.collect()] == ["g"]
+    (src / "n.py").write_text("def (")
+    assert [r.path for r in e.index(str(src)).collect()] == ["n.py"]
+    assert sorted(r.path for r in e.files.collect()) == ["m.py", "n.py"] and [r["name"] for r in e.symbols.collect()] == ["f"]
+    assert e.index(str(src)).count() == 0  # a broken file is not parsed again until it changes
+    (src / "n.py").write_text("def h(): pass")
+    e.index_file(str(src), "n.py")
+    assert sorted(r["name"] for r in e.symbols.collect()) == ["f", "h"]
+
+
+def test_changes_write_what_changes(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    for k in range(3):
+        e.record_claim(f"c{k}", "", False, k, tool="hook")
+    before = set(e.snapshots.version().tables["claims"])
+    e.resolve_claim(2, "seen")
+    new = [p for p in e.snapshots.version().tables["claims"] if p not in before]
+    assert sorted(p[0] for p in new) == ["+", "-"] and [spark.read.parquet(p[1:]).count() for p in new] == [1, 1]
+    e.touch_claims([1, 3], 50)
+    assert {r.id: (r.verified, r.last_checked) for r in e.claims.collect()} == {1: (False, 50), 2: (True, None), 3: (False, 50)}
+    e.record_claim("fixed", "", True, 40, vet_ok=True)
+    e.record_claim("vet", "", False, 4, vet_ok=False, tool="hook", file_path="x")
+    e.record_claim("fixed", "", True, 40, vet_ok=True)
+    e.purge_claims(15)
+    assert sorted(r.id for r in e.claims.collect()) == [1, 2, 3, 4, 6]
+
+
+def test_writers_do_not_undo_each_other(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    db = str(tmp_path / "db")
+    e = Engine(spark, db)
+    ids = [e.record_claim(f"c{k}", "", False, k) for k in range(4)]
+
+    def write(k):
+        own = Engine(spark, db)
+        own.resolve_claim(ids[k])
+        own.record_claim(f"new{k}", "", False, 9)
+        own.touch_claims([ids[k]], 100 + k)
+        d = own.record_decision("t", str(k), "r", k)
+        own.supersede_decision(d, "other", "r", 9)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(4)))
+    got = {r.id: r for r in e.claims.collect()}
+    assert [(got[i].verified, got[i].last_checked) for i in ids] == [(True, 100 + k) for k in range(4)] and sorted(r.claim for r in got.values() if r.id > 4) == ["new0", "new1", "new2", "new3"]
+    assert e.decisions.count() == 8 and e.decisions.where("superseded_by IS NOT NULL").count() == 4

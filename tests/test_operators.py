@@ -162,16 +162,6 @@ def test_index_maintenance(spark):
     assert [r.path for r in index.prune(old, new).collect()] == ["b"]
 
 
-def test_snapshots_flip_together(spark, tmp_path):
-    from veristrata.store import Snapshots
-
-    s = Snapshots(spark, str(tmp_path / "t"))
-    assert s.versions() == {}
-    s.commit(files=spark.range(2), symbols=spark.range(3))
-    s.commit(files=spark.range(5))
-    assert s.read("files").count() == 5 and s.read("symbols").count() == 3
-
-
 def test_guards(spark):
     df = spark.createDataFrame([("docs/en/a.md", "sed -i x"), ("x/.Data/y", "cat a"), ("src/fr/b", "a > b")], "path string, command string")
     row = df.select(guard.in_protected_folder(F.col("path"), ".data").alias("p"), guard.command_mutates(F.col("command")).alias("m"), guard.path_filter(F.col("path"), [("l", "src/([a-z]+)/", ["FR"])]).alias("f")).collect()
@@ -589,20 +579,6 @@ def test_scans(spark, tmp_path):
     assert one("m.py") == ["m.py"] and one("./docs/../m.py") == ["m.py"] and one("../m.py") == [] and one("none.py") == [] and one("docs") == [] and one("a.md") == []
 
 
-def test_snapshots_append_and_conflict(spark, tmp_path):
-    from veristrata.store import Conflict, Snapshots
-
-    s = Snapshots(spark, str(tmp_path / "t"))
-    s.commit(a=spark.range(2), b=spark.range(1))
-    before = s.versions()
-    s.commit(before, ("a",), a=spark.range(2, 5))
-    assert sorted(r.id for r in s.read("a").collect()) == [0, 1, 2, 3, 4] and len(s.versions()["a"]) == 2
-    with pytest.raises(Conflict):
-        s.commit(before, ("a",), a=spark.range(9))
-    s.commit(before, b=spark.range(7))
-    assert s.read("b").count() == 7 and s.read("a").count() == 5 and not list((tmp_path / "t").glob("LOCK"))
-
-
 def test_adapters(spark):
     from veristrata.operators import adapters
 

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from veristrata.streaming import events as st
 
 
@@ -49,17 +51,31 @@ def test_unchanged_files_go_once(spark, tmp_path):
 
 
 def test_post_edit_batches_are_recorded_once(spark, tmp_path):
+    """A replayed batch changes nothing; another stream's first batch is a batch of its own."""
     from veristrata.engine import Engine
 
-    source = tmp_path / "in"
-    source.mkdir()
-    write(source, "a.jsonl", [{"id": 1, "session_id": "s", "tool": "Edit", "path": "a.py", "content": "def f(): pass"}])
     e = Engine(spark, str(tmp_path / "db"))
-    run = st.post_edits(e, "/p", lambda: 9, lambda root: (True, "", None))
-    raw = spark.readStream.schema("id bigint, session_id string, tool string, path string, content string").json(str(source))
-    raw.writeStream.foreachBatch(run).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
-    run(spark.read.schema(raw.schema).json(str(source)), 0)
-    assert [(r.verified, r.evidence) for r in e.claims.collect()] == [(True, "epoch 0: file: a.py\nverify: ok")] and [r["name"] for r in e.symbols.collect()] == ["f"]
+    kind = "id bigint, session_id string, tool string, path string, content string"
+
+    def drained(name, path, body):
+        source = tmp_path / name
+        source.mkdir(exist_ok=True)
+        write(source, f"{path}.jsonl", [{"id": 1, "session_id": "s", "tool": "Edit", "path": path, "content": body}])
+        run = st.post_edits(e, "/p", lambda: 9, lambda root: (True, "", None))
+        spark.readStream.schema(kind).json(str(source)).writeStream.foreachBatch(run).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"{name}-c")).start().awaitTermination()
+
+    drained("one", "a.py", "def f(): pass")
+    drained("two", "b.py", "def g(): pass")
+    assert sorted(e.snapshots.version().epochs.values()) == [0, 0]
+    drained("one", "c.py", "def h(): pass")
+    named = st.post_edits(e, "/p", lambda: 9, None, "own")
+    batch = spark.createDataFrame([(1, "s", "Edit", "d.py", "def k(): pass")], kind)
+    named(batch, 0)
+    named(batch, 0)
+    assert [(r.id, r.file_path, r.verified) for r in e.claims.orderBy("id").collect()] == [(1, "a.py", True), (2, "b.py", True), (3, "c.py", True), (4, "d.py", True)]
+    assert sorted(r["name"] for r in e.symbols.collect()) == ["f", "g", "h", "k"] and sorted(e.snapshots.version().epochs.values()) == [0, 0, 1]
+    with pytest.raises(ValueError, match="name"):
+        st.post_edits(e, "/p", lambda: 9)(batch, 0)
 
 
 def test_good_truth_files_stay(spark):

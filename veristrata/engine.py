@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
@@ -13,56 +13,70 @@ from .functions import extract as ex
 from .functions.text import line_of, normalize_path, since_seconds
 from .operators import audit, detect, fuzzy, guard, index, ledger, postedit
 from .sources import trees
-from .store import Conflict, Snapshots
-from .tables import materialize
+from .store import Change, Snapshots, Version
+from .tables import materialize, numbered
+
+
+#: The tables, their columns, and the column by which rows go when a file or an entry changes.
+TABLES = {"files": (schema.FILES, "path"), "symbols": (schema.SYMBOLS, "file_path"), "decisions": (schema.DECISIONS, "id"), "claims": (schema.CLAIMS, "id")}
 
 
 class Engine:
-    """All tables lie under `root`, a folder that the cluster shares. Reads are lazy; writes commit a new version."""
+    """All tables lie under `root`, a folder that the cluster shares. Reads are lazy; writes commit a new version.
+
+    Every write is made from one version and shown only if its tables have not changed since, else it is made again; it
+    writes the rows that change, not the table.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.snapshots = spark, Snapshots(spark, root)
+        self.spark, self.snapshots = spark, Snapshots(spark, root, {name: key for name, (_, key) in TABLES.items()})
 
-    def table(self, name: str, kind: str) -> DataFrame:
-        """A table as this version knows it: columns that an older version did not write are null."""
-        empty = self.spark.createDataFrame([], kind)
-        if name not in self.snapshots.versions():
-            return empty
-        found = self.snapshots.read(name)
-        return found.select(*[F.col(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema])
+    def table(self, name: str, version: Version | None = None) -> DataFrame:
+        """A table as a version (by default the current one) knows it: columns that an older one did not write are null."""
+        version = version or self.snapshots.version()
+        kind = TABLES[name][0]
+        return self.snapshots.read(name, version, kind) if name in version else self.spark.createDataFrame([], kind)
 
     @property
     def files(self) -> DataFrame:
-        return self.table("files", schema.FILES)
+        return self.table("files")
 
     @property
     def symbols(self) -> DataFrame:
-        return self.table("symbols", schema.SYMBOLS)
+        return self.table("symbols")
 
     @property
     def decisions(self) -> DataFrame:
-        return self.table("decisions", schema.DECISIONS)
+        return self.table("decisions")
 
     @property
     def claims(self) -> DataFrame:
-        return self.table("claims", schema.CLAIMS)
+        return self.table("claims")
 
     # index
 
     def index(self, root: str, ignore: list[str] | None = None) -> DataFrame:
-        """Scan a tree, parse what changed, drop what is gone; both tables change in one commit. Returns the failures."""
+        """Scan a tree, parse what changed, drop what is gone; both tables change in one commit. Returns the failures.
+
+        The tree is listed once and changed files are read and parsed once, into tables. A file that does not parse has a
+        row and no symbols.
+        """
         scanned, failures = trees.scan_tree(self.spark, root, ignore)
+        scanned = materialize(scanned.select("path", "hash", "language", "size_bytes", "indexed_at", F.decode("content", "UTF-8").alias("text")), "scanned")
         new = index.changed(scanned, self.files)
-        parsed = ex.extract(new.select("path", "language", F.decode("content", "UTF-8").alias("text")))
-        rows = new.select("path", "hash", "language", "size_bytes", "indexed_at")
-        symbol = parsed.where("error IS NULL").select(
-            F.xxhash64("path", "ord").alias("id"), F.col("path").alias("file_path"), "name", "qualified_name", "kind", "signature", "start_line", "end_line", "exported", F.lit(None).cast("bigint").alias("parent_id")
-        )
-        files = index.prune(index.upsert_files(self.files, rows).select("path", "hash", "language", "size_bytes", "indexed_at"), scanned, trees.SKIPPED)
-        symbols = index.replace_symbols(self.symbols, index.with_parents(symbol).select(symbol.columns), rows)
-        symbols = symbols.join(files.select(F.col("path").alias("file_path")), "file_path", "left_semi").select(symbol.columns)
-        self.snapshots.commit(files=files, symbols=symbols)
-        return failures.unionByName(parsed.where("error IS NOT NULL").select("path", "error"))
+        parsed = materialize(ex.extract(new.select("path", "language", "text")), "parsed")
+        bad = parsed.where("error IS NOT NULL").select("path", "error")
+        fresh = postedit.symbols_of(parsed.join(bad.select("path").distinct(), "path", "left_anti"))
+
+        def make(version: Version) -> dict[str, Change]:
+            files = self.table("files", version)
+            kept = index.prune(files, scanned, trees.SKIPPED).select("path")
+            rows = index.changed(scanned, files).drop("text")
+            gone = materialize(files.select("path").join(kept, "path", "left_anti").unionByName(rows.select("path")), "gone")
+            return {"files": Change(rows, gone), "symbols": Change(fresh.join(rows.select(F.col("path").alias("file_path")), "file_path", "left_semi").select(fresh.columns), gone.select(F.col("path").alias("file_path")))}
+
+        self.snapshots.transact(make)
+        return failures.unionByName(bad)
 
     def index_file(self, root: str, path: str) -> None:
         """One file of the tree, as it is now; nothing changes if it is missing, of no known kind or out of the tree."""
@@ -70,8 +84,13 @@ class Engine:
         edit = found.select(F.lit(1).cast("bigint").alias("id"), F.lit("").alias("session_id"), F.lit("").alias("tool"), "path", F.decode("content", "UTF-8").alias("content"))
         at = found.agg(F.max("indexed_at")).first()[0]
         if at is not None:
-            files, symbols, _ = postedit.apply_edits(edit, self.files, self.symbols, "/", at)
-            self.snapshots.commit(files=files, symbols=symbols)
+            files, symbols, _ = postedit.edited(edit, "/", at)
+            self.snapshots.transact(lambda version: self._replaced(files, symbols))
+
+    @staticmethod
+    def _replaced(files: DataFrame, symbols: DataFrame) -> dict[str, Change]:
+        """These files' rows and symbols instead of all that their paths had."""
+        return {"files": Change(files, files.select("path")), "symbols": Change(symbols, files.select(F.col("path").alias("file_path")))}
 
     def find_symbol(self, query: str, kind: str | None = None, limit: int = 0, language: str | None = None) -> DataFrame:
         return index.find_symbol(self.symbols, query, kind, limit, language)
@@ -105,20 +124,27 @@ class Engine:
 
     # ledger
 
-    def _append(self, name: str, kind: str, rows: list[dict], tries: int = 20) -> list[int]:
-        """Add rows with the next ids, as files beside those that are there; another writer in between makes it try again."""
-        fields = self.spark.createDataFrame([], kind).schema
-        for _ in range(tries):
-            based_on = self.snapshots.versions()
-            last = self.snapshots.read(name, based_on).agg(F.max("id")).first()[0] if name in based_on else None
-            ids = [(last or 0) + 1 + k for k in range(len(rows))]
-            new = self.spark.createDataFrame([tuple({**dict.fromkeys(fields.names), **row, "id": i}[n] for n in fields.names) for i, row in zip(ids, rows)], fields)
-            try:
-                self.snapshots.commit(based_on, (name,), **{name: new.coalesce(1)})
-                return ids
-            except Conflict:
-                continue
-        raise Conflict(f"{name} was changed {tries} times in between")
+    def _append(self, name: str, rows: list[dict]) -> list[int]:
+        """Add rows with the next ids."""
+        fields = self.spark.createDataFrame([], TABLES[name][0]).schema
+        ids: list[int] = []
+
+        def make(version: Version) -> dict[str, Change]:
+            last = self.table(name, version).agg(F.max("id")).first()[0] or 0
+            ids[:] = [last + 1 + k for k in range(len(rows))]
+            return {name: Change(self.spark.createDataFrame([tuple({**dict.fromkeys(fields.names), **row, "id": i}[n] for n in fields.names) for i, row in zip(ids, rows)], fields).coalesce(1))}
+
+        self.snapshots.transact(make)
+        return ids
+
+    def _changed(self, name: str, make: Callable[[DataFrame], DataFrame]) -> None:
+        """Write the rows that make(table) gives instead of those of the same id: their new form, or a new entry."""
+
+        def change(version: Version) -> dict[str, Change]:
+            rows = materialize(make(self.table(name, version)), "changed")
+            return {name: Change(rows, rows.select("id"))}
+
+        self.snapshots.transact(change)
 
     def _claims(self) -> DataFrame:
         """The claims with the pointers that successes give them."""
@@ -127,15 +153,19 @@ class Engine:
     def record_decision(self, topic: str, choice: str, reasoning: str, now: int, **more) -> int:
         if not topic:
             raise ValueError("a decision needs a topic")
-        return self._append("decisions", schema.DECISIONS, [{"topic": topic, "choice": choice, "reasoning": reasoning, "recorded_at": now} | more])[0]
+        return self._append("decisions", [{"topic": topic, "choice": choice, "reasoning": reasoning, "recorded_at": now} | more])[0]
 
     def supersede_decision(self, id: int, choice: str, reasoning: str, now: int) -> int:
-        rows = self.decisions
-        if not rows.where((F.col("id") == id) & F.col("superseded_by").isNull()).count():
-            raise ValueError("no such decision, or it is superseded")
-        new_id = rows.agg(F.max("id")).first()[0] + 1
-        self.snapshots.commit(decisions=ledger.supersede(rows, id, new_id, choice, reasoning, now).select(rows.columns))
-        return new_id
+        new: list[int] = []
+
+        def make(rows: DataFrame) -> DataFrame:
+            if not rows.where((F.col("id") == id) & F.col("superseded_by").isNull()).count():
+                raise ValueError("no such decision, or it is superseded")
+            new[:] = [rows.agg(F.max("id")).first()[0] + 1]
+            return ledger.supersede(rows.where(F.col("id") == id), id, new[0], choice, reasoning, now).select(rows.columns)
+
+        self._changed("decisions", make)
+        return new[0]
 
     def get_decisions(self, topic: str | None = None, since: int = 0, limit: int = 0) -> DataFrame:
         size = F.octet_length("topic") + F.octet_length("choice") + F.octet_length(F.coalesce("reasoning", F.lit("")))
@@ -153,7 +183,7 @@ class Engine:
         """more: further columns of a claim; a path is kept with forward slashes and in NFC."""
         if more.get("file_path"):
             more["file_path"] = unicodedata.normalize("NFC", more["file_path"].replace("\\", "/"))
-        return self._append("claims", schema.CLAIMS, [{"claim": claim, "evidence": evidence, "verified": verified, "recorded_at": now, "session_id": ""} | more])[0]
+        return self._append("claims", [{"claim": claim, "evidence": evidence, "verified": verified, "recorded_at": now, "session_id": ""} | more])[0]
 
     def get_claim(self, id: int) -> DataFrame:
         found = self._claims().where(F.col("id") == id)
@@ -170,23 +200,40 @@ class Engine:
     def touch_claims(self, ids: list[int], now: int) -> None:
         """These claims were checked now; an id that no claim has is an error, and nothing changes."""
         wanted = self.spark.createDataFrame([(i,) for i in ids], "id bigint")
-        gone = [r[0] for r in ledger.missing(self.claims, wanted).orderBy("id").limit(5).collect()]
-        if gone:
-            raise KeyError(f"no claim {gone}")
-        self.snapshots.commit(claims=ledger.touch(self.claims, wanted, now))
+
+        def make(claims: DataFrame) -> DataFrame:
+            gone = [r[0] for r in ledger.missing(claims, wanted).orderBy("id").limit(5).collect()]
+            if gone:
+                raise KeyError(f"no claim {gone}")
+            return ledger.touch(claims.join(wanted, "id", "left_semi"), wanted, now)
+
+        self._changed("claims", make)
+
+    def _removed(self, kept: Callable[[DataFrame], DataFrame]) -> None:
+        """Take the claims away that kept(claims) leaves out: only their ids are written."""
+
+        def change(version: Version) -> dict[str, Change]:
+            claims = self.table("claims", version)
+            return {"claims": Change(gone=claims.select("id").join(kept(claims).select("id"), "id", "left_anti"))}
+
+        if "claims" in self.snapshots.version():
+            self.snapshots.transact(change)
 
     def purge_claims(self, before: int) -> None:
-        kept = ledger.purge(self._claims(), before).select("id")
-        self.snapshots.commit(claims=self.claims.join(kept, "id", "left_semi"))
+        self._removed(lambda claims: ledger.purge(ledger.supersede_claims(claims.drop("superseded_by")), before))
 
     def migrate(self) -> None:
         """Drop what older versions recorded about edits that they had refused."""
-        self.snapshots.commit(claims=ledger.drop_refused(self.claims))
+        self._removed(ledger.drop_refused)
 
     def resolve_claim(self, id: int, note: str = "") -> None:
-        if not self.claims.where(F.col("id") == id).count():
-            raise ValueError("no such claim")
-        self.snapshots.commit(claims=ledger.resolve(self.claims, id, note))
+        def make(claims: DataFrame) -> DataFrame:
+            found = claims.where(F.col("id") == id)
+            if found.isEmpty():
+                raise ValueError("no such claim")
+            return ledger.resolve(found, id, note)
+
+        self._changed("claims", make)
 
     def truth_history(self, path: str, limit: int = schema.HISTORY_ROWS) -> DataFrame:
         return ledger.truth_history(self.decisions, path, limit)
@@ -211,23 +258,28 @@ class Engine:
     def session_stop(self, session: str) -> DataFrame:
         return ledger.session_summary(self._claims().where(F.col("session_id") == session))
 
-    def post_edit(self, edits: DataFrame, root: str, now: int, verify: Callable[[str], tuple[bool, str, str | None]] | None = None, verb: str = "verify", noise: tuple[str, ...] = (), evidence_prefix: str = "") -> DataFrame:
+    def post_edit(self, edits: DataFrame, root: str, now: int, verify: Callable[[str], tuple[bool, str, str | None]] | None = None, verb: str = "verify", noise: tuple[str, ...] = (), epoch: tuple[str, int] | None = None) -> DataFrame:
         """Index a batch of edits, verify the project once, record a claim for each edit; returns the claims.
 
         edits: id (their order), session_id, tool, path, content. verify: root to (passed, output, exit error); without
         one nothing runs. Files, symbols and claims change in one commit; a success clears earlier failures when read.
+        epoch: a stream and its batch's number, committed along; store.Replayed is raised if it was before.
         """
-        files, symbols, events = postedit.apply_edits(edits, self.files, self.symbols, root, now)
+        rows, fresh, events = postedit.edited(materialize(edits, "edits"), root, now)
+        rows, fresh = materialize(rows, "files"), materialize(fresh, "symbols")
         passed, output, error = verify(root) if verify else (None, "", None)
-        based_on = self.snapshots.versions()
-        last = self.claims.agg(F.max("id")).first()[0] or 0
-        order = Window.orderBy("id")
-        claims = postedit.claims_of(events, verb, verify is not None, passed, output, error, now, noise)
-        claims = claims.withColumn("evidence", F.concat(F.lit(evidence_prefix), "evidence"))
-        claims = claims.withColumn("id", F.lit(last).cast("bigint") + F.row_number().over(order)).withColumn("file_path", normalize_path("file_path"))
-        claims = materialize(claims.select(*self.spark.createDataFrame([], schema.CLAIMS).columns), "claims")
-        self.snapshots.commit(based_on, ("claims",), files=files, symbols=symbols, claims=claims)
-        return claims
+        told = postedit.claims_of(events, verb, verify is not None, passed, output, error, now, noise)
+        told = numbered(told.withColumn("file_path", normalize_path("file_path")), ["id"], "__n")
+        claims: list[DataFrame] = []
+
+        def make(version: Version) -> dict[str, Change]:
+            last = self.table("claims", version).agg(F.max("id")).first()[0] or 0
+            new = told.withColumn("id", F.lit(last).cast("bigint") + F.col("__n"))
+            claims[:] = [new.select([c.split()[0] for c in schema.CLAIMS.split(", ")])]
+            return self._replaced(rows, fresh) | {"claims": Change(claims[0])}
+
+        self.snapshots.transact(make, epoch)
+        return claims[0]
 
     # facts and stories
 

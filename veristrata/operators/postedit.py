@@ -41,12 +41,14 @@ def message(path: Column, index_error: Column, verb: str, ran: bool, passed: boo
     return F.nullif(F.concat_ws("; ", bad_index, bad_run), F.lit(""))
 
 
-def apply_edits(edits: DataFrame, files: DataFrame, symbols: DataFrame, root: str, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(files, symbols, events): both tables after these edits, and the edits with path (relative to root) and index_error.
+def edited(edits: DataFrame, root: str, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of files, rows of symbols, events) of these edits: what takes the place of all rows of the files' paths.
 
     edits: id, session_id, tool, path, content (the file as it is now; null if the edit did not land). Paths out of root and
     edits that did not land give no event. Of several edits of one path in a batch the last one (by id) is indexed;
-    files of no known kind are not indexed, which is no error.
+    files of no known kind are not indexed, which is no error. A file that does not parse has a row, with its new hash,
+    and no symbols: so it is not parsed again until it changes, and no symbol of its old text stays. events are the
+    edits with path (relative to root) and index_error.
     """
     base = root.rstrip("/") + "/"
     inside = edits.withColumn("__abs", contained(F.col("path"), root)).where("__abs IS NOT NULL AND content IS NOT NULL")
@@ -54,10 +56,19 @@ def apply_edits(edits: DataFrame, files: DataFrame, symbols: DataFrame, root: st
     last = inside.groupBy("path").agg(F.max_by("content", "id").alias("text")).withColumn("language", language_of(F.col("path"))).where("language IS NOT NULL")
     parsed = ex.extract(last.select("path", "language", "text"))
     errors = parsed.where("error IS NOT NULL").groupBy("path").agg(F.min("error").alias("index_error"))
-    good = last.join(errors, "path", "left_anti")
-    rows = good.select("path", F.sha2("text", 256).alias("hash"), "language", F.octet_length("text").cast("bigint").alias("size_bytes"), F.lit(now).cast("bigint").alias("indexed_at"))
+    rows = last.select("path", F.sha2("text", 256).alias("hash"), "language", F.octet_length("text").cast("bigint").alias("size_bytes"), F.lit(now).cast("bigint").alias("indexed_at"))
+    return rows, symbols_of(parsed.join(errors.select("path"), "path", "left_anti")), inside.join(errors, "path", "left").drop("content")
+
+
+def symbols_of(parsed: DataFrame) -> DataFrame:
+    """Rows of the symbol table from extracted ones, each with its parent; rows with an error are left out."""
     fresh = parsed.where("error IS NULL").select(
         F.xxhash64("path", "ord").alias("id"), F.col("path").alias("file_path"), "name", "qualified_name", "kind", "signature", "start_line", "end_line", "exported"
     )
-    fresh = index.with_parents(fresh).select(symbols.columns)
-    return index.upsert_files(files, rows).select(files.columns), index.replace_symbols(symbols, fresh, rows), inside.join(errors, "path", "left").drop("content")
+    return index.with_parents(fresh).select([c.split()[0] for c in schema.SYMBOLS.split(", ")])
+
+
+def apply_edits(edits: DataFrame, files: DataFrame, symbols: DataFrame, root: str, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, symbols, events): both tables after these edits, and edited()'s events."""
+    rows, fresh, events = edited(edits, root, now)
+    return index.upsert_files(files, rows).select(files.columns), index.replace_symbols(symbols, fresh.select(symbols.columns), rows), events

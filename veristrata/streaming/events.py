@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import guard
 from ..sources.trees import decode_events
+from ..store import Replayed
 
 TOKEN_SECONDS = 300
 
@@ -136,18 +137,24 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint
     return stream.sparkSession.table(name)
 
 
-def post_edits(engine, root: str, clock: Callable[[], int], verify: Callable[[str], tuple] | None = None) -> Callable[[DataFrame, int], None]:
+def post_edits(engine, root: str, clock: Callable[[], int], verify: Callable[[str], tuple] | None = None, stream: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that indexes a micro-batch's edits, verifies once, and records their claims.
 
-    Batches: id, session_id, tool, path, content. A batch that is run again after a failure records no claim twice: claims of
-    an epoch carry its number, and an epoch that has any is skipped.
+    Batches: id, session_id, tool, path, content. Exactly once: the store keeps each stream's last epoch in the pointer
+    that shows the batch's rows, so a batch that is run again after a failure changes nothing, whatever other streams
+    did meanwhile. stream: its name; by default the query's id, which a checkpoint keeps over restarts.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        mark = f"epoch {epoch}: "
-        if not engine.claims.where(F.startswith("evidence", F.lit(mark))).isEmpty():
+        name = stream or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not name:
+            raise ValueError("a stream outside a query needs a name")
+        if engine.snapshots.version().epochs.get(name, -1) >= epoch:
             return
-        engine.post_edit(batch, root, clock(), verify, evidence_prefix=mark)
+        try:
+            engine.post_edit(batch, root, clock(), verify, epoch=(name, epoch))
+        except Replayed:
+            pass
 
     return run
 

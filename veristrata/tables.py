@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,3 +64,18 @@ def replace_file(spark: SparkSession, fs, source, target) -> None:
     how = spark.sparkContext._gateway.new_array(rename, 1)
     how[0] = rename.OVERWRITE
     spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(source, target, how)
+
+
+def numbered(df: DataFrame, order: list[str], name: str, first: int = 1) -> DataFrame:
+    """df as a table with `name`: first, first + 1, ... by `order`. Sorted by ranges; only a count of each range's rows reaches the driver."""
+    mark = spare(df, "__mark")
+    rows = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(mark, F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright(mark, 33), F.col(mark).bitwiseAND(F.lit((1 << 33) - 1))
+    before, total = {}, first
+    for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():
+        before[r["part"]] = total
+        total += r["count"]
+    if not before:
+        return rows.withColumn(name, F.lit(None).cast("bigint")).drop(mark)
+    starts = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)])
+    return rows.withColumn(name, (place + F.element_at(starts, part)).cast("bigint")).drop(mark)
