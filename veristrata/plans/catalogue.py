@@ -689,21 +689,31 @@ DUCK["v_edits"] = "SELECT id, 's'||(id % 7) AS session_id, CASE WHEN id % 2 = 0
 
 
 def edited(spark, d):
-    none = spark.createDataFrame([], schema.FILES), spark.createDataFrame([], schema.SYMBOLS)
-    return postedit.apply_edits(edits(spark, d), *none, "/work/p", NOW)
+    """The tables after the edits. Before them the index knows every third file, by an older text with a symbol, and one that no edit reaches."""
+    e = edits(spark, d)
+    old = e.where("id % 3 = 0").selectExpr("concat('pkg/m', id, '.py') AS path").union(spark.range(1).selectExpr("'pkg/other.py'"))
+    files = old.select("path", F.lit("old").alias("hash"), F.lit("python").alias("language"), F.lit(7).cast("bigint").alias("size_bytes"), F.lit(1).cast("bigint").alias("indexed_at"))
+    symbols = old.select(F.xxhash64("path").alias("id"), F.col("path").alias("file_path"), F.lit("older").alias("name"), F.lit("older").alias("qualified_name"), F.lit("function").alias("kind"), F.lit("").alias("signature"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(True).alias("exported"), F.lit(None).cast("bigint").alias("parent_id"))
+    return postedit.apply_edits(e, files, symbols, "/work/p", NOW)
 
 
-@query("SELECT path, 'class' AS of, 'C'||id AS name, CAST(NULL AS VARCHAR) AS parent FROM v_edits WHERE NOT broken UNION ALL SELECT path, 'method', 'run', 'C'||id FROM v_edits WHERE NOT broken")
+# files that were known before the edits: their old rows stay only where no edit reached them
+DUCK["v_before"] = "SELECT 'pkg/m'||id||'.py' AS path FROM v_symbols WHERE id % 3 = 0 UNION ALL SELECT 'pkg/other.py'"
+
+
+@query("SELECT path, 'class' AS of, 'C'||id AS name, CAST(NULL AS VARCHAR) AS parent FROM v_edits WHERE NOT broken UNION ALL SELECT path, 'method', 'run', 'C'||id FROM v_edits WHERE NOT broken UNION ALL SELECT path, 'function', 'older', NULL FROM v_before WHERE path NOT IN (SELECT path FROM v_edits)")
 def post_edit_symbols(spark, d):
-    """Symbols after the edits, each with its parent's name."""
+    """Symbols after the edits, each with its parent's name: a file that no longer parses has none, not its older ones."""
     _, s, _ = edited(spark, d)
     up = s.select(F.col("id").alias("pid"), F.col("name").alias("parent"))
-    return s.join(up, s.parent_id == up.pid, "left").select(F.col("file_path").alias("path"), F.when(F.col("name") == "run", "method").otherwise("class").alias("of"), "name", "parent")
+    of = F.when(F.col("name") == "run", "method").when(F.col("name") == "older", "function").otherwise("class")
+    return s.join(up, s.parent_id == up.pid, "left").select(F.col("file_path").alias("path"), of.alias("of"), "name", "parent")
 
 
-@query("SELECT path, size_bytes FROM (SELECT path, strlen('class C'||id||':'||chr(10)||'    def run(self): pass'||chr(10)) AS size_bytes FROM v_edits WHERE NOT broken)")
+@query("SELECT path, CAST(strlen(body) AS BIGINT) AS size_bytes, sha256(body) AS hash FROM (SELECT path, CASE WHEN broken THEN 'def (' ELSE 'class C'||id||':'||chr(10)||'    def run(self): pass'||chr(10) END AS body FROM v_edits) UNION ALL SELECT path, 7, 'old' FROM v_before WHERE path NOT IN (SELECT path FROM v_edits)")
 def post_edit_files(spark, d):
-    return edited(spark, d)[0].select("path", "size_bytes")
+    """Files after the edits: one that no longer parses has its new hash, so that it is not parsed again until it changes."""
+    return edited(spark, d)[0].select("path", "size_bytes", "hash")
 
 
 @query("""SELECT id, session_id, 'tool='||tool||' file='||path||'; index='||CASE WHEN broken THEN 'failed' ELSE 'ok' END||'; ruff check=failed' AS claim, NOT broken AS index_ok, false AS verified, false AS vet_ok, 'pkg/m1.py:1: bad' AS vet_error_summary FROM v_edits""")

@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 
     The table lies on storage that outlives executors, so a later stage never recomputes what led to it. discard()
@@ -30,7 +30,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     jpath, fs = filesystem(spark, path)
     fs.deleteOnExit(jpath)
     out = spark.read.schema(df.schema).parquet(path)
