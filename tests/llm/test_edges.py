@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, extra columns with clashing names."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -166,10 +167,15 @@ def test_url_query_with_links_equals_its_sql(spark, tmp_path):
     from veristrata.llm.oracle import SQL
     from veristrata.llm.queries import QUERIES
 
-    rng = random.Random(7)
+    rng = random.Random(13)
     hosts = ["a.net", "b.com", "example.com", "www.example.net", "c.org", "d.io", "E.io"]
     urls = [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}/{rng.choice(['', 'de/', 'en/', 'fr/'])}{i}{rng.choice(['', '?q=1', '#f'])}" for i in range(300)]
-    tag = lambda dst: rng.choice([f'<link rel="canonical" href="{dst}">', f"<LINK href='{dst}' REL=canonical>", f'<meta http-equiv="refresh" content="0; url={dst}">'])
+    wrap = ["{}", "{}", "<!-- {} -->", "<script>'{}'</script>", "<title>{}</title>", "<script></script>{}<!-- -->"]
+    tags = [
+        '<link rel="canonical" href="{}">', "<LINK href='{}' REL=canonical>", '<meta http-equiv="refresh" content="0; url={}">', '<link rel="nofollow  CANONICAL" href=" {} ">', '<link data-rel="canonical" href="{}">',
+        '<link title="a>b" rel=canonical href="{}&amp;x=&#49;">', "<meta content='5;URL=\"{}\"' http-equiv=Refresh>", '<link rel="canonical" rel="none" href="{}">', '<link rel="alternate" href="{}">', '<link rel=canonical href="../x/./{}">',
+    ]
+    tag = lambda dst: rng.choice(wrap).format(rng.choice(tags).format(rng.choice([dst, dst, dst, "/de/y", "//a.net/z", "?q=2", "mailto:x", "."])))
     html = [f"<html><head><link rel=stylesheet href=http://a.net/s>{tag(rng.choice(urls))}</head>x</html>" if rng.random() < 0.6 else "<p>none</p>" for _ in urls]
     rows = [*zip(range(300), urls, html), (900, None, None), (901, "no address", tag("http://a.net/")), (902, urls[0], None)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
@@ -187,6 +193,48 @@ def test_html_links(spark):
     assert sorted(r.dst for r in got) == ["http://a/b", "http://c/d"]
 
 
+def test_html_links_are_those_of_a_parser(spark):
+    """Comments, scripts, entities, lists of rel values, quoted ends of tags, repeated and prefixed attributes: the edges that a parser of HTML finds."""
+    from html.parser import HTMLParser
+
+    class Edges(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found, self.inside = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag in ("template", "title", "textarea")
+            first = {}
+            for k, v in attrs:
+                first.setdefault(k, v or "")
+            if self.inside:
+                return
+            if tag == "link" and "canonical" in first.get("rel", "").lower().split():
+                self.found.append(first.get("href", "").strip())
+            if tag == "meta" and first.get("http-equiv", "").lower() == "refresh" and (m := re.match(r"(?is)[^;,]*[;,]\s*url\s*=\s*['\"]?([^'\"]*)", first.get("content", ""))):
+                self.found.append(m[1].strip())
+
+        def handle_endtag(self, tag):
+            self.inside -= tag in ("template", "title", "textarea")
+
+    good = '<link rel="canonical" href="http://h/{}">'
+    pages = [
+        good.format("plain"), "<!-- " + good.format("c") + " -->" + good.format("after"), "<script>var x = '" + good.format("s") + "';</script>", "<SCRIPT src='a>b'>" + good.format("s") + "</SCRIPT >" + good.format("t"), '<link data-rel="canonical" href="http://h/d">',
+        '<link rel="nofollow canonical" href="http://h/two">', '<link rel="canonicals" href="http://h/no">', '<link rel="canonical" href="http://h/?a=1&amp;b=2&#38;c=&#x26;d=&lt;&quot;">', '<link href="http://h/first" href="http://h/second" rel=canonical>', "<link title='>' rel='canonical' href='http://h/quoted'>",
+        '<meta http-equiv="refresh" content="0;url=http://h/m">', '<meta http-equiv=Refresh content="3, URL=\'http://h/n\'">', '<meta name="refresh" content="0;url=http://h/no">', "<style>" + good.format("y") + "</style>", "<title>" + good.format("ti") + "</title>", "<template>" + good.format("te") + "</template>",
+        "<!-- never closed " + good.format("u"), "<textarea>" + good.format("ta") + "</textarea>" + good.format("tb"), "", "<link rel=canonical>", "<link" + " a" * 5000 + ' b="1"' * 300 + " rel=canonical href=http://h/long>", "<script>" + '"<' * 50_000, "<links rel=canonical href=http://h/no>", "<link rel=canonical href=&#0;&#xd800;&bogus;x>",
+    ]
+    df = spark.createDataFrame([(f"http://p/{k}", p) for k, p in enumerate(pages)], "url string, html string")
+    got = {}
+    for r in urlfilter.html_links(df).collect():
+        got.setdefault(int(r.src.rsplit("/", 1)[1]), []).append(r.dst)
+    for k, p in enumerate(pages[:-1]):
+        parser = Edges()
+        parser.feed(p)
+        want = [x for x in parser.found if x] if "never closed" not in p else []
+        assert got.get(k, []) == want, p[:80]
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 260)] + [(7, 7), (None, 3)]
@@ -519,7 +567,7 @@ def test_langid(spark, odd, none):
     assert {r.doc_id: r.lang_pred for r in got}[1] == "und" and {r.doc_id: r.lang_pred for r in got}[5] == "und"
     mixed = spark.createDataFrame([(1, texts[0] + texts[1] + texts[1])], "doc_id long, text string")
     assert langid.predict(mixed, model).first().lang_pred == "de"
-    assert langid.predict(none, model).count() == 0 and langid.fit(none.withColumn("lang", F.lit("x"))).languages == []
+    assert langid.predict(none, model).count() == 0 and langid.fit(none.withColumn("lang", F.lit("x"))).languages == [] and langid.keep_known(none, langid.fit(none.withColumn("lang", F.lit("x"))), 0.3).count() == 0
     assert langid.predict(odd, langid.train([], [])).where("lang_pred <> 'und'").count() == 0
 
 
@@ -649,3 +697,16 @@ def test_shared_folder_must_be_named_on_a_cluster(spark):
     fake = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(getConf=lambda: none, master="spark://host:7077", setCheckpointDir=None))
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(fake)
+
+
+def test_languages_of_long_labelled_texts(spark):
+    """Texts over the length that is learned from are learned from by their beginning; a corpus without labels is an error where texts would go."""
+    long = spark.createDataFrame([(k, f"{w} " * 7000, lang) for k in range(1, 13) for w, lang in (("hello the", "en") if k % 2 else ("bonjour le", "fr"),)], "doc_id long, text string, lang string")
+    model = langid.fit(long)
+    assert model.languages == ["en", "fr"]
+    assert {r.doc_id: r.lang_pred for r in langid.predict(long, model).collect()} == {k: "en" if k % 2 else "fr" for k in range(1, 13)}
+    assert langid.keep_known(long, model, 0.3).count() == 12
+    bare = langid.fit(long.withColumn("lang", F.lit(None).cast("string")))
+    assert bare.languages == [] and langid.keep_known(long.withColumn("text", F.lit("1 2")), bare, 0.3).count() == 0
+    with pytest.raises(ValueError, match="language"):
+        langid.keep_known(long, bare, 0.3)

@@ -229,13 +229,14 @@ def held_out(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, sample_docs: int = 1000, sample_chars: int = 20_000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Train on at most sample_docs labelled rows of at most sample_chars characters that are not held out.
+    """Train on at most sample_docs labelled rows that are not held out, and on the first sample_chars characters of each.
 
     They are those of least hashed key, over all rows; of rows that repeat a key one counts, the least. The keys are
-    picked without reading texts, from the few whose hash is under a bound; longer texts are not used. So what
-    reaches the driver is bounded by the two parameters, however often a key repeats.
+    picked without reading texts, from the few whose hash is under a bound, among rows whose text is not null. So what
+    reaches the driver is bounded by the two parameters, however often a key repeats. Without any such row the model
+    has no language.
     """
-    usable = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
+    usable = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
     hashed = usable.select(F.col(key).alias("__id"), (F.xxhash64(F.col(key)) / F.lit(2.0**64) + 0.5).alias("__h"))
     share, rows = min(1.0, 4 * sample_docs / max(1, usable.count())), 0
     while True:
@@ -244,8 +245,8 @@ def fit(docs: DataFrame, sample_docs: int = 1000, sample_chars: int = 20_000, ke
         if rows >= sample_docs or share >= 1:
             break
         share = min(1.0, share * 8)
-    told = usable.where(F.col(text).isNotNull() & (F.length(text) <= sample_chars)).join(F.broadcast(ids.select("__id")), F.col(key) == F.col("__id"), "left_semi")
-    one = told.groupBy(F.col(key).alias("__k")).agg(F.min(F.struct(F.col(lang).alias("l"), F.col(text).alias("t"))).alias("x"))
+    told = usable.join(F.broadcast(ids.select("__id")), F.col(key) == F.col("__id"), "left_semi")
+    one = told.groupBy(F.col(key).alias("__k")).agg(F.min(F.struct(F.col(lang).alias("l"), F.substring(text, 1, sample_chars).alias("t"))).alias("x"))
     found = sorted(((r[0], r[1], r[2]) for r in one.select("__k", "x.t", "x.l").collect()), key=lambda r: str(r[0]))
     return train([r[1] for r in found], [r[2] for r in found])
 
@@ -272,9 +273,12 @@ def judge(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
 def keep_known(docs: DataFrame, model: Model, min_score: float, text: str = "text") -> DataFrame:
     """docs' rows, all columns, without those whose language is und or has a score under min_score. No join, no shuffle.
 
-    So null and empty texts and texts without a letter go, and all texts if the model has no language. Rows that repeat
-    stay repeated, null keys do not matter, columns may have any names but must not repeat one.
+    So null and empty texts and texts without a letter go. A model without a language cannot judge a text that has
+    letters: that is an error, not an empty result. Rows that repeat stay repeated, null keys do not matter, columns may
+    have any names but must not repeat one.
     """
+    if not model.languages and not docs.where(F.col(text).rlike(r"\p{L}")).isEmpty():
+        raise ValueError("no labelled text was there to learn a language from")
     at = docs.columns.index(text)
 
     def run(batches):

@@ -6,6 +6,7 @@ op1, op3, op4, op7, op8, op10 and op13 have none: tests hold them against brute
 from __future__ import annotations
 
 from .queries import MIX_SEED, MIX_WEIGHTS, URL_RULES
+from .urlfilter import ENTITIES, RAW
 
 _OP2 = r"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
@@ -41,23 +42,53 @@ def _node(url: str) -> str:
     return f"CASE WHEN {host} <> '' THEN regexp_replace({host}, ':(80|443)$', '') || CASE {path} WHEN '' THEN '/' ELSE {path} END || {query} END"
 
 
+def _resolved(base: str, ref: str) -> str:
+    """The address that ref names on a page at base; null for other schemes and where base is not absolute."""
+    site, scheme = f"regexp_extract({base}, '^[^:/?#]+://[^/?#]*')", f"regexp_extract({base}, '^([^:/?#]+):', 1)"
+    path, own, tail = f"regexp_extract({base}, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)", f"regexp_extract({ref}, '^[^?#]*')", f"regexp_extract({ref}, '(?s)^[^?#]*(.*)$', 1)"
+    joined = f"CASE WHEN {own} = '' THEN {path} WHEN starts_with({own}, '/') THEN {own} ELSE regexp_replace({path}, '[^/]*$', '') || {own} END"
+    kept = f"list_reduce(list_prepend('', list_filter(string_split({joined}, '/'), lambda x: x <> '')), lambda a, x: CASE x WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '/?[^/]*$', '') ELSE a || '/' || x END)"
+    dotted = f"CASE {kept} WHEN '' THEN '/' ELSE {kept} || CASE WHEN regexp_matches({joined}, '(^|/)\\.{{0,2}}$') THEN '/' ELSE '' END END"
+    within = f"{site} || CASE WHEN regexp_matches({joined}, '(^|/)\\.{{1,2}}(/|$)') THEN {dotted} WHEN regexp_matches({joined}, '^[^/]') THEN '/' || {joined} ELSE {joined} END || {tail}"
+    return f"CASE WHEN regexp_matches({ref}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {ref} WHEN regexp_matches({ref}, '^[A-Za-z][A-Za-z0-9+.-]*:') OR {site} = '' THEN NULL WHEN starts_with({ref}, '//') THEN {scheme} || ':' || {ref} ELSE {within} END"
+
+
 def _op5() -> str:
     h, p = _host_path("url")
     a, b = _host_path("u")
-    canonical = r"""'(?is)\brel\s*=\s*["'']?canonical\b'"""
+    in_tag = """(?:[^>"\'\']|"[^"]*"|\'\'[^\'\']*\'\')*>"""
+    no_page = "|".join(["<!--.*?(?:-->|\\z)", *(rf"<{x}\b{in_tag}.*?(?:</{x}\b[^>]*>|\z)" for x in RAW)])
+    pair = """([^\\s"\'\'<>/=]+)\\s*=\\s*("[^"]*"|\'\'[^\'\']*\'\'|[^\\s"\'\'>]+)"""
+    entity = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos);"
+    number = "CASE WHEN starts_with(lower(z[2]), '&#x') THEN CAST('0x' || z[2][4:-2] AS BIGINT) ELSE CAST(z[2][3:-2] AS BIGINT) END"
+    named = " ".join(f"WHEN z[2] = '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in ENTITIES.items())
+    character = f"CASE WHEN z[2] IS NULL THEN '' {named} WHEN ({number}) BETWEEN 1 AND 55295 OR ({number}) BETWEEN 57344 AND 1114111 THEN chr(CAST({number} AS INTEGER)) ELSE z[2] END"
+
+    def value(name: str) -> str:
+        """The first value that the tag gives an attribute, without quotes."""
+        found = f"list_filter(list_zip(regexp_extract_all(tag, '{pair}', 1), regexp_extract_all(tag, '{pair}', 2)), lambda x: lower(x[1]) = '{name}')[1][2]"
+        return f"CASE WHEN regexp_matches({found}, '^[\"'']') THEN {found}[2:-2] ELSE {found} END AS {name.replace('-', '_')}"
+
+    def decoded(c: str) -> str:
+        """What stands between entities, joined with what they stand for."""
+        return f"trim(array_to_string(list_transform(list_zip(string_split_regex({c}, '{entity}'), regexp_extract_all({c}, '{entity}')), lambda z: z[1] || {character}), ''), ' ' || chr(9) || chr(10) || chr(13) || chr(12))"
+
+    raw = ", ".join(map(value, ("rel", "href", "http-equiv", "content")))
+    told = f"regexp_extract({decoded('content')}, '(?is)^[^;,]*[;,]\\s*url\\s*=\\s*(.*)$', 1)"
     return rf"""
 WITH RECURSIVE p AS (SELECT page_id, coalesce({h}, '') AS host, coalesce({p}, '') AS path, url, html FROM pages),
 q AS (SELECT page_id, host, path, {_rule("rule")} AS rule, {_rule("verdict")} AS own, {_node("url")} AS node FROM p),
-t AS (SELECT url AS src, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
-d AS (SELECT src, CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, {canonical}) THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-   WHEN regexp_matches(tag, '(?is)^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*[''"]?([^"''\s>;]+)', 1) END AS dst FROM t),
-l AS (SELECT src, dst FROM d WHERE instr(dst, '://') > 0),
+t AS (SELECT url AS src, unnest(regexp_extract_all(regexp_replace(html, '(?is){no_page}', ' ', 'g'), '(?is)<(?:link|meta)\b{in_tag}')) AS tag FROM pages WHERE url IS NOT NULL),
+v AS (SELECT src, lower(tag[2:5]) AS kind, {raw} FROM t),
+d AS (SELECT src, CASE WHEN kind = 'link' AND list_contains(string_split_regex(lower({decoded("rel")}), '\s+'), 'canonical') THEN {decoded("href")}
+   WHEN kind = 'meta' AND lower({decoded("http_equiv")}) = 'refresh' THEN CASE WHEN regexp_matches({told}, '^["'']') THEN regexp_extract({told}, '(?s)^["'']([^"'']*)', 1) ELSE trim({told}) END END AS ref FROM v),
+l AS (SELECT * FROM (SELECT src, {_resolved("src", "ref")} AS dst FROM d WHERE ref <> '') WHERE dst IS NOT NULL),
 e AS (SELECT {_node("src")} AS u, {_node("dst")} AS v FROM l),
-s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+s AS (SELECT u, v FROM e WHERE u IS NOT NULL AND v IS NOT NULL UNION SELECT v, u FROM e WHERE u IS NOT NULL AND v IS NOT NULL),
 reach AS (SELECT u AS node, u AS root FROM s UNION SELECT s.v, reach.root FROM reach JOIN s ON s.u = reach.node),
 comp AS (SELECT node, min(root) AS component FROM reach GROUP BY 1),
 named AS (SELECT DISTINCT u FROM (SELECT src AS u FROM l UNION ALL SELECT dst FROM l)),
-known AS (SELECT node, own FROM q WHERE node IS NOT NULL UNION ALL SELECT node, {_rule("verdict")} FROM (SELECT {_node("u")} AS node, {a} AS host, {b} AS path FROM named)),
+known AS (SELECT node, own FROM q WHERE node IS NOT NULL UNION ALL SELECT node, {_rule("verdict")} FROM (SELECT {_node("u")} AS node, {a} AS host, {b} AS path FROM named) WHERE node IS NOT NULL),
 verdicts AS (SELECT coalesce(component, known.node) AS c, coalesce(bool_or(own = 'block'), false) AND NOT coalesce(bool_or(own = 'allow'), false) AS blocked FROM known LEFT JOIN comp USING (node) GROUP BY 1)
 SELECT page_id, host, path, rule, CASE WHEN own IS NOT NULL THEN own WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM q LEFT JOIN comp USING (node) LEFT JOIN verdicts ON c = coalesce(component, q.node)
@@ -117,7 +148,7 @@ def _op11() -> str:
 WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
 h AS (SELECT *, {_crc32("name")} % 20 AS how FROM c),
 d AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE how WHEN 3 THEN [0, 1] ELSE [0] END) AS again FROM h WHERE how <> 0),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_replace(text, '[ 	-]+$', '') AS said FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS said FROM d),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
 f AS (SELECT *, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS extra FROM (SELECT *, CASE WHEN said = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM n)),
 w AS ({closed(start)} UNION ALL {closed(scan)}),

@@ -58,15 +58,57 @@ def resolve(base: str, ref: str) -> Column:
     return F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), ref).when(~ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), relative)
 
 
+#: Elements whose content is text, or is not part of the page.
+RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "template")
+#: What stands in a tag up to its end; quoted values may hold one. Java matches a group's repetitions by recursion, so they are bounded: 500 quoted values.
+_IN_TAG = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,1000}+>"
+_NO_PAGE = rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(RAW)})\b{_IN_TAG}.*?(?:</\1\b[^>]*>|\z)"
+_ATTRIBUTE = r"([^\s\"'<>/=]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos);"
+# The named entities that addresses hold.
+ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+
+
+def _character(entity: Column) -> Column:
+    """The character that an entity stands for; numbers beyond Unicode stand for themselves."""
+    named = F.try_element_at(F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv]), entity)
+    hexa = F.when(entity.rlike("^&#[xX]"), F.regexp_extract(entity, "([0-9a-fA-F]+);$", 1)).otherwise(F.conv(F.regexp_extract(entity, "([0-9]+);$", 1), 10, 16))
+    wide = F.lpad(hexa, 8, "0")
+    valid = ((wide > "00000000") & (F.upper(wide) < "0000D800")) | ((F.upper(wide) > "0000DFFF") & (F.upper(wide) <= "0010FFFF"))
+    return F.coalesce(named, F.when(valid, F.decode(F.unhex(wide), "UTF-32")), entity)
+
+
+def decoded(text: Column) -> Column:
+    """text with its entities as characters, each once."""
+    between, found = F.split(text, _ENTITY), F.regexp_extract_all(text, F.lit(_ENTITY), 0)
+    return F.array_join(F.flatten(F.zip_with(between, found, lambda t, e: F.array(t, F.coalesce(_character(e), F.lit(""))))), "")
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The first value that a tag gives an attribute, without quotes, decoded and without white space around it; null if it has none."""
+    pairs = F.arrays_zip(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 1).alias("n"), F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 2).alias("v"))
+    value = F.try_element_at(F.filter(pairs, lambda p: F.lower(p["n"]) == name), F.lit(1))["v"]
+    bare = F.when(value.rlike("^[\"']"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    return F.trim(decoded(bare), F.lit(" \t\n\r\f"))
+
+
 def html_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst): canonical links and meta-refresh redirects that a page's HTML names; relative addresses are resolved against its url."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1)
+    """(src, dst): canonical links and meta-refresh redirects that a page's HTML names.
+
+    Tags in comments, in scripts and in other elements whose content is no page (RAW) do not count; attributes are those
+    of a tag by name, the first of a name, with entities decoded; rel is a list of words. Relative addresses are resolved
+    against the page's url; null urls and null pages name nothing.
+    """
+    page = F.regexp_replace(html, _NO_PAGE, " ")
+    tags = F.regexp_extract_all(page, F.lit(rf"(?is)<(?:link|meta)\b{_IN_TAG}"), 0)
     tag = pages.where(F.col(url).isNotNull() & F.col(html).isNotNull()).select(F.col(url).alias("src"), F.explode(tags).alias("tag"))
-    canonical = F.regexp_extract("tag", r"(?is)^<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract("tag", r"(?is)^<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*['\"]?([^\"'\s>;]+)", 1)
-    dst = F.when(canonical != "", canonical).otherwise(refresh)
-    found = tag.select("src", dst.alias("dst")).where("dst <> ''")
-    return found.select("src", resolve("src", "dst").alias("dst")).where("dst IS NOT NULL")
+    found = tag.select("src", F.lower(F.substring("tag", 2, 4)).alias("of"), *(_attribute(F.col("tag"), n).alias(n.replace("-", "_")) for n in ("rel", "href", "http-equiv", "content")))
+    canonical = (F.col("of") == "link") & F.array_contains(F.split(F.lower("rel"), r"\s+"), "canonical")
+    refresh = (F.col("of") == "meta") & (F.lower("http_equiv") == "refresh")
+    told = F.regexp_extract("content", r"(?is)^[^;,]*[;,]\s*url\s*=\s*(.*)$", 1)
+    aim = F.when(told.rlike("^[\"']"), F.regexp_extract(told, "(?s)^[\"']([^\"']*)", 1)).otherwise(F.trim(told))
+    links = found.select("src", F.when(canonical, F.col("href")).when(refresh, aim).alias("dst")).where("dst <> ''")
+    return links.select("src", resolve("src", "dst").alias("dst")).where("dst IS NOT NULL")
 
 
 def judge(
