@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEEP, blocks, map_batches, mix, parts, same_spans, span_hash, text_column
+from .common import KEEP, blocks, map_batches, materialize, mix, parts, same_spans, span_hash, text_column
 
 #: Bytes of text whose distinct words are folded together, and the longest word whose boundaries fit the fold's 64 bits.
 GROUP_BYTES = 1 << 20
@@ -307,7 +307,7 @@ def encode(docs: DataFrame, voc: Vocabulary, key: str = "doc_id", text: str = "t
 
     Whole texts are cut into pieces of the pattern. A piece that is in the vocabulary is its own id; the distinct
     others of each group of texts (GROUP_BYTES, or one longer text) are folded once, where they are, and put back
-    by index: no shuffle, and memory for one group. Words are one word only if their bytes are equal. Words of more
+    by index: no shuffle, and memory for one group; the folded groups lie in a table between. Words are one word only if their bytes are equal. Words of more
     than LONG bytes are merged with a heap, as the fold keeps a word's boundaries in one number. decoded concatenates
     the binary pieces of the ids, in Spark. Null texts are empty, empty texts have no ids; rows repeat as in docs; an
     empty table gives an empty result.
@@ -424,6 +424,8 @@ def encode(docs: DataFrame, voc: Vocabulary, key: str = "doc_id", text: str = "t
     short = np.where(voc.lengths <= LONG, voc.lengths, 1)
     ends, inner = _literal(spark, (np.int64(1) << short) | 1), _literal(spark, ((np.int64(1) << short) - 1) & ~np.int64(1))
     masks = grouped.select("keys", *_GROUP, folded(F.col("full"), F.col("candidates"), ends, inner).alias("masks"))
+    # between the two passes lies a table: a stage then has one Python worker a task, which halves what workers hold
+    masks = materialize(masks, "folded", "zstd")
     out = map_batches(masks, join, f"k {key_type}, ids array<int>")
     if decode:
         out = out.select("k", "ids", decoded(F.col("ids"), voc, spark).alias("decoded"))
