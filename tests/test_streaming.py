@@ -91,3 +91,48 @@ def test_good_truth_files_stay(spark):
     for epoch in range(3):
         run(None, epoch)
     assert seen == [("a",), ("a",), ("b",)]
+
+
+def test_supersession_stream_equals_the_batch(spark, tmp_path):
+    """Rows in any order within the delay, over several batches: the least pointer of each id is the batch's; settled state goes."""
+    import random
+
+    from veristrata.operators import ledger
+    from veristrata.streaming import ledger as sl
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(1, 121):
+        verified = rng.random() < 0.25
+        rows.append((i, verified, rng.choice([True, False, None]) if not verified else rng.choice([True, None]), rng.choice(["a", "b", "", None, "c"]), 1000 + i + rng.choice([0, 0, 5])))
+    kind = "id bigint, verified boolean, vet_ok boolean, file_path string, recorded_at bigint"
+    batch = spark.createDataFrame([r if r[3] != "" else (*r[:3], None, r[4]) for r in rows], kind)
+    source = tmp_path / "in"
+    source.mkdir()
+    for k in range(4):
+        part = rows[30 * k : 30 * k + 30]
+        rng.shuffle(part)
+        write(source, f"{k}.jsonl", [dict(zip(("id", "verified", "vet_ok", "file_path", "recorded_at"), r)) for r in part])
+    raw = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).json(str(source))
+    out = st.drain(sl.supersession(raw, "60 seconds", 3), str(tmp_path / "out"), str(tmp_path / "c"))
+    got = {r.id: r.by for r in out.groupBy("id").agg({"superseded_by": "min"}).toDF("id", "by").collect()}
+    assert got == {r.id: r.superseded_by for r in ledger.supersede_claims(batch).where("superseded_by IS NOT NULL").collect()} and len(got) > 40
+
+
+def test_expiry_stream(spark, tmp_path):
+    from veristrata.streaming import ledger as sl
+
+    source, touched = tmp_path / "in", tmp_path / "touched"
+    source.mkdir()
+    touched.mkdir()
+    claim = lambda i, at, ttl=10, verified=True: {"id": i, "verified": verified, "recorded_at": at, "last_checked": None, "ttl": ttl}
+    write(source, "1.jsonl", [claim(1, 100), claim(2, 100), claim(3, 100, None), claim(4, 100, 10, False), claim(5, 100, 20)])
+    write(source, "2.jsonl", [claim(6, 121)])
+    write(touched, "1.jsonl", [{"id": 2, "at": 105}])
+    kinds = "id bigint, verified boolean, recorded_at bigint, last_checked bigint, ttl bigint", "id bigint, at bigint"
+    stream = lambda: sl.expiry(spark.readStream.schema(kinds[0]).option("maxFilesPerTrigger", 1).json(str(source)), spark.readStream.schema(kinds[1]).option("maxFilesPerTrigger", 1).json(str(touched)))
+    told = lambda: [tuple(r) for r in st.drain(stream(), str(tmp_path / "out"), str(tmp_path / "c")).orderBy("at", "id").collect()]
+    assert told() == [(1, True, 110), (2, True, 115), (5, True, 120)]
+    write(touched, "3.jsonl", [{"id": 1, "at": 125}])
+    write(source, "3.jsonl", [claim(7, 200)])
+    assert told()[3:] == [(1, False, 125), (6, True, 131), (1, True, 135)]

@@ -298,6 +298,39 @@ def claim_lines(spark, d):
     return ledger.claim_lines(views.claims(spark, d), NOW, 5)
 
 
+def streamed_claims(spark, d):
+    """The claims of views.claims() as a stream of events."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return views.claims_of(spark.readStream.schema(schema).parquet(f"{d}/events.parquet*"))
+
+
+def drained(spark, stream):
+    """What a stream gives for all that is there, through files of the shared folder."""
+    import uuid
+
+    from ..streaming import events as st
+    from ..tables import shared_dir
+
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    return st.drain(stream, f"{folder}/out", f"{folder}/checkpoint")
+
+
+@query("SELECT id, superseded_by FROM v_superseded WHERE superseded_by IS NOT NULL")
+def claim_supersession_stream(spark, d):
+    """The stream's pointers: the least of each claim's is the batch's."""
+    from ..streaming import ledger as sl
+
+    return drained(spark, sl.supersession(streamed_claims(spark, d), "1 hour")).groupBy("id").agg(F.min("superseded_by").alias("superseded_by"))
+
+
+@query("SELECT id, true AS stale, recorded_at + ttl AS at FROM v_claims WHERE verified AND ttl IS NOT NULL AND recorded_at + ttl < (SELECT max(recorded_at) FROM v_claims WHERE verified AND ttl IS NOT NULL)")
+def claim_expiry_stream(spark, d):
+    """Claims that timers found stale by the watermark: the time of the last claim that can expire."""
+    from ..streaming import ledger as sl
+
+    return drained(spark, sl.expiry(streamed_claims(spark, d)))
+
+
 @query("SELECT session_id, count(*) FILTER (vet_ok = false) AS n_failed, count(*) FILTER (vet_ok IS NULL) AS n_unverified, count(DISTINCT file_path) AS n_files FROM v_superseded WHERE NOT verified GROUP BY 1")
 def session_stop_summary(spark, d):
     return ledger.session_summary(claims(spark, d))

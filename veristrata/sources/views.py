@@ -32,8 +32,13 @@ def decision_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claims_of(_read(spark, sf_dir, "events"))
+
+
+def claims_of(events: DataFrame) -> DataFrame:
+    """Events, a table or a stream, as claims."""
     k = "cast(get_json_object(props, '$.k') AS bigint)"
-    return _read(spark, sf_dir, "events").selectExpr(
+    return events.selectExpr(
         "event_id AS id", "cast(user_id AS string) AS session_id", "event_type AS claim", "props AS evidence", "event_type NOT IN ('error', 'view') AS verified", "unix_seconds(cast(ts AS timestamp)) AS recorded_at",
         f"concat('src/f', {k}, '.py') AS file_path", "CASE event_type WHEN 'purchase' THEN true WHEN 'error' THEN false END AS vet_ok", f"CASE WHEN {k} % 3 = 0 THEN {k} * 3600 END AS ttl", "CASE WHEN event_type <> 'signup' THEN event_type END AS tool", "cast(NULL AS bigint) AS last_checked",
     )
