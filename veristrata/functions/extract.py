@@ -10,6 +10,7 @@ import ast
 import json
 import re
 import xml.etree.ElementTree as ET
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -149,6 +150,7 @@ def scan(path: str, text: str, language: str) -> list[dict]:
             found.append((m.start(group), order, kind, text[m.start(group) : m.end(group)].strip(), m, container))
     found.sort(key=lambda f: (f[0], f[1]))
     out, stack, seen = [], [], set()
+    line = line_index(text)
     for at, _, kind, name, m, container in found:
         if at in seen or not name:
             continue
@@ -165,15 +167,21 @@ def scan(path: str, text: str, language: str) -> list[dict]:
             kind = "method"
         words = set(re.findall(r"[a-z]+", m[0]))
         exported = True if words & _SHOWN else False if words & _HIDDEN or kind == "const" else spec.exported if kind in ("method", "function") else True
-        start = text.count("\n", 0, at) + 1
+        start = line(at)
         signature = f"fn {name}()" if kind in ("method", "function") else f"{kind} {name}"
-        out.append(_row(name, ".".join(x for x in (prefix, owner, name) if x), kind, signature, start, max(start, text.count("\n", 0, max(end - 1, 0)) + 1), exported))
+        out.append(_row(name, ".".join(x for x in (prefix, owner, name) if x), kind, signature, start, max(start, line(max(end - 1, 0))), exported))
         if language == "sql" and container:
-            out += _columns(text, clean, m.end(), prefix, name)
+            out += _columns(text, clean, m.end(), prefix, name, line)
     return out
 
 
-def _columns(text: str, clean: str, at: int, prefix: str, table: str) -> list[dict]:
+def line_index(text: str):
+    """A function from places of a text to their lines, from 1 on; the text is read once."""
+    ends = [m.end() for m in re.finditer("\n", text)]
+    return lambda at: bisect_right(ends, at) + 1
+
+
+def _columns(text: str, clean: str, at: int, prefix: str, table: str, line_of) -> list[dict]:
     """The columns in the parentheses of a table that is created."""
     first = clean.find("(", at)
     if first < 0 or clean[at:first].strip(" \t\n\"`"):
@@ -185,8 +193,8 @@ def _columns(text: str, clean: str, at: int, prefix: str, table: str) -> list[di
         if depth == 1 and c == "," or not depth:
             m = _COLUMN.match(text, begin, i)
             if m and m[1].lower() not in _NO_COLUMN:
-                line = text.count("\n", 0, m.start(1)) + 1
-                out.append(_row(m[1], f"{prefix}.{table}.{m[1]}", "const", f"const {m[1]}", line, max(line, text.count("\n", 0, max(i - 1, 0)) + 1), False))
+                line = line_of(m.start(1))
+                out.append(_row(m[1], f"{prefix}.{table}.{m[1]}", "const", f"const {m[1]}", line, max(line, line_of(max(i - 1, 0))), False))
             begin = i + 1
         if not depth:
             break

@@ -22,14 +22,19 @@ class Structure:
         self.close: dict[int, int] = {}
         open_: list[int] = []
         pair = {")": "(", "]": "[", "}": "{"}
+        count = dict.fromkeys("([{", 0)  # of open ones by kind, so that each bracket is looked at once when it opens and once when it goes
         for m in re.finditer(r"[()\[\]{}]", clean):
             c = m[0]
-            if c in "([{":
+            if c in count:
                 open_.append(m.start())
-            elif any(clean[i] == pair[c] for i in open_):
-                while clean[open_[-1]] != pair[c]:  # a bracket that nothing closes ends with its surroundings
-                    self.close[open_.pop()] = m.start()
-                self.close[open_.pop()] = m.start()
+                count[c] += 1
+            elif count[pair[c]]:
+                while open_:  # a bracket that nothing closes ends with its surroundings
+                    i = open_.pop()
+                    self.close[i] = m.start()
+                    count[clean[i]] -= 1
+                    if clean[i] == pair[c]:
+                        break
         for i in open_:
             self.close[i] = self.n
 

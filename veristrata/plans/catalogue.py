@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import extract as ex
 from ..functions import text as tx
+from ..functions import udtf
 from ..operators import adapters, audit, detect, fuzzy, guard, index, ledger, postedit
 from ..sources import trees, views
 
@@ -920,6 +921,97 @@ def openapi_yaml(spark, d):
     return ex.extract(src).select("path", "name", "kind", "signature")
 
 
+#: A file of each language with an id in its names, and the kind and name of what it declares.
+SOURCE_FILES = {
+    "go": ("m.go", "package p\n\ntype T# struct{ A int }\n\nfunc (t *T#) Run#(x int) int {\n\treturn x\n}\nfunc free#() {}\n", "type T#, method Run#, function free#"),
+    "python": ("m.py", "class C#:\n    def run#(self, x):\n        return x\n\nasync def free#(y): pass\n", "type C#, method run#, function free#"),
+    "typescript": ("m.ts", "export class A# {\n  run#(x: number) { return x }\n}\ninterface I# { a: string }\nexport function free#() {}\n", "type A#, method run#, interface I#, function free#"),
+    "rust": ("m.rs", "pub struct S#;\nimpl S# {\n    pub fn run#(&self) {}\n}\ntrait T# { }\nfn free#() {}\n", "type S#, method run#, interface T#, function free#"),
+    "java": ("M.java", "public class A# {\n  public int run#(int x) {\n    return x;\n  }\n}\ninterface B# { }\n", "type A#, method run#, interface B#"),
+    "ruby": ("m.rb", "module M#\n  class A# < B\n    def run#\n    end\n  end\nend\n", "type M#, type A#, method run#"),
+    "csharp": ("m.cs", "public class A# : B {\n  internal int Run#(string s) => 1;\n}\nstruct S# { }\n", "type A#, method Run#, type S#"),
+    "swift": ("m.swift", "struct S# { }\nprotocol P# {\n  func need#()\n}\nfunc free#() { }\n", "type S#, interface P#, method need#, function free#"),
+    "kotlin": ("m.kt", "data class A#(val x: Int) {\n  fun run#(): Int = 1\n}\nfun <T> free#(x: T) {}\n", "type A#, method run#, method free#"),
+    "scala": ("m.scala", "case class A#(x: Int) {\n  def run#(): Int = 1\n}\nobject O# { }\n", "type A#, method run#, type O#"),
+    "dart": ("m.dart", "abstract class A# {\n}\nvoid main#() async {\n  go();\n}\n", "type A#, function main#"),
+    "c": ("m.c", "enum E# { X };\nunion U# { int a; };\nstatic int *run#(int x)\n{\n  return 0;\n}\n/* int no() { */\n", "type E#, type U#, function run#"),
+    "cpp": ("m.cpp", "class A# {\n public:\n  int run#(int x) const { return x; }\n};\nenum class E# { X };\n", "type A#, method run#, type E#"),
+    "php": ("m.php", "<?php\nclass C# {\n  public function run#() { }\n}\nfunction free#() { }\n", "type C#, method run#, function free#"),
+    "lua": ("m.lua", "-- function no()\nlocal function f#(x)\nend\nfunction M.g#()\nend\n", "function f#, method g#"),
+    "bash": ("m.sh", "run#() {\n  :\n}\nfunction go# {\n  :\n}\n", "function run#, function go#"),
+    "zig": ("m.zig", "pub fn run#(x: u8) u8 { return x; }\nconst P# = struct { x: u8 };\n", "function run#, type P#"),
+    "nix": ("m.nix", "{\n  f# = x: x;\n  d = 1;\n}\n", "function f#"),
+    "elixir": ("m.ex", "defmodule A# do\n  def run#(x), do: x\nend\ndefprotocol P# do\nend\n", "type A#, method run#, interface P#"),
+    "solidity": ("m.sol", "contract A# {\n  function run#(uint x) public { }\n  event E#(uint x);\n}\nlibrary L# { }\n", "type A#, method run#, method E#, type L#"),
+    "make": ("Makefile", "X# := 1\nall#: dep\n\t@x = 1\n", "const X#, function all#"),
+    "cmake": ("CMakeLists.txt", "function(f# a)\nendfunction()\nadd_library(lib# STATIC a.c)\n", "function f#, type lib#"),
+    "hcl": ("m.tf", 'variable "v#" { }\n# resource "no" {}\n', "type v#"),
+    "graphql": ("m.graphql", "enum E# { X }\nscalar S#\nunion U# = A\n", "type E#, type S#, type U#"),
+    "proto": ("m.proto", "message M# { string a = 1; }\nservice S# {\n  rpc Go# (M) returns (M);\n}\n", "type M#, interface S#, method Go#"),
+    "sql": ("m.sql", "CREATE TABLE t# (\n  id# int PRIMARY KEY,\n  PRIMARY KEY (id#)\n);\ncreate view v# as select 1;\n", "type t#, const id#, type v#"),
+    "wit": ("m.wit", "interface i# {\n  record r# { a: u8 }\n  run#: func(x: u8) -> u8;\n}\n", "interface i#, type r#, method run#"),
+    "erlang": ("m.erl", "-module(m#).\n-record(r#, {a}).\nrun#(X) when X > 1 -> X.\n% no() -> x.\n", "type m#, type r#, function run#"),
+    "r": ("m.R", "f# <- function(x) x\nn <- 1\n", "function f#"),
+    "just": ("justfile", "x# := 'a'\nbuild#: dep\n  echo\n", "const x#, function build#"),
+    "starlark": ("BUILD", 'def rule#(x):\n    pass\ngo_library(\n    name = "lib#",\n)\n', "function rule#, type lib#"),
+    "glsl": ("m.glsl", "struct L# { vec3 p; };\nuniform mat4 view#;\nvoid main#() {\n}\n", "type L#, const view#, function main#"),
+    "hlsl": ("m.hlsl", "Texture2D tex# : register(t0);\nfloat4 main#(float2 uv : TEXCOORD) : SV_Target {\n  return 0;\n}\n", "const tex#, function main#"),
+    "jupyter": ("m.ipynb", '{"cells": [{"cell_type": "markdown", "source": "def no(): pass"}, {"cell_type": "code", "source": ["def f#(x):\\n", "    pass\\n"]}]}', "function f#"),
+    "vue": ("M.vue", '<template><b/></template>\n<!-- <script>function no() {}</script> -->\n<script lang="ts">\nexport function f#() {}\n</script>\n', "function f#"),
+    "svelte": ("M.svelte", "<script>\nfunction f#() {}\n</script>\n<p>x</p>\n<script context='module'>\nclass C# {}\n</script>\n", "function f#, type C#"),
+    "astro": ("M.astro", "---\nfunction f#() {}\n---\n<p/>\n<script>\nclass C# {}\n</script>\n", "function f#, type C#"),
+    "manifest": ("Cargo.toml", '[dependencies]\nd# = "1.#"\n[dev-dependencies]\ne# = { version = "2" }\n', "dependency d#, dependency e#"),
+    "openapi": ("openapi.json", '{"paths": {"/x#": {"get": {}}}, "components": {"schemas": {"S#": {}}}}', "method GET /x#, type S#"),
+}
+
+
+def sources(spark, d):
+    """(id, path, language, text): a file of each language for every tenth part."""
+    files = F.array(*[F.struct(F.lit(lang).alias("language"), F.lit(path).alias("path"), F.lit(text).alias("text")) for lang, (path, text, _) in SOURCE_FILES.items()])
+    p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), F.explode(files).alias("f"))
+    return p.select("id", F.concat(F.lit("s"), F.col("id").cast("string"), F.lit("/"), "f.path").alias("path"), "f.language", F.replace("f.text", F.lit("#"), F.col("id").cast("string")).alias("text"))
+
+
+_DECLARED = ", ".join(f"('{lang}', '{kind}', '{name}')" for lang, (_, _, told) in SOURCE_FILES.items() for kind, name in (x.split(" ", 1) for x in told.split(", ")))
+
+
+@query(f"SELECT p_partkey AS id, language, kind, replace(name, '#', CAST(p_partkey AS VARCHAR)) AS name FROM part, (VALUES {_DECLARED}) t(language, kind, name) WHERE p_partkey % 10 = 0")
+def lateral_symbols(spark, d):
+    """Declarations of files of every language, by the table function in SQL: LATERAL over a view of files."""
+    udtf.register(spark)
+    sources(spark, d).createOrReplaceTempView("source_files")
+    return spark.sql("SELECT id, language, s.kind, s.name FROM source_files, LATERAL extract_symbols(path, language, text, columns => 'kind, name') s")
+
+
+@query("SELECT 's'||p_partkey||'/Cargo.toml' AS path, n||p_partkey AS name, CASE n WHEN 'd' THEN '1.'||p_partkey ELSE '2' END AS version FROM part, (VALUES ('d'), ('e')) t(n) WHERE p_partkey % 10 = 0")
+def lateral_versions(spark, d):
+    """A constant language gives the columns that it has: a manifest's versions."""
+    udtf.register(spark)
+    sources(spark, d).where("language = 'manifest'").createOrReplaceTempView("manifest_files")
+    return spark.sql("SELECT path, s.name, s.version FROM manifest_files, LATERAL extract_symbols(path, 'manifest', text) s")
+
+
+# ---------------------------------------------------------------- truth files
+
+DUCK["v_rule_files"] = "SELECT p_partkey AS id, p_size AS size, replace(p_brand, '#', '') AS brand, p_type AS type FROM part"
+
+
+@query("SELECT id, 1 AS ord, 'Sizes '||size AS category, 'We ship '||type AS text, 'never '||brand||' and more' AS reason, CAST(size % 4 AS INTEGER) AS fuzz, 3 AS line FROM v_rule_files UNION ALL SELECT id, 2, 'Sizes '||size, brand||' is best', '', 0, 6 FROM v_rule_files UNION ALL SELECT id, 3, 'Other', type||' {x}', '', 1, 9 FROM v_rule_files")
+def rule_files(spark, d):
+    """Rules of a file for each part: all markers, quotes, reasons, forgiven edits, continued reasons, bullets that are no rules."""
+    text = "concat('Prose\n  ## Sizes ', p_size, '\n- X We ship ', p_type, ' — never ', replace(p_brand, '#', ''), ' {fuzz: ', p_size % 4, '}\n  and more\n one space is prose\n* x \"', replace(p_brand, '#', ''), ' is best\" {fuzz: exact}\n- Xylophone\n## Other\n- 🚫 ', p_type, ' {x}\n- ✗ none\n')"
+    docs = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey AS id", f"{text} AS text")
+    return trees.rules_of(docs, "id")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, 2 AS line, 'a '||n_name||chr(10)||chr(10)||'b' AS short, '' AS long, 'x'||n_regionkey||'|y' AS drift, 'low' AS sensitivity FROM nation UNION ALL SELECT n_nationkey, 'Two', 14, '', 'long '||n_nationkey, '', '' FROM nation")
+def story_files(spark, d):
+    """Stories of a file for each nation: any second-level heading opens one, four kinds of parts, others left out."""
+    text = "concat('# stories\n## STORY: ', n_name, '\n### Short version (tweet)\na ', n_name, '\n\nb\n### Do not drift\n- x', n_regionkey, '\nprose\n- y\n### Sensitivity\n low \n### Notes\n  ## Two\n### long version\n long ', n_nationkey, '\n')"
+    docs = spark.read.parquet(f"{d}/nation.parquet").selectExpr("n_nationkey AS id", f"{text} AS text")
+    return trees.stories_of(docs, "id").select("id", "name", "line", "short", "long", F.array_join("do_not_drift", "|").alias("drift"), "sensitivity")
+
+
 # ---------------------------------------------------------------- streams
 
 
