@@ -679,28 +679,60 @@ def test_yaml():
 
 
 def test_overlaps_equal_a_plain_greedy(spark):
+    from veristrata.operators import spans
+
     rng = random.Random(4)
     rows = []
-    for k in range(200):
-        spans = []
+    for k in range(300):
+        found = []
         for _ in range(rng.randint(0, 12)):
             a = rng.randint(0, 40)
-            spans.append((rng.randint(0, 6), "c", "v", a, a + rng.randint(1, 9), None, None, str(len(spans))))
-        rows.append((k, spans))
+            found.append((rng.choice([0, 0, 1, 2, 3, 4, 5, 6]), a, a + rng.randint(1, 9), str(len(found))))
+        rows.append((k, found))
 
-    def greedy(spans):
+    def greedy(found):
         out = []
-        for s in sorted(spans, key=lambda s: (s[0], s[3])):
-            if s[0] == 0 or not any(s[3] < t[4] and s[4] > t[3] for t in out):
+        for s in sorted(found, key=lambda s: (s[0], s[1])):
+            if s[0] == 0 or not any(s[1] < t[2] and s[2] > t[1] for t in out):
                 out.append(s)
-        return out
-
-    df = spark.createDataFrame(rows, f"id int, s array<{detect.SPAN}>")
-    for r in df.select("id", detect.resolve_overlaps("s").alias("s")).collect():
-        want = greedy(rows[r.id][1])
-        assert [x[3] for x in r.s] == sorted(x[3] for x in want) and len(r.s) == len(want)
-        stages = {(x[0], x[3]) for x in want}
-        assert {(x[0], x[3]) for x in r.s} == stages
+        return sorted(out, key=str)
+
+    of = lambda s: spans.Span(s[1], s[0], s[2], "c", "v", path=s[3])
+    plain = {k: greedy(found) for k, found in rows}
+    for k, found in rows:
+        got = [x[:3] for x in sorted((x.stage, x.start, x.end) for x in spans.resolve(sorted(map(of, found), key=lambda x: (x.start, x.stage))))]
+        assert got == sorted(x[:3] for x in plain[k])
+    kind = "k int, stage int, category string, verdict string, start int, end int, text string, subject string, path string"
+    df = spark.createDataFrame([(k, s[0], "c", "v", s[1], s[2], None, None, s[3]) for k, found in rows for s in found], kind)
+    got = {}
+    for r in detect.resolve_overlaps(df).collect():
+        got.setdefault(r.k, []).append((r.stage, r.start, r.end))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(x[:3] for x in v) for k, v in plain.items() if v}
+
+
+def test_one_pass_equals_the_patterns(spark):
+    """Offsets in bytes, years after a preposition, words before and after numbers; texts of any kind."""
+    from veristrata.operators import spans
+
+    text = "ñ In 2020 we; since 2021 I Believe 1,200 users of 2022-01-02 ¶ shipped C++ and C#, I built a/b-c.d. 50% live  Go 99.5 GB within 1999"
+    got = [(x.category, x.text, x.subject, x.start) for x in sorted(spans.candidates(text.encode()))]
+    assert [g[:3] for g in got] == [("opinion", "I Believe", "I Believe"), ("quantitative", "1,200 users", "1,200"), ("date", "2022-01-02", "2022-01-02"), ("personal_action", "I built a/b-c.d.", "a/b-c.d."), ("tech_in_production", "live  Go", "Go"), ("quantitative", "99.5 GB", "99.5")]
+    for category, found, _, start in got:
+        assert text.encode()[start:].startswith(found.encode())
+    assert not any(x.category == "date" and x.text in ("2020", "2021", "1999") for x in spans.candidates(text.encode()))
+    ctx = {v: c for _, _, v, c in spans.numbers("é one two THREE (12x) 7,000b four five six seven 2001 8".encode())}
+    assert ctx[8.0] == "six seven 2001" and 2001.0 not in ctx and spans.grams("ab") == [] and spans.grams("éa") == ["Ã©a"]
+    assert list(spans.candidates(b"")) == list(spans.numbers(b"no digits")) == []
+
+
+def test_contradictions_meet_an_index_not_lists(spark):
+    """100,000 leaves of a few names: the index has a row for each name and magnitude, and no row of the plan holds leaves."""
+    leaves = spark.range(100_000).selectExpr("concat('a', id, '.users[', id % 7, '].count') AS path", "'number' AS vtype", "cast(id * 10 + 5 AS string) AS svalue", "cast(id * 10 + 5 AS double) AS nvalue")
+    docs = spark.createDataFrame([(1, "we have 12,000 users now"), (2, "we have 12,005 users"), (3, "12,000 things of no name"), (4, None), (5, "ñ Counts: 77")], "id bigint, text string")
+    found = detect.contradictions(docs, leaves)
+    assert sorted((r.id, r.value, r.path, r.text) for r in found.collect()) == [(1, 12000.0, "a100.users[2].count", "12,000"), (5, 77.0, "a0.users[0].count", "77")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
 
 
 #: (text, claims as (category, verdict, quoted text, path)), held by byte offsets: multi-byte text, overlaps across stages, years, edges of words.

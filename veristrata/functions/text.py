@@ -109,11 +109,6 @@ def matches_of(text: str, pattern: str) -> Column:
     return _matches(text, pattern, 0)
 
 
-def matches_in(view: str, pattern: str, group: int = 0) -> Column:
-    """matches() in a column (or lambda variable) that is a byte view already."""
-    return F.expr(_matches_sql(view, _literal(pattern), group))
-
-
 def _literal(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

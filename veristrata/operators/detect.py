@@ -1,75 +1,83 @@
 """Claim detection in prose: forbidden statements, numeric contradictions, patterns, and verdicts from a tree of facts.
 
-All spans are in UTF-8 bytes. Nothing leaves the JVM but the fuzzy scan (fuzzy.py).
+All spans are in UTF-8 bytes. Texts are scanned where they lie, in one pass over their bytes (spans.py); what is joined and
+shuffled is claims, numbers and leaves.
 """
 
 from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BOUNDARY, LEFT, RIGHT, WORD, byte_view, from_byte_view, is_year, matches, matches_in, matches_of, same_magnitude, words_among
+from ..functions.text import LEFT, RIGHT, WORD, byte_view, from_byte_view, matches_of, words_among
+from . import spans
+from .spans import Span
 
-# The claim patterns in their order of priority (category, pattern, subject group).
-PATTERNS = [
-    ("opinion", r"(?i)\bI\s+(prefer|believe|think|feel|value)\b", 0),
-    ("tech_in_production", r"(?i)\b(production|shipped|live)\s+(Go|Python|TypeScript|JavaScript|Java|Ruby|Rust|C\+\+|C#|PHP|Swift|Kotlin|Scala|Elixir|Haskell)\b", 2),
-    ("personal_action", r"(?i)\bI\s+(built|shipped|created|launched|wrote|designed|architected)\s+([A-Za-z0-9_+#\.\-/]+)", 2),
-    ("quantitative", r"(?i)\b(\d+(?:,\d{3})*(?:\.\d+)?)\s*(messages|users|customers|requests|MB|GB|TB|%)\b", 1),
-    ("date", r"\b(\d{4}-\d{2}-\d{2}|(?:19|20)\d{2})\b", 1),
-]
-NUMBER = r"\b(\d+(?:,\d{3})*(?:\.\d+)?)\b"
-# Prepositions before a bare year.
-TEMPORAL = ("in", "since", "by", "during", "from", "until", "before", "after")
+# ---------------------------------------------------------------- one pass over each text
 
-SPAN = "struct<stage:int,category:string,verdict:string,start:int,end:int,text:string,subject:string,path:string>"
+_CLAIM = "stage int, category string, verdict string, start int, end int, text string, subject string, path string"
 
 
-def _java(pattern: str) -> str:
-    return pattern.replace(r"\b", BOUNDARY)
+def _claims(keys, held: list[tuple[int, list[Span]]], kind: pa.DataType) -> pa.RecordBatch:
+    """A row for each span of each key; keys: what the numbers in held count through."""
+    at = [k for k, found in held for _ in found]
+    rows = [x for _, found in held for x in found]
+    column = lambda name, of: pa.array([getattr(x, name) for x in rows], of)
+    text = [column(n, pa.string()) for n in ("text", "subject", "path")]
+    key = keys.take(pa.array(at, pa.int64())) if isinstance(keys, pa.Array) else pa.array([keys[k] for k in at], kind)
+    columns = [key, column("stage", pa.int32()), column("category", pa.string()), column("verdict", pa.string()), column("start", pa.int32()), column("end", pa.int32()), *text]
+    return pa.RecordBatch.from_arrays(columns, names=["k", "stage", "category", "verdict", "start", "end", "text", "subject", "path"])
 
 
-def pattern_spans(text: str) -> Column:
-    """Candidates of all patterns; bare years after a temporal preposition are left out."""
-    parts = []
-    for k, (category, pattern, group) in enumerate(PATTERNS):
-        parts.append(_tagged(matches(text, _java(pattern), group), k + 2, category))
-    return F.concat(*parts)
+def candidates(docs: DataFrame, key: str = "id", text: str = "text", resolved: bool = False) -> DataFrame:
+    """(k, stage, category, verdict, start, end, text, subject, path): what the claim patterns find in each text, in one pass over its bytes.
 
+    resolved: whether overlaps within a text are resolved. Null and empty texts have none; rows repeat as in docs.
+    """
 
-def _tagged(found: Column, stage: int, category: str) -> Column:
-    verdict = "opinion" if category == "opinion" else "unverified"
-
-    def tag(m: Column) -> Column:
-        return F.struct(
-            F.lit(stage).alias("stage"), F.lit(category).alias("category"), F.lit(verdict).alias("verdict"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), m["value"].alias("subject"), F.lit(None).cast("string").alias("path")
-        )
-
-    return F.transform(found, tag)
-
+    def run(batches):
+        for b in batches:
+            held = [(k, sorted(spans.candidates((t or "").encode()))) for k, t in enumerate(b.column(1).to_pylist())]
+            yield _claims(b.column(0), [(k, spans.resolve(found)) for k, found in held] if resolved else held, b.schema.field(0).type)
 
-def drop_temporal_years(spans: str, text: str) -> Column:
-    before = f"lower(substring(decode(encode({text}, 'UTF-8'), 'ISO-8859-1'), 1, s.start))"
-    return F.expr(f"filter({spans}, s -> NOT (s.category = 'date' AND NOT contains(s.text, '-') AND {before} RLIKE '({'|'.join(TEMPORAL)}) $'))")
+    src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, {_CLAIM}")
 
 
-def resolve_overlaps(spans: str) -> Column:
-    """Greedy by stage, then place: a candidate goes if it overlaps one already taken; forbidden ones (stage 0) all stay.
+def resolve_overlaps(claims: DataFrame) -> DataFrame:
+    """Rows as candidates() gives them, from any sources: those that stay where a text's claims overlap.
 
-    Candidates are first cut into clusters that no overlap crosses, so one is compared with its few neighbours only.
+    Claims are dealt by key and sorted by place; texts do not move. A sweep holds one cluster of overlapping claims.
     """
-    none, place = f"cast(array() AS array<{SPAN}>)", "(a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start ELSE a.stage - b.stage END"
-    greedy = f"aggregate(array_sort(c, (a, b) -> CASE WHEN a.stage <> b.stage THEN a.stage - b.stage ELSE a.start - b.start END), {none}, (acc, x) -> IF(x.stage > 0 AND exists(acc, y -> x.start < y.end AND x.end > y.start), acc, concat(acc, array(x))))"
-    grown = "named_struct('now', concat(a.now, array(x)), 'end', greatest(a.end, x.end), 'done', a.done)"
-    opened = "named_struct('now', array(x), 'end', x.end, 'done', concat(a.done, array(a.now)))"
-    clusters = f"aggregate(array_sort({spans}, {place}), named_struct('now', {none}, 'end', -1, 'done', cast(array() AS array<array<{SPAN}>>)), (a, x) -> IF(x.start < a.end, {grown}, {opened}), a -> concat(a.done, array(a.now)))"
-    return F.expr(f"array_sort(flatten(transform({clusters}, c -> {greedy})), {place})")
+    by = ["k", "start", "stage"]
+    kind = claims.schema["k"].dataType.simpleString()
+
+    def run(batches):
+        now, held, reach, kept = None, [], -1, []
+        for b in batches:
+            of = b.schema.field(0).type
+            for k, stage, category, verdict, start, end, text, subject, path in zip(*(c.to_pylist() for c in b.columns)):
+                if held and (k != now or start >= reach):
+                    kept.append((now, spans.resolve(held)))
+                    held, reach = [], -1
+                now = k
+                held.append(Span(start, stage, end, category, verdict, text, subject, path))
+                reach = max(reach, end)
+            if kept:
+                yield _claims([k for k, _ in kept], [(i, found) for i, (_, found) in enumerate(kept)], of)
+                kept = []
+        if held:
+            yield _claims([now], [(0, spans.resolve(held))], of)
+
+    ordered = claims.repartition("k").sortWithinPartitions(*by)
+    return ordered.select("k", *(c.split()[0] for c in _CLAIM.split(", "))).mapInArrow(run, f"k {kind}, {_CLAIM}")
 
 
 def forbidden_exact(docs: DataFrame, rules: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, ord, start, end): rules' texts in documents, ignoring ASCII case, at ASCII word boundaries, not overlapping.
+    """(key, ord, start, end, text): rules' texts in documents, ignoring ASCII case, at ASCII word boundaries, not overlapping.
 
     A document meets a rule only if it has the rule's first word, which any hit holds as a whole word; what is left is
     searched once. Rules are what an operator wrote: the driver reads them, however many; only up to BROADCAST_RULES
@@ -91,7 +99,7 @@ def forbidden_exact(docs: DataFrame, rules: DataFrame, key: str = "id", text: st
     met = base.select("id", "__t", "__low", F.explode(words_among(F.col("__low"), [r[1] for r in rows])).alias("w")).join(table, "w")
     met = met.where(F.contains("__low", F.col("needle")))
     out = met.select("id", "ord", F.explode(matches_of("__t", "pattern")).alias("m"))
-    return out.select(F.col("id").alias(key), "ord", F.col("m.start").alias("start"), F.col("m.end").alias("end"))
+    return out.select(F.col("id").alias(key), "ord", F.col("m.start").alias("start"), F.col("m.end").alias("end"), from_byte_view(F.col("m.text")).alias("text"))
 
 
 BROADCAST_RULES = 10_000
@@ -107,76 +115,67 @@ def _quote(s: str) -> str:
 
 
 def contradictions(docs: DataFrame, leaves: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, start, end, value, path): numbers that differ from every numeric leaf but resemble one whose path the words around it name.
+    """(key, start, end, value, path, text): numbers that differ from every numeric leaf but resemble one whose path the words around it name.
 
-    A text is cut at its white space once; a number's context is the three words before and after it (what is left of
-    its own word counts as one), so it takes nothing from the rest of the text. Numbers meet the leaves of their order
-    of magnitude and its neighbours by an equi-join, whatever the number of leaves. The least path is reported. Years are
-    left out on both sides.
+    An inverted index over the leaves has, for each order of magnitude and segment of a path (of three bytes or more),
+    the least path: so its size follows the names in the tree, not the number of leaves, and no row holds a list of
+    leaves. A number meets it by its magnitude and the runs of three bytes of its context, one of which begins any segment
+    that the context holds. The least path is reported. Years are left out on both sides; a number that equals a leaf
+    contradicts none.
     """
     numeric = leaves.where("nvalue IS NOT NULL AND NOT (nvalue >= 1900 AND nvalue <= 2100 AND nvalue = floor(nvalue))")
-    numeric = numeric.select("path", "nvalue", F.filter(F.split(F.lower("path"), r"[._\[\]]+"), lambda s: F.octet_length(s) >= 3).alias("segments"), F.when(F.col("nvalue") > 0, F.floor(F.log10("nvalue"))).alias("m"))
-    leaf = F.struct("path", "nvalue", "segments", "m")
-    # leaves that have no magnitude (0 and less) can only be equal; no number of a text is under 0
-    near = F.when(F.col("m").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.array(F.col("m") - 1, F.col("m"), F.col("m") + 1))
-    by = numeric.select(leaf.alias("leaf"), F.explode(near).alias("m")).groupBy(F.coalesce("m", F.lit(ZERO)).alias("m")).agg(F.collect_list("leaf").alias("leaves"))
-    base = docs.select(F.col(key).alias("id"), matches(text, r"\S+").alias("w"))
-    word = "named_struct('at', x.start, 'word', x.text, 'before', transform(slice(w, greatest(i - 2, 1), least(i, 3)), y -> y.text), 'after', transform(slice(w, i + 2, 3), y -> y.text))"
-    base = base.select("id", F.explode(F.expr(f"filter(transform(w, (x, i) -> IF(x.text RLIKE '[0-9]', {word}, NULL)), x -> x IS NOT NULL)")).alias("n"))
-    base = base.select("id", "n", F.explode(matches_in("n.word", _java(NUMBER), 1)).alias("m"))
-    base = base.withColumn("v", F.expr("cast(replace(m.value, ',', '') AS double)")).where(~is_year(F.col("v")))
-    before = F.expr("concat(n.before, filter(array(substring(n.word, 1, m.start)), y -> y <> ''))")
-    after = F.expr("concat(filter(array(substring(n.word, m.end + 1)), y -> y <> ''), n.after)")
-    base = base.withColumn("ctx", F.lower(from_byte_view(F.array_join(F.concat(F.slice(before, F.greatest(F.size(before) - 2, F.lit(1)), F.lit(3)), F.slice(after, 1, 3)), " "))))
-    magnitude = F.when(F.col("v") > 0, F.floor(F.log10("v"))).otherwise(ZERO)
-    base = base.select("id", (F.col("n.at") + F.col("m.start")).alias("start"), (F.col("n.at") + F.col("m.end")).alias("end"), "v", "ctx", magnitude.alias("m")).join(by, "m")
-    like = F.filter("leaves", lambda x: same_magnitude(x["nvalue"], F.col("v")) & F.exists(x["segments"], lambda s: F.contains(F.col("ctx"), s)))
-    base = base.where(~F.exists("leaves", lambda x: x["nvalue"] == F.col("v"))).withColumn("path", F.array_min(F.transform(like, lambda x: x["path"]))).where("path IS NOT NULL")
-    return base.select(F.col("id").alias(key), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("v").alias("value"), "path")
-
-
-#: Stands for the magnitude of 0.
-ZERO = -1000
+    segments = F.filter(F.split(F.lower("path"), r"[._\[\]]+"), lambda s: F.octet_length(s) >= 3)
+    named = numeric.where("nvalue > 0").select("path", F.floor(F.log10("nvalue")).alias("m"), F.explode(segments).alias("segment")).groupBy("m", "segment").agg(F.min("path").alias("path"))
+    named = named.select("path", "segment", F.explode(F.array(F.col("m") - 1, F.col("m"), F.col("m") + 1)).alias("m")).groupBy("m", "segment").agg(F.min("path").alias("path"))
+    named = named.withColumn("gram", F.substring(byte_view(F.col("segment")), 1, 3))
+
+    def run(batches):
+        for b in batches:
+            raw = [(t or "").encode() for t in b.column(1).to_pylist()]
+            rows = [(k, *n, t[n[0] : n[1]].decode()) for k, t in enumerate(raw) for n in spans.numbers(t)]
+            at, start, end, value, context, said = zip(*rows) if rows else ((),) * 6
+            columns = [b.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(value, pa.float64()), pa.array(context, pa.string()), pa.array(said, pa.string()), pa.array([spans.grams(c) for c in context], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "start", "end", "v", "ctx", "text", "grams"])
+
+    src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    found = src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, start int, end int, v double, ctx string, text string, grams array<string>").where("v > 0")
+    found = found.join(numeric.select(F.col("nvalue").alias("v")).distinct(), "v", "left_anti")
+    met = found.select("k", "start", "end", "v", "text", "ctx", F.floor(F.log10("v")).alias("m"), F.explode("grams").alias("gram")).join(named, ["m", "gram"]).where(F.contains("ctx", F.col("segment")))
+    out = met.groupBy("k", "start", "end", "v", "text").agg(F.min("path").alias("path"))
+    return out.select(F.col("k").alias(key), "start", "end", F.col("v").alias("value"), "path", "text")
 
 
 def detect(docs: DataFrame, leaves: DataFrame, forbidden: DataFrame | None = None, contradicted: DataFrame | None = None, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, category, verdict, start, end, text, subject, path) of every claim, in source order within a document.
+    """(key, category, verdict, start, end, text, subject, path) of every claim.
 
-    forbidden: (key, ord, start, end) of fuzzy.forbidden() or forbidden_exact(), contradicted: contradictions()' rows; both
-    optional.
+    forbidden: (key, ord, start, end[, text]) of fuzzy.forbidden() or forbidden_exact(), contradicted: contradictions()' rows;
+    both optional; with them keys must be distinct. Each text is read once, where it is; what moves is claims. A claim
+    from outside whose text is not told is read off its document by a join.
     """
-    base = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t"))
-    spans = base.select("__k", "__t", pattern_spans("__t").alias("__spans"))
-    spans = spans.withColumn("__spans", drop_temporal_years("__spans", "__t"))
-    more = []
-    if forbidden is not None:
-        more.append(forbidden.select(F.col(key).alias("__k"), _span(0, "forbidden", "forbidden", F.concat(F.lit("#"), F.col("ord"))).alias("s")))
-    if contradicted is not None:
-        more.append(contradicted.select(F.col(key).alias("__k"), _span(1, "contradiction", "contradiction", F.col("path")).alias("s")))
-    if more:
-        extra = more[0]
-        for m in more[1:]:
-            extra = extra.unionByName(m)
-        extra = extra.groupBy("__k").agg(F.collect_list("s").alias("__more"))
-        spans = spans.join(extra, "__k", "left").withColumn("__spans", F.concat("__spans", F.coalesce("__more", F.array().cast(f"array<{SPAN}>"))))
-    # claims that come from outside have offsets only
-    quoted = from_byte_view(F.substring(byte_view(F.col("__t")), F.col("c.start") + 1, F.col("c.end") - F.col("c.start")))
-    claims = spans.select("__k", "__t", F.explode(resolve_overlaps("__spans")).alias("c"))
-    claims = claims.select("__k", "c.*", F.when(F.col("c.text").isNull(), quoted).otherwise(F.col("c.text")).alias("__text")).drop("text").withColumnRenamed("__text", "text")
+    none = F.lit(None).cast("string")
+    if forbidden is None and contradicted is None:
+        claims = candidates(docs, key, text, resolved=True)
+    else:
+        claims = candidates(docs, key, text)
+        for rows, stage, verdict, path in ((forbidden, 0, "forbidden", lambda: F.concat(F.lit("#"), F.col("ord"))), (contradicted, 1, "contradiction", lambda: F.col("path"))):
+            if rows is not None:
+                told = F.col("text") if "text" in rows.columns else none
+                claims = claims.unionByName(rows.select(F.col(key).alias("k"), F.lit(stage).alias("stage"), F.lit(verdict).alias("category"), F.lit(verdict).alias("verdict"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), told.alias("text"), none.alias("subject"), path().alias("path")))
+        claims = resolve_overlaps(claims)
+        untold = [rows for rows in (forbidden, contradicted) if rows is not None and "text" not in rows.columns]
+        if untold:
+            base = docs.select(F.col(key).alias("k"), byte_view(F.col(text)).alias("__b"))
+            few = claims.where("text IS NULL").join(base, "k").withColumn("text", from_byte_view(F.expr("substring(__b, start + 1, end - start)"))).drop("__b")
+            claims = claims.where("text IS NOT NULL").unionByName(few)
     subject = F.lower(F.rtrim(F.replace(F.col("subject"), F.lit(","), F.lit("")), F.lit(".,;!?")))
     known = leaves.groupBy(F.lower("svalue").alias("__v")).agg(F.min("path").alias("__path"))
     claims = claims.withColumn("__v", F.when(F.col("verdict") == "unverified", subject)).join(known, "__v", "left")
     found = (F.col("verdict") == "unverified") & F.col("__path").isNotNull()
     return claims.select(
-        F.col("__k").alias(key), "category", F.when(found, "verified").otherwise(F.col("verdict")).alias("verdict"), "start", "end", "text", "subject", F.when(found, F.col("__path")).otherwise(F.col("path")).alias("path")
+        F.col("k").alias(key), "category", F.when(found, "verified").otherwise(F.col("verdict")).alias("verdict"), "start", "end", "text", "subject", F.when(found, F.col("__path")).otherwise(F.col("path")).alias("path")
     )
 
 
-def _span(stage: int, category: str, verdict: str, path: Column) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct(F.lit(stage).alias("stage"), F.lit(category).alias("category"), F.lit(verdict).alias("verdict"), F.col("start").alias("start"), F.col("end").alias("end"), none.alias("text"), none.alias("subject"), path.alias("path"))
-
-
 def summary(claims: DataFrame, key: str = "id") -> DataFrame:
     """Counts by verdict for each document that has a claim."""
     counts = [F.count_if(F.col("verdict") == v).alias(v) for v in ("verified", "unverified", "forbidden", "opinion", "contradiction")]

@@ -45,6 +45,15 @@ def edit_distance(a: bytes, b: bytes, cap: int) -> int:
     return row[len(b) - len(a) + cap]
 
 
+def bounded_distance(cap: int):
+    """A column function of two texts: edit_distance() of their bytes; null if one is null."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else edit_distance(x.encode(), y.encode(), cap) for x, y in zip(a, b)], dtype="Int32")
+
+    return F.pandas_udf(run, "int")
+
+
 def _bounded(text: bytes, start: int, end: int, needle: bytes) -> bool:
     left = needle[0] not in _WORD or start == 0 or text[start - 1] not in _WORD
     return left and (needle[-1] not in _WORD or end >= len(text) or text[end] not in _WORD)
@@ -110,7 +119,7 @@ def fuzzy(text: bytes, needle: bytes, threshold: int) -> list[tuple[int, int]]:
 
 
 def forbidden(docs: DataFrame, rules: DataFrame, key: str = "id", text: str = "text", default_fuzz: int = 1) -> DataFrame:
-    """(key, ord, start, end) of all rules, each with its own number of edits (fuzz, else the default); those without any stay in the JVM."""
+    """(key, ord, start, end, text) of all rules, each with its own number of edits (fuzz, else the default); those without any stay in the JVM."""
     if "fuzz" not in rules.columns:
         rules = rules.withColumn("fuzz", F.lit(default_fuzz))
     rules = rules.withColumn("fuzz", F.coalesce(F.col("fuzz").cast("int"), F.lit(default_fuzz)))
@@ -151,7 +160,7 @@ class Pieces:
 
 
 def forbidden_fuzzy(docs: DataFrame, rules: DataFrame, threshold: int = 1, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, ord, start, end) for each rule's hits. rules: (ord, text[, fuzz]); fuzz is a rule's own number of edits, else threshold.
+    """(key, ord, start, end, text) for each rule's hits. rules: (ord, text[, fuzz]); fuzz is a rule's own number of edits, else threshold.
 
     Rules are what an operator wrote: the driver reads them, however many. A text is scanned once for the pieces of all
     rules; only rules of which a piece occurs are compared with it.
@@ -167,8 +176,8 @@ def forbidden_fuzzy(docs: DataFrame, rules: DataFrame, threshold: int = 1, key:
                 raw = (t or "").encode()
                 for i in pieces.near(raw) if raw else ():
                     ord_, needle, f = listed[i]
-                    rows += [(k, ord_, s, e) for s, e in fuzzy(raw, needle, f)]
-            yield pd.DataFrame(rows, columns=["k", "ord", "start", "end"])
+                    rows += [(k, ord_, s, e, raw[s:e].decode("utf-8", "replace")) for s, e in fuzzy(raw, needle, f)]
+            yield pd.DataFrame(rows, columns=["k", "ord", "start", "end", "text"])
 
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return src.mapInPandas(run, f"k {src.schema['k'].dataType.simpleString()}, ord int, start int, end int").withColumnRenamed("k", key)
+    return src.mapInPandas(run, f"k {src.schema['k'].dataType.simpleString()}, ord int, start int, end int, text string").withColumnRenamed("k", key)

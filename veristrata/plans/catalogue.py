@@ -12,8 +12,9 @@ from .. import schema
 from ..functions import extract as ex
 from ..functions import text as tx
 from ..functions import udtf
-from ..operators import adapters, audit, detect, fuzzy, guard, index, ledger, postedit
+from ..operators import adapters, audit, detect, fuzzy, guard, index, ledger, postedit, spans
 from ..sources import trees, views
+from ..tables import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -428,6 +429,17 @@ def decision_lines(spark, d):
     return ledger.decision_lines(ledger.link_superseded(views.decisions(spark, d), ["author", "topic"]), 10)
 
 
+# ---------------------------------------------------------------- numbers
+
+
+@query("""SELECT o_orderkey AS id, abs(floor(log10(o_totalprice)) - floor(log10(o_custkey * 10))) <= 1 AS alike, y BETWEEN 1900 AND 2100 AND y = floor(y) AS year FROM (SELECT *, 1800 + (o_custkey % 800) / 2.0 AS y FROM orders)""")
+def number_tests(spark, d):
+    """Whether a price and a key are of one order of magnitude or neighbours, and whether a number can be a year."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    year = F.lit(1800) + (F.col("o_custkey") % 800) / F.lit(2.0)
+    return o.select(F.col("o_orderkey").alias("id"), tx.same_magnitude(F.col("o_totalprice").cast("double"), F.col("o_custkey") * 10.0).alias("alike"), tx.is_year(year).alias("year"))
+
+
 # ---------------------------------------------------------------- detection
 
 
@@ -439,20 +451,27 @@ def tech_prose(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey AS id", "concat('Since ', CASE p_size % 3 WHEN 0 THEN 'live' WHEN 1 THEN 'Production' ELSE 'beta' END, ' ', CASE p_partkey % 5 WHEN 0 THEN 'Go' WHEN 1 THEN 'python' WHEN 2 THEN 'C++' WHEN 3 THEN 'Rusty' ELSE 'Elixir' END, ' serves ', p_name) AS text")
 
 
+DUCK["v_dated"] = "SELECT id, CASE WHEN id % 2 = 0 THEN replace(text, 'since', 'around') ELSE text END AS text FROM v_prose"
+
+
+def dated_prose(spark, d):
+    """The prose, in half of which a year follows a preposition that makes it no claim."""
+    return views.prose(spark, d).withColumn("text", F.expr("IF(id % 2 = 0, replace(text, 'since', 'around'), text)"))
+
+
 def _pattern_query(name: str, category: str, pattern: str):
-    source, view = (tech_prose, "v_techprose") if category == "tech_in_production" else (views.prose, "v_prose")
-    sql = f"SELECT id, m AS text FROM (SELECT id, unnest(regexp_extract_all(text, '{pattern}', 0)) AS m FROM {view})"
+    source, view = {"tech_in_production": (tech_prose, "v_techprose"), "date": (dated_prose, "v_dated")}.get(category, (views.prose, "v_prose"))
+    where = " WHERE NOT contains(text, 'since '||m)" if category == "date" else ""
+    sql = f"SELECT id, m AS text FROM (SELECT id, text, unnest(regexp_extract_all(text, '{pattern}', 0)) AS m FROM {view}){where}"
 
     def run(spark, d):
-        p = source(spark, d)
-        found = p.select("id", F.explode(detect.pattern_spans("text")).alias("s")).where(F.col("s.category") == category)
-        return found.select("id", "s.text")
+        return detect.candidates(source(spark, d)).where(F.col("category") == category).select(F.col("k").alias("id"), "text")
 
     run.__name__ = name
     query(sql)(run)
 
 
-for _category, _pattern, _ in detect.PATTERNS:
+for _category, _pattern, _ in spans.PATTERNS:
     _pattern_query(f"detect_patterns_{_category}", _category, _pattern)
 
 
@@ -542,10 +561,19 @@ def forbidden_fuzzy(spark, d):
     return fuzzy.forbidden_fuzzy(docs, views.rules(spark, d), 1, "doc_id")
 
 
-@query("SELECT count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND y) AS fn, count(*) FILTER (NOT p AND NOT y) AS tn, count(*) FILTER (p AND y) / count(*) FILTER (p) AS precision, count(*) FILTER (p AND y) / count(*) FILTER (y) AS recall, count(*) FILTER (p AND NOT y) / count(*) FILTER (NOT y) AS fp_rate, count(*) FILTER (NOT p AND y) / count(*) FILTER (y) AS fn_rate FROM (SELECT contains(text, '!!') OR contains(text, '%%%') AS p, quality = 0 AS y FROM labels JOIN documents USING (doc_id))")
+#: Every pattern but that of dates, which has an exception.
+_UNDATED = "|".join(f"({p})" for category, p, _ in spans.PATTERNS if category != "date")
+
+
+@query(f"""SELECT count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND y) AS fn, count(*) FILTER (NOT p AND NOT y) AS tn, CASE WHEN count(*) FILTER (p) > 0 THEN count(*) FILTER (p AND y) / count(*) FILTER (p) END AS precision,
+  CASE WHEN count(*) FILTER (y) > 0 THEN count(*) FILTER (p AND y) / count(*) FILTER (y) END AS recall, CASE WHEN count(*) FILTER (NOT y) > 0 THEN count(*) FILTER (p AND NOT y) / count(*) FILTER (NOT y) END AS fp_rate, CASE WHEN count(*) FILTER (y) > 0 THEN count(*) FILTER (NOT p AND y) / count(*) FILTER (y) END AS fn_rate
+  FROM (SELECT regexp_matches(t, '{_UNDATED}') AS p, o_orderkey % 3 = 0 AS y FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 11 = 0 THEN 'I built p'||o_custkey||' for '||o_custkey||' users' WHEN o_orderkey % 7 = 0 THEN 'We had '||o_custkey||'% of it live' ELSE 'Order '||o_orderkey||' of 2020-01-02 is '||o_orderpriority END || CASE WHEN o_orderkey % 33 = 0 THEN ' (I believe)' ELSE '' END AS t FROM orders))""")
 def detector_quality(spark, d):
-    rows = spark.read.parquet(f"{d}/labels.parquet").join(spark.read.parquet(f"{d}/documents.parquet"), "doc_id")
-    return detect.quality(rows.selectExpr("contains(text, '!!') OR contains(text, '%%%') AS p", "quality = 0 AS y"), "p", "y")
+    """The detector's own findings in a sentence for each order, against what the order's key says should be found."""
+    text = "concat(CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 11 = 0 THEN concat('I built p', o_custkey, ' for ', o_custkey, ' users') WHEN o_orderkey % 7 = 0 THEN concat('We had ', o_custkey, '% of it live') ELSE concat('Order ', o_orderkey, ' of 2020-01-02 is ', o_orderpriority) END, IF(o_orderkey % 33 = 0, ' (I believe)', ''))"
+    rows = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey AS id", f"{text} AS text")
+    found = detect.detect(rows, views.facts(spark, d)).where("category <> 'date'").select("id").distinct().withColumn("p", F.lit(True))
+    return detect.quality(rows.select("id").join(found, "id", "left").select(F.coalesce("p", F.lit(False)).alias("p"), (F.col("id") % 3 == 0).alias("y")), "p", "y")
 
 
 @query("SELECT conv_id, turn, trim(s) AS sentence FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[.!?\\n]')) AS s FROM conversations) WHERE trim(s) <> ''")
@@ -558,14 +586,12 @@ def sentence_split(spark, d):
 def uncovered_sentences(spark, d):
     """Sentences that no claim overlaps: every other text has a second one that claims nothing."""
     prose = views.prose(spark, d).withColumn("text", F.expr("concat(text, IF(id % 2 = 0, concat('. Box b', id, ' stays'), '; Box 3 GB.'))"))
-    s = prose.select("id", F.explode(tx.sentences("text")).alias("s"))
-    c = detect.detect(prose, views.facts(spark, d)).select(F.col("id").alias("cid"), "start", "end")
-    left = s.join(c, (s.id == c.cid) & (F.col("s.start") < c.end) & (F.col("s.end") > c.start), "left_anti")
-    return left.select("id", F.trim("s.text").alias("sentence"))
+    found = audit.hybrid(prose, detect.detect(prose, views.facts(spark, d)), lambda t: True)
+    return found.where("category = 'llm'").select("id", F.trim("text").alias("sentence"))
 
 
 #: No claim of a conversation holds a sentence's end, so sentences can be judged one by one.
-_CLAIM = "|".join(f"({p})" for _, p, _ in detect.PATTERNS)
+_CLAIM = "|".join(f"({p})" for _, p, _ in spans.PATTERNS)
 
 
 @query(f"""WITH t AS (SELECT row_number() OVER () AS rid, conv_id, turn, regexp_split_to_array(text, '[.!?\\n]') AS x FROM conversations WHERE text IS NOT NULL),
@@ -574,10 +600,11 @@ _CLAIM = "|".join(f"({p})" for _, p, _ in detect.PATTERNS)
   SELECT conv_id, turn, start, CAST(start + strlen(s) AS INTEGER) AS "end", trim(s) AS sentence FROM o WHERE trim(s) <> '' AND NOT regexp_matches(s, '{_CLAIM}')""")
 def uncovered_session_sentences(spark, d):
     """Sentences of conversations that no claim overlaps; claims are found row by row, so repeated turns stay apart."""
-    c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text", detect.pattern_spans("text").alias("c"))
-    c = c.withColumn("c", detect.drop_temporal_years("c", "text")).withColumn("c", detect.resolve_overlaps("c")).withColumn("s", tx.sentences("text"))
-    left = F.expr("filter(s, x -> NOT exists(c, y -> x.start < y.end AND x.end > y.start))")
-    return c.select("conv_id", "turn", F.explode(left).alias("s")).select("conv_id", "turn", "s.start", "s.end", F.trim("s.text").alias("sentence"))
+    c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text").withColumn("id", F.monotonically_increasing_id())
+    c = materialize(c, "turns")
+    claims = detect.candidates(c, resolved=True).withColumnRenamed("k", "id").drop("stage")
+    left = audit.hybrid(c, claims, lambda t: True).where("category = 'llm'")
+    return left.select("id", "start", "end", F.trim("text").alias("sentence")).join(c.select("id", "conv_id", "turn"), "id").select("conv_id", "turn", "start", "end", "sentence")
 
 
 # ---------------------------------------------------------------- facts
@@ -867,18 +894,20 @@ def line_of_end(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", tx.line_of(F.col("text"), F.octet_length("text")).cast("int").alias("line"))
 
 
-@query("SELECT a.id, levenshtein(a.name, b.name) AS dist FROM v_symbols a JOIN v_symbols b ON b.id = a.id + 1")
+@query("SELECT a.id, CAST(least(levenshtein(a.name, b.name), 6) AS INTEGER) AS dist FROM v_symbols a JOIN v_symbols b ON b.id = a.id + 1")
 def edit_distance_pairs(spark, d):
+    """The bounded distance of neighbouring names: 6 stands for more than 5 edits."""
     s = views.symbols(spark, d).select("id", "name")
     n = s.select((F.col("id") - 1).alias("id"), F.col("name").alias("other"))
-    return s.join(n, "id").select("id", F.levenshtein(tx.byte_view(F.col("name")), tx.byte_view(F.col("other"))).cast("long").alias("dist"))
+    return s.join(n, "id").select("id", fuzzy.bounded_distance(5)("name", "other").alias("dist"))
 
 
-@query("SELECT page_id, (length(html) - length(replace(html, '<script', ''))) // 7 AS n_blocks FROM pages")
+@query(r"""SELECT page_id, len(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>.*?</script\s*>')) AS n_blocks FROM pages""")
 def script_blocks(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet")
-    bare = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
-    return p.select("page_id", F.size(F.regexp_extract_all(bare, F.lit(r"(?is)(<script\b[^>]*(?<!/)>.*?</script\s*>)"), 1)).cast("long").alias("n_blocks"))
+    """Script blocks of pages, by the table function that extraction uses."""
+    udtf.register(spark)
+    spark.read.parquet(f"{d}/pages.parquet").createOrReplaceTempView("script_pages")
+    return spark.sql("SELECT page_id, count(s.lines) AS n_blocks FROM script_pages LEFT JOIN LATERAL script_blocks(html) s GROUP BY page_id")
 
 
 @query("""SELECT 'pkg/m'||id||'.py' AS path, unnest(['C'||id, 'run', 'LIMIT']) AS name, unnest(['pkg.m'||id||'.C'||id, 'pkg.m'||id||'.C'||id||'.run', 'pkg.m'||id||'.LIMIT']) AS qualified_name, unnest(['type', 'method', 'var']) AS kind,
