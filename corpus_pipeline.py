@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristrata.llm import bpe, langid, mixing, neardup, pii
-from veristrata.llm.common import materialize
+from veristrata.llm.common import materialize, spare
 from veristrata.llm.queries import LANGID_SAMPLE, MIX_SEED, MIX_WEIGHTS, tokenizer_path
 
 #: A text goes if no language has this share of its words; with four languages a guess has a quarter.
@@ -20,11 +20,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: that of the least id. Rows with a null or repeated id are grouped by text like others; null ids come last."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = neardup.components(rows, "__row").select("__row", "component_id")
-    named = rows.select("__row", "doc_id").join(found, "__row")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("x"))
-    return rows.join(first.select(F.col("x.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    row = spare(docs, "__row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = neardup.components(rows, row).select(F.col(row).alias("__of"), F.col("component_id").alias("__group"))
+    named = rows.select(row, "doc_id").join(found, F.col(row) == F.col("__of"))
+    first = named.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("x"))
+    return rows.join(first.select(F.col(f"x.{row}").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat (or not) by their source's target share; the copies are the rows."""
-    return mixing.mix(docs, MIX_WEIGHTS, seed=MIX_SEED).select(*docs.columns)
+    """Documents repeat (or not) by their source's target share; the copies are the rows. All columns stay, one called copy too."""
+    return mixing.mix(docs, MIX_WEIGHTS, seed=MIX_SEED, copy=spare(docs, "__copy")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
