@@ -710,3 +710,59 @@ def test_languages_of_long_labelled_texts(spark):
     assert bare.languages == [] and langid.keep_known(long.withColumn("text", F.lit("1 2")), bare, 0.3).count() == 0
     with pytest.raises(ValueError, match="language"):
         langid.keep_known(long, bare, 0.3)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns that are called as a stage's own helpers, with their values and types."""
+    import corpus_pipeline
+
+    rows = [(k, f"hello the number {k} of many words that is not like others {k * 7} {k * 13} {k * 17}", "en", f"s{k % 3}", 9, f"own {k}", f"mine {k}", "u") for k in range(1, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __row string, copy string, component_id string")
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.mix_sources):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert all(r["__row"] == f"own {r.doc_id}" and r["copy"] == f"mine {r.doc_id}" for r in out.collect())
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 19
+
+
+def test_media_columns_of_one_name(spark):
+    items = spark.createDataFrame([(1, "d", "a"), (2, None, "b")], "doc_id long, digest string, feature string")
+    got = media.resolve(items, spark.createDataFrame([("d", "f", "x")], "digest string, feature string, feature_ string"))
+    assert sorted(map(tuple, got.select("doc_id", "feature", "feature__", "feature_").collect())) == [(1, "a", "f", "x"), (2, "b", None, None)]
+
+
+def test_page_sequences_equal_a_plain_reading(spark):
+    """Every page's text, in order, is what is left without tags, scripts and styles; media are its sources, in order."""
+    import hashlib
+    import html as entities
+
+    from veristrata.llm.queries import QUERIES
+
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    got = {}
+    for r in QUERIES["page_sequences"](spark, "/root/testdata/sf0.001").collect():
+        got.setdefault(r.page_id, []).append(r)
+    for k, page in pages.items():
+        rows = sorted(got.get(k, []), key=lambda r: r.pos)
+        assert [r.pos for r in rows] == list(range(len(rows)))
+        bare = re.sub(r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style)\b.*?</\1\s*>", "", page or "")
+        assert [r.ref for r in rows if r.kind == "media"] == [m[2] for m in re.finditer(r"(?is)<(?:img|video|audio|source|embed|iframe)\b[^>]*?\bsrc\s*=\s*([\"']?)([^\"'\s>]+)", bare)]
+        words = " ".join(entities.unescape(re.sub(r"(?s)<[^>]*>", " ", re.sub(r"(?is)<figcaption.*?</figcaption>", " ", bare))).split())
+        told = {r.text_sha256 for r in rows if r.kind == "text"}
+        assert bool(told) == bool(words) and len(told) <= max(1, len(words))
+        runs = [x for x in re.split(r"(?s)(?:\s*<[^>]*>\s*)+", bare) if x.strip()]
+        single = {hashlib.sha256(" ".join(entities.unescape(x).split()).encode()).hexdigest() for x in runs}
+        assert told & single or not told
+
+
+def test_rule_order_does_not_follow_the_order_of_rows(spark):
+    rows = [(f"word{k} " * 30 + "!" * (k % 40), f"s{k // 200}") for k in range(600)]
+    df = spark.createDataFrame(rows, "text string, source string")
+    assert quality_rules.order_rules(df.orderBy("source").coalesce(1), sample_rows=50) == quality_rules.order_rules(df.orderBy("text").repartition(7), sample_rows=50)
+    assert quality_rules.order_rules(df.limit(0)) and quality_rules.order_rules(df.limit(1))
+
+
+def test_conversations_of_null_and_text_ids(spark):
+    talks = spark.createDataFrame([(None, None, "user", "a"), (None, 1, "assistant", "b"), ("5", 0, None, None), ("5", 0, None, None)], "conv_id string, turn int, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digests(chat.reconstruct(chat.log_of(talks))).collect()}
+    assert got == {None: (2, 1), 5: (2, 0)}

@@ -119,7 +119,9 @@ def reconstruct(log: DataFrame) -> DataFrame:
     """(conv_id, turn, formatted, loss_start, loss_end): each final message rendered, conversations whole and in order.
 
     The log is dealt by conversation and sorted by sequence; the sort spills, and the fold holds one message,
-    so a conversation of any length streams through its task. Offsets are code points within `formatted`.
+    so a conversation of any length streams through its task. Offsets are code points within `formatted`. Null roles and
+    texts are empty as log_of() has them, null conversations are one, null turns come first; empty texts are turns; events of
+    equal rows stay apart by `copy`. An empty log gives an empty table.
     """
 
     def run(batches):
@@ -131,7 +133,11 @@ def reconstruct(log: DataFrame) -> DataFrame:
 
 
 def digests(segments: DataFrame) -> DataFrame:
-    """One row per conversation, read back from rendered segments that lie in order, conversation by conversation."""
+    """One row per conversation, read back from rendered segments that lie in order, conversation by conversation.
+
+    Empty texts count as turns without loss; a conversation without an assistant has the digest of no text; a null
+    conversation is one of its own; segments that repeat are turns of their own. No segments give no rows.
+    """
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def walk(batches):

@@ -194,7 +194,10 @@ def store(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def describe(stored: DataFrame) -> DataFrame:
-    """What is read back from each stored item: payload size and digests, checksum of its tail, features."""
+    """What is read back from each stored item: payload size and digests, checksum of its tail, features.
+
+    Items that repeat are described each; media that is null or not of the stored form is an error, as the store holds none. An empty store gives an empty table.
+    """
 
     def run(batches):
         for b in batches:
@@ -215,11 +218,27 @@ _DESCRIBED = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_
 def resolve(items: DataFrame, resolved: DataFrame) -> DataFrame:
     """items (with digest) and the columns that `resolved` has by digest; unknown and null digests keep their place with nulls.
 
-    Items that repeat a digest each get its columns. Columns of items and of resolved must not share a name but digest.
+    Items that repeat a digest each get its columns. A column of resolved whose name items has comes with underscores after it.
     """
+    for c in resolved.columns:
+        if c != "digest" and c.lower() in (x.lower() for x in items.columns):
+            new = c + "_"
+            while new.lower() in {x.lower() for x in (*items.columns, *resolved.columns)}:
+                new += "_"
+            resolved = resolved.withColumnRenamed(c, new)
     return items.join(resolved, "digest", "left")
 
 
+def page_sequences(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, pos, kind, text_sha256, ref, caption, digest): every item of every page in document order.
+
+    digest is that of a reference to the store, else null. A page without items, as a null or empty one, has no row; rows repeat as in pages.
+    """
+    x = interleave(pages, key, html).select(F.col(key), F.explode("sequence").alias("m"))
+    digest = F.when(F.startswith(F.col("m.ref"), F.lit(SCHEME)), F.substring("m.ref", len(SCHEME) + 1, 64))
+    return x.select(key, F.col("m.pos").alias("pos"), F.col("m.kind").alias("kind"), F.sha2("m.text", 256).alias("text_sha256"), F.col("m.ref").alias("ref"), F.col("m.caption").alias("caption"), digest.alias("digest"))
+
+
 def documents_as_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, html): each document as a page that holds one figure, whose media is the whole text.
 

@@ -36,7 +36,9 @@ def unit_hash(key: Column, seed: int) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float], total: float | None, source: str) -> dict[str | None, float]:
-    """Mean repetitions by source; None stands for all sources without a weight of their own ("*").
+    """Mean repetitions by source; None stands for all sources without a weight of their own ("*"), and for null ones.
+
+    An empty table gives rates of 0; rows that repeat count each.
 
     The counts come from one aggregate with as many rows as there are weights, whatever the corpus holds.
     """

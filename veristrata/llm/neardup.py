@@ -21,7 +21,11 @@ def _kind(df: DataFrame, column: str) -> str:
 
 
 def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, k0, k1, n, bands): hashes of the word sequence, size of the shingle set, band hashes of its signature."""
+    """(id, k0, k1, n, bands): hashes of the word sequence, size of the shingle set, band hashes of its signature.
+
+    Null, empty and wordless texts have n 0 and no bands; texts of fewer than five words are one shingle; equal texts have
+    equal rows but for the id; rows repeat as in docs, and an empty table gives an empty one.
+    """
 
     def run(batches):
         for b in batches:

@@ -229,7 +229,7 @@ def fit(counts: dict[tuple[int, ...], int], rounds: int = 60, ridge: float = 1.0
 
 
 def train(docs: DataFrame, text: str = "text") -> np.ndarray | None:
-    """The span classifier of this corpus; None if no text has a candidate (then only base spans are found)."""
+    """The span classifier of this corpus; None if no text has a candidate (then only base spans are found). Null and empty texts have none; texts that repeat count as often as they occur; the order of rows does not matter."""
     return fit(patterns(docs, text))
 
 
@@ -256,7 +256,7 @@ def detect(docs: DataFrame, weights: np.ndarray | None, key: str = "doc_id", tex
 
 
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts and digests of detect()'s spans."""
+    """Counts and digests of detect()'s spans. A text without any has counts of 0, an empty span list and the digest of no text; rows repeat as in found."""
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
     count = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in KINDS]

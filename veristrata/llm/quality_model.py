@@ -81,7 +81,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 
 def describe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, stats array<double>) for every row."""
+    """(key, stats array<double>) for every row. Null texts are empty, empty texts have statistics too (all counts 0); rows repeat as in docs."""
 
     def run(batches):
         for b in batches:
@@ -203,7 +203,7 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
 
 
 def predict(stats: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """(key, held_out, score, predicted) for every row of describe()'s table."""
+    """(key, held_out, score, predicted) for every row of describe()'s table. Equal statistics get equal scores; a null key is not held out; an empty table gives an empty one."""
 
     def run(batches):
         for b in batches:

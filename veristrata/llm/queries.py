@@ -48,6 +48,11 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "doc.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text runs and media of every page in document order, with references and captions. Null pages have no items; rows repeat as in pages."""
+    return media.page_sequences(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url, with redirects and canonical links that its HTML names. Null urls have empty host and path, and pass."""
     pages = table(spark, sf_dir, "pages")
@@ -112,6 +117,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_media": op3_media,
+    "page_sequences": page_sequences,
     "op4_pii": op4_pii,
     "op5_url_filters": op5_url_filters,
     "op6_mixing": op6_mixing,
