@@ -765,3 +765,28 @@ def test_golden_claims(spark):
         assert raw[r.start : r.end].decode() == r.text
         got[r.id].append((r.category, r.verdict, r.text, r.path))
     assert got == {i: want for i, (_, want) in enumerate(GOLDEN)}
+
+
+def test_joined_rules_equal_a_scan_of_each(spark, monkeypatch):
+    """Rules of any number of edits, short ones, ones of few bytes a piece, in any case, beside texts of any bytes: as fuzzy() finds them one by one."""
+    rng = random.Random(8)
+    words = ["alpha", "beta", "Gamma", "12", "ñu", "x", "delta-9", "of", "Ünder", "the"]
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rules = [(k, said(rng.randint(1, 5)), rng.choice([0, 0, 1, 1, 2, 3])) for k in range(80)] + [(90, "a", 3), (91, "", 1), (92, None, 1), (93, "beta of", None)]
+
+    def bent(text):
+        out = list(text)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(out))
+            out[at] = rng.choice(["", out[at] * 2, "q", out[at].upper()])
+        return "".join(out)
+
+    texts = [bent(said(rng.randint(1, 30))) for _ in range(60)] + ["", None, "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    table = spark.createDataFrame(rules, "ord int, text string, fuzz int")
+    want = sorted((i, o, s, e, t.encode()[s:e].decode("utf-8", "replace")) for i, t in enumerate(texts) if t for o, needle, f in rules if needle for s, e in fuzzy.fuzzy(t.encode(), needle.encode(), f or 0))
+    got = sorted(map(tuple, fuzzy.joined(docs, table).collect()))
+    assert got == want and len(got) > 100
+    monkeypatch.setattr(fuzzy, "BROADCAST_RULES", 3)
+    assert sorted(map(tuple, fuzzy.forbidden(docs, table, default_fuzz=0).collect())) == want
+    assert fuzzy.joined(docs, table.limit(0)).collect() == fuzzy.joined(docs.limit(0), table).collect() == []

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .detect import forbidden_exact
+from ..tables import materialize
+from .detect import BROADCAST_RULES, forbidden_exact
 
 _WORD = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 _RUNS = re.compile(rb"[0-9]+")
@@ -119,14 +122,120 @@ def fuzzy(text: bytes, needle: bytes, threshold: int) -> list[tuple[int, int]]:
 
 
 def forbidden(docs: DataFrame, rules: DataFrame, key: str = "id", text: str = "text", default_fuzz: int = 1) -> DataFrame:
-    """(key, ord, start, end, text) of all rules, each with its own number of edits (fuzz, else the default); those without any stay in the JVM."""
+    """(key, ord, start, end, text) of all rules, each with its own number of edits (fuzz, else the default); those without any stay in the JVM.
+
+    More than BROADCAST_RULES rules are joined with the texts instead (joined()): the rows are the same.
+    """
     if "fuzz" not in rules.columns:
         rules = rules.withColumn("fuzz", F.lit(default_fuzz))
     rules = rules.withColumn("fuzz", F.coalesce(F.col("fuzz").cast("int"), F.lit(default_fuzz)))
+    if rules.limit(BROADCAST_RULES + 1).count() > BROADCAST_RULES:
+        return joined(docs, rules, key, text)
     near = forbidden_fuzzy(docs, rules.where("fuzz > 0"), default_fuzz, key, text)
     return forbidden_exact(docs, rules.where("fuzz <= 0"), key, text).unionByName(near)
 
 
+# ---------------------------------------------------------------- rules that no driver or task holds
+
+#: Lengths of the anchors that pieces of needles are found by: a piece has the longest that fits.
+ANCHORS = (12, 8, 5, 3, 2, 1, 0)
+#: Bits of the filter that a text's runs of bytes must pass before they are joined: its size is fixed, 2 MB.
+FILTER_BITS = 1 << 24
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _hashes(raw: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of `size` bytes, by place; it only proposes rules."""
+    n = len(raw) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    h = np.full(n, size + 1, dtype=np.uint64)
+    for j in range(size):
+        h = h * np.uint64(_BASE) + raw[j : j + n] + np.uint64(1)
+    h ^= h >> np.uint64(29)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def anchors_of(needle: bytes, threshold: int) -> set[tuple[int, int]]:
+    """(length, hash): one for each of threshold + 1 pieces of a needle. A window with no more edits than that holds one of them."""
+    want = np.frombuffer(needle.lower(), dtype=np.uint8)
+    count = max(threshold, 0) + 1
+    cuts = [len(want) * k // count for k in range(count + 1)]
+    out = set()
+    for a, b in zip(cuts, cuts[1:]):
+        size = next(x for x in ANCHORS if x <= b - a)
+        out.add((size, int(_hashes(want[a : a + size], size)[0].astype(np.int64)) if size else 0))
+    return out
+
+
+def joined(docs: DataFrame, rules: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, ord, start, end, text): what fuzzy() finds of every rule (ord, text, fuzz) in every text, for rules of any number.
+
+    Each needle's pieces are rows with the hash of an anchor; a text gives the hashes of its runs of those lengths that
+    pass a filter of all anchors (a bitmap of fixed size, built by an aggregate; the only thing that reaches the driver).
+    Texts and rules that share a hash meet by a join, and a text is then read once beside its rules, which stream past
+    it by ord. Null and empty texts and rules have no hits; keys must be distinct.
+    """
+    listed = rules.select("ord", F.col("text").alias("needle"), F.coalesce(F.col("fuzz").cast("int"), F.lit(0)).alias("fuzz")).where("needle IS NOT NULL AND needle <> ''")
+
+    def pieces(batches):
+        for b in batches:
+            rows = [(o, n, f, size, h) for o, n, f in zip(*(c.to_pylist() for c in b.columns)) for size, h in anchors_of(n.encode(), f)]
+            columns = list(zip(*rows)) if rows else [()] * 5
+            kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["ord", "needle", "fuzz", "size", "h"])
+
+    anchors = materialize(listed.select(F.col("ord").cast("int").alias("ord"), "needle", "fuzz").mapInArrow(pieces, "ord int, needle string, fuzz int, size int, h long"), "anchors")
+    slot = F.pmod(F.col("h"), F.lit(FILTER_BITS)) + 1  # Spark numbers the bits of a bitmap from 1
+    maps = anchors.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
+    sizes = sorted(r[0] for r in anchors.select("size").distinct().collect())
+    packed = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in maps:
+        part = np.frombuffer(r["bits"], np.uint8)
+        packed[(r["bucket"] - 1) * len(part) : r["bucket"] * len(part)] = part
+
+    def runs(batches):
+        known = np.unpackbits(packed, bitorder="little").view(bool)
+        for b in batches:
+            keys, hashes = [], []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                raw = np.frombuffer((t or "").encode().lower(), dtype=np.uint8)
+                if not len(raw):
+                    continue
+                for size in sizes:
+                    h = np.unique(_hashes(raw, size)) if size else np.zeros(1, np.uint64)
+                    h = h.astype(np.int64)
+                    h = h[known[h % FILTER_BITS]]
+                    keys.append(np.full(len(h), k))
+                    hashes.append(h)
+            at = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], names=["k", "h"])
+
+    src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    kind = src.schema["k"].dataType.simpleString()
+    met = src.mapInArrow(runs, f"k {kind}, h long").join(anchors, "h").groupBy("k", "ord", "needle", "fuzz").agg(F.lit(1).alias("kind"))
+    whole = src.join(met.select("k").distinct(), "k", "left_semi").select("k", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("ord"), "t", F.lit(None).cast("int").alias("fuzz"))
+    dealt = whole.unionByName(met.select("k", "kind", "ord", F.col("needle").alias("t"), "fuzz")).repartition("k").sortWithinPartitions("k", "kind", "ord", "t")
+
+    def scan(batches):
+        raw = b""
+        for b in batches:
+            at, rows = [], []
+            for row, (which, o, t, f) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 5)))):
+                if which == 0:
+                    raw = (t or "").encode()
+                    continue
+                hits = [(o, s, e, raw[s:e].decode("utf-8", "replace")) for s, e in fuzzy(raw, t.encode(), f)]
+                at += [row] * len(hits)
+                rows += hits
+            columns = list(zip(*rows)) if rows else [()] * 4
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["k", "ord", "start", "end", "text"])
+
+    found = dealt.select("k", "kind", "ord", "t", "fuzz").mapInArrow(scan, f"k {kind}, ord int, start int, end int, text string")
+    return found.withColumnRenamed("k", key)
+
+
 class Pieces:
     """Which needles can occur in a text with up to their threshold of edits: one pass over the text for all of them."""
 

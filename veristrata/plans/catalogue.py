@@ -561,6 +561,18 @@ def forbidden_fuzzy(spark, d):
     return fuzzy.forbidden_fuzzy(docs, views.rules(spark, d), 1, "doc_id")
 
 
+DUCK["v_many_rules"] = "SELECT CAST(p_partkey + 1000000 AS INTEGER) AS ord, p_name AS text FROM part UNION ALL SELECT ord, text FROM v_rules"
+
+
+@query("SELECT doc_id, ord FROM (SELECT doc_id, lower(text) AS t FROM documents) JOIN v_many_rules r ON contains(t, lower(r.text)) AND regexp_matches(t, '(^|[^a-z0-9_])'||regexp_escape(lower(r.text))||'($|[^a-z0-9_])') UNION ALL SELECT -p_partkey, ord FROM part JOIN v_many_rules r ON r.text = p_name")
+def forbidden_joined(spark, d):
+    """A rule for each part beside the benchmark's, without edits, in documents and in a sentence for each part: by a join, nothing of rules or texts is collected."""
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    rules = parts.selectExpr("cast(p_partkey + 1000000 AS int) AS ord", "p_name AS text").unionByName(views.rules(spark, d).select("ord", "text")).withColumn("fuzz", F.lit(0))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").unionByName(parts.selectExpr("-p_partkey AS doc_id", "concat('It is ', upper(p_name), '.') AS text"))
+    return fuzzy.joined(docs, rules, "doc_id").select("doc_id", "ord").distinct()
+
+
 #: Every pattern but that of dates, which has an exception.
 _UNDATED = "|".join(f"({p})" for category, p, _ in spans.PATTERNS if category != "date")
 
