@@ -1069,3 +1069,60 @@ def session_state_stream(spark, d):
     rows = raw.selectExpr("cast(user_id AS string) AS session_id", "cast(ts AS timestamp) AS ts", "event_type NOT IN ('error', 'view') AS verified", "CASE event_type WHEN 'purchase' THEN true WHEN 'error' THEN false END AS vet_ok")
     folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/totals-{uuid.uuid4().hex}"
     return st.drain_last(st.session_totals(rows), f"{folder}/out", f"{folder}/checkpoint")
+
+
+def streamed_events(spark, d):
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+
+
+@query("SELECT DISTINCT 'u'||user_id AS path, event_type AS hash FROM events")
+def unchanged_stream(spark, d):
+    """Files that come again unchanged go: each path and hash once."""
+    from ..streaming import events as st
+
+    rows = streamed_events(spark, d).selectExpr("concat('u', user_id) AS path", "event_type AS hash", "cast(ts AS timestamp) AS ts")
+    return drained(spark, st.unchanged_dropped(rows, "60 days").select("path", "hash"))
+
+
+@query("""SELECT project, path, secs AS "at", coalesce(prior = 'token' AND secs - issued <= 86400, false) AS covered FROM (
+  SELECT *, lag(kind) OVER w AS prior, lag(secs) OVER w AS issued FROM (SELECT 'p'||(user_id % 3) AS project, 'u'||user_id AS path, CAST(floor(epoch(ts)) AS BIGINT) AS secs, ts, CASE event_type WHEN 'signup' THEN 'token' ELSE 'edit' END AS kind FROM events)
+  WINDOW w AS (PARTITION BY project, path ORDER BY ts, kind DESC)) WHERE kind = 'edit'""")
+def token_stream(spark, d):
+    """Edits that a token covers: it comes just before them, within a day, and is used up by one."""
+    from ..streaming import events as st
+
+    rows = streamed_events(spark, d).selectExpr("concat('p', user_id % 3) AS project", "concat('u', user_id) AS path", "cast(ts AS timestamp) AS ts", "IF(event_type = 'signup', 'token', 'edit') AS kind")
+    return drained(spark, st.tokens(rows, 86400))
+
+
+@query("SELECT CASE WHEN event_id % 10 = 0 OR event_type = 'error' THEN 'deny' ELSE 'pass' END AS decision, event_id % 10 = 0 AS malformed, count(*) AS n FROM events GROUP BY ALL")
+def pre_edit_stream(spark, d):
+    """Envelopes as lines of JSON, every tenth of them cut off: a verdict for each, and malformed ones are denied."""
+    import uuid
+
+    from ..streaming import events as st
+    from ..tables import shared_dir
+
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/envelopes-{uuid.uuid4().hex}"
+    e = spark.read.parquet(f"{d}/events.parquet")
+    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("session_id"), F.lit("PreEdit").alias("hook_event_name"), F.struct(F.concat(F.lit("src/"), "event_type", F.lit("/m.md")).alias("file_path"), F.lit("x").alias("content")).alias("tool_input")))
+    e.select(F.when(F.col("event_id") % 10 == 0, F.substring(line, 1, 30)).otherwise(line).alias("value")).write.text(folder)
+    verdicts = st.pre_edit_verdicts(st.read_envelopes(spark, folder), [("errors are closed", "src/([a-z]+)/", ["error"])], [])
+    return drained(spark, verdicts.select("decision", "malformed")).groupBy("decision", "malformed").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- imports
+
+
+@query("SELECT id, CASE id % 3 WHEN 0 THEN 'lib.F'||id WHEN 1 THEN 'lib.F'||id||',own.G' ELSE 'own.G' END AS missing FROM v_symbols")
+def import_precedence(spark, d):
+    """An alias that a snippet, its file and its siblings import from different paths: the nearest import decides whether it is tracked."""
+    s = views.symbols(spark, d).select("id")
+    snippets = s.select("id", F.concat(F.lit("func f() { lib.F"), F.col("id").cast("string"), F.lit("(); own.G(); far.H() }")).alias("text"))
+    rows = [("lib", "own/lib", F.lit(0), "id % 3 = 0"), ("lib", "other/lib", F.lit(1), "true"), ("lib", "own/sibling", F.lit(2), "true"), ("lib", "own/near", F.lit(0), "id % 3 = 1"), ("own", "other/x", F.lit(2), "true"), ("own", "own/x", F.lit(1), "id % 3 > 0"), ("far", "far/x", F.lit(0), "true"), ("far", "own/far", F.lit(1), "true")]
+    imports = None
+    for alias, path, priority, where in rows:
+        part = s.where(where).select("id", F.lit(alias).alias("alias"), F.lit(path).alias("path"), priority.alias("priority"))
+        imports = part if imports is None else imports.unionByName(part)
+    return guard.fabricated_references(snippets, imports, views.symbols(spark, d).select(F.concat(F.lit("no "), "name").alias("name")), "own/")
