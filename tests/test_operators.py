@@ -673,7 +673,7 @@ def test_yaml():
 
     assert yaml.load(YAML) == {"a": {"b": [1, "x, y", {"c": None}], "d": True}, "list": ["one", {"two": 2, "three": "3\n"}, ["x"]], "text": "first\n  second\n", "fold": "some words", "q k": 16, "plain": "goes on"}
     assert yaml.load("") is None and yaml.load("- a: 1\n  b: 2\n-\n  - c") == [{"a": 1, "b": 2}, ["c"]] and yaml.load("x: 1.5e3") == {"x": 1500.0}
-    for bad in ("a: &x 1", "a: 1\na: 2", "a: [1, 2", "a: 1\n---\nb: 2", "a:\n   b: 1\n  c: 2", "a: *x", "\ta: 1"):
+    for bad in ("a: 1\na: 2", "a: [1, 2", "a: !!int x", "a:\n   b: 1\n  c: 2", "a: *x", "\ta: 1", "a: {b: *y}", "<<: 1"):
         with pytest.raises(ValueError, match="line"):
             yaml.load(bad)
 
@@ -790,3 +790,42 @@ def test_joined_rules_equal_a_scan_of_each(spark, monkeypatch):
     monkeypatch.setattr(fuzzy, "BROADCAST_RULES", 3)
     assert sorted(map(tuple, fuzzy.forbidden(docs, table, default_fuzz=0).collect())) == want
     assert fuzzy.joined(docs, table.limit(0)).collect() == fuzzy.joined(docs.limit(0), table).collect() == []
+
+
+def test_yaml_anchors_aliases_merges_and_tags():
+    from veristrata.sources import yaml
+
+    text = """
+base: &base
+  name: atlas
+  n: &n 5
+list: &l
+  - &first one
+  - *first
+  - &m
+    k: v
+  - !!str 12
+other:
+  <<: *base
+  n: 6
+flow: {<<: [*m, {k: w, z: 1}], a: *n, b: &f [1, 2], c: *f}
+tags: [!!str 1, !!float 2, !own x, !!int "3"]
+text: !!str |
+  1
+block: &b |
+  two
+again: *b
+seq: *l
+none: !!null
+own: !thing {a: 1}
+empty: &e
+after: *e
+--- 
+second: document
+"""
+    got = yaml.load(text)
+    assert got == {
+        "base": {"name": "atlas", "n": 5}, "list": ["one", "one", {"k": "v"}, "12"], "other": {"name": "atlas", "n": 6}, "flow": {"a": 5, "b": [1, 2], "c": [1, 2], "k": "v", "z": 1}, "tags": ["1", 2.0, "x", 3],
+        "text": "1\n", "block": "two\n", "again": "two\n", "seq": ["one", "one", {"k": "v"}, "12"], "none": None, "own": {"a": 1}, "empty": None, "after": None,
+    }
+    assert yaml.load("&top\na: 1\n") == {"a": 1} and yaml.load("- &x !!int 7\n- *x") == [7, 7] and yaml.load("a: 1\n---\nb: 2") == {"a": 1} and yaml.load("--- !!map\na: 1") == {"a": 1}

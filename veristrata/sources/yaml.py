@@ -1,7 +1,7 @@
 """A reader for the YAML of truth and configuration files, as no parser is installed.
 
-Block and flow maps and lists, plain and quoted scalars, literal and folded blocks, comments. Anchors, aliases, tags,
-complex keys and further documents are errors that name their line.
+Block and flow maps and lists, plain and quoted scalars, literal and folded blocks, comments, anchors and aliases, merge
+keys, and the tags of scalars. Of several documents the first is read. Complex keys are errors that name their line.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 
 _KEY = re.compile(r'''("(?:[^"\\]|\\.)*"|\'(?:[^\']|\'\')*\'|[^\s\[\]{},#&*!|>@%`"\'-][^#]*?|-[^\s#][^#]*?)\s*:(?=\s|$)''')
+#: An anchor or a tag before a node.
+_PROPERTY = re.compile(r"(?:&([^\s,\[\]{}]+)|(!<[^>]*>|![^\s,\[\]{}]*))(?:[ \t]+|$|(?=[,\]}]))")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "e": "\x1b", "/": "/", "\\": "\\", '"': '"', " ": " ", "N": "\x85", "_": "\xa0"}
 
 
@@ -35,10 +37,52 @@ def scalar(s: str):
     return float("nan") if s in (".nan", ".NaN", ".NAN") else s
 
 
+def _tagged(tag: str, value):
+    """A value as its tag has it: the core tags of scalars convert its text; a tag of one's own leaves text as it is."""
+    kind = tag.removeprefix("!<tag:yaml.org,2002:").removesuffix(">").removeprefix("!!")
+    if not isinstance(value, str) or kind in ("map", "seq"):
+        return value
+    if kind in ("str", "binary", "timestamp") or tag.startswith("!") and not tag.startswith(("!!", "!<")):
+        return value
+    found = scalar(value)
+    if kind == "float" and type(found) is int:
+        return float(found)
+    wanted = {"int": int, "float": float, "bool": bool, "null": type(None)}.get(kind)
+    if wanted and type(found) is not wanted:
+        raise ValueError(f"{value!r} is no {kind}")
+    return found
+
+
 class _Reader:
     def __init__(self, text: str):
         self.lines = text.lstrip("\ufeff").splitlines()
         self.at = 0
+        self.anchors: dict[str, object] = {}
+
+    def properties(self, body: str) -> tuple[str | None, str | None, str]:
+        """The anchor and the tag that body begins with, and what follows them."""
+        anchor = tag = None
+        while m := _PROPERTY.match(body):
+            anchor, tag, body = m[1] or anchor, m[2] or tag, body[m.end() :]
+        return anchor, tag, body
+
+    def kept(self, anchor: str | None, value):
+        if anchor:
+            self.anchors[anchor] = value
+        return value
+
+    def alias(self, name: str):
+        if name not in self.anchors:
+            self.fail(f"nothing is called {name!r}")
+        return self.anchors[name]
+
+    def merged(self, out: dict, more) -> None:
+        """The entries of one map, or of several, that out does not have."""
+        for each in more if isinstance(more, list) else [more]:
+            if not isinstance(each, dict):
+                self.fail("only maps can be merged")
+            for k, v in each.items():
+                out.setdefault(k, v)
 
     def fail(self, what: str):
         raise ValueError(f"line {self.at + 1}: {what}")
@@ -61,10 +105,12 @@ class _Reader:
         while first and (first[1] == "---" or first[1].startswith("%")):
             self.at += 1
             first = self.peek()
+        if first and first[1].startswith("--- "):
+            self.lines[self.at] = self.lines[self.at][4:].lstrip(" ")
         value = self.node(0) if first else None
         rest = self.peek()
-        if rest and rest[1] != "...":
-            self.fail("more than one document" if rest[1] == "---" else f"cannot read {rest[1]!r} here")
+        if rest and rest[1] not in ("...", "---") and not rest[1].startswith("--- "):
+            self.fail(f"cannot read {rest[1]!r} here")
         return value
 
     def node(self, least: int):
@@ -73,6 +119,17 @@ class _Reader:
         if not found or found[0] < least or found[1] in ("---", "..."):
             return None
         indent, body = found
+        anchor, tag, rest = self.properties(body)
+        if rest != body:
+            if not rest:
+                self.at += 1
+                return self.kept(anchor, self.node(least))
+            if not _KEY.match(rest):
+                self.at += 1
+                return self.kept(anchor, self.value(rest, indent, tag))
+            self.lines[self.at] = " " * indent + rest
+            self.kept(anchor, _KEY.match(rest)[1])  # before a key they are the key's
+            return self.node(least)
         if body == "-" or body.startswith("- "):
             return self.sequence(indent)
         if _KEY.match(body):
@@ -83,56 +140,72 @@ class _Reader:
     def sequence(self, indent: int) -> list:
         out = []
         while (found := self.peek()) and found[0] == indent and (found[1] == "-" or found[1].startswith("- ")):
-            rest = found[1][1:].lstrip(" ")
+            anchor, tag, rest = self.properties(found[1][1:].lstrip(" "))
             if not rest:
                 self.at += 1
-                out.append(self.node(indent + 1))
+                value = self.node(indent + 1)
             elif rest[0] in "|>" or not (rest == "-" or rest.startswith("- ") or _KEY.match(rest)):
                 self.at += 1
-                out.append(self.value(rest, indent))
+                value = self.value(rest, indent, tag)
             else:  # a node that begins on the dash's own line
                 line = self.lines[self.at]
-                self.lines[self.at] = " " * (len(line) - len(line[indent + 1 :].lstrip(" "))) + line[indent + 1 :].lstrip(" ")
-                out.append(self.node(indent + 1))
+                tail = self.properties(line[indent + 1 :].lstrip(" "))[2]
+                self.lines[self.at] = " " * (len(line) - len(tail)) + tail
+                value = self.node(indent + 1)
+            out.append(self.kept(anchor, value))
         return out
 
     def mapping(self, indent: int) -> dict:
         out: dict = {}
+        merges: list = []
         while (found := self.peek()) and found[0] == indent and (m := _KEY.match(found[1])):
             key = _unquoted(m[1]) if m[1][0] in "\"'" else m[1]
             if key in out:
                 self.fail(f"the key {key!r} is there twice")
-            rest = found[1][m.end() :].strip()
+            anchor, tag, rest = self.properties(found[1][m.end() :].strip())
             self.at += 1
-            if rest:
-                out[key] = self.value(rest, indent)
-                continue
             below = self.peek()
-            if below and below[0] == indent and (below[1] == "-" or below[1].startswith("- ")):
-                out[key] = self.sequence(indent)
+            if rest:
+                value = self.value(rest, indent, tag)
+            elif below and below[0] == indent and (below[1] == "-" or below[1].startswith("- ")):
+                value = self.sequence(indent)
             else:
-                out[key] = self.node(indent + 1)
+                value = self.node(indent + 1)
+                value = "" if value is None and tag == "!!str" else value
+            self.kept(anchor, value)
+            if key == "<<":
+                merges.append(value)
+            else:
+                out[key] = value
         if found and found[0] > indent:
             self.fail("the indentation fits nothing")
+        for more in merges:
+            self.merged(out, more)
         return out
 
-    def value(self, body: str, indent: int):
+    def value(self, body: str, indent: int, tag: str | None = None):
         """A value whose text begins with body; the lines after it that belong to it are further in than indent."""
-        if body[0] in "&*!":
-            self.fail("anchors, aliases and tags are not read")
+        if body[0] == "*":
+            return self.alias(body[1:].strip())
         if body[0] in "|>":
-            return self.block(body, indent)
+            return self.typed(tag, self.block(body, indent))
         if body[0] in "[{\"'":
             while not _closed(body):
                 if self.at >= len(self.lines):
                     self.fail("a quotation or bracket is not closed")
                 body += " " + _uncommented(self.lines[self.at].strip()) if body[0] in "[{" else " " + self.lines[self.at].strip()
                 self.at += 1
-            return _Flow(body, self).whole()
+            return self.typed(tag, _Flow(body, self).whole())
         while (more := self.peek()) and more[0] > indent and not _KEY.match(more[1]):
             body += " " + more[1]
             self.at += 1
-        return scalar(body)
+        return self.typed(tag, body) if tag else scalar(body)
+
+    def typed(self, tag: str | None, value):
+        try:
+            return _tagged(tag, value) if tag else value
+        except ValueError as e:
+            self.fail(str(e))
 
     def block(self, head: str, indent: int) -> str:
         m = re.fullmatch(r"([|>])([-+]?)([1-9]?)([-+]?)", head)
@@ -236,7 +309,7 @@ class _Flow:
             self.i += 1
         return self.text[self.i] if self.i < len(self.text) else ""
 
-    def value(self, stops: str = ",]}"):
+    def value(self, stops: str = ",]}", tag: str | None = None):
         c = self.space()
         if c == "[":
             self.i += 1
@@ -252,29 +325,45 @@ class _Flow:
         if c == "{":
             self.i += 1
             pairs: dict = {}
+            merges: list = []
             while (c := self.space()) != "}":
                 if not c:
                     self.reader.fail("a brace is not closed")
                 key = self.value(",]}:")
                 if self.space() == ":":
                     self.i += 1
-                    pairs[str(key)] = None if self.space() in ",}" else self.value()
+                    value = None if self.space() in ",}" else self.value()
+                    if key == "<<":
+                        merges.append(value)
+                    else:
+                        pairs[str(key)] = value
                 else:
                     pairs[str(key)] = None
                 if self.space() == ",":
                     self.i += 1
             self.i += 1
+            for more in merges:
+                self.reader.merged(pairs, more)
             return pairs
         if c and c in "\"'":
             m = re.compile(r'"(?:[^"\\]|\\.)*"' if c == '"' else r"'(?:[^']|'')*'").match(self.text, self.i)
             self.i = m.end()
-            return _unquoted(m[0])
-        if c and c in "&*!":
-            self.reader.fail("anchors, aliases and tags are not read")
+            return self.reader.typed(tag, _unquoted(m[0]))
+        if c == "*":
+            m = re.compile(r"\*([^\s,\[\]{}]+)").match(self.text, self.i)
+            if not m:
+                self.reader.fail("an alias needs a name")
+            self.i = m.end()
+            return self.reader.alias(m[1])
+        if m := _PROPERTY.match(self.text, self.i):
+            self.i = m.end()
+            value = self.value(stops, m[2] or tag)
+            return self.reader.kept(m[1], value)
         start = self.i
         while self.i < len(self.text):
             c = self.text[self.i]
             if c in ",]}" or c == ":" and ":" in stops and self.text[self.i + 1 : self.i + 2] in (" ", "", ",", "}"):
                 break
             self.i += 1
-        return scalar(self.text[start : self.i].strip())
+        plain = self.text[start : self.i].strip()
+        return self.reader.typed(tag, plain) if tag else scalar(plain)
