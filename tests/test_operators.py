@@ -469,12 +469,63 @@ def test_manifests_and_markup():
 
 
 def test_blanking_keeps_length():
+    from veristrata.functions import lexer
+
+    assert set(lexer.TABLE) == set(ex.LANGUAGES)
     rng = random.Random(1)
-    for _ in range(500):
-        t = "".join(rng.choice("\"'`/*\n\\ab{}#-") for _ in range(30))
-        for style in ex._BLANK:
-            b = ex.blank(t, style)
-            assert len(b) == len(t) and b.count("\n") == t.count("\n")
+    parts = list("\"'`/*\n\\ab{}#-$@%()[]<>?=~RsE ") + ["<<~A\n", "A\n", '"""', "${", "#{", "\\(", "/*", "*/", "?>", "<?php", "=begin\n", "\n=end", "$$", "]]", "--[[", 'R"x(', ')x"']
+    for _ in range(400):
+        t = "".join(rng.choice(parts) for _ in range(30))
+        for language in lexer.TABLE:
+            b = lexer.blank(t, language)
+            assert len(b) == len(t) and b.count("\n") == t.count("\n"), (language, t)
+            found = lexer.spans(t, language)
+            assert all(x[0] < x[1] for x in found) and all(x[1] <= y[0] for x, y in zip(found, found[1:])), (language, t)
+
+
+#: Literals that hold what looks like a declaration, or what a simpler reading would take for an end; `Kept` alone is declared.
+LITERALS = {
+    "java": 'class Kept {\n  String s = """\n  class No {\n  } " \\""" x\n  """;\n  char q = \'"\';\n}\n',
+    "csharp": '#region class No1 {\nclass Kept {\n  string a = @"\nclass No { ""x"" \n";\n  string b = $"{(x ? "class No2 {" : "}")} {{";\n  string c = """\n  class No3 { } "" \n  """;\n}\n',
+    "kotlin": '/* a /* nested */ class No {\n*/\nclass Kept {\n  val s = """\nclass No2 { ${ f("}") } \n"""\n  val t = "${ if (x) "class No3 {" else "}" }"\n}\n',
+    "swift": '/* /* */ class No {} */\nclass Kept {\n  let a = #"class No2 { "quoted" \\(x)"#\n  let b = """\n  class No3 { \\(f("}")) \n  """\n}\n',
+    "scala": '/* /* */ class No */\nclass Kept {\n  val a = """\nclass No2 { " \n"""\n  val b = s"${f("class No3 {")}"\n  val c = \'sym\n}\n',
+    "dart": "/* /* */ class No {} */\nclass Kept {\n  var a = '''\nclass No2 { ' \n''';\n  var b = r'\\';\n  var c = '${f('class No3 {')}';\n}\n",
+    "c": '#define NO struct No {\n#if 0\nstruct No2 {\n  char *s = "unclosed;\n#endif\nstruct Kept {\n  int x;\n};\n#define LONG a \\\n  struct No3 {\n',
+    "cpp": '#define NO class No {\nclass Kept {\n  const char* s = R"d(\nclass No2 { )" \n)d";\n  int n = 1\'000;\n  char c = \'"\';\n};\n',
+    "php": "<b>class No {</b>\n<?php\nclass Kept {\n  function run() { return <<<EOT\nclass No2 {\n  EOT;\n  }\n}\n#[Attr]\n?>\nclass No3 {\n<?php // class No4 {\n",
+    "graphql": '"""\ntype No { "x" }\n"""\ntype Kept {\n  x: Int\n}\n',
+    "hcl": 'variable "Kept" {\n  default = "${f("}")} \\""\n  text = <<-EOT\n  variable "No" {\n  EOT\n}\n/* variable "No2" {} */\n',
+    "ruby": "=begin\nclass No\n=end\nclass Kept\n  def run\n    x = <<~EOT\n      class No2\n      end\n    EOT\n    y = \"#{f(\"class No3\")} # \"\n    z = %q(\n class No4\n end)\n    w = a =~ /\"#/\n  end\nend\n__END__\nclass No5\n",
+    "elixir": 'defmodule Kept do\n  @moduledoc """\n  defmodule No do\n  """\n  x = ~s(\n  defmodule No2 do)\n  y = ?"\n  z = "#{f("}")} defmodule"\nend\n',
+    "lua": "--[==[ ]]\nfunction No()\n]==]\nfunction Kept()\n  local s = [=[\nfunction No2() ]]\n]=]\nend\n",
+    "bash": "Kept() {\n  cat <<EOF\nNo() {\nEOF\n  x=\"$(f \"y\")\nNo2() {\n\"\n  echo ${a#b}\n}\n",
+    "nix": "{\n  Kept = x: ''\n    no = y: ${f ''}''}\n    ''${z} '''\n  '';\n  /* no2 = x: x; */\n}\n",
+    "cmake": "#[[\nfunction(No)\n]]\nfunction(Kept a)\n  set(x [==[\nfunction(No2)\n]]]==])\n  set(y \"\nfunction(No3)\n\")\nendfunction()\n",
+    "sql": "/* /* */ create table No (x int); */\ncreate table Kept (\n  x text default 'it''s\ncreate table No2 (y int);'\n);\ncreate function f() returns int as $body$\ncreate table No3 (z int);\n$body$ language sql;\n",
+    "erlang": '-module(Kept).\nx() -> "\nno(X) -> ", $".\n% no2(X) -> x.\n',
+    "r": 'Kept <- function(x) r"(\nno <- function(y) " ")"\ns <- "\nno2 <- function(y) \\" "\n',
+    "starlark": 'def Kept(x):\n    """\n    name = "No"\ndef No2(x):\n    """\n    y = "#"\n',
+    "zig": "pub fn Kept() void {\n  const s =\n    \\\\pub fn no() void {\n    \\\\\"\n  ;\n}\n",
+}
+
+
+@pytest.mark.parametrize("language", sorted(LITERALS))
+def test_literals_declare_nothing(language):
+    got = {r["name"] for r in ex.symbols_of("m.x", LITERALS[language], language)}
+    assert "Kept" in got and not any(x.lower().startswith("no") for x in got), got
+
+
+def test_lexing_is_linear():
+    import time
+
+    from veristrata.functions import lexer
+
+    began = time.perf_counter()
+    for text in ("/*" * 300_000, '"' * 300_000, "${" * 200_000, '"${' * 150_000, "<<A\n" * 60_000, "'a" * 200_000):
+        for language in ("kotlin", "ruby", "csharp", "bash"):
+            lexer.blank(text, language)
+    assert time.perf_counter() - began < 60
 
 
 def test_supersession_in_a_hot_file(spark, monkeypatch):

@@ -1,7 +1,7 @@
 """Symbols of source files, by language, as a table function over (path, language, text).
 
 Python is parsed; Go, TypeScript and Rust are read along their brackets (structure.py); other languages are scanned by
-declaration patterns after comments and strings are blanked, with containers found by braces or `end`. A file that cannot be read gives an error row and no symbols.
+declaration patterns after comments and literals are blanked (lexer.py), with containers found by braces or `end`. A file that cannot be read gives an error row and no symbols.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import structure
+from . import lexer, structure
 
 SYMBOL = "path string, ord int, name string, qualified_name string, kind string, signature string, start_line int, end_line int, exported boolean, error string"
 
@@ -61,25 +61,6 @@ def python(path: str, text: str) -> list[dict]:
     return out
 
 
-_BLANK = {
-    "c": re.compile(r'//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|\'(?:[^\'\\\n]|\\.)*\'', re.S),
-    "hash": re.compile(r'#[^\n]*|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''),
-    "sql": re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'", re.S),
-    "lua": re.compile(r"--\[\[.*?\]\]|--[^\n]*|\[\[.*?\]\]|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S),
-    "percent": re.compile(r'%[^\n]*|"(?:[^"\\]|\\.)*"', re.S),
-}
-
-
-def blank(text: str, style: str) -> str:
-    """Comments and strings become spaces; length and line ends stay."""
-    return _BLANK[style].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-
-
-def blank_comments(text: str, style: str) -> str:
-    """Comments become spaces, strings stay."""
-    return _BLANK[style].sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] not in "\"'`" else m[0], text)
-
-
 def _d(kind: str, pattern: str, container: bool = False):
     return kind, re.compile(pattern, re.M), container
 
@@ -95,40 +76,40 @@ class Language:
     inside: functions in a container are methods. exported: whether functions are without a modifier that says so.
     """
 
-    def __init__(self, style: str, exported: bool, declarations: list, ends: str = "brace", inside: bool = False):
-        self.style, self.exported, self.declarations, self.ends, self.inside = style, exported, declarations, ends, inside
+    def __init__(self, exported: bool, declarations: list, ends: str = "brace", inside: bool = False):
+        self.exported, self.declarations, self.ends, self.inside = exported, declarations, ends, inside
 
 
 #: The languages that are scanned by patterns. In a declaration the last group is the name; true: a container.
 LANGUAGES = {
-    "java": Language("c", False, [_d("type", rf"{_MOD}(?:class|record|enum)\s+{_N}", True), _d("interface", rf"{_MOD}(?:interface|@interface)\s+{_N}", True), _d("method", rf"^[ \t]+(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s*)?(?:[\w<>\[\],.?]+\s+)?{_NOT_CALL}{_N}\s*\([^)]*\)\s*(?:throws [\w, .]+)?[{{;]")]),
-    "csharp": Language("c", False, [_d("type", rf"{_MOD}(?:class|struct|record(?:\s+struct|\s+class)?|enum)\s+{_N}", True), _d("type", rf"{_MOD}delegate\s+[\w<>\[\],.?]+\s+{_N}"), _d("interface", rf"{_MOD}interface\s+{_N}", True), _d("method", rf"^[ \t]+(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|async|override|virtual|abstract|sealed|partial|extern|new|unsafe)\s+)*(?:[\w<>\[\],.?]+\s+)?{_NOT_CALL}{_N}\s*(?:<[^>]*>)?\s*\([^)]*\)\s*(?::\s*(?:base|this)\s*\([^)]*\)\s*)?(?:where [^{{;]+)?(?:\{{|=>|;)")]),
-    "kotlin": Language("c", True, [_d("type", rf"{_MOD}(?:class|object|interface)\s+{_N}", True), _d("method", rf"{_MOD}fun\s+(?:<[^>]+>\s*)?(?:[\w<>?]+\.)?{_N}")]),
-    "swift": Language("c", True, [_d("type", rf"{_MOD}(?:class|struct|enum|actor|extension)\s+(?!func\b|var\b|let\b){_N}", True), _d("interface", rf"{_MOD}protocol\s+{_N}", True), _d("function", rf"{_MOD}(?:class\s+)?func\s+{_N}"), _d("method", rf"{_MOD}(init)[?!]?\s*[(<]")]),
-    "scala": Language("c", True, [_d("type", rf"{_MOD}(?:class|object)\s+{_N}", True), _d("interface", rf"{_MOD}trait\s+{_N}", True), _d("method", rf"{_MOD}def\s+{_N}")]),
-    "dart": Language("c", True, [_d("type", rf"{_MOD}(?:class|mixin)\s+{_N}", True), _d("function", rf"^[ \t]*(?:(?:static|external|abstract|override)\s+)*{_NOT_CALL}[\w<>?,]+\s+{_NOT_CALL}{_N}\s*\([^)]*\)\s*(?:async\*?\s*|sync\*\s*)?(?:[{{;]|=>)")]),
-    "c": Language("c", True, [_d("function", rf"^[A-Za-z_][\w \t*]*?[ \t*]{_NOT_CALL}{_N}\s*\([^;{{]*\)\s*\{{"), _d("type", rf"^[ \t]*(?:typedef\s+)?(?:struct|union)\s+{_N}\s*\{{", True), _d("type", rf"^[ \t]*(?:typedef\s+)?enum\s+{_N}\s*\{{"), _d("type", r"^\}\s*([A-Za-z_]\w*)\s*;"), _d("type", r"^typedef\s+[^;{}()]*?[\s*]([A-Za-z_]\w*)\s*;")]),
-    "cpp": Language("c", False, [_d("type", rf"^[ \t]*(?:template\s*<[^>]*>\s*)?(?:class|struct|union)\s+{_N}\b[^;\n(]*\{{", True), _d("type", rf"^[ \t]*(?:inline\s+)?namespace\s+{_N}\s*\{{", True), _d("type", rf"^[ \t]*enum(?:\s+class|\s+struct)?\s+{_N}[^;\n]*\{{"), _d("type", r"^\}\s*([A-Za-z_]\w*)\s*;"), _d("function", rf"^[ \t]*(?:template\s*<[^>]*>\s*)?[A-Za-z_][\w \t*&<>:,]*?[ \t*&:]{_NOT_CALL}{_N}\s*\([^;{{]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?\{{"), _d("method", rf"^[ \t]+[A-Za-z_][\w \t*&<>:,]*?[ \t*&]{_NOT_CALL}{_N}\s*\([^;{{]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?(?:=\s*0\s*)?;")], inside=True),
-    "php": Language("c", True, [_d("type", r"^[ \t]*namespace\s+([\w\\]+)"), _d("type", rf"{_MOD}(?:class|trait)\s+{_N}", True), _d("type", rf"{_MOD}enum\s+{_N}"), _d("interface", rf"{_MOD}interface\s+{_N}", True), _d("function", rf"{_MOD}function\s+&?\s*{_N}")], inside=True),
-    "solidity": Language("c", False, [_d("type", rf"^[ \t]*(?:abstract\s+)?(?:contract|library)\s+{_N}", True), _d("interface", rf"^[ \t]*interface\s+{_N}", True), _d("method", rf"^[ \t]*(?:function|modifier|event)\s+{_N}(?:\s*\([^)]*\)[^{{;]*)?"), _d("method", r"^[ \t]*(constructor)\s*\([^)]*\)[^{;]*")]),
-    "graphql": Language("hash", True, [_d("type", rf"^(?:extend\s+)?type\s+{_N}", True), _d("type", rf"^(?:extend\s+)?(?:enum|scalar|union|input)\s+{_N}"), _d("interface", rf"^(?:extend\s+)?interface\s+{_N}", True), _d("method", rf"^[ \t]+{_N}\s*(?:\([^)]*\))?\s*:")]),
-    "proto": Language("c", True, [_d("type", rf"^[ \t]*message\s+{_N}", True), _d("type", rf"^[ \t]*enum\s+{_N}"), _d("interface", rf"^[ \t]*service\s+{_N}", True), _d("method", rf"(?:^|[{{;])[ \t]*rpc\s+{_N}")]),
-    "wit": Language("c", True, [_d("interface", r"^[ \t]*interface\s+([\w-]+)", True), _d("type", r"^[ \t]*world\s+([\w-]+)", True), _d("type", r"^[ \t]*(?:record|enum|variant|flags)\s+([\w-]+)"), _d("method", r"^[ \t]*(?:export\s+|import\s+)?([\w-]+)\s*:\s*(?:async\s+)?func\b")]),
-    "zig": Language("c", False, [_d("function", rf"^[ \t]*(?:pub\s+)?(?:export\s+|inline\s+)?fn\s+{_N}"), _d("type", rf"^[ \t]*(?:pub\s+)?const\s+{_N}\s*=\s*(?:packed\s+|extern\s+)?(?:struct|enum|union)\b")]),
-    "glsl": Language("c", True, [_d("function", rf"^[A-Za-z_]\w*\s+{_N}\s*\([^;{{]*\)\s*(?::\s*\w+\s*)?\{{"), _d("type", rf"^struct\s+{_N}"), _d("const", rf"^(?:layout\s*\([^)]*\)\s*)?(?:(?:uniform|varying|in|out|const|static|attribute|highp|mediump|lowp|flat)\s+)*(?!struct\b|return\b|void\b|float\b|int\b|uint\b|bool\b|double\b|precision\b|cbuffer\b)[A-Za-z_]\w*\s+{_N}\s*(?:\[[^\]]*\]\s*)?(?:=[^;]*)?(?::\s*\w+(?:\([^)]*\))?\s*)?;")]),
-    "hcl": Language("hash", True, [_d("type", r'^[ \t]*(?:resource|variable|module|output|data|provider|locals|terraform)[ \t]+"([^"\n]*)"')]),
-    "ruby": Language("hash", True, [_d("type", r"^[ \t]*(?:class|module)\s+(?:\w+::)*([A-Z]\w*)", True), _d("method", r"^[ \t]*(?:private\s+|public\s+|protected\s+)?def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)")], "end"),
-    "elixir": Language("hash", True, [_d("type", r"^[ \t]*defmodule\s+([\w.]+)"), _d("interface", r"^[ \t]*defprotocol\s+([\w.]+)"), _d("method", r"^[ \t]*(?:defp?|defmacro)\s+([a-z_]\w*[?!]?)\s*\(")]),
-    "lua": Language("lua", True, [_d("method", r"^[ \t]*function\s+(?:\w+\.)*\w+[.:](\w+)\s*\("), _d("function", r"^[ \t]*(?:local\s+)?function\s+(\w+)\s*\(")]),
-    "bash": Language("hash", True, [_d("function", r"^[ \t]*(?:function\s+)?([\w-]+)\s*\(\)\s*\{?"), _d("function", r"^[ \t]*function\s+([\w-]+)\s*\{")]),
-    "nix": Language("hash", True, [_d("function", r"^[ \t]*([\w-]+)\s*=\s*(?:\{[^}]*\}(?:\s*@\s*\w+)?|\w+(?:\s*@\s*\{[^}]*\})?)\s*:")]),
-    "make": Language("hash", True, [_d("const", r"^(?:export\s+)?([\w.-]+)\s*[:?+]{0,2}=(?!=)"), _d("function", r"^([\w./%-]+)(?:[ \t]+[\w./%-]+)*\s*:{1,2}(?![=:])")]),
-    "cmake": Language("hash", True, [_d("function", r"(?i)^[ \t]*function\s*\(\s*(\w+)"), _d("type", r"^[ \t]*(?:add_library|add_executable|option)\s*\(\s*([\w.-]+)")]),
-    "sql": Language("sql", True, [_d("type", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?table\s+(?:if\s+not\s+exists\s+)?(?:\w+\.)?[\"`]?(\w+)", True), _d("type", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:(?:temp(?:orary)?|materialized|unique)\s+)*(?:view|index(?:\s+concurrently)?)\s+(?:if\s+not\s+exists\s+)?(?:\w+\.)?[\"`]?(\w+)"), _d("function", r"(?i)^\s*create\s+(?:or\s+replace\s+)?function\s+(?:\w+\.)?[\"`]?(\w+)")]),
-    "erlang": Language("percent", False, [_d("type", r"^-module\((\w+)\)"), _d("type", r"^-record\((\w+)"), _d("function", r"^([a-z]\w*)\s*\([^\n]*?(?:->|\bwhen\b)")]),
-    "r": Language("hash", True, [_d("function", r"^[ \t]*([\w.]+)\s*<-\s*function\b")]),
-    "just": Language("hash", True, [_d("const", r"^(?:export\s+)?(\w[\w-]*)\s*:="), _d("function", r"^@?(\w[\w-]*)[^:=\n]*:(?!=)")]),
-    "starlark": Language("hash", True, [_d("function", r"^def\s+(\w+)"), _d("type", r"(?<=[(,\s])name\s*=\s*\"([^\"\n]*)\"")]),
+    "java": Language(False, [_d("type", rf"{_MOD}(?:class|record|enum)\s+{_N}", True), _d("interface", rf"{_MOD}(?:interface|@interface)\s+{_N}", True), _d("method", rf"^[ \t]+(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s*)?(?:[\w<>\[\],.?]+\s+)?{_NOT_CALL}{_N}\s*\([^)]*\)\s*(?:throws [\w, .]+)?[{{;]")]),
+    "csharp": Language(False, [_d("type", rf"{_MOD}(?:class|struct|record(?:\s+struct|\s+class)?|enum)\s+{_N}", True), _d("type", rf"{_MOD}delegate\s+[\w<>\[\],.?]+\s+{_N}"), _d("interface", rf"{_MOD}interface\s+{_N}", True), _d("method", rf"^[ \t]+(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|async|override|virtual|abstract|sealed|partial|extern|new|unsafe)\s+)*(?:[\w<>\[\],.?]+\s+)?{_NOT_CALL}{_N}\s*(?:<[^>]*>)?\s*\([^)]*\)\s*(?::\s*(?:base|this)\s*\([^)]*\)\s*)?(?:where [^{{;]+)?(?:\{{|=>|;)")]),
+    "kotlin": Language(True, [_d("type", rf"{_MOD}(?:class|object|interface)\s+{_N}", True), _d("method", rf"{_MOD}fun\s+(?:<[^>]+>\s*)?(?:[\w<>?]+\.)?{_N}")]),
+    "swift": Language(True, [_d("type", rf"{_MOD}(?:class|struct|enum|actor|extension)\s+(?!func\b|var\b|let\b){_N}", True), _d("interface", rf"{_MOD}protocol\s+{_N}", True), _d("function", rf"{_MOD}(?:class\s+)?func\s+{_N}"), _d("method", rf"{_MOD}(init)[?!]?\s*[(<]")]),
+    "scala": Language(True, [_d("type", rf"{_MOD}(?:class|object)\s+{_N}", True), _d("interface", rf"{_MOD}trait\s+{_N}", True), _d("method", rf"{_MOD}def\s+{_N}")]),
+    "dart": Language(True, [_d("type", rf"{_MOD}(?:class|mixin)\s+{_N}", True), _d("function", rf"^[ \t]*(?:(?:static|external|abstract|override)\s+)*{_NOT_CALL}[\w<>?,]+\s+{_NOT_CALL}{_N}\s*\([^)]*\)\s*(?:async\*?\s*|sync\*\s*)?(?:[{{;]|=>)")]),
+    "c": Language(True, [_d("function", rf"^[A-Za-z_][\w \t*]*?[ \t*]{_NOT_CALL}{_N}\s*\([^;{{]*\)\s*\{{"), _d("type", rf"^[ \t]*(?:typedef\s+)?(?:struct|union)\s+{_N}\s*\{{", True), _d("type", rf"^[ \t]*(?:typedef\s+)?enum\s+{_N}\s*\{{"), _d("type", r"^\}\s*([A-Za-z_]\w*)\s*;"), _d("type", r"^typedef\s+[^;{}()]*?[\s*]([A-Za-z_]\w*)\s*;")]),
+    "cpp": Language(False, [_d("type", rf"^[ \t]*(?:template\s*<[^>]*>\s*)?(?:class|struct|union)\s+{_N}\b[^;\n(]*\{{", True), _d("type", rf"^[ \t]*(?:inline\s+)?namespace\s+{_N}\s*\{{", True), _d("type", rf"^[ \t]*enum(?:\s+class|\s+struct)?\s+{_N}[^;\n]*\{{"), _d("type", r"^\}\s*([A-Za-z_]\w*)\s*;"), _d("function", rf"^[ \t]*(?:template\s*<[^>]*>\s*)?[A-Za-z_][\w \t*&<>:,]*?[ \t*&:]{_NOT_CALL}{_N}\s*\([^;{{]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?\{{"), _d("method", rf"^[ \t]+[A-Za-z_][\w \t*&<>:,]*?[ \t*&]{_NOT_CALL}{_N}\s*\([^;{{]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?(?:=\s*0\s*)?;")], inside=True),
+    "php": Language(True, [_d("type", r"^[ \t]*namespace\s+([\w\\]+)"), _d("type", rf"{_MOD}(?:class|trait)\s+{_N}", True), _d("type", rf"{_MOD}enum\s+{_N}"), _d("interface", rf"{_MOD}interface\s+{_N}", True), _d("function", rf"{_MOD}function\s+&?\s*{_N}")], inside=True),
+    "solidity": Language(False, [_d("type", rf"^[ \t]*(?:abstract\s+)?(?:contract|library)\s+{_N}", True), _d("interface", rf"^[ \t]*interface\s+{_N}", True), _d("method", rf"^[ \t]*(?:function|modifier|event)\s+{_N}(?:\s*\([^)]*\)[^{{;]*)?"), _d("method", r"^[ \t]*(constructor)\s*\([^)]*\)[^{;]*")]),
+    "graphql": Language(True, [_d("type", rf"^(?:extend\s+)?type\s+{_N}", True), _d("type", rf"^(?:extend\s+)?(?:enum|scalar|union|input)\s+{_N}"), _d("interface", rf"^(?:extend\s+)?interface\s+{_N}", True), _d("method", rf"^[ \t]+{_N}\s*(?:\([^)]*\))?\s*:")]),
+    "proto": Language(True, [_d("type", rf"^[ \t]*message\s+{_N}", True), _d("type", rf"^[ \t]*enum\s+{_N}"), _d("interface", rf"^[ \t]*service\s+{_N}", True), _d("method", rf"(?:^|[{{;])[ \t]*rpc\s+{_N}")]),
+    "wit": Language(True, [_d("interface", r"^[ \t]*interface\s+([\w-]+)", True), _d("type", r"^[ \t]*world\s+([\w-]+)", True), _d("type", r"^[ \t]*(?:record|enum|variant|flags)\s+([\w-]+)"), _d("method", r"^[ \t]*(?:export\s+|import\s+)?([\w-]+)\s*:\s*(?:async\s+)?func\b")]),
+    "zig": Language(False, [_d("function", rf"^[ \t]*(?:pub\s+)?(?:export\s+|inline\s+)?fn\s+{_N}"), _d("type", rf"^[ \t]*(?:pub\s+)?const\s+{_N}\s*=\s*(?:packed\s+|extern\s+)?(?:struct|enum|union)\b")]),
+    "glsl": Language(True, [_d("function", rf"^[A-Za-z_]\w*\s+{_N}\s*\([^;{{]*\)\s*(?::\s*\w+\s*)?\{{"), _d("type", rf"^struct\s+{_N}"), _d("const", rf"^(?:layout\s*\([^)]*\)\s*)?(?:(?:uniform|varying|in|out|const|static|attribute|highp|mediump|lowp|flat)\s+)*(?!struct\b|return\b|void\b|float\b|int\b|uint\b|bool\b|double\b|precision\b|cbuffer\b)[A-Za-z_]\w*\s+{_N}\s*(?:\[[^\]]*\]\s*)?(?:=[^;]*)?(?::\s*\w+(?:\([^)]*\))?\s*)?;")]),
+    "hcl": Language(True, [_d("type", r'^[ \t]*(?:resource|variable|module|output|data|provider|locals|terraform)[ \t]+"([^"\n]*)"')]),
+    "ruby": Language(True, [_d("type", r"^[ \t]*(?:class|module)\s+(?:\w+::)*([A-Z]\w*)", True), _d("method", r"^[ \t]*(?:private\s+|public\s+|protected\s+)?def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)")], "end"),
+    "elixir": Language(True, [_d("type", r"^[ \t]*defmodule\s+([\w.]+)"), _d("interface", r"^[ \t]*defprotocol\s+([\w.]+)"), _d("method", r"^[ \t]*(?:defp?|defmacro)\s+([a-z_]\w*[?!]?)\s*\(")]),
+    "lua": Language(True, [_d("method", r"^[ \t]*function\s+(?:\w+\.)*\w+[.:](\w+)\s*\("), _d("function", r"^[ \t]*(?:local\s+)?function\s+(\w+)\s*\(")]),
+    "bash": Language(True, [_d("function", r"^[ \t]*(?:function\s+)?([\w-]+)\s*\(\)\s*\{?"), _d("function", r"^[ \t]*function\s+([\w-]+)\s*\{")]),
+    "nix": Language(True, [_d("function", r"^[ \t]*([\w-]+)\s*=\s*(?:\{[^}]*\}(?:\s*@\s*\w+)?|\w+(?:\s*@\s*\{[^}]*\})?)\s*:")]),
+    "make": Language(True, [_d("const", r"^(?:export\s+)?([\w.-]+)\s*[:?+]{0,2}=(?!=)"), _d("function", r"^([\w./%-]+)(?:[ \t]+[\w./%-]+)*\s*:{1,2}(?![=:])")]),
+    "cmake": Language(True, [_d("function", r"(?i)^[ \t]*function\s*\(\s*(\w+)"), _d("type", r"^[ \t]*(?:add_library|add_executable|option)\s*\(\s*([\w.-]+)")]),
+    "sql": Language(True, [_d("type", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?table\s+(?:if\s+not\s+exists\s+)?(?:\w+\.)?[\"`]?(\w+)", True), _d("type", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:(?:temp(?:orary)?|materialized|unique)\s+)*(?:view|index(?:\s+concurrently)?)\s+(?:if\s+not\s+exists\s+)?(?:\w+\.)?[\"`]?(\w+)"), _d("function", r"(?i)^\s*create\s+(?:or\s+replace\s+)?function\s+(?:\w+\.)?[\"`]?(\w+)")]),
+    "erlang": Language(False, [_d("type", r"^-module\((\w+)\)"), _d("type", r"^-record\((\w+)"), _d("function", r"^([a-z]\w*)\s*\([^\n]*?(?:->|\bwhen\b)")]),
+    "r": Language(True, [_d("function", r"^[ \t]*([\w.]+)\s*<-\s*function\b")]),
+    "just": Language(True, [_d("const", r"^(?:export\s+)?(\w[\w-]*)\s*:="), _d("function", r"^@?(\w[\w-]*)[^:=\n]*:(?!=)")]),
+    "starlark": Language(True, [_d("function", r"^def\s+(\w+)"), _d("type", r"(?<=[(,\s])name\s*=\s*\"([^\"\n]*)\"")]),
 }
 LANGUAGES["hlsl"] = LANGUAGES["glsl"]
 #: Declarations whose name lies in a string: they are sought in the text itself.
@@ -142,10 +123,11 @@ _NO_COLUMN = {"primary", "foreign", "unique", "constraint", "check", "key", "ind
 def scan(path: str, text: str, language: str) -> list[dict]:
     """Declarations by pattern, in the text with comments and strings blanked. Functions are named after the container around them."""
     spec, prefix = LANGUAGES[language], qualifier(path)
-    clean = blank(text, spec.style)
+    clean = lexer.blank(text, language)
+    named = lexer.blank(text, language, strings=False) if language in _IN_TEXT else clean
     found = []
     for order, (kind, pattern, container) in enumerate(spec.declarations):
-        for m in pattern.finditer(blank_comments(text, spec.style) if language in _IN_TEXT else clean):
+        for m in pattern.finditer(named):
             group = m.lastindex
             found.append((m.start(group), order, kind, text[m.start(group) : m.end(group)].strip(), m, container))
     found.sort(key=lambda f: (f[0], f[1]))
