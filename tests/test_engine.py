@@ -253,3 +253,10 @@ def test_writers_do_not_undo_each_other(spark, tmp_path):
     got = {r.id: r for r in e.claims.collect()}
     assert [(got[i].verified, got[i].last_checked) for i in ids] == [(True, 100 + k) for k in range(4)] and sorted(r.claim for r in got.values() if r.id > 4) == ["new0", "new1", "new2", "new3"]
     assert e.decisions.count() == 8 and e.decisions.where("superseded_by IS NOT NULL").count() == 4
+
+
+def test_impact_comes_with_strong_hits_first(spark, tmp_path):
+    facts = spark.createDataFrame(trees.flatten({"product": {"name": "Atlas", "kind": "map"}}), "path string, vtype string, svalue string, nvalue double")
+    docs = spark.createDataFrame([(1, "atlas alone"), (2, "the name Atlas"), (3, "atlas"), (4, "a map"), (5, "product atlas")], "id bigint, text string")
+    got = [(r.path, r.id, r.strong_hits) for r in Engine(spark, str(tmp_path / "db")).facts_impact(docs, facts, "product").collect()]
+    assert got == [("product.kind", 4, 0), ("product.name", 2, 1), ("product.name", 5, 1), ("product.name", 1, 0), ("product.name", 3, 0)]

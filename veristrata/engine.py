@@ -301,7 +301,8 @@ class Engine:
     # prose
 
     def facts_impact(self, docs: DataFrame, facts: DataFrame, path: str, key: str = "id") -> DataFrame:
-        return detect.facts_impact(docs, detect.at_path(facts, path), key)
+        """Where the facts under a path occur: by path, documents with a strong hit first, then by key."""
+        return detect.facts_impact(docs, detect.at_path(facts, path), key).orderBy("path", F.col("strong_hits") == 0, key)
 
     def corpus_summary(self, docs: DataFrame, facts: DataFrame, rules: DataFrame | None = None, key: str = "id") -> DataFrame:
         return detect.corpus_summary(docs, detect.summary(self.check(docs, facts, rules, key), key), key)

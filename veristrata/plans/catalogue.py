@@ -1013,15 +1013,22 @@ def sources(spark, d):
     return p.select("id", F.concat(F.lit("s"), F.col("id").cast("string"), F.lit("/"), "f.path").alias("path"), "f.language", F.replace("f.text", F.lit("#"), F.col("id").cast("string")).alias("text"))
 
 
-_DECLARED = ", ".join(f"('{lang}', '{kind}', '{name}')" for lang, (_, _, told) in SOURCE_FILES.items() for kind, name in (x.split(" ", 1) for x in told.split(", ")))
+def _declared() -> str:
+    """(language, kind, name, line) of what SOURCE_FILES declare; what is no text by lines begins on the first."""
+    rows = []
+    for language, (_, text, told) in SOURCE_FILES.items():
+        for kind, name in (x.split(" ", 1) for x in told.split(", ")):
+            line = 1 if language in ("jupyter", "manifest", "openapi") else text.count("\n", 0, text.index(name)) + 1
+            rows.append(f"('{language}', '{kind}', '{name}', {line})")
+    return ", ".join(rows)
 
 
-@query(f"SELECT p_partkey AS id, language, kind, replace(name, '#', CAST(p_partkey AS VARCHAR)) AS name FROM part, (VALUES {_DECLARED}) t(language, kind, name) WHERE p_partkey % 10 = 0")
+@query(f"SELECT p_partkey AS id, language, kind, replace(name, '#', CAST(p_partkey AS VARCHAR)) AS name, CAST(line AS INTEGER) AS start_line FROM part, (VALUES {_declared()}) t(language, kind, name, line) WHERE p_partkey % 10 = 0")
 def lateral_symbols(spark, d):
-    """Declarations of files of every language, by the table function in SQL: LATERAL over a view of files."""
+    """Declarations of files of every language, with their lines, by the table function in SQL: LATERAL over a view of files."""
     udtf.register(spark)
     sources(spark, d).createOrReplaceTempView("source_files")
-    return spark.sql("SELECT id, language, s.kind, s.name FROM source_files, LATERAL extract_symbols(path, language, text, columns => 'kind, name') s")
+    return spark.sql("SELECT id, language, s.kind, s.name, s.start_line FROM source_files, LATERAL extract_symbols(path, language, text, columns => 'kind, name, start_line') s")
 
 
 @query("SELECT 's'||p_partkey||'/Cargo.toml' AS path, n||p_partkey AS name, CASE n WHEN 'd' THEN '1.'||p_partkey ELSE '2' END AS version FROM part, (VALUES ('d'), ('e')) t(n) WHERE p_partkey % 10 = 0")
