@@ -843,6 +843,25 @@ def test_joined_rules_equal_a_scan_of_each(spark, monkeypatch):
     assert fuzzy.joined(docs, table.limit(0)).collect() == fuzzy.joined(docs.limit(0), table).collect() == []
 
 
+def test_equal_texts_and_rules_are_compared_once(spark, tmp_path, monkeypatch):
+    """Copies of texts and of rules cost no comparisons; every key and rule has its hits, a key that two texts share too."""
+    log = tmp_path / "compared"
+    scan = fuzzy.fuzzy
+
+    def counted(raw, needle, threshold):
+        with open(log, "a") as f:
+            f.write(".")
+        return scan(raw, needle, threshold)
+
+    monkeypatch.setattr(fuzzy, "RULE_GROUP", 16)
+    docs = spark.createDataFrame([(0, "It is RED BOLT.")] + [(i, f"It is {'red bolt' if i % 2 else 'blue ring'}.") for i in range(200)] + [(900, "red bolts")], "id bigint, text string")
+    rules = spark.createDataFrame([(o, "red bolt" if o % 2 else "blue ring", 0) for o in range(100)], "ord int, text string, fuzz int")
+    monkeypatch.setattr(fuzzy, "fuzzy", counted)
+    got = sorted(map(tuple, fuzzy.matched(docs, rules).collect()))
+    assert got == sorted([(i, o) for i in range(200) for o in range(100) if i % 2 == o % 2] + [(0, o) for o in range(1, 100, 2)])
+    assert 0 < len(log.read_text()) < 20
+
+
 def test_yaml_anchors_aliases_merges_and_tags():
     from veristrata.sources import yaml
 

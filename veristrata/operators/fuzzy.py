@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialize
+from ..tables import materialize, spread
 from .detect import BROADCAST_RULES, forbidden_exact
 
 _WORD = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
@@ -168,24 +168,26 @@ def anchors_of(needle: bytes, threshold: int) -> set[tuple[int, int]]:
     return out
 
 
-def joined(docs: DataFrame, rules: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, ord, start, end, text): what fuzzy() finds of every rule (ord, text, fuzz) in every text, for rules of any number.
+#: Rules of one text are dealt to groups of about so many, so that no row or task holds all of them.
+RULE_GROUP = 4096
+
+
+def _found(docs: DataFrame, listed: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Hits (d, needle, fuzz, start, end, text) of every different needle in every different text, and (k, d): the digests of the texts by key.
 
     Each needle's pieces are rows with the hash of an anchor; a text gives the hashes of its runs of those lengths that
     pass a filter of all anchors (a bitmap of fixed size, built by an aggregate; the only thing that reaches the driver).
-    Texts and rules that share a hash meet by a join, and a text is then read once beside its rules, which stream past
-    it by ord. Null and empty texts and rules have no hits; keys must be distinct.
+    Texts and needles that share a hash meet by a join, and a text is then read once beside its needles, which stream past it.
     """
-    listed = rules.select("ord", F.col("text").alias("needle"), F.coalesce(F.col("fuzz").cast("int"), F.lit(0)).alias("fuzz")).where("needle IS NOT NULL AND needle <> ''")
 
     def pieces(batches):
         for b in batches:
-            rows = [(o, n, f, size, h) for o, n, f in zip(*(c.to_pylist() for c in b.columns)) for size, h in anchors_of(n.encode(), f)]
-            columns = list(zip(*rows)) if rows else [()] * 5
-            kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["ord", "needle", "fuzz", "size", "h"])
+            rows = [(n, f, size, h) for n, f in zip(*(c.to_pylist() for c in b.columns)) for size, h in anchors_of(n.encode(), f)]
+            columns = list(zip(*rows)) if rows else [()] * 4
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["needle", "fuzz", "size", "h"])
 
-    anchors = materialize(listed.select(F.col("ord").cast("int").alias("ord"), "needle", "fuzz").mapInArrow(pieces, "ord int, needle string, fuzz int, size int, h long"), "anchors")
+    anchors = materialize(listed.select("needle", "fuzz").distinct().mapInArrow(pieces, "needle string, fuzz int, size int, h long"), "anchors")
     slot = F.pmod(F.col("h"), F.lit(FILTER_BITS)) + 1  # Spark numbers the bits of a bitmap from 1
     maps = anchors.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
     sizes = sorted(r[0] for r in anchors.select("size").distinct().collect())
@@ -197,11 +199,12 @@ def joined(docs: DataFrame, rules: DataFrame, key: str = "id", text: str = "text
     def runs(batches):
         known = np.unpackbits(packed, bitorder="little").view(bool)
         for b in batches:
-            keys, hashes = [], []
-            for k, t in enumerate(b.column(1).to_pylist()):
-                raw = np.frombuffer((t or "").encode().lower(), dtype=np.uint8)
-                if not len(raw):
+            keys, hashes, seen = [], [], set()
+            for k, (d, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if d in seen:
                     continue
+                seen.add(d)
+                raw = np.frombuffer(t.encode().lower(), dtype=np.uint8)
                 for size in sizes:
                     h = np.unique(_hashes(raw, size)) if size else np.zeros(1, np.uint64)
                     h = h.astype(np.int64)
@@ -209,31 +212,65 @@ def joined(docs: DataFrame, rules: DataFrame, key: str = "id", text: str = "text
                     keys.append(np.full(len(h), k))
                     hashes.append(h)
             at = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], names=["k", "h"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], names=["d", "h"])
 
-    src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    kind = src.schema["k"].dataType.simpleString()
-    met = src.mapInArrow(runs, f"k {kind}, h long").join(anchors, "h").groupBy("k", "ord", "needle", "fuzz").agg(F.lit(1).alias("kind"))
-    whole = src.join(met.select("k").distinct(), "k", "left_semi").select("k", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("ord"), "t", F.lit(None).cast("int").alias("fuzz"))
-    dealt = whole.unionByName(met.select("k", "kind", "ord", F.col("needle").alias("t"), "fuzz")).repartition("k").sortWithinPartitions("k", "kind", "ord", "t")
+    src = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL AND t <> ''").withColumn("d", F.sha2("t", 256))
+    met = src.select("d", "t").mapInArrow(runs, "d string, h long").join(anchors, "h").groupBy("d", "needle", "fuzz").agg(F.lit(1).alias("kind"))
+    whole = src.join(met.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.first("t").alias("t"))
+    whole = whole.select("d", F.lit(0).alias("kind"), "t", F.lit(None).cast("int").alias("fuzz"))
+    dealt = whole.unionByName(met.select("d", "kind", F.col("needle").alias("t"), "fuzz")).repartition("d").sortWithinPartitions("d", "kind", "t", "fuzz")
 
     def scan(batches):
         raw = b""
         for b in batches:
             at, rows = [], []
-            for row, (which, o, t, f) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 5)))):
+            for row, (which, t, f) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 4)))):
                 if which == 0:
                     raw = (t or "").encode()
                     continue
-                hits = [(o, s, e, raw[s:e].decode("utf-8", "replace")) for s, e in fuzzy(raw, t.encode(), f)]
+                hits = [(t, f, s, e, raw[s:e].decode("utf-8", "replace")) for s, e in fuzzy(raw, t.encode(), f)]
                 at += [row] * len(hits)
                 rows += hits
-            columns = list(zip(*rows)) if rows else [()] * 4
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["k", "ord", "start", "end", "text"])
+            columns = list(zip(*rows)) if rows else [()] * 5
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["d", "needle", "fuzz", "start", "end", "text"])
+
+    found = dealt.select("d", "kind", "t", "fuzz").mapInArrow(scan, "d string, needle string, fuzz int, start int, end int, text string")
+    return materialize(found, "hits"), src.select("k", "d")
+
+
+def _of_all(hits: DataFrame, named: DataFrame, listed: DataFrame) -> DataFrame:
+    """A row for each hit, each key that has its text and each rule that has its needle (k, ord, and the hit's columns).
+
+    Rules of one needle go in groups of about RULE_GROUP; keys meet the groups in tasks of their own.
+    """
+    rule = ["needle", "fuzz"]
+    counts = listed.groupBy(*rule).agg(F.ceil(F.count("*") / RULE_GROUP).cast("int").alias("groups"))
+    groups = listed.join(counts, rule).withColumn("group", F.pmod(F.xxhash64("ord"), F.col("groups"))).groupBy(*rule, "group").agg(F.collect_list("ord").alias("ords"))
+    each = hits.join(counts, rule).withColumn("group", F.explode(F.expr("sequence(0L, groups - 1L)"))).drop("groups")
+    return spread(each.join(named, "d").drop("d"), "k", "group").join(groups, [*rule, "group"]).withColumn("ord", F.explode("ords"))
+
+
+def _listed(rules: DataFrame) -> DataFrame:
+    return rules.select(F.col("ord").cast("int").alias("ord"), F.col("text").alias("needle"), F.coalesce(F.col("fuzz").cast("int"), F.lit(0)).alias("fuzz")).where("needle IS NOT NULL AND needle <> ''")
+
+
+def joined(docs: DataFrame, rules: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, ord, start, end, text): what fuzzy() finds of every rule (ord, text, fuzz) in every text, for rules of any number.
+
+    Equal needles are sought once, and in equal texts once; hits are then given to all keys and rules that have them.
+    Null and empty texts and rules have no hits; a key that comes twice has the hits of each of its texts.
+    """
+    listed = _listed(rules)
+    hits, named = _found(docs, listed, key, text)
+    return _of_all(hits, named, listed).select(F.col("k").alias(key), "ord", "start", "end", "text")
+
 
-    found = dealt.select("k", "kind", "ord", "t", "fuzz").mapInArrow(scan, f"k {kind}, ord int, start int, end int, text string")
-    return found.withColumnRenamed("k", key)
+def matched(docs: DataFrame, rules: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, ord): the rules with a hit in a text, each once a text and rule, as joined() finds them; nothing is compared after hits are dealt."""
+    listed = _listed(rules)
+    hits, named = _found(docs, listed, key, text)
+    return _of_all(hits.select("d", "needle", "fuzz").distinct(), named, listed).select(F.col("k").alias(key), "ord")
 
 
 class Pieces:
