@@ -66,3 +66,23 @@ def test_facts_impact_by_context(spark):
     leaves = spark.createDataFrame([("product.name", "atlas"), ("tech.primary", "go"), ("limits.users", "12000"), ("x.quoted", "a\\Eb"), ("x.none", None)], "path string, svalue string")
     got = sorted(map(tuple, detect.facts_impact(docs, leaves).collect()))
     assert got == [("limits.users", 1, 1, 0, 3), ("product.name", 1, 2, 1, 3), ("tech.primary", 2, 2, 0, 1), ("x.quoted", 4, 1, 0, 1)]
+
+
+def _held(spark, folder, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(folder))
+    got = plain(map(tuple, df.select("id", df.columns[1]).collect()))
+    assert got == plain(con.execute(ORACLES[name]).fetchall())
+    return got
+
+
+def parts(spark, folder, rows):
+    spark.createDataFrame([(k, name, "Brand#1", "T", 1, 1.0) for k, name in rows], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{folder}/part.parquet")
+
+
+def test_symbol_parents_of_shared_ids(spark, tmp_path):
+    """Ids beyond a million meet those of the inner symbols; an inner symbol is no parent."""
+    parts(spark, tmp_path, [(7, "a"), (1000007, "b"), (1000011, "c"), (207, "a.run.x"), (8, None)])
+    got = _held(spark, tmp_path, "symbol_parents")
+    assert (1000007, 7) in got and len({i for i, _ in got}) == len(got)

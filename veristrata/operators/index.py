@@ -113,10 +113,10 @@ def ledger_counts(decisions: DataFrame, unverified: DataFrame, stale: DataFrame)
     return out.drop("one")
 
 
-def with_parents(symbols: DataFrame) -> DataFrame:
-    """symbols (id, file_path, qualified_name, ...) with parent_id: the symbol of the same file whose qualified name is theirs without its last part."""
+def with_parents(symbols: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """symbols (id, file_path, qualified_name, ...) with parent_id: the symbol of the same file, of `among` if given, whose qualified name is theirs without its last part."""
     outer = F.regexp_replace("qualified_name", r"\.[^.]*$", "")
-    parents = symbols.groupBy(F.col("file_path").alias("__f"), F.col("qualified_name").alias("__q")).agg(F.min("id").alias("__p"))
+    parents = (symbols if among is None else among).groupBy(F.col("file_path").alias("__f"), F.col("qualified_name").alias("__q")).agg(F.min("id").alias("__p"))
     rows = symbols.drop("parent_id").withColumn("__o", F.when(outer != F.col("qualified_name"), outer))
     out = rows.join(parents, (F.col("file_path") == F.col("__f")) & (F.col("__o") == F.col("__q")), "left")
     return out.withColumn("parent_id", F.col("__p")).drop("__f", "__q", "__o", "__p")
