@@ -862,6 +862,13 @@ def test_equal_texts_and_rules_are_compared_once(spark, tmp_path, monkeypatch):
     assert 0 < len(log.read_text()) < 20
 
 
+def test_files_of_one_part_are_read_by_many_tasks(spark):
+    """A small table is one task's to read; extraction deals its files to all cores."""
+    files = spark.range(0, 200, 1, 1).selectExpr("concat('a', id, '/openapi.yaml') AS path", "'openapi' AS language", "concat('paths: {/i', id, ': {get: {}}}') AS text")
+    got = ex.extract(files).select("name", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r[0] for r in got) == sorted(f"GET /i{i}" for i in range(200)) and len({r.p for r in got}) > 4
+
+
 def test_yaml_anchors_aliases_merges_and_tags():
     from veristrata.sources import yaml
 
