@@ -136,3 +136,17 @@ def test_expiry_stream(spark, tmp_path):
     write(touched, "3.jsonl", [{"id": 1, "at": 125}])
     write(source, "3.jsonl", [claim(7, 200)])
     assert told()[3:] == [(1, False, 125), (6, True, 131), (1, True, 135)]
+
+
+def test_expiry_holds_claims_in_groups(spark, tmp_path):
+    """State and timers are a few a group, not a claim's own; rows without a time are left out."""
+    from veristrata.streaming import ledger as sl
+
+    rows = [{"id": i, "verified": True, "recorded_at": 1000 + i, "last_checked": None, "ttl": 10 + i % 7} for i in range(300)]
+    write(tmp_path, "1.jsonl", [*rows, {"id": 999, "verified": True, "recorded_at": None, "last_checked": None, "ttl": 1}])
+    raw = spark.readStream.schema("id bigint, verified boolean, recorded_at bigint, last_checked bigint, ttl bigint").json(str(tmp_path))
+    query = sl.expiry(raw, groups=4).writeStream.format("memory").queryName("expired").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((r.id, r.at) for r in spark.table("expired").collect() if r.stale)
+    assert got == [(i, 1010 + i + i % 7) for i in range(300) if 1010 + i + i % 7 < 1299]
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 16

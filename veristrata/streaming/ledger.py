@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Groups of claims that can expire: a few thousand claims each where there are millions.
+GROUPS = 1024
 #: Groups that failures of any file are dealt to; each sees every success.
 SHARDS = 16
 
@@ -21,55 +24,83 @@ def keep_state_on_disk(spark: SparkSession) -> None:
         spark.conf.set(key, _PROVIDER)
 
 
+def _packed(*columns) -> tuple:
+    """Columns of 64-bit numbers as bytes: a group's state is read and written whole, never number by number."""
+    return tuple(np.asarray(c, dtype=np.int64).tobytes() for c in columns)
+
+
+def _unpacked(*columns) -> list[np.ndarray]:
+    return [np.frombuffer(c, dtype=np.int64).copy() for c in columns]
+
+
 class _Expiry(StatefulProcessor):
-    """One claim: how long it lasts (-1 before it has come) and since when; a timer stands for its end."""
+    """A group of claims, by id: how long each lasts (-1 before it has come), since when, and whether it was told; one timer stands for the next end."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("claim", "ttl long, since long, told boolean")
+        self.state = handle.getValueState("claims", "ids binary, ttl binary, since binary, told binary, timer long")
+
+    def _held(self):
+        if not self.state.exists():
+            return *(np.zeros(0, np.int64) for _ in range(4)), -1
+        *columns, timer = self.state.get()
+        return *_unpacked(*columns), int(timer)
+
+    def _keep(self, ids, ttl, since, told, timer: int) -> None:
+        ends = ((since + ttl) * 1000 + 1)[(ttl >= 0) & (told == 0)]
+        due = int(ends.min()) if len(ends) else -1
+        if due != timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            if due >= 0:
+                self.handle.registerTimer(due)
+        self.state.update((*_packed(ids, ttl, since, told), due))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ttl, since, told = self.state.get() if self.state.exists() else (-1, -1, False)
-        before = (since + ttl) * 1000 + 1 if ttl >= 0 else None
-        newest = since
-        for f in rows:
-            for seconds, lasts in zip(f["at"], f["ttl"]):
-                newest = max(newest, int(seconds))
-                ttl = int(lasts) if pd.notna(lasts) else ttl
-        until = (newest + ttl) * 1000 + 1 if ttl >= 0 else None
-        if until != before:
-            if before is not None and not told:
-                self.handle.deleteTimer(before)
-            if until is not None:
-                self.handle.registerTimer(until)
-            if told:
-                told = False
-                yield pd.DataFrame({"id": [key[0]], "stale": [False], "at": [newest]})
-        self.state.update((ttl, newest, told))
+        held, *columns, timer = self._held()
+        new = pd.concat(list(rows))
+        ids = np.unique(np.concatenate([held, new["id"].to_numpy(np.int64)]))
+        ttl, since, told = np.full(len(ids), -1), np.full(len(ids), -1), np.zeros(len(ids), np.int64)
+        for wide, narrow in zip((ttl, since, told), columns):
+            wide[np.searchsorted(ids, held)] = narrow
+        at = np.searchsorted(ids, new["id"].to_numpy(np.int64))
+        newest, lasts = since.copy(), ttl.copy()
+        np.maximum.at(newest, at, new["at"].to_numpy(np.int64))
+        has = new["ttl"].notna().to_numpy()
+        lasts[at[has]] = new["ttl"].to_numpy()[has].astype(np.int64)
+        other = ((lasts >= 0) != (ttl >= 0)) | (lasts >= 0) & (newest + lasts != since + ttl)
+        back = other & (told > 0)
+        told[back] = 0
+        self._keep(ids, lasts, newest, told, timer)
+        if back.any():
+            yield pd.DataFrame({"id": ids[back], "stale": False, "at": newest[back]})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ttl, since, told = self.state.get()
-        if not told and (since + ttl) * 1000 + 1 == expiredTimerInfo.getExpiryTimeInMs():
-            self.state.update((ttl, since, True))
-            yield pd.DataFrame({"id": [key[0]], "stale": [True], "at": [since + ttl]})
+        ids, ttl, since, told, _ = self._held()
+        over = (ttl >= 0) & (told == 0) & ((since + ttl) * 1000 + 1 <= timerValues.getCurrentWatermarkInMs())
+        told[over] = 1
+        self._keep(ids, ttl, since, told, -1)
+        yield pd.DataFrame({"id": ids[over], "stale": np.ones(over.sum(), bool), "at": (since + ttl)[over]})
 
     def close(self) -> None:
         pass
 
 
-def expiry(claims: DataFrame, touches: DataFrame | None = None, delay: str = "0 seconds") -> DataFrame:
+def expiry(claims: DataFrame, touches: DataFrame | None = None, delay: str = "0 seconds", groups: int = GROUPS) -> DataFrame:
     """(id, stale, at): a verified claim whose check runs out is stale once the watermark has passed its end; a later touch takes that back.
 
     claims: id, verified, recorded_at, last_checked, ttl (streams; others than verified ones with a ttl are left out);
     touches: id, at (seconds), in any order with the claims. delay: how late rows may come. The last row of an id says
-    what it is. State is one row and one timer a claim, dealt by id; the boundary itself is not stale, as in ledger.stale().
+    what it is. Claims are dealt by id to `groups` groups, each with one timer, as a group costs far more than a claim;
+    the boundary itself is not stale, as in ledger.stale().
     """
     keep_state_on_disk(claims.sparkSession)
     rows = claims.where("verified AND ttl IS NOT NULL AND id IS NOT NULL").select("id", F.coalesce("last_checked", "recorded_at").alias("at"), "ttl")
     if touches is not None:
         rows = rows.unionByName(touches.where("id IS NOT NULL").select("id", "at", F.lit(None).cast("bigint").alias("ttl")))
-    timed = rows.withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", delay)
-    return timed.groupBy("id").transformWithStateInPandas(_Expiry(), "id long, stale boolean, at long", "Append", "EventTime")
+    timed = rows.where("at IS NOT NULL").withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", delay)
+    dealt = timed.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)))
+    return dealt.groupBy("group").transformWithStateInPandas(_Expiry(), "id long, stale boolean, at long", "Append", "EventTime")
 
 
 class _Pointers(StatefulProcessor):
