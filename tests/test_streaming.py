@@ -150,3 +150,35 @@ def test_expiry_holds_claims_in_groups(spark, tmp_path):
     got = sorted((r.id, r.at) for r in spark.table("expired").collect() if r.stale)
     assert got == [(i, 1010 + i + i % 7) for i in range(300) if 1010 + i + i % 7 < 1299]
     assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 16
+
+
+@pytest.mark.parametrize("chunk", [9, 1000])
+def test_supersession_stream_over_blocks(spark, tmp_path, chunk):
+    """Pointers that cross blocks, some without any success; of successes a group beyond the blocks sees no more than a block's first."""
+    import random
+
+    import pyarrow as pa
+
+    from veristrata.operators import ledger
+    from veristrata.streaming import ledger as sl
+
+    rng = random.Random(chunk)
+    rows = []
+    for i in range(400):
+        verified = rng.random() < (0.05 if i % 100 < 80 else 0.6)
+        rows.append({"id": i, "verified": verified, "vet_ok": rng.choice([True, False, None]) if not verified else rng.choice([True, None]), "file_path": rng.choice(["a", "a", "b", "", None, f"f{i % 9}"]), "recorded_at": 1000 + i})
+    kind = "id bigint, verified boolean, vet_ok boolean, file_path string, recorded_at bigint"
+    source = tmp_path / "in"
+    source.mkdir()
+    mixed = rng.sample(rows, len(rows))
+    for k in range(2):
+        write(source, f"{k}.jsonl", mixed[k::2])
+    raw = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).json(str(source))
+    out = st.drain(sl.supersession(raw, "1 hour", 3, 16, chunk), str(tmp_path / "out"), str(tmp_path / "c"))
+    got = {r.id: r.by for r in out.groupBy("id").agg({"superseded_by": "min"}).toDF("id", "by").collect()}
+    batch = spark.createDataFrame([tuple(r.values()) if r["file_path"] != "" else (*list(r.values())[:3], None, r["recorded_at"]) for r in rows], kind)
+    assert got == {r.id: r.superseded_by for r in ledger.supersede_claims(batch).where("superseded_by IS NOT NULL").collect()} and len(got) > 100
+
+    all_good = pa.RecordBatch.from_pydict({"id": pa.array(range(4000), pa.int64()), "at": pa.array(range(4000), pa.int64()), "success": [True] * 4000, "failure": [False] * 4000, "file": ["a"] * 4000})
+    dealt = pa.Table.from_batches(sl._dealt(16, 1000, 10_000)([all_good])).to_pylist()
+    assert len([r for r in dealt if r["file"] == "" and r["part"] < 0]) == 16 * 4 and len([r for r in dealt if r["part"] >= 0 and r["file"] is not None]) == 8000

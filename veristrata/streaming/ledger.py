@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -13,8 +14,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Groups of claims that can expire: a few thousand claims each where there are millions.
 GROUPS = 1024
-#: Groups that failures of any file are dealt to; each sees every success.
+#: Groups that failures which their block leaves open are dealt to; each sees the first success of every block.
 SHARDS = 16
+#: Ids of a block, and rows of a task that are dealt together.
+BLOCK = 1 << 18
+CHUNK = 1 << 20
 
 
 def keep_state_on_disk(spark: SparkSession) -> None:
@@ -104,87 +108,155 @@ def expiry(claims: DataFrame, touches: DataFrame | None = None, delay: str = "0
 
 
 class _Pointers(StatefulProcessor):
-    """Open claims of one file, or of one shard of all failures, and the successes that claims which come late may still need.
+    """Open claims and successes of a group: those that claims which come late may still need.
 
-    Parallel lists: open claims' ids, seconds and pointers (-1: none yet); successes' ids and seconds. A pointer is
-    corrected while an earlier success may still come; what the watermark has passed is settled and goes.
+    Parallel arrays: claims' ids, seconds and pointers (-1: none yet), by id; successes' ids and seconds, by id. A
+    pointer is corrected while an earlier success may still come; what the watermark has passed is settled and goes.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("group", "ids array<bigint>, at array<bigint>, by array<bigint>, done array<bigint>, done_at array<bigint>, timer bigint")
+        self.state = handle.getValueState("group", "ids binary, at binary, by binary, done binary, done_at binary, timer long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ids, at, by, done, done_at, timer = self._held()
-        claims, successes = {i: (t, p) for i, t, p in zip(ids, at, by)}, dict(zip(done, done_at))
-        for f in rows:
-            for i, t, success in zip(f["id"], f["at"], f["success"]):
-                if success:
-                    successes[int(i)] = int(t)
-                else:
-                    claims.setdefault(int(i), (int(t), -1))
-        out = []
-        later = sorted(successes)
-        at_least = 0
-        for i in sorted(claims):
-            while at_least < len(later) and later[at_least] <= i:
-                at_least += 1
-            if at_least == len(later):
-                break
-            t, p = claims[i]
-            if p < 0 or later[at_least] < p:
-                claims[i] = t, later[at_least]
-                out.append((i, later[at_least]))
-        self._keep(claims, successes, timer)
-        if out:
-            yield pd.DataFrame(out, columns=["id", "superseded_by"])
+        new = pd.concat(list(rows))
+        success = new["success"].to_numpy(bool)
+        new_ids, new_at = new["id"].to_numpy(np.int64), new["at"].to_numpy(np.int64)
+        # the first row of a claim stays, and the last of a success
+        ids, first = np.unique(np.concatenate([ids, new_ids[~success]]), return_index=True)
+        at = np.concatenate([at, new_at[~success]])[first]
+        by = np.concatenate([by, np.full((~success).sum(), -1)])[first]
+        done, last = np.unique(np.concatenate([done, new_ids[success]])[::-1], return_index=True)
+        done_at = np.concatenate([done_at, new_at[success]])[::-1][last]
+        place = np.searchsorted(done, ids, side="right")
+        has = place < len(done)
+        found = np.full(len(ids), -1)
+        found[has] = done[place[has]]
+        better = has & ((by < 0) | (found < by))
+        by[better] = found[better]
+        self._keep(ids, at, by, done, done_at, timer)
+        if better.any():
+            yield pd.DataFrame({"id": ids[better], "superseded_by": by[better]})
 
     def _held(self):
         if not self.state.exists():
-            return [], [], [], [], [], -1
-        ids, at, by, done, done_at, timer = self.state.get()
-        return list(ids), list(at), list(by), list(done), list(done_at), int(timer)
+            return *(np.zeros(0, np.int64) for _ in range(5)), -1
+        *columns, timer = self.state.get()
+        return *_unpacked(*columns), int(timer)
+
+    @staticmethod
+    def _settled(at, by, done, done_at) -> np.ndarray:
+        """By claim: when nothing can change it any more, should it have a pointer."""
+        out, place = at.copy(), np.searchsorted(done, by)
+        known = place < len(done)
+        known[known] = done[place[known]] == by[known]
+        out[known] = np.maximum(at[known], done_at[place[known]])
+        return out
 
-    def _keep(self, claims: dict, successes: dict, timer: int) -> None:
+    def _keep(self, ids, at, by, done, done_at, timer: int) -> None:
         """Write the state; one timer stands for the next moment at which something in it is settled."""
-        settled = [max(t, successes.get(p, t)) for t, p in claims.values() if p >= 0] + list(successes.values())
-        due = min(settled) * 1000 + 1 if settled else -1
+        settled = np.concatenate([self._settled(at, by, done, done_at)[by >= 0], done_at])
+        due = int(settled.min()) * 1000 + 1 if len(settled) else -1
         if due != timer:
             if timer >= 0:
                 self.handle.deleteTimer(timer)
             if due >= 0:
                 self.handle.registerTimer(due)
-        if claims or successes:
-            self.state.update((list(claims), [t for t, _ in claims.values()], [p for _, p in claims.values()], list(successes), list(successes.values()), due))
+        if len(ids) or len(done):
+            self.state.update((*_packed(ids, at, by, done, done_at), due))
         elif self.state.exists():
             self.state.clear()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         ids, at, by, done, done_at, _ = self._held()
         now = timerValues.getCurrentWatermarkInMs() // 1000
-        successes = {i: t for i, t in zip(done, done_at) if t >= now}
-        claims = {i: (t, p) for i, t, p in zip(ids, at, by) if p < 0 or max(t, successes.get(p, t)) >= now}
-        self._keep(claims, successes, -1)
+        stays = done_at >= now
+        done, done_at = done[stays], done_at[stays]
+        stays = (by < 0) | (self._settled(at, by, done, done_at) >= now)
+        self._keep(ids[stays], at[stays], by[stays], done, done_at, -1)
         yield pd.DataFrame({"id": pd.Series(dtype="int64"), "superseded_by": pd.Series(dtype="int64")})
 
     def close(self) -> None:
         pass
 
 
-def supersession(claims: DataFrame, delay: str = "0 seconds", shards: int = SHARDS) -> DataFrame:
-    """(id, superseded_by): a claim's pointer to the first later success, each time that it gets one or an earlier one.
+def _dealt(shards: int, block: int, chunk: int):
+    """Rows (id, at, success, failure, file) to groups (file, part), for mapInArrow; file is null in a last row of each chunk, with its latest time.
+
+    A block of ids, of a file and of all (file ''), is a group of its own: part >= 0. Beyond its block a claim can only
+    need the first success of a later block, and only where its own block has none after it. So from each chunk of rows
+    the groups beyond the blocks (part < 0) get no more than the first success of a block and the claims after its last one.
+    """
+
+    def lane(id_, at, success, file, codes, spread_over: int):
+        """Near and far rows of one lane, as tuples of columns; codes number the files."""
+        if not len(id_):
+            return
+        blocks = id_ // block
+        known, place = np.unique(blocks, return_inverse=True)
+        known, group = np.unique(codes * len(known) + place, return_inverse=True)
+        least, most = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
+        np.minimum.at(least, group[success], id_[success])
+        np.maximum.at(most, group[success], id_[success])
+        first = np.flatnonzero(success & (id_ == least[group]))
+        left = np.flatnonzero(~success & (id_ >= most[group]))
+        yield id_, at, success, file, blocks
+        yield id_[left], at[left], success[left], file.take(pa.array(left)), -1 - id_[left] % spread_over
+        for k in range(spread_over):
+            yield id_[first], at[first], success[first], file.take(pa.array(first)), np.full(len(first), -1 - k)
+
+    def groups_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        id_, at, success, failure = (t.column(c).to_numpy() for c in ("id", "at", "success", "failure"))
+        file = t.column("file").combine_chunks()
+        success, failure = success.astype(bool), failure.astype(bool)
+        any_ = np.flatnonzero(success | failure)
+        own = np.flatnonzero(file.is_valid().to_numpy(zero_copy_only=False))
+        named = file.take(pa.array(own))
+        codes = named.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        everywhere = pa.array([""] * len(any_), pa.string())
+        lanes = ((any_, everywhere, np.zeros(len(any_), np.int64), shards), (own, named, codes, 1))
+        for rows, files, numbers, over in lanes:
+            for i, s, ok, f, part in lane(id_[rows], at[rows], success[rows], files, numbers, over):
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(s, pa.int64()), pa.array(ok), f, pa.array(part, pa.int64())], names=_DEALT)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([at.max()], pa.int64()), pa.array([False]), pa.nulls(1, pa.string()), pa.array([0], pa.int64())], names=_DEALT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                count += b.num_rows
+            if count >= chunk:
+                yield from groups_of(held)
+                held, count = [], 0
+        if held:
+            yield from groups_of(held)
+
+    return run
+
+
+_DEALT = ["id", "at", "success", "file", "part"]
+
+
+def supersession(claims: DataFrame, delay: str = "0 seconds", shards: int = SHARDS, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """(id, superseded_by): a claim's pointer to the first later success, each time that a group finds one or an earlier one.
 
     claims: id, verified, vet_ok, file_path, recorded_at, as ledger.supersede_claims() has them; the least pointer of an
-    id over the drained stream is that of the batch, whatever the order in which rows come within `delay`. A claim is
-    dealt by its file; an explicit failure also by a hash of its id to one of `shards` groups, each of which sees every
-    success, so no group holds all failures. State holds claims without a pointer, and what may still be corrected.
+    id over the drained stream is that of the batch, whatever the order in which rows come within `delay`. Claims and
+    successes are dealt by file, and explicit failures and successes of any file too, in blocks of ids (_dealt()); what
+    a block may leave open goes to a group of its file, or to one of `shards` groups, each of which sees the first
+    successes of all blocks. No group holds all failures or all successes. State holds claims without a pointer, and
+    what may still be corrected. block: ids of a block; chunk: rows of a task that are dealt together.
     """
     keep_state_on_disk(claims.sparkSession)
     success = F.coalesce(F.col("verified") & F.col("vet_ok").isNotNull(), F.lit(False))
     failure = F.coalesce(~F.col("verified") & (F.col("vet_ok") == F.lit(False)), F.lit(False))
-    shard = F.concat(F.lit("any "), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("string"))
-    file = F.when(F.col("file_path").isNotNull() & (F.col("file_path") != "") & (success | ~F.col("verified")), F.concat(F.lit("file "), "file_path"))
-    groups = F.array_compact(F.concat(F.array(file, F.when(failure, shard)), F.when(success, F.array(*[F.lit(f"any {k}") for k in range(shards)])).otherwise(F.array().cast("array<string>"))))
-    timed = claims.where("id IS NOT NULL AND recorded_at IS NOT NULL").withColumn("ts", F.timestamp_seconds("recorded_at")).withWatermark("ts", delay)
-    rows = timed.select("id", F.col("recorded_at").alias("at"), success.alias("success"), "ts", F.explode(groups).alias("group"))
-    return rows.groupBy("group").transformWithStateInPandas(_Pointers(), "id long, superseded_by long", "Append", "EventTime")
+    file = F.when((F.col("file_path") != "") & (success | ~F.col("verified")), F.col("file_path"))
+    rows = claims.where("id IS NOT NULL AND recorded_at IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("recorded_at").cast("long").alias("at"), success.alias("success"), failure.alias("failure"), file.alias("file"))
+    dealt = rows.mapInArrow(_dealt(shards, block, chunk), "id long, at long, success boolean, file string, part long")
+    timed = dealt.withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", delay)
+    # a condition on the time too stays above the watermark, which counts rows of no group as well
+    kept = timed.where(F.when(F.col("ts").isNotNull(), F.col("file").isNotNull()))
+    return kept.groupBy("file", "part").transformWithStateInPandas(_Pointers(), "id long, superseded_by long", "Append", "EventTime")
