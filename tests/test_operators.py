@@ -869,6 +869,18 @@ def test_files_of_one_part_are_read_by_many_tasks(spark):
     assert sorted(r[0] for r in got) == sorted(f"GET /i{i}" for i in range(200)) and len({r.p for r in got}) > 4
 
 
+def test_rows_of_many_copies_are_small_on_disk(spark, tmp_path):
+    """Rows that grow with the square of the copies are written as runs; null keys and keys that come twice have theirs too."""
+    docs = spark.range(3200).selectExpr("IF(id < 64, NULL, id % 1600) AS id", "concat('It is HUE', id % 64, ' BOLT.') AS text")
+    rules = spark.range(19200).selectExpr("cast(id * 7919 AS int) AS ord", "concat('hue', id % 64, ' bolt') AS text", "0 AS fuzz")
+    fuzzy.matched(docs, rules).write.parquet(str(tmp_path / "rows"))
+    got = spark.read.parquet(str(tmp_path / "rows"))
+    assert got.count() == 50 * 300 * 64 and got.where("id IS NULL").count() == 300 * 64
+    assert got.where("id % 64 <> ord / 7919 % 64").count() == 0
+    assert sorted(map(tuple, got.where("id IS NOT NULL").groupBy("id", "ord").count().groupBy("count").count().collect())) == [(1, 300 * 64), (2, 24 * 300 * 64)]
+    assert sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet")) < got.count()
+
+
 def test_yaml_anchors_aliases_merges_and_tags():
     from veristrata.sources import yaml
 

@@ -7,10 +7,10 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialize, spread
+from ..tables import discard, materialize, spread
 from .detect import BROADCAST_RULES, forbidden_exact
 
 _WORD = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
@@ -168,16 +168,21 @@ def anchors_of(needle: bytes, threshold: int) -> set[tuple[int, int]]:
     return out
 
 
-#: Rules of one text are dealt to groups of about so many, so that no row or task holds all of them.
-RULE_GROUP = 4096
+#: Rules of one text, and keys of one text, are dealt to groups of about so many, so that no row or task holds all of them.
+RULE_GROUP = KEY_GROUP = 1024
+#: Of a group's rules so many are given to each of its keys at once: a file of the rows has a key once a run, and the run again and again.
+RULE_RUN = 256
+#: Pairs of groups that a task deals out: few enough that the different keys and rules in its file fit the file's dictionaries.
+TASK_PAIRS = 32
 
 
 def _found(docs: DataFrame, listed: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Hits (d, needle, fuzz, start, end, text) of every different needle in every different text, and (k, d): the digests of the texts by key.
+    """Tables of the hits (d, needle, fuzz, start, end, text) of every different needle in every different text, and of (k, d): the digests of such texts by key.
 
     Each needle's pieces are rows with the hash of an anchor; a text gives the hashes of its runs of those lengths that
     pass a filter of all anchors (a bitmap of fixed size, built by an aggregate; the only thing that reaches the driver).
-    Texts and needles that share a hash meet by a join, and a text is then read once beside its needles, which stream past it.
+    Documents are read once: texts with such runs go to a table, and others are shuffled nowhere. Texts and needles that
+    share a hash meet by a join, and a text is then read once beside its needles, which stream past it.
     """
 
     def pieces(batches):
@@ -199,24 +204,29 @@ def _found(docs: DataFrame, listed: DataFrame, key: str, text: str) -> tuple[Dat
     def runs(batches):
         known = np.unpackbits(packed, bitorder="little").view(bool)
         for b in batches:
-            keys, hashes, seen = [], [], set()
-            for k, (d, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                if d in seen:
-                    continue
-                seen.add(d)
-                raw = np.frombuffer(t.encode().lower(), dtype=np.uint8)
-                for size in sizes:
-                    h = np.unique(_hashes(raw, size)) if size else np.zeros(1, np.uint64)
-                    h = h.astype(np.int64)
-                    h = h[known[h % FILTER_BITS]]
-                    keys.append(np.full(len(h), k))
-                    hashes.append(h)
-            at = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], names=["d", "h"])
-
-    src = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL AND t <> ''").withColumn("d", F.sha2("t", 256))
-    met = src.select("d", "t").mapInArrow(runs, "d string, h long").join(anchors, "h").groupBy("d", "needle", "fuzz").agg(F.lit(1).alias("kind"))
-    whole = src.join(met.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.first("t").alias("t"))
+            names, texts, at, hashes, seen = [], [], [], [], {}
+            for row, (d, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                first = d not in seen
+                if first:
+                    raw, met = np.frombuffer(t.encode().lower(), dtype=np.uint8), []
+                    for size in sizes:
+                        h = _hashes(raw, size) if size else np.zeros(1, np.uint64)
+                        h = h[known[(h & np.uint64(FILTER_BITS - 1)).astype(np.int64)]]  # few are left to be told apart
+                        met.append(np.unique(h).astype(np.int64))
+                    hashes += met
+                    seen[d] = sum(map(len, met)) > 0
+                    at += [row] * sum(map(len, met))
+                if seen[d]:
+                    names.append(row)
+                    texts.append(row if first else None)
+            rows, none = pa.array(names + at, pa.int64()), [None] * len(at)
+            columns = [b.column(0).take(pa.array(names + none, pa.int64())), b.column(1).take(rows), b.column(2).take(pa.array(texts + none, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([None] * len(names) + np.concatenate(hashes or [[]]).tolist(), pa.int64())], names=["k", "d", "t", "h"])
+
+    src = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL AND t <> ''").select("k", F.sha2("t", 256).alias("d"), "t")
+    near = materialize(src.mapInArrow(runs, f"k {src.schema['k'].dataType.simpleString()}, d string, t string, h long"), "near")
+    met = near.where("h IS NOT NULL").select("d", "h").join(anchors, "h").groupBy("d", "needle", "fuzz").agg(F.lit(1).alias("kind"))
+    whole = near.where("t IS NOT NULL").join(met.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.first("t").alias("t"))
     whole = whole.select("d", F.lit(0).alias("kind"), "t", F.lit(None).cast("int").alias("fuzz"))
     dealt = whole.unionByName(met.select("d", "kind", F.col("needle").alias("t"), "fuzz")).repartition("d").sortWithinPartitions("d", "kind", "t", "fuzz")
 
@@ -236,19 +246,34 @@ def _found(docs: DataFrame, listed: DataFrame, key: str, text: str) -> tuple[Dat
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["d", "needle", "fuzz", "start", "end", "text"])
 
     found = dealt.select("d", "kind", "t", "fuzz").mapInArrow(scan, "d string, needle string, fuzz int, start int, end int, text string")
-    return materialize(found, "hits"), src.select("k", "d")
+    hits = materialize(found, "hits")
+    discard(anchors)
+    return hits, near
+
+
+def _groups(rows: DataFrame, by: list[str], item: str, salt: Column, size: int, name: str) -> DataFrame:
+    """A table of the items of each `by`, nulls too, in lists (`name`) of about `size`."""
+    counts = rows.groupBy(*by).agg(F.ceil(F.count("*") / size).alias("groups"))
+    dealt = rows.withColumn("salt", salt).join(counts, by).withColumn(f"{name}_group", F.pmod("salt", "groups"))
+    lists = dealt.groupBy(*by, f"{name}_group").agg(F.collect_list(F.struct(item)).alias(name))
+    return materialize(lists.withColumn(name, F.transform(name, lambda x: x[item])), name)
 
 
-def _of_all(hits: DataFrame, named: DataFrame, listed: DataFrame) -> DataFrame:
+def _of_all(hits: DataFrame, near: DataFrame, listed: DataFrame) -> DataFrame:
     """A row for each hit, each key that has its text and each rule that has its needle (k, ord, and the hit's columns).
 
-    Rules of one needle go in groups of about RULE_GROUP; keys meet the groups in tasks of their own.
+    Rules of one needle go in groups of about RULE_GROUP, keys of one text in groups of about KEY_GROUP. Pairs of groups are
+    what is shuffled, so that the rows, which grow with the square of the copies, are first made by the task that has them last.
     """
     rule = ["needle", "fuzz"]
-    counts = listed.groupBy(*rule).agg(F.ceil(F.count("*") / RULE_GROUP).cast("int").alias("groups"))
-    groups = listed.join(counts, rule).withColumn("group", F.pmod(F.xxhash64("ord"), F.col("groups"))).groupBy(*rule, "group").agg(F.collect_list("ord").alias("ords"))
-    each = hits.join(counts, rule).withColumn("group", F.explode(F.expr("sequence(0L, groups - 1L)"))).drop("groups")
-    return spread(each.join(named, "d").drop("d"), "k", "group").join(groups, [*rule, "group"]).withColumn("ord", F.explode("ords"))
+    named = near.where("h IS NULL").select("k", "d", F.monotonically_increasing_id().alias("salt"))
+    keys = _groups(named.join(hits.select("d").distinct(), "d", "left_semi"), ["d"], "k", F.xxhash64("salt"), KEY_GROUP, "ks")
+    discard(near)
+    ords = _groups(listed.join(hits.select(*rule).distinct(), rule, "left_semi"), rule, "ord", F.xxhash64("ord"), RULE_GROUP, "ords")
+    pairs = hits.join(keys, "d").join(ords, rule)
+    pairs = spread(pairs, "d", *rule, "ks_group", "ords_group", least=pairs.count() // TASK_PAIRS)
+    run = F.explode(F.expr(f"transform(sequence(0, (size(ords) - 1) div {RULE_RUN}), i -> slice(ords, int(i * {RULE_RUN} + 1), {RULE_RUN}))"))
+    return pairs.withColumn("ords", run).withColumn("k", F.explode("ks")).withColumn("ord", F.explode("ords")).drop("d", "ks", "ords", "ks_group", "ords_group")
 
 
 def _listed(rules: DataFrame) -> DataFrame:
@@ -262,15 +287,15 @@ def joined(docs: DataFrame, rules: DataFrame, key: str = "id", text: str = "text
     Null and empty texts and rules have no hits; a key that comes twice has the hits of each of its texts.
     """
     listed = _listed(rules)
-    hits, named = _found(docs, listed, key, text)
-    return _of_all(hits, named, listed).select(F.col("k").alias(key), "ord", "start", "end", "text")
+    hits, near = _found(docs, listed, key, text)
+    return _of_all(hits, near, listed).select(F.col("k").alias(key), "ord", "start", "end", "text")
 
 
 def matched(docs: DataFrame, rules: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, ord): the rules with a hit in a text, each once a text and rule, as joined() finds them; nothing is compared after hits are dealt."""
     listed = _listed(rules)
-    hits, named = _found(docs, listed, key, text)
-    return _of_all(hits.select("d", "needle", "fuzz").distinct(), named, listed).select(F.col("k").alias(key), "ord")
+    hits, near = _found(docs, listed, key, text)
+    return _of_all(hits.select("d", "needle", "fuzz").distinct(), near, listed).select(F.col("k").alias(key), "ord")
 
 
 class Pieces:
